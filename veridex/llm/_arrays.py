@@ -144,6 +144,7 @@ class Runs:
 
     first: np.ndarray
     last: np.ndarray
+    anchor: np.ndarray
     gram: np.ndarray
     content: np.ndarray
 
@@ -161,7 +162,7 @@ def window_runs(rolling: Rolling, lo: np.ndarray, hi: np.ndarray, length: int, g
     fits = hi - lo >= length
     if n < length or not fits.any():
         z = np.zeros(0, np.int64)
-        return Runs(z, z, z.astype(_U), z.astype(_U))
+        return Runs(z, z, z, z.astype(_U), z.astype(_U))
     hashes = mix(rolling.windows(gram))
     place = np.arange(len(hashes), dtype=_U)
     least = sliding_min(((hashes >> _PLACE_BITS) << _PLACE_BITS) | place, length - gram + 1)
@@ -176,11 +177,5 @@ def window_runs(rolling: Rolling, lo: np.ndarray, hi: np.ndarray, length: int, g
     tail = np.append(head[1:], len(at)) - 1
     first, last, anchor = at[head], at[tail], anchor[head]
     shape = ((last - first).astype(_U) << _U(32)) | (anchor - first).astype(_U)
-    return Runs(first, last, hashes[anchor], mix(rolling.hash(first, last + length) ^ mix(shape + _U(1))))
+    return Runs(first, last, anchor, hashes[anchor], mix(rolling.hash(first, last + length) ^ mix(shape + _U(1))))
 
-
-def crc_mod(ids: np.ndarray, modulus: int) -> np.ndarray:
-    """crc32 of each id's decimal text, modulo a number."""
-    import zlib
-
-    return np.fromiter((zlib.crc32(str(i).encode()) % modulus for i in ids), np.int64, len(ids))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -28,6 +29,8 @@ class Scratch:
         self.n += 1
         path = f"{self.root}/{self.n}"
         df.write.option("compression", "zstd").parquet(path)
+        gc.collect()
+        self.spark.sparkContext._jvm.System.gc()  # lets Spark delete the shuffle files of the job that just ended
         return self.spark.read.schema(df.schema).parquet(path)
 
     def drop(self, *frames: DataFrame) -> None:

@@ -11,12 +11,16 @@ the threshold depth:
 1. digit one is the anchor's hash: buckets with a single member hold no repeat;
 2. digit two is all content that a run of neighbouring windows covers: members
    that agree settle every window of the run at once;
-3. digit three is the single window, for runs that differ somewhere (the ends
-   of a passage, an edited word) while their anchor agrees.
+3. runs that differ somewhere (the ends of a passage, an edited word) although
+   their anchor agrees are cut into blocks of neighbouring windows, placed
+   relative to the anchor: a block is dropped if what all its windows share is
+   unique, and settled if all that its windows cover agrees;
+4. what is left of such blocks is compared window by window.
 
 Hash keys are compared only inside a bucket, that is on 128 bits together.
 No bucket is ever gathered: each pass is a partially aggregated count and an
-equi-join, whose hot keys adaptive execution can split.
+equi-join, whose hot keys adaptive execution can split. Of members that agree
+only one goes on to the next pass.
 """
 
 from __future__ import annotations
@@ -30,11 +34,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from veridex.llm._arrays import BYTE_VALUE, Rolling, Slice, mix, signed, slices, window_runs, word_hashes, words
+from veridex.llm._arrays import BYTE_VALUE, SLICE_BYTES, Rolling, Slice, mix, signed, slices, window_runs, word_hashes, words
 from veridex.llm._spark import Scratch, keyed
 
-RUNS = "_d long, _h int, gram long, content long, first int, last int"
-WINDOWS = "_d long, _h int, gram long, win long, first int"
+ROWS = "_d long, _h int, bucket long, content long, anchor int, first int, last int"
+#: Windows to a block in pass 3.
+BLOCK = 16
 Symbols = Callable[[Slice], tuple[np.ndarray, np.ndarray, np.ndarray]]
 
 
@@ -53,6 +58,11 @@ def _owner(lo: np.ndarray, first: np.ndarray, n: np.ndarray) -> np.ndarray:
     return some[np.searchsorted(lo[some], first, "right") - 1]
 
 
+def _rows(d: np.ndarray, h: np.ndarray, bucket: np.ndarray, content: np.ndarray, *places: np.ndarray) -> pa.RecordBatch:
+    columns = [d, h, signed(bucket), signed(content), *(x.astype(np.int32) for x in places)]
+    return pa.RecordBatch.from_arrays([pa.array(x) for x in columns], names=["_d", "_h", "bucket", "content", "anchor", "first", "last"])
+
+
 def _scan(batches: Iterator[pa.RecordBatch], symbols: Symbols, length: int, gram: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         d, h = (batch.column(k).to_numpy(zero_copy_only=False) for k in ("_d", "_h"))
@@ -61,32 +71,62 @@ def _scan(batches: Iterator[pa.RecordBatch], symbols: Symbols, length: int, gram
             runs = window_runs(Rolling(values), lo, hi, length, gram)
             if len(runs.first):
                 own = _owner(lo, runs.first, hi - lo)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(x) for x in (d[part.first + own], h[part.first + own], signed(runs.gram), signed(runs.content), (runs.first - lo[own]).astype(np.int32), (runs.last - lo[own]).astype(np.int32))],
-                    names=["_d", "_h", "gram", "content", "first", "last"],
-                )
+                yield _rows(d[part.first + own], h[part.first + own], runs.gram, runs.content, *(x - lo[own] for x in (runs.anchor, runs.first, runs.last)))
 
 
-def _expand(batches: Iterator[pa.RecordBatch], symbols: Symbols, length: int) -> Iterator[pa.RecordBatch]:
-    """Every single window of the runs that are asked about."""
+def _expand(batches: Iterator[pa.RecordBatch], symbols: Symbols, length: int, block: int) -> Iterator[pa.RecordBatch]:
+    """The blocks of the runs that are asked about: windows whose distance to the anchor has the same quotient by `block`."""
     for batch in batches:
         d, h = (batch.column(k).to_numpy(zero_copy_only=False) for k in ("_d", "_h"))
         asked = batch.column("runs")
         at, flat = asked.offsets.to_numpy(), asked.values
-        gram, first, last = (flat.field(k).to_numpy(zero_copy_only=False) for k in ("gram", "first", "last"))
-        for part in slices(batch.column("_t")):
-            values, lo, _ = symbols(part)
+        bucket, anchor, first, last = (flat.field(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in ("bucket", "anchor", "first", "last"))
+        for part in slices(batch.column("_t"), SLICE_BYTES // (8 if block == 1 else 2)):
+            values, lo, hi = symbols(part)
+            rolling = Rolling(values)
             k = slice(at[part.first], at[part.first + len(lo)])
             text = np.repeat(np.arange(len(lo)), np.diff(at[part.first : part.first + len(lo) + 1]))
-            n = (last[k] - first[k] + 1).astype(np.int64)
-            inside = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
-            text, start = np.repeat(text, n), np.repeat(first[k], n) + inside
-            place = lo[text] + start
-            win = mix(Rolling(values).hash(place, place + length))
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(x) for x in (d[part.first + text], h[part.first + text], np.repeat(gram[k], n), signed(win), start.astype(np.int32))],
-                names=["_d", "_h", "gram", "win", "first"],
-            )
+            low, high = (anchor[k] - last[k]) // block, (anchor[k] - first[k]) // block
+            n = high - low + 1
+            run = np.repeat(np.arange(len(n)), n)
+            number = low[run] + np.arange(len(run)) - np.repeat(np.cumsum(n) - n, n)
+            text, where = text[run], anchor[k][run]
+            end = where - number * block  # the last window start of the whole block, in the text
+            start = end - block + 1
+            base = lo[text]
+            core = rolling.hash(base + end, base + start + length)
+            whole = (start >= 0) & (end + length <= hi[text] - base)
+            content = mix(rolling.hash(base + np.where(whole, start, end), base + end + np.where(whole, length, 1)) + np.uint64(1))
+            alone = mix(mix(d[part.first + text].view(np.uint64)) ^ mix(h[part.first + text].astype(np.int64).view(np.uint64)) ^ (end + 7).astype(np.uint64))
+            own = mix(mix(core + number.astype(np.uint64)) ^ bucket[k][run].view(np.uint64))
+            yield _rows(d[part.first + text], h[part.first + text], own, np.where(whole, content, alone), where, np.maximum(start, first[k][run]), np.minimum(end, last[k][run]))
+
+
+class _Passes:
+    """The radix passes; `later_only` as in repeated_spans."""
+
+    def __init__(self, scratch: Scratch, later_only: bool):
+        self.scratch = scratch
+        self.shared = "low < high" if later_only else "n > 1"
+        self.kinds = "low < high" if later_only else "kinds > 1"
+        self.goes = "_d > least" if later_only else "true"
+
+    def settle(self, rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """Spans that agree with another member of their bucket, and one of each kind of member in buckets with several kinds."""
+        shared = rows.groupBy("bucket").agg(F.count("*").alias("n"), F.min("_d").alias("low"), F.max("_d").alias("high")).where(self.shared)
+        members = self.scratch.keep(rows.join(shared.select("bucket"), "bucket"))
+        one = F.min(F.struct("_d", "_h", "anchor", "first", "last")).alias("one")
+        kinds = self.scratch.keep(members.groupBy("bucket", "content").agg(F.count("*").alias("n"), one))
+        mixed = kinds.groupBy("bucket").agg(F.count("*").alias("kinds"), F.min("one._d").alias("low"), F.max("one._d").alias("high")).where(self.kinds)
+        equal = kinds.where("n > 1").select("bucket", "content", F.col("one._d").alias("least"))
+        spans = members.join(equal, ["bucket", "content"]).where(self.goes).select("_d", "_h", "first", "last")
+        return spans, kinds.join(mixed.select("bucket"), "bucket").select("one.*", "bucket")
+
+    def last(self, rows: DataFrame) -> DataFrame:
+        """The same for single windows, where nothing stays open."""
+        agg = (F.count("*").alias("n"), F.min("_d").alias("least"), F.min("_d").alias("low"), F.max("_d").alias("high"))
+        equal = rows.groupBy("bucket", "content").agg(*agg).where(self.shared).select("bucket", "content", "least")
+        return rows.join(equal, ["bucket", "content"]).where(self.goes).select("_d", "_h", "first", "last")
 
 
 def repeated_spans(docs: DataFrame, scratch: Scratch, symbols: Symbols, length: int, gram: int, later_only: bool) -> DataFrame:
@@ -95,29 +135,27 @@ def repeated_spans(docs: DataFrame, scratch: Scratch, symbols: Symbols, length:
     later_only: a window goes if it also starts in a text of smaller id;
     otherwise if it starts anywhere else as well.
     """
-    spark = docs.sparkSession
-    rows = scratch.keep(docs.select("_d", "_h", "_t").mapInArrow(partial(_scan, symbols=symbols, length=length, gram=gram), RUNS))
-    shared = rows.groupBy("gram").agg(F.count("*").alias("n"), F.min("_d").alias("low"), F.max("_d").alias("high"))
-    shared = shared.where("low < high" if later_only else "n > 1").select("gram")
-    runs = scratch.keep(rows.join(shared, "gram"))
-    scratch.drop(rows)
+    passes = _Passes(scratch, later_only)
+    texts = docs.select("_d", "_h", "_t")
+    block = min(BLOCK, length // 4)
 
-    by_content = runs.groupBy("gram", "content").agg(F.count("*").alias("n"), F.min(F.struct("_d", "_h", "first", "last")).alias("one"))
-    by_content = scratch.keep(by_content)
-    mixed = by_content.groupBy("gram").agg(F.count("*").alias("kinds"), F.min("one._d").alias("low"), F.max("one._d").alias("high"))
-    mixed = mixed.where("low < high" if later_only else "kinds > 1").select("gram")
-    settled = by_content.where("n > 1").select("gram", "content", F.col("one._d").alias("least"))
-    whole = runs.join(settled, ["gram", "content"]).where("_d > least" if later_only else "true").select("_d", "_h", "first", "last")
-
-    open_runs = by_content.join(mixed, "gram").select("one.*", "gram")
-    open_runs = open_runs.groupBy("_d", "_h").agg(F.collect_list(F.struct("gram", "first", "last")).alias("runs"))
-    asked = docs.select("_d", "_h", "_t").join(open_runs, ["_d", "_h"]).select("_d", "_h", "_t", "runs")
-    singles = scratch.keep(asked.mapInArrow(partial(_expand, symbols=symbols, length=length), WINDOWS))
-    again = singles.groupBy("gram", "win").agg(F.count("*").alias("n"), F.min("_d").alias("least"), F.max("_d").alias("most"))
-    again = again.where("least < most" if later_only else "n > 1").select("gram", "win", "least")
-    edge = singles.join(again, ["gram", "win"]).where("_d > least" if later_only else "true").select("_d", "_h", "first", F.col("first").alias("last"))
-
-    return whole.unionByName(edge).groupBy("_d", "_h").agg(F.collect_list(F.struct("first", "last")).alias("spans"))
+    def asked(texts: DataFrame, runs: DataFrame) -> DataFrame:
+        by_text = runs.groupBy("_d", "_h").agg(F.collect_list(F.struct("bucket", "anchor", "first", "last")).alias("runs"))
+        return texts.join(by_text, ["_d", "_h"]).select("_d", "_h", "_t", "runs")
+
+    def expand(asked: DataFrame, block: int) -> DataFrame:
+        return asked.mapInArrow(partial(_expand, symbols=symbols, length=length, block=block), ROWS)
+
+    rows = scratch.keep(texts.mapInArrow(partial(_scan, symbols=symbols, length=length, gram=gram), ROWS))
+    spans, some = passes.settle(rows)
+    scratch.drop(rows)
+    texts = scratch.keep(asked(texts, some))
+    rows = scratch.keep(expand(texts, block))
+    more, some = passes.settle(rows)
+    scratch.drop(rows)
+    rows = scratch.keep(expand(asked(texts.drop("runs"), some), 1))
+    spans = spans.unionByName(more).unionByName(passes.last(rows))
+    return spans.groupBy("_d", "_h").agg(F.collect_list(F.struct("first", "last")).alias("spans"))
 
 
 def covered(first: np.ndarray, last: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
