@@ -7,10 +7,27 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from veridex.llm import pii, secret_scan
 from veridex.llm._spark import read
+from veridex.llm.packing import retrieval_packing
+from veridex.llm.quality import quality_rules
 from veridex.llm.repeats import substring_dedup, suffix_array_dedup
 
 
+def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = secret_scan.secret_scan(read(spark, sf_dir, "documents"))
+    counts = [secret_scan.counted(k).alias(f"n_{k}") for k in secret_scan.KINDS]
+    base = F.sha2(secret_scan.joined(secret_scan.BASE_KINDS), 256).alias("base_sha256")
+    return out.select("doc_id", *counts, base, secret_scan.joined(secret_scan.KINDS).alias("spans"))
+
+
+def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = pii.pii_spans(read(spark, sf_dir, "documents"))
+    counts = [secret_scan.counted(k).alias(f"n_{k}") for k in pii.KINDS]
+    base = F.sha2(secret_scan.joined(pii.BASE_KINDS, True), 256).alias("base_sha256")
+    return out.select("doc_id", *counts, base, secret_scan.joined(pii.KINDS, True).alias("spans"))
+
+
 def op3_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = suffix_array_dedup(read(spark, sf_dir, "documents"), digest=True)
     return out.select("doc_id", F.col("n_all").alias("n_bytes"), "n_removed", "n_spans", F.col("kept").cast("string").alias("kept_sha256"))
@@ -21,5 +38,14 @@ def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.col("n_all").alias("n_words"), "n_removed", F.col("kept").cast("string").alias("kept_sha256"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op3_suffix_array_dedup, op5_substring_dedup)}
+def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = quality_rules(read(spark, sf_dir, "documents"))
+    return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "chars_per_token", "fallback_share", "entropy")
+
+
+def op9_retrieval_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return retrieval_packing(read(spark, sf_dir, "documents"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_secret_scan, op2_pii, op3_suffix_array_dedup, op5_substring_dedup, op8_quality_rules, op9_retrieval_packing)}
 ORACLES: dict[str, str] = {}
