@@ -2,44 +2,15 @@
 
 from __future__ import annotations
 
-import gc
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Stands for a null id while rows are matched; ids are longs below it.
-NO_ID = (1 << 63) - 1
-_FALLBACK_DIR = "/tmp/checkpoints/veridex"
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir, or a fallback where it is unset (tests)."""
-    return spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir") or _FALLBACK_DIR
+from veridex.plans.scratch import Scratch
 
+__all__ = ["NO_ID", "Scratch", "keyed", "read"]
 
-class Scratch:
-    """Intermediate tables in the shared folder: they cut lineage and survive lost executors."""
-
-    def __init__(self, spark: SparkSession, name: str):
-        self.spark, self.root, self.n = spark, f"{shared_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}", 0
-
-    def keep(self, df: DataFrame) -> DataFrame:
-        """Write the rows once and read them back."""
-        self.n += 1
-        path = f"{self.root}/{self.n}"
-        df.write.option("compression", "zstd").parquet(path)
-        gc.collect()
-        self.spark.sparkContext._jvm.System.gc()  # lets Spark delete the shuffle files of the job that just ended
-        return self.spark.read.schema(df.schema).parquet(path)
-
-    def drop(self, *frames: DataFrame) -> None:
-        """Delete tables that nothing reads any more."""
-        jvm = self.spark.sparkContext._jvm
-        for df in frames:
-            for path in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-                where = jvm.org.apache.hadoop.fs.Path(path)
-                where.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+#: Stands for a null id while rows are matched; ids are longs below it.
+NO_ID = (1 << 63) - 1
 
 
 def keyed(docs: DataFrame) -> DataFrame:
