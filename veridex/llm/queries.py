@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from veridex.llm import pii, secret_scan
 from veridex.llm._spark import read
+from veridex.llm.jaccard_join import jaccard_components
 from veridex.llm.packing import retrieval_packing
 from veridex.llm.quality import quality_rules
 from veridex.llm.repeats import substring_dedup, suffix_array_dedup
@@ -33,6 +34,10 @@ def op3_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", F.col("n_all").alias("n_bytes"), "n_removed", "n_spans", F.col("kept").cast("string").alias("kept_sha256"))
 
 
+def op4_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_components(read(spark, sf_dir, "documents"))
+
+
 def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = substring_dedup(read(spark, sf_dir, "documents"), digest=True)
     return out.select("doc_id", F.col("n_all").alias("n_words"), "n_removed", F.col("kept").cast("string").alias("kept_sha256"))
@@ -47,5 +52,5 @@ def op9_retrieval_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return retrieval_packing(read(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_secret_scan, op2_pii, op3_suffix_array_dedup, op5_substring_dedup, op8_quality_rules, op9_retrieval_packing)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_secret_scan, op2_pii, op3_suffix_array_dedup, op4_jaccard_join, op5_substring_dedup, op8_quality_rules, op9_retrieval_packing)}
 ORACLES: dict[str, str] = {}
