@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from veridex.llm import pii, secret_scan
 from veridex.llm._spark import read
+from veridex.llm.decontaminate import contaminated
 from veridex.llm.jaccard_join import jaccard_components
 from veridex.llm.packing import retrieval_packing
 from veridex.llm.quality import quality_rules
@@ -52,5 +53,9 @@ def op9_retrieval_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return retrieval_packing(read(spark, sf_dir, "documents"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_secret_scan, op2_pii, op3_suffix_array_dedup, op4_jaccard_join, op5_substring_dedup, op8_quality_rules, op9_retrieval_packing)}
+def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return contaminated(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_secret_scan, op2_pii, op3_suffix_array_dedup, op4_jaccard_join, op5_substring_dedup, op8_quality_rules, op9_retrieval_packing, op10_decontamination)}
 ORACLES: dict[str, str] = {}
