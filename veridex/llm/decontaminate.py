@@ -104,5 +104,5 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, percent: int = PERC
     """The documents that hold no benchmark item, with all their columns."""
     found = _matches(docs, benchmark, percent).select("_d", "_h").distinct()
     text = F.coalesce(F.col("text"), F.lit(""))
-    rows = docs.select(F.struct(*docs.columns).alias("row"), F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("_d"), F.hash(text).alias("_h"))
-    return rows.join(found, ["_d", "_h"], "left_anti").select("row.*")
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_row"), F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("_d"), F.hash(text).alias("_h"))
+    return rows.join(found, ["_d", "_h"], "left_anti").select("_row.*")

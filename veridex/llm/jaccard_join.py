@@ -224,3 +224,15 @@ def jaccard_components(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
     out = job.meta.join(final.select(F.col("node").alias("_d"), "component"), "_d", "left")
     component = F.nullif(F.coalesce("component", "_d"), F.lit(NO_ID))
     return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"))
+
+
+def keep_representatives(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
+    """One document of each group of linked documents, that of the smallest doc_id, with all columns.
+
+    Rows that repeat a doc_id are one document: they stay or go together, and so
+    do rows with a null doc_id.
+    """
+    comp = jaccard_components(docs, size)
+    gone = comp.where("component_id < coalesce(doc_id, component_id + 1)").select(F.coalesce("doc_id", F.lit(NO_ID)).alias("_d")).distinct()
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_row"), F.coalesce(F.col("doc_id").cast("long"), F.lit(NO_ID)).alias("_d"))
+    return rows.join(gone, "_d", "left_anti").select("_row.*")

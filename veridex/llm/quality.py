@@ -8,7 +8,7 @@ from functools import cache, partial
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from veridex.llm._arrays import SPACE, Rolling, mix, slices, word_hashes, words
@@ -71,9 +71,10 @@ def _repeated_words(hashes: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.nd
 def _measure(batches: Iterator[pa.RecordBatch], vocabulary: str) -> Iterator[pa.RecordBatch]:
     codec, lone = encoding(vocabulary)
     for batch in batches:
-        rest = [batch.column(k) for k in batch.schema.names if k != "_t"]
         names = [k for k in batch.schema.names if k != "_t"]
-        for part in slices(batch.column("_t")):
+        rest = [batch.column(k) for k in names]
+        texts = batch.column("_t") if "_t" in batch.schema.names else batch.column("_row").field("text").fill_null("")
+        for part in slices(texts):
             n, found = len(part.lo), words(part)
             head = (part.data & 0xC0) != 0x80
             total = lambda x: np.diff(np.concatenate([[0], np.cumsum(x)])[np.concatenate([part.lo[:1], part.hi])])  # noqa: E731, B023
@@ -101,12 +102,13 @@ def _measure(batches: Iterator[pa.RecordBatch], vocabulary: str) -> Iterator[pa.
             )
 
 
-def measure(docs: DataFrame, vocabulary: str, keep: list[str]) -> DataFrame:
-    """The columns `keep` with every count of the text, token entropy (bits) and script."""
-    rows = docs.select(*keep, F.coalesce(F.col("text"), F.lit("")).alias("_t"))
-    kept = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*keep).schema.fields)
-    out = ", ".join([kept, *(f"{k} long" for k in COUNTS), "entropy double", "script string"])
-    return rows.mapInArrow(partial(_measure, vocabulary=vocabulary), out)
+def measure(rows: DataFrame, vocabulary: str) -> DataFrame:
+    """Every count of the text, token entropy (bits) and script, beside the other columns.
+
+    The text is the column _t (without nulls), or the field `text` of _row.
+    """
+    kept = [f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields if f.name != "_t"]
+    return rows.mapInArrow(partial(_measure, vocabulary=vocabulary), ", ".join([*kept, *(f"{k} long" for k in COUNTS), "entropy double", "script string"]))
 
 
 def default_vocabulary() -> str:
@@ -130,18 +132,23 @@ def quality_rules(docs: DataFrame, vocabulary: str | None = None, bands: dict[st
     grouped by script; other columns are ignored. An empty table gives an empty
     result.
     """
-    spark = docs.sparkSession
-    lang = F.col("lang") if "lang" in docs.columns else F.lit(None)
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), lang.cast("string").alias("lang"), "text")
-    stats = measure(rows, vocabulary or default_vocabulary(), ["doc_id", "lang"])
-    stats = stats.withColumns({
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), _lang(docs), F.coalesce("text", F.lit("")).alias("_t"))
+    return judged(rows, vocabulary, bands)
+
+
+def _lang(docs: DataFrame) -> Column:
+    return (F.col("lang") if "lang" in docs.columns else F.lit(None)).cast("string").alias("_lang")
+
+
+def judged(rows: DataFrame, vocabulary: str | None, bands: dict[str, float]) -> DataFrame:
+    stats = measure(rows, vocabulary or default_vocabulary()).withColumns({
         "base_failed": (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words")),
-        "group": F.coalesce("lang", F.concat(F.lit("script:"), "script")),
+        "group": F.coalesce("_lang", F.concat(F.lit("script:"), "script")),
         "chars_per_token": F.round(F.col("n_chars") / F.greatest("n_tokens", F.lit(1)), 3),
         "fallback_share": F.round(F.col("n_fallback") / F.greatest("n_tokens", F.lit(1)), 3),
         "entropy": F.round("entropy", 3),
     })
-    stats = Scratch(spark, "quality").keep(stats)
+    stats = Scratch(rows.sparkSession, "quality").keep(stats)
     usual = stats.where(~F.col("base_failed")).groupBy("group").agg(*(F.median(k).alias(f"usual_{k}") for k in ("chars_per_token", "entropy", "fallback_share")))
     inside = (
         F.col("chars_per_token").between(bands["least_chars"] * F.col("usual_chars_per_token"), bands["most_chars"] * F.col("usual_chars_per_token"))
@@ -150,3 +157,9 @@ def quality_rules(docs: DataFrame, vocabulary: str | None = None, bands: dict[st
     )
     joined = stats.join(usual, "group", "left")
     return joined.withColumn("kept", ~F.col("base_failed") & F.coalesce(inside, F.lit(True)))
+
+
+def keep_good(docs: DataFrame, vocabulary: str | None = None, bands: dict[str, float] = BANDS) -> DataFrame:
+    """The documents that quality_rules keeps, with all their columns."""
+    rows = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_row"), _lang(docs))
+    return judged(rows, vocabulary, bands).where("kept").select("_row.*")
