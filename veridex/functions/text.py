@@ -39,21 +39,15 @@ def _normalized(values: pd.Series, fold: bool) -> pd.Series:
     return values.map(one)
 
 
-@pandas_udf("string")
-def _normalize_fold(values: pd.Series) -> pd.Series:
-    return _normalized(values, True)
-
-
-@pandas_udf("string")
-def _normalize_keep(values: pd.Series) -> pd.Series:
-    return _normalized(values, False)
-
-
 def normalize_text(c: Column, casefold: bool = True) -> Column:
     """NFKC, white space collapsed, optionally case-folded; ASCII rows skip Python by normalize_ascii."""
     ascii_only = F.octet_length(F.coalesce(c, F.lit(""))) == F.length(F.coalesce(c, F.lit("")))
-    exact = _normalize_fold(F.when(ascii_only, F.lit("")).otherwise(c)) if casefold else _normalize_keep(F.when(ascii_only, F.lit("")).otherwise(c))
-    return F.when(ascii_only, normalize_ascii(c, casefold)).otherwise(exact)
+
+    def exact(values: pd.Series) -> pd.Series:
+        return _normalized(values, casefold)
+
+    udf = pandas_udf(exact, "string")
+    return F.when(ascii_only, normalize_ascii(c, casefold)).otherwise(udf(F.when(ascii_only, F.lit("")).otherwise(c)))
 
 
 def tokens(c: Column) -> Column:
@@ -160,8 +154,13 @@ def percent(numerator: Column, denominator: Column) -> Column:
     return F.when(denominator == 0, "n/a").otherwise(F.format_string("%.2f%%", 100.0 * numerator / denominator))
 
 
-def hashed_ngrams(c: Column, dimensions_bits: int = 11) -> Column:
-    """The bucket of every 2-, 3- and 4-gram of the text padded by two blanks on each side (low bits of the hash's first 8 bytes)."""
+def char_ngrams(c: Column) -> Column:
+    """Every 2-, 3- and 4-gram of the normalised text padded by two blanks on each side."""
     padded = F.concat(F.lit("  "), normalize_ascii(c), F.lit("  "))
-    grams = F.flatten(F.array(*(F.transform(F.sequence(F.lit(1), F.length(padded) - (n - 1)), lambda i: F.substring(padded, i, F.lit(n))) for n in (2, 3, 4))))  # noqa: B023
-    return F.transform(grams, lambda g: F.conv(F.substring(F.sha2(g, 256), 14, 3), 16, 10).cast("int").bitwiseAND(F.lit((1 << dimensions_bits) - 1)))
+    of_size = lambda p, n: F.transform(F.sequence(F.lit(1), F.length(p) - (n - 1)), lambda i: F.substring(p, i, F.lit(n)))
+    return F.flatten(F.transform(F.array(padded), lambda p: F.flatten(F.array(*(of_size(p, n) for n in (2, 3, 4))))))
+
+
+def gram_bucket(gram: Column, bits: int = 11) -> Column:
+    """The low bits of the first 8 bytes of the gram's SHA-256."""
+    return F.conv(F.substring(F.sha2(gram, 256), 14, 3), 16, 10).cast("int").bitwiseAND(F.lit((1 << bits) - 1))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from veridex.functions.text import content_tokens, hashed_ngrams, tokens
+from veridex.functions.text import char_ngrams, content_tokens, gram_bucket, tokens
 
 K1, B = 1.5, 0.75
 
@@ -19,8 +19,8 @@ def _score(tf: Column, length: Column, mean_length: Column, k1: float, b: float)
 
 
 def _ranked(df: DataFrame, query: str, score: str, candidate: str) -> DataFrame:
-    """Rank by score (12 places, so that the order of sums can't break ties) and id."""
-    order = Window.partitionBy(query).orderBy(F.desc(F.round(score, 12)), candidate)
+    """Rank by score (9 places, so that the order of sums can't break ties) and id."""
+    order = Window.partitionBy(query).orderBy(F.desc(F.round(score, 9)), candidate)
     return df.withColumn("rank", F.row_number().over(order))
 
 
@@ -63,13 +63,12 @@ def bm25_global(queries: DataFrame, documents: DataFrame, k: int, k1: float = K1
 
 def ngram_cosine(pairs: DataFrame) -> DataFrame:
     """Rank candidates by the cosine of hashed character n-gram counts."""
-    def counts(ids: list[str], text: str) -> DataFrame:
-        rows = pairs.select(*ids, F.explode(hashed_ngrams(F.col(text))).alias("bucket"))
-        return rows.groupBy(*ids, "bucket").agg(F.count("*").alias("c"))
+    def counts(rows: DataFrame, ids: list[str], text: str, name: str) -> DataFrame:
+        grams = rows.select(*ids, F.explode(char_ngrams(F.col(text))).alias("gram")).groupBy(*ids, "gram").agg(F.count("*").alias("k"))
+        return grams.groupBy(*ids, gram_bucket(F.col("gram")).alias("bucket")).agg(F.sum("k").alias(name))
 
-    one = pairs.select("query_id", "query").distinct()
-    q = one.select("query_id", F.explode(hashed_ngrams(F.col("query"))).alias("bucket")).groupBy("query_id", "bucket").agg(F.count("*").alias("qc"))
-    d = counts(["query_id", "candidate_id"], "document")
+    q = counts(pairs.select("query_id", "query").distinct(), ["query_id"], "query", "qc")
+    d = counts(pairs, ["query_id", "candidate_id"], "document", "c")
     qn = q.groupBy("query_id").agg(F.sqrt(F.sum(F.col("qc") * F.col("qc"))).alias("qn"))
     dn = d.groupBy("query_id", "candidate_id").agg(F.sqrt(F.sum(F.col("c") * F.col("c"))).alias("dn"))
     dot = d.join(q, ["query_id", "bucket"]).groupBy("query_id", "candidate_id").agg(F.sum(F.col("c") * F.col("qc")).alias("dot"))

@@ -50,7 +50,7 @@ def detector_report(df: DataFrame, truth: str, flagged: str) -> DataFrame:
 
 
 def crosstab(df: DataFrame, row: str, column: str, values: list) -> DataFrame:
-    return df.groupBy(row).pivot(column, values).agg(F.count("*")).fillna(0)
+    return df.groupBy(row).pivot(column, values).agg(F.count(F.lit(1))).fillna(0)
 
 
 def smallest_mode(df: DataFrame, group: list[str], value: str) -> DataFrame:
