@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from veridex.llm._arrays import mix, slices
+from veridex.llm._spark import Scratch
 from veridex.llm.quality import encoding
 
 WINDOW = 2048
@@ -177,5 +178,6 @@ def retrieval_packing(docs: DataFrame, vocabulary: str | None = None, window: in
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("_t"))
     tails = rows.mapInArrow(partial(_tokenise, vocabulary=vocabulary or byte_bpe(), window=window), TAILS)
+    tails = Scratch(docs.sparkSession, "packing").keep(tails)  # ranges are found by a sample, which must not tokenise again
     dealt = tails.repartitionByRange("near", "_d", "start").sortWithinPartitions("near", "_d", "start", "ids")
     return dealt.mapInArrow(partial(_pack, window=window, shard=shard), PIECES)
