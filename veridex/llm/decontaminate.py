@@ -66,7 +66,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, percent: int = PERCENT)
     Empty tables give an empty result.
     """
     found = _matches(docs, benchmark, percent)
-    return found.select(F.nullif("_d", F.lit(NO_ID)).alias("doc_id"), "item_id", "similarity", "start", "n_words", "distance")
+    return found.select(F.nullif("_d", F.lit(NO_ID)).alias("doc_id"), "item_id", "similarity", F.col("start").cast("long").alias("start"), F.col("n_words").cast("long").alias("n_words"), "distance")
 
 
 def _matches(docs: DataFrame, benchmark: DataFrame, percent: int) -> DataFrame:

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veridex.llm import language_id, pii, secret_scan
+from veridex.llm import language_id, oracles, pii, secret_scan
 from veridex.llm._spark import read
 from veridex.llm.decontaminate import contaminated
 from veridex.llm.html_extract import main_text
@@ -65,8 +65,8 @@ def op9_retrieval_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return contaminated(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark"))
+    return contaminated(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark")).drop("distance")
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_secret_scan, op2_pii, op3_suffix_array_dedup, op4_jaccard_join, op5_substring_dedup, op6_html_extract, op7_language_id, op8_quality_rules, op9_retrieval_packing, op10_decontamination)}
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op3_suffix_array_dedup": oracles.OP3, "op4_jaccard_join": oracles.OP4, "op5_substring_dedup": oracles.OP5, "op10_decontamination": oracles.OP10}
