@@ -4,11 +4,13 @@ Sets are ordered by one global order of shingles (corpus-frequent ones last,
 otherwise by hash). Two sets that reach the threshold share a shingle in their
 prefixes, so only prefixes are indexed. Skipping works on two levels:
 
-* index level: an entry carries its set's size, prefix length and the place
-  where the prefix ends. A pair's shared prefix shingles and the shorter
-  prefix's remainder bound the overlap, and pairs below the bound are skipped
-  without reading a set. Lists whose members are known to belong together are
-  skipped whole.
+* index level: an entry carries its shingle's position, its set's size and the
+  place where the prefix ends. Two entries of a list meet only if both positions
+  leave room for the overlap that their sizes ask for; the rest of the list is
+  skipped, and so are pairs whose parity bitmaps differ in more bits than the
+  sets may differ in shingles. What prefixes share and the shorter one's
+  remainder bound the overlap once more before a set is read. Lists whose
+  members are known to belong together are skipped whole.
 * answer level: equal sets are one set from the start; then each list's first
   set answers for the sets that look alike, and those confirmed take over its
   component as their answer. Only pairs across components are still asked, and
@@ -35,6 +37,7 @@ from veridex.operators.graph import connected_components
 SHINGLE, PERCENT = 5, 75
 #: The most shingles that the list of frequent ones holds; it only orders sets, nothing is dropped by it.
 FREQUENT = 200_000
+_TOKENS_AT_ONCE = 1 << 20
 _U = np.uint64
 _TOP = _U(1) << _U(63)
 
@@ -69,7 +72,15 @@ def prefix(x: np.ndarray, frequent: np.ndarray) -> np.ndarray:
     return x[: len(x) - needed(len(x)) + 1]
 
 
-META = "doc_id long, _d long, _h int, n long, f1 long, f2 long, end long"
+#: Longs of a parity bitmap: each shingle flips one bit, so two bitmaps differ in at most as many bits as the sets in shingles.
+MAP = 8
+BITS = [f"b{k}" for k in range(MAP)]
+META = "doc_id long, _d long, _h int, n long, f1 long, f2 long, end long, " + ", ".join(f"{b} long" for b in BITS)
+
+
+def parity(x: np.ndarray) -> np.ndarray:
+    odd = np.bincount((mix(x) & _U(64 * MAP - 1)).astype(np.int64), minlength=64 * MAP) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
 
 
 def _describe(batches: Iterator[pa.RecordBatch], size: int, frequent: np.ndarray) -> Iterator[pa.RecordBatch]:
@@ -78,22 +89,27 @@ def _describe(batches: Iterator[pa.RecordBatch], size: int, frequent: np.ndarray
         for part in slices(batch.column("_t")):
             sets = shingle_sets(part, size)
             n = len(sets)
+            maps = np.array([parity(x) for x in sets], np.int64)
             end = np.array([prefix(x, frequent)[-1] if len(x) else 0 for x in sets], _U) ^ _TOP
             prints = np.array([[x.sum(), np.bitwise_xor.reduce(mix(x))] if len(x) else [_U(0), _U(0)] for x in sets], _U)
             yield pa.RecordBatch.from_arrays(
-                [*(batch.column(k).slice(part.first, n) for k in ("doc_id", "_d", "_h")), pa.array([len(x) for x in sets], pa.int64()), *(pa.array(signed(np.ascontiguousarray(prints[:, k]))) for k in (0, 1)), pa.array(signed(end))],
-                names=["doc_id", "_d", "_h", "n", "f1", "f2", "end"],
+                [*(batch.column(k).slice(part.first, n) for k in ("doc_id", "_d", "_h")), pa.array([len(x) for x in sets], pa.int64()), *(pa.array(signed(np.ascontiguousarray(prints[:, k]))) for k in (0, 1)), pa.array(signed(end)), *(pa.array(np.ascontiguousarray(maps[:, k])) for k in range(MAP))],
+                names=["doc_id", "_d", "_h", "n", "f1", "f2", "end", *BITS],
             )
 
 
 def _often(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
-    """Shingles that a batch of documents holds often."""
+    """Shingles that some hundred documents in a row hold often."""
     for batch in batches:
-        sets = [x for part in slices(batch.column("_t")) for x in shingle_sets(part, size)]
-        if sets:
-            token, count = np.unique(np.concatenate(sets), return_counts=True)
-            some = count >= max(4, len(sets) // 1000)
-            yield pa.RecordBatch.from_arrays([pa.array(signed(token[some])), pa.array(count[some])], names=["token", "n"])
+        sets: list[np.ndarray] = []
+        for part in slices(batch.column("_t")):
+            sets += shingle_sets(part, size)
+            last = part.first + len(part.lo) == len(batch)
+            if last or sum(map(len, sets)) >= _TOKENS_AT_ONCE:
+                token, count = np.unique(np.concatenate(sets), return_counts=True)
+                some = count >= max(4, len(sets) // 500)
+                yield pa.RecordBatch.from_arrays([pa.array(signed(token[some])), pa.array(count[some])], names=["token", "n"])
+                sets = []
 
 
 def _prefixes(batches: Iterator[pa.RecordBatch], size: int, frequent: np.ndarray) -> Iterator[pa.RecordBatch]:
@@ -103,7 +119,8 @@ def _prefixes(batches: Iterator[pa.RecordBatch], size: int, frequent: np.ndarray
             found = [(part.first + i, prefix(x, frequent)) for i, x in enumerate(shingle_sets(part, size)) if len(x)]
             if found:
                 rows = np.repeat([i for i, _ in found], [len(x) for _, x in found])
-                yield pa.RecordBatch.from_arrays([pa.array(signed(np.concatenate([x for _, x in found]))), pa.array(d[rows]), pa.array(h[rows])], names=["token", "_d", "_h"])
+                at = np.concatenate([np.arange(1, len(x) + 1, dtype=np.int32) for _, x in found])
+                yield pa.RecordBatch.from_arrays([pa.array(signed(np.concatenate([x for _, x in found]))), pa.array(d[rows]), pa.array(h[rows]), pa.array(at)], names=["token", "_d", "_h", "at"])
 
 
 def _sets(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
@@ -155,14 +172,14 @@ class _Join:
         return np.sort(top.column("token").to_numpy().view(_U))
 
     def entries(self) -> DataFrame:
-        """The index: token, set, size and prefix end, of one set for each class of equal sets, in lists of two and more."""
-        found = self.texts.mapInArrow(partial(_prefixes, size=self.size, frequent=self.frequent), "token long, _d long, _h int")
+        """The index: token, set, size, prefix end and the token's position, of one set for each class of equal sets, in lists of two and more."""
+        found = self.texts.mapInArrow(partial(_prefixes, size=self.size, frequent=self.frequent), "token long, _d long, _h int, at int")
         often = found.groupBy("token").agg(F.count("*").alias("k")).where("k > 1").select("token")
         some = self.scratch.keep(found.join(often, "token"))
         one = self.meta.where("n > 0").groupBy("n", "f1", "f2").agg(F.min(F.struct("_d", "_h")).alias("one"), F.max("end").alias("end"))
         some = some.join(one.select("one.*", "n", "end"), ["_d", "_h"])
         again = some.groupBy("token").agg(F.count("*").alias("k")).where("k > 1").select("token")
-        return self.scratch.keep(some.join(again, "token").select("token", F.struct("_d", "_h").alias("s"), "n", "end"))
+        return self.scratch.keep(some.join(again, "token").select("token", F.struct("_d", "_h").alias("s"), "n", "end", "at"))
 
     def links(self, pairs: DataFrame) -> DataFrame:
         """(u, v) of the pairs (a, b) that reach the threshold, on their whole sets."""
@@ -203,19 +220,26 @@ def jaccard_components(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
     # then all pairs across components
     groups = connected_components(links)
     labelled = entries.withColumn("_d", F.col("s._d")).join(groups.select(F.col("node").alias("_d"), F.col("component")), "_d", "left")
-    labelled = job.scratch.keep(labelled.select("token", "s", "n", "end", F.coalesce("component", "_d").alias("label")))
+    labelled = job.scratch.keep(labelled.select("token", "s", "n", "end", "at", F.coalesce("component", "_d").alias("label")))
     by_label = labelled.groupBy("token", "label").agg(F.count("*").alias("k"))
     lists = by_label.groupBy("token").agg(F.count("*").alias("labels"), F.max(F.struct("k", "label")).alias("top")).where("labels > 1")
-    mixed = job.scratch.keep(labelled.join(lists.select("token", F.col("top.label").alias("top")), "token"))
-    left = mixed.where("label != top").select("token", *(F.col(k).alias(f"a_{k}") for k in ("s", "n", "end", "label")))
-    right = mixed.select("token", F.col("label") == F.col("top"), *(F.col(k).alias(f"b_{k}") for k in ("s", "n", "end", "label"))).toDF("token", "top", "b_s", "b_n", "b_end", "b_label")
-    fits = (F.col("a_label") != F.col("b_label")) & (F.col("top") | (F.col("a_s") < F.col("b_s"))) & (100 * F.least("a_n", "b_n") >= PERCENT * F.greatest("a_n", "b_n"))
-    met = left.join(right, "token").where(fits)
-    low, high = F.least("a_s", "b_s"), F.greatest("a_s", "b_s")
-    first_is_low = F.col("a_s") < F.col("b_s")
-    met = met.select(low.alias("a"), high.alias("b"), *(F.when(first_is_low, F.col(f"a_{k}")).otherwise(F.col(f"b_{k}")).alias(f"a{k[0]}") for k in ("n", "end")), *(F.when(first_is_low, F.col(f"b_{k}")).otherwise(F.col(f"a_{k}")).alias(f"b{k[0]}") for k in ("n", "end")))
-    met = met.groupBy("a", "b").agg(F.count("*").alias("shared"), *(F.first(k).alias(k) for k in ("an", "ae", "bn", "be")))
-    more = job.links(met.where(_can_reach(F.col("shared"), F.col("an"), F.col("ae"), F.col("bn"), F.col("be"))).select("a", "b"))
+    mixed = labelled.drop("end").join(lists.select("token", F.col("top.label").alias("top")), "token")
+    mixed = job.scratch.keep(mixed.join(job.meta.select(F.struct("_d", "_h").alias("s"), *BITS).dropDuplicates(["s"]), "s"))
+    fields = ("s", "n", "at", "label", *BITS)
+    left = mixed.where("label != top").select("token", *(F.col(k).alias(f"a_{k}") for k in fields))
+    right = mixed.select("token", (F.col("label") == F.col("top")).alias("in_top"), *(F.col(k).alias(f"b_{k}") for k in fields))
+    asked = F.ceil(F.lit(PERCENT) * (F.col("a_n") + F.col("b_n")) / (100 + PERCENT))
+    room = (F.col("a_at") <= F.col("a_n") - asked + 1) & (F.col("b_at") <= F.col("b_n") - asked + 1)
+    apart = (F.col("a_label") != F.col("b_label")) & (F.col("in_top") | (F.col("a_s") < F.col("b_s")))
+    differ = sum((F.bit_count(F.col(f"a_{b}").bitwiseXOR(F.col(f"b_{b}"))) for b in BITS), F.lit(0))
+    close = F.lit(100 + PERCENT) * differ <= F.lit(100 - PERCENT) * (F.col("a_n") + F.col("b_n"))
+    met = left.join(right, "token").where(apart & room & close & (100 * F.least("a_n", "b_n") >= PERCENT * F.greatest("a_n", "b_n")))
+    met = met.select(F.least("a_s", "b_s").alias("a"), F.greatest("a_s", "b_s").alias("b")).distinct()
+    held = labelled.groupBy("s").agg(F.first("n").alias("n"), F.first("end").alias("end"), F.collect_list("token").alias("tokens"))  # at most a set's prefix
+    held = job.scratch.keep(held)
+    one, two = (held.select(F.col("s").alias(k), *(F.col(c).alias(f"{k}_{c}") for c in ("n", "end", "tokens"))) for k in ("a", "b"))
+    counted = met.join(one, "a").join(two, "b").withColumn("shared", F.size(F.array_intersect("a_tokens", "b_tokens")))
+    more = job.links(counted.where(_can_reach(F.col("shared"), F.col("a_n"), F.col("a_end"), F.col("b_n"), F.col("b_end"))).select("a", "b"))
 
     # equal sets, and what both rounds confirmed
     classes = job.meta.where("n > 0").groupBy("n", "f1", "f2").agg(F.min("_d").alias("u"))
