@@ -1,7 +1,7 @@
 """Vectorised text helpers shared by the corpus operators (run inside Spark tasks).
 
 Texts arrive as Arrow string columns; everything here works on the column's
-UTF-8 bytes, a few megabytes at a time, so a task's memory is bounded by the
+UTF-8 bytes, half a megabyte at a time, so a task's memory is bounded by the
 slice size plus the longest single text.
 """
 
@@ -13,7 +13,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 512 << 10
 _U = np.uint64
 _BASE = _U(0xD6E8FEB86659FD93)
 _BASE_INV = _U(pow(0xD6E8FEB86659FD93, -1, 1 << 64))
