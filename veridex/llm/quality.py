@@ -19,6 +19,8 @@ SYMBOLS[list(b"#*$%&|<>")] = 1
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_tokens", "n_fallback", "n_chars")
 #: A language's bands around its own medians: least and most characters per token, least token entropy, most byte fallback (share, and times the median).
 BANDS = {"least_chars": 0.87, "most_chars": 1.6, "least_entropy": 0.78, "most_fallback": 0.03, "fallback_times": 4.0}
+#: Up to so many groups (four numbers each) are broadcast; beyond, the join shuffles.
+FEW_GROUPS = 10_000
 #: The script of a text by the lead bytes of its characters.
 SCRIPTS = ("none", "latin", "latin_accented", "greek", "cyrillic", "semitic", "indic", "cjk", "hangul", "other")
 _SCRIPT_OF = np.zeros(256, np.uint8)
@@ -148,8 +150,12 @@ def judged(rows: DataFrame, vocabulary: str | None, bands: dict[str, float]) ->
         "fallback_share": F.round(F.col("n_fallback") / F.greatest("n_tokens", F.lit(1)), 3),
         "entropy": F.round("entropy", 3),
     })
-    stats = Scratch(rows.sparkSession, "quality").keep(stats)
+    scratch = Scratch(rows.sparkSession, "quality")
+    stats = scratch.keep(stats)
     usual = stats.where(~F.col("base_failed")).groupBy("group").agg(*(F.median(k).alias(f"usual_{k}") for k in ("chars_per_token", "entropy", "fallback_share")))
+    usual = scratch.keep(usual)
+    if usual.count() <= FEW_GROUPS:
+        usual = F.broadcast(usual)
     inside = (
         F.col("chars_per_token").between(bands["least_chars"] * F.col("usual_chars_per_token"), bands["most_chars"] * F.col("usual_chars_per_token"))
         & (F.col("entropy") >= bands["least_entropy"] * F.col("usual_entropy"))
