@@ -157,7 +157,9 @@ Weights = dict[str, float]
 
 def fit_weights(pages: DataFrame, limit: int = FIT_PAGES) -> Weights:
     """Log-odds of each feature from at most `limit` labelled pages; tags stay negative."""
-    some = pages.where(F.col("html").rlike(r"(?i)<(article|main)\b")).select("page_id", "html").orderBy(F.xxhash64("page_id"), "page_id").limit(limit)
+    labelled = pages.where(F.col("html").rlike(r"(?i)<(article|main)\b") & F.col("page_id").isNotNull()).select("page_id", "html")
+    chosen = labelled.select("page_id").orderBy(F.xxhash64("page_id"), "page_id").limit(limit).distinct()
+    some = labelled.join(chosen, "page_id")
     counts = some.mapInArrow(_count, "name string, content boolean, n long").groupBy("name", "content").agg(F.sum("n").alias("n")).collect()
     table = {(r["name"], r["content"]): r["n"] for r in counts}
     kinds = {name.split(":")[0] for name, _ in table}
