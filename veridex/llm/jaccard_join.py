@@ -36,7 +36,7 @@ from veridex.operators.graph import connected_components
 
 SHINGLE, PERCENT = 5, 75
 #: The most shingles that the list of frequent ones holds; it only orders sets, nothing is dropped by it.
-FREQUENT = 200_000
+FREQUENT = 500_000
 _TOKENS_AT_ONCE = 1 << 20
 _U = np.uint64
 _TOP = _U(1) << _U(63)
@@ -99,7 +99,7 @@ def _describe(batches: Iterator[pa.RecordBatch], size: int, frequent: np.ndarray
 
 
 def _often(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
-    """Shingles that some hundred documents in a row hold often."""
+    """How many of some hundred documents in a row hold a shingle, for those that two or more hold."""
     for batch in batches:
         sets: list[np.ndarray] = []
         for part in slices(batch.column("_t")):
@@ -107,7 +107,7 @@ def _often(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBa
             last = part.first + len(part.lo) == len(batch)
             if last or sum(map(len, sets)) >= _TOKENS_AT_ONCE:
                 token, count = np.unique(np.concatenate(sets), return_counts=True)
-                some = count >= max(4, len(sets) // 500)
+                some = count > 1
                 yield pa.RecordBatch.from_arrays([pa.array(signed(token[some])), pa.array(count[some])], names=["token", "n"])
                 sets = []
 
@@ -168,7 +168,7 @@ class _Join:
     def _frequent(self) -> np.ndarray:
         """At most FREQUENT shingles that many documents hold, sorted: the tail of the global order."""
         found = self.texts.mapInArrow(partial(_often, size=self.size), "token long, n long").groupBy("token").agg(F.sum("n").alias("n"))
-        top = found.where("n >= 16").orderBy(F.desc("n"), "token").limit(FREQUENT).toArrow()
+        top = found.where("n >= 8").orderBy(F.desc("n"), "token").limit(FREQUENT).toArrow()
         return np.sort(top.column("token").to_numpy().view(_U))
 
     def entries(self) -> DataFrame:
@@ -242,7 +242,7 @@ def jaccard_components(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
     more = job.links(counted.where(_can_reach(F.col("shared"), F.col("a_n"), F.col("a_end"), F.col("b_n"), F.col("b_end"))).select("a", "b"))
 
     # equal sets, and what both rounds confirmed
-    classes = job.meta.where("n > 0").groupBy("n", "f1", "f2").agg(F.min("_d").alias("u"))
+    classes = job.scratch.keep(job.meta.where("n > 0").groupBy("n", "f1", "f2").agg(F.min("_d").alias("u"), F.count("*").alias("k")).where("k > 1").drop("k"))
     equal = job.meta.join(classes, ["n", "f1", "f2"]).where("_d != u").select("u", F.col("_d").alias("v"))
     final = connected_components(links.unionByName(more).unionByName(equal))
     out = job.meta.join(final.select(F.col("node").alias("_d"), "component"), "_d", "left")
