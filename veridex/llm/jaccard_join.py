@@ -175,11 +175,13 @@ class _Join:
         """The index: token, set, size, prefix end and the token's position, of one set for each class of equal sets, in lists of two and more."""
         found = self.texts.mapInArrow(partial(_prefixes, size=self.size, frequent=self.frequent), "token long, _d long, _h int, at int")
         often = found.groupBy("token").agg(F.count("*").alias("k")).where("k > 1").select("token")
-        some = self.scratch.keep(found.join(often, "token"))
+        listed = self.scratch.keep(found.join(often, "token"))
         one = self.meta.where("n > 0").groupBy("n", "f1", "f2").agg(F.min(F.struct("_d", "_h")).alias("one"), F.max("end").alias("end"))
-        some = some.join(one.select("one.*", "n", "end"), ["_d", "_h"])
+        some = listed.join(one.select("one.*", "n", "end"), ["_d", "_h"])
         again = some.groupBy("token").agg(F.count("*").alias("k")).where("k > 1").select("token")
-        return self.scratch.keep(some.join(again, "token").select("token", F.struct("_d", "_h").alias("s"), "n", "end", "at"))
+        index = self.scratch.keep(some.join(again, "token").select("token", F.struct("_d", "_h").alias("s"), "n", "end", "at"))
+        self.scratch.drop(listed)
+        return index
 
     def links(self, pairs: DataFrame) -> DataFrame:
         """(u, v) of the pairs (a, b) that reach the threshold, on their whole sets."""
@@ -221,6 +223,7 @@ def jaccard_components(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
     groups = connected_components(links)
     labelled = entries.withColumn("_d", F.col("s._d")).join(groups.select(F.col("node").alias("_d"), F.col("component")), "_d", "left")
     labelled = job.scratch.keep(labelled.select("token", "s", "n", "end", "at", F.coalesce("component", "_d").alias("label")))
+    job.scratch.drop(entries)
     by_label = labelled.groupBy("token", "label").agg(F.count("*").alias("k"))
     lists = by_label.groupBy("token").agg(F.count("*").alias("labels"), F.max(F.struct("k", "label")).alias("top")).where("labels > 1")
     mixed = labelled.drop("end").join(lists.select("token", F.col("top.label").alias("top")), "token")
@@ -241,10 +244,13 @@ def jaccard_components(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
     counted = met.join(one, "a").join(two, "b").withColumn("shared", F.size(F.array_intersect("a_tokens", "b_tokens")))
     more = job.links(counted.where(_can_reach(F.col("shared"), F.col("a_n"), F.col("a_end"), F.col("b_n"), F.col("b_end"))).select("a", "b"))
 
+    job.scratch.drop(mixed, held, labelled)
+
     # equal sets, and what both rounds confirmed
     classes = job.scratch.keep(job.meta.where("n > 0").groupBy("n", "f1", "f2").agg(F.min("_d").alias("u"), F.count("*").alias("k")).where("k > 1").drop("k"))
     equal = job.meta.join(classes, ["n", "f1", "f2"]).where("_d != u").select("u", F.col("_d").alias("v"))
     final = connected_components(links.unionByName(more).unionByName(equal))
+    job.scratch.drop(classes, links, more)
     out = job.meta.join(final.select(F.col("node").alias("_d"), "component"), "_d", "left")
     component = F.nullif(F.coalesce("component", "_d"), F.lit(NO_ID))
     return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"))
