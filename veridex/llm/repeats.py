@@ -81,7 +81,7 @@ def _expand(batches: Iterator[pa.RecordBatch], symbols: Symbols, length: int, bl
         asked = batch.column("runs")
         at, flat = asked.offsets.to_numpy(), asked.values
         bucket, anchor, first, last = (flat.field(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in ("bucket", "anchor", "first", "last"))
-        for part in slices(batch.column("_t"), SLICE_BYTES // (8 if block == 1 else 2)):
+        for part in slices(batch.column("_t"), SLICE_BYTES // (2 if block == 1 else 1)):
             values, lo, hi = symbols(part)
             rolling = Rolling(values)
             k = slice(at[part.first], at[part.first + len(lo)])
@@ -114,19 +114,21 @@ class _Passes:
     def settle(self, rows: DataFrame) -> tuple[DataFrame, DataFrame]:
         """Spans that agree with another member of their bucket, and one of each kind of member in buckets with several kinds."""
         shared = rows.groupBy("bucket").agg(F.count("*").alias("n"), F.min("_d").alias("low"), F.max("_d").alias("high")).where(self.shared)
-        members = self.scratch.keep(rows.join(shared.select("bucket"), "bucket"))
+        shared = self.scratch.keep(shared.select("bucket"))  # a plain table on each side lets hot buckets be split
+        members = self.scratch.keep(rows.join(shared, "bucket"))
         one = F.min(F.struct("_d", "_h", "anchor", "first", "last")).alias("one")
         kinds = self.scratch.keep(members.groupBy("bucket", "content").agg(F.count("*").alias("n"), one))
         mixed = kinds.groupBy("bucket").agg(F.count("*").alias("kinds"), F.min("one._d").alias("low"), F.max("one._d").alias("high")).where(self.kinds)
         equal = kinds.where("n > 1").select("bucket", "content", F.col("one._d").alias("least"))
         spans = members.join(equal, ["bucket", "content"]).where(self.goes).select("_d", "_h", "first", "last")
-        return spans, kinds.join(mixed.select("bucket"), "bucket").select("one.*", "bucket")
+        mixed = self.scratch.keep(mixed.select("bucket"))
+        return spans, kinds.join(mixed, "bucket").select("one.*", "bucket")
 
     def last(self, rows: DataFrame) -> DataFrame:
         """The same for single windows, where nothing stays open."""
         agg = (F.count("*").alias("n"), F.min("_d").alias("least"), F.min("_d").alias("low"), F.max("_d").alias("high"))
         equal = rows.groupBy("bucket", "content").agg(*agg).where(self.shared).select("bucket", "content", "least")
-        return rows.join(equal, ["bucket", "content"]).where(self.goes).select("_d", "_h", "first", "last")
+        return rows.join(self.scratch.keep(equal), ["bucket", "content"]).where(self.goes).select("_d", "_h", "first", "last")
 
 
 def repeated_spans(docs: DataFrame, scratch: Scratch, symbols: Symbols, length: int, gram: int, later_only: bool) -> DataFrame:
