@@ -80,6 +80,28 @@ def test_substring_dedup(spark, corpus):
     assert sorted(got, key=key) == sorted(want, key=key)
 
 
+def test_substring_dedup_of_a_passage_twice_in_one_document(spark):
+    """Every place of the document that holds a run or block first is compared with a smaller document that shares a part of it."""
+    rng = random.Random(12)
+    docs = []
+    for k in range(24):
+        passage, low = prose(rng, 120).split(), rng.randint(5, 30)
+        part, twice = " ".join(passage[low : low + 70]), prose(rng, 9) + " " + " ".join(passage) + " " + prose(rng, 12) + " " + " ".join(passage)
+        docs += [(10 * k + 3, prose(rng, 15) + " " + part + " " + prose(rng, 15)), (10 * k + 5, twice), (10 * k + 5, twice), (10 * k + 5, "x " + twice), (10 * k + 7, twice + " y")]
+    first = {}
+    for d, t in docs:
+        w = t.split()
+        for i in range(len(w) - 49):
+            first[tuple(w[i : i + 50])] = min(first.get(tuple(w[i : i + 50]), d), d)
+    want = collections.Counter()
+    for d, t in docs:
+        w = t.split()
+        gone = {i + j for i in range(len(w) - 49) if first[tuple(w[i : i + 50])] < d for j in range(50)}
+        want[d, len(gone), hashlib.sha256(" ".join(x for i, x in enumerate(w) if i not in gone).encode()).hexdigest()] += 1
+    got = collections.Counter((r.doc_id, r.n_removed, r.kept.decode()) for r in repeats.substring_dedup(frame(spark, docs), digest=True).collect())
+    assert got == want
+
+
 def test_repeat_texts_and_spans_are_returned(spark):
     rng = random.Random(1)
     shared = prose(rng, 60)

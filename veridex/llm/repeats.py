@@ -20,7 +20,8 @@ the threshold depth:
 Hash keys are compared only inside a bucket, that is on 128 bits together.
 No bucket is ever gathered: each pass is a partially aggregated count and an
 equi-join, whose hot keys adaptive execution can split. Of members that agree
-only one goes on to the next pass.
+only one goes on to the next pass; where the first document keeps its passage,
+all members of that document do, as agreeing settles none of them.
 """
 
 from __future__ import annotations
@@ -107,12 +108,13 @@ class _Passes:
 
     def __init__(self, scratch: Scratch, later_only: bool):
         self.scratch = scratch
+        self.later_only = later_only
         self.shared = "low < high" if later_only else "n > 1"
         self.kinds = "low < high" if later_only else "kinds > 1"
         self.goes = "_d > least" if later_only else "true"
 
     def settle(self, rows: DataFrame) -> tuple[DataFrame, DataFrame]:
-        """Spans that agree with another member of their bucket, and one of each kind of member in buckets with several kinds."""
+        """Spans that agree with another member of their bucket, and of each kind of member in buckets with several kinds one, or with later_only all that stay open."""
         shared = rows.groupBy("bucket").agg(F.count("*").alias("n"), F.min("_d").alias("low"), F.max("_d").alias("high")).where(self.shared)
         shared = self.scratch.keep(shared.select("bucket"))  # a plain table on each side lets hot buckets be split
         members = self.scratch.keep(rows.join(shared, "bucket"))
@@ -122,7 +124,12 @@ class _Passes:
         equal = kinds.where("n > 1").select("bucket", "content", F.col("one._d").alias("least"))
         spans = members.join(equal, ["bucket", "content"]).where(self.goes).select("_d", "_h", "first", "last")
         mixed = self.scratch.keep(mixed.select("bucket"))
-        return spans, kinds.join(mixed, "bucket").select("one.*", "bucket")
+        some = kinds.join(mixed, "bucket")
+        if not self.later_only:
+            return spans, some.select("one.*", "bucket")
+        several = self.scratch.keep(some.where("n > 1").select("bucket", "content", F.col("one._d").alias("least")))
+        first = members.join(several, ["bucket", "content"]).where("_d = least").select("_d", "_h", "anchor", "first", "last", "bucket").distinct()
+        return spans, some.where("n = 1").select("one.*", "bucket").unionByName(first)
 
     def last(self, rows: DataFrame) -> DataFrame:
         """The same for single windows, where nothing stays open."""
