@@ -390,6 +390,24 @@ def test_decontamination(spark):
     assert {r.doc_id for r in clean.collect()} == {d for d, _ in docs} - {d for d, _, _ in want}
 
 
+def test_decontamination_at_the_threshold(spark):
+    """Items whose first or last words are changed as far as the similarity allows are found, every one."""
+    rng = random.Random(21)
+    items, docs, want = [], [], {}
+    for k in range(900):
+        n = (18, 25, 32, 45, 59)[k % 5]
+        item = [f"w{rng.randrange(10**6)}" for _ in range(n)]
+        edits = (n - 4) // 7
+        head = (edits, 0, edits // 2)[k % 3]
+        own = [f"x{rng.randrange(10**6)}" for _ in range(head)] + item[head : n - edits + head] + [f"y{rng.randrange(10**6)}" for _ in range(edits - head)]
+        items.append((k, " ".join(item)))
+        docs.append((k, " ".join(own)))
+        want[k, k] = round((n - 4 - edits) / (n - 4 + edits), 6)
+    assert min(want.values()) == 0.75
+    got = decontaminate.contaminated(frame(spark, docs), spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert {(r.doc_id, r.item_id): r.similarity for r in got} == want
+
+
 @pytest.mark.parametrize(
     "run",
     [

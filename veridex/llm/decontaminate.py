@@ -1,11 +1,11 @@
 """Benchmark decontamination with DataFrame functions only.
 
-Words are lower-cased runs of letters and digits. Windows as long as an item
-are taken where a document shares a shingle with it (a window without one can't
-reach the similarity), SimHash fingerprints of the windows meet those of the
-items of that size through a multi-index of bit blocks, which finds every pair
-within RADIUS, and the exact weighted Jaccard similarity of their shingle bags
-decides.
+Words are lower-cased runs of letters and digits. A window can only reach the
+similarity with an item if it holds so many of the item's shingles that one of
+its rarest few must be among them (a prefix filter, which loses no pair). For
+documents and items that meet there, windows as long as the item are taken
+wherever they share a shingle, and the exact weighted Jaccard similarity of the
+shingle bags decides.
 """
 
 from __future__ import annotations
@@ -16,8 +16,9 @@ from pyspark.sql import functions as F
 from veridex.llm._spark import NO_ID, Scratch, keyed
 
 SHINGLE, PERCENT = 5, 75
-BITS, BLOCKS = 64, 16
-RADIUS = BLOCKS - 1  # with one block more than differing bits, one block agrees
+BITS = 64
+#: Fingerprints of windows of 20 words and more that differ in one word are so near; distances are reported and drop no pair.
+RADIUS = 15
 #: Up to so many distinct item shingles are broadcast (8 bytes each); beyond, the join shuffles.
 BROADCAST_SHINGLES = 2_000_000
 
@@ -27,8 +28,8 @@ def word_list(text: Column) -> Column:
 
 
 def placed_grams(words: str, sizes: list[int]) -> Column:
-    """(gram, at) of the shingles of these sizes."""
-    one = [F.expr(f"if(size({words}) < {k}, array(), transform(sequence(1, size({words}) - {k - 1}), i -> struct(xxhash64(slice({words}, i, {k})) as gram, i - 1 as at)))") for k in sizes]
+    """(gram, at, width) of the shingles of these sizes."""
+    one = [F.expr(f"if(size({words}) < {k}, array(), transform(sequence(1, size({words}) - {k - 1}), i -> struct(xxhash64(slice({words}, i, {k})) as gram, i - 1 as at, {k} as width)))") for k in sizes]
     return one[0] if len(one) == 1 else F.concat(*one)
 
 
@@ -38,11 +39,6 @@ def simhash(words: str) -> Column:
     return F.expr(f"aggregate(transform({sums}, (s, b) -> if(s > 0, shiftleft(1L, b), 0L)), 0L, (x, y) -> x | y)")
 
 
-def blocks(fingerprint: str) -> Column:
-    width = BITS // BLOCKS
-    return F.expr(f"transform(sequence(0, {BLOCKS - 1}), k -> struct(k, shiftright({fingerprint}, k * {width}) & {2**width - 1}L as bits))")
-
-
 def bag_similarity(a: str, b: str) -> Column:
     """Weighted Jaccard of two shingle arrays, a shingle weighing as often as it occurs."""
     count = "size(filter({}, y -> y = x))"
@@ -65,37 +61,47 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, percent: int = PERCENT)
     rows of their own; repeated items count apart; other columns are ignored.
     Empty tables give an empty result.
     """
-    found = _matches(docs, benchmark, percent)
+    distance = F.bit_count(simhash("window").bitwiseXOR(simhash("item")))
+    found = _matches(docs, benchmark, percent).withColumn("distance", distance)
     return found.select(F.nullif("_d", F.lit(NO_ID)).alias("doc_id"), "item_id", "similarity", F.col("start").cast("long").alias("start"), F.col("n_words").cast("long").alias("n_words"), "distance")
 
 
+def rarest(of_items: DataFrame, percent: int) -> DataFrame:
+    """(gram, no): so many of each item's rarest shingles that a similar window holds one of them.
+
+    A union is never smaller than the item's bag, so a similar window holds at
+    least `percent` of its shingles; the least similarity is that before rounding.
+    """
+    own = of_items.where("own")
+    often = own.groupBy("gram").agg(F.count("*").alias("often"))
+    least = F.greatest(F.lit(1), F.ceil(F.col("grams") * (percent / 100 - 1e-6)))
+    rank = F.row_number().over(Window.partitionBy("no").orderBy("often", "gram", "item_at"))
+    return own.join(often, "gram").withColumn("rank", rank).where(F.col("rank") <= F.col("grams") - least + 1).select("gram", "no").distinct()
+
+
 def _matches(docs: DataFrame, benchmark: DataFrame, percent: int) -> DataFrame:
     scratch = Scratch(docs.sparkSession, "decontaminate")
     texts = keyed(docs).where("_t != ''").select("_d", "_h", word_list(F.col("_t")).alias("words"))
     items = benchmark.select("item_id", word_list(F.coalesce("text", F.lit(""))).alias("item")).where("size(item) > 0")
     items = items.select(F.monotonically_increasing_id().alias("no"), "item_id", "item", F.size("item").alias("length"), F.least(F.size("item"), F.lit(SHINGLE)).alias("size"))
-    items = scratch.keep(items.withColumn("print", simhash("item")))
+    items = scratch.keep(items)
     sizes = [r[0] for r in items.select("size").distinct().orderBy("size").collect()] or [SHINGLE]  # 1 to SHINGLE
 
-    of_items = items.select("no", "length", F.explode(placed_grams("item", sizes)).alias("g")).select("no", "length", "g.gram", F.col("g.at").alias("item_at"))
+    of_items = items.select("no", "length", "size", F.explode(placed_grams("item", sizes)).alias("g")).select("no", "length", "g.gram", F.col("g.at").alias("item_at"), (F.col("g.width") == F.col("size")).alias("own"), (F.col("length") - F.col("size") + 1).alias("grams"))
     of_items = scratch.keep(of_items)
     wanted = of_items.select("gram").distinct()
     if wanted.count() <= BROADCAST_SHINGLES:
         wanted = F.broadcast(wanted)
-    hits = texts.select("_d", "_h", F.size("words").alias("n"), F.explode(placed_grams("words", sizes)).alias("g")).select("_d", "_h", "n", "g.*").join(wanted, "gram")
-    starts = hits.join(of_items, "gram").select("_d", "_h", "length", F.greatest(F.lit(0), F.least(F.col("at") - F.col("item_at"), F.col("n") - F.col("length"))).alias("start")).distinct()
-
-    wide = texts.join(starts, ["_d", "_h"]).select("_d", "_h", "length", "start", F.slice("words", F.col("start") + 1, F.col("length")).alias("window"))
-    wide = scratch.keep(wide.withColumn("print", simhash("window")))
-    left = wide.select("_d", "_h", "length", "start", "print", F.explode(blocks("print")).alias("b")).select("*", "b.*").drop("b")
-    right = items.select("no", "length", F.col("print").alias("item_print"), F.explode(blocks("print")).alias("b")).select("*", "b.*").drop("b")
-    distance = F.bit_count(F.col("print").bitwiseXOR(F.col("item_print")))
-    near = left.join(right, ["length", "k", "bits"]).withColumn("distance", distance).where(F.col("distance") <= RADIUS)
-    near = near.select("_d", "_h", "length", "start", "no", "distance").distinct()
-
-    pairs = near.join(wide.drop("print"), ["_d", "_h", "length", "start"]).join(items.select("no", "item_id", "item", "size"), "no")
-    scored = pairs.select("_d", "_h", "no", "item_id", "start", "distance", F.size("window").alias("n_words"), shingles("window", "size").alias("a"), shingles("item", "size").alias("b"))
-    scored = scored.withColumn("similarity", F.round(bag_similarity("a", "b"), 6)).where(F.col("similarity") * 100 >= percent)
+    hits = texts.select("_d", "_h", F.size("words").alias("n"), F.explode(placed_grams("words", sizes)).alias("g")).select("_d", "_h", "n", "g.gram", "g.at").join(wanted, "gram")
+    hits = scratch.keep(hits)
+    met = hits.join(rarest(of_items, percent), "gram").select("_d", "_h", "no").distinct()
+    shared = hits.join(met.join(of_items, "no"), ["_d", "_h", "gram"])
+    starts = shared.select("_d", "_h", "no", "length", F.greatest(F.lit(0), F.least(F.col("at") - F.col("item_at"), F.col("n") - F.col("length"))).alias("start")).distinct()
+
+    wide = scratch.keep(texts.join(starts, ["_d", "_h"]).select("_d", "_h", "no", "start", F.slice("words", F.col("start") + 1, F.col("length")).alias("window")))
+    pairs = wide.join(items.select("no", "item_id", "item", "size"), "no")
+    scored = pairs.select("_d", "_h", "no", "item_id", "start", F.size("window").alias("n_words"), "window", "item", shingles("window", "size").alias("a"), shingles("item", "size").alias("b"))
+    scored = scored.withColumn("similarity", F.round(bag_similarity("a", "b"), 6)).where(F.col("similarity") * 100 >= percent).drop("a", "b")
     best = Window.partitionBy("_d", "_h", "no").orderBy(F.desc("similarity"), "start")
     return scored.withColumn("r", F.row_number().over(best)).where("r = 1")
 
