@@ -1,5 +1,6 @@
 """Small cases with known answers."""
 
+import random
 import unicodedata
 
 import pytest
@@ -130,6 +131,30 @@ def test_cycles_are_found(spark):
     assert dict(rows(depend.is_acyclic(df, "g", "a", "b"))) == {"g": True, "h": False}
 
 
+def test_cycles_of_long_paths(spark):
+    """Paths of more than a thousand edges: in order, with mixed numbers, and closed to a cycle."""
+    n = 1201
+    mixed = [k * 700 % n for k in range(n)]
+    edges = [("up", k, k + 1) for k in range(n)] + [("mixed", a, b) for a, b in zip(mixed, mixed[1:])]
+    edges += [("tail", a, b) for a, b in zip(mixed, mixed[1:])] + [("tail", mixed[-1], mixed[-30])] + [("self", 1, 2), ("self", 2, 2)]
+    df = spark.createDataFrame(edges, "g string, a int, b int")
+    assert dict(rows(depend.is_acyclic(df, "g", "a", "b"))) == {"up": True, "mixed": True, "tail": False, "self": False}
+
+
+def test_cycles_of_random_graphs(spark):
+    rng = random.Random(3)
+    edges, want = [], {}
+    for g in range(60):
+        own = {(rng.randrange(9), rng.randrange(9)) for _ in range(rng.randint(2, 11))}
+        left = set(own)
+        while gone := {(a, b) for a, b in left if all(a != d for _, d in left)}:
+            left -= gone
+        want[g] = not left
+        edges += [(g, a, b) for a, b in own]
+    assert len(set(want.values())) == 2
+    assert dict(rows(depend.is_acyclic(spark.createDataFrame(edges, "g long, a int, b int"), "g", "a", "b"))) == want
+
+
 def test_gates_stop(spark):
     df = spark.range(3)
     checks = gates.gates(gates.gate(df, "some", F.count("*"), F.col("observed") > 0, "> 0"), gates.gate(df, "many", F.count("*"), F.col("observed") > 9, "> 9"))

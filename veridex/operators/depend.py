@@ -69,20 +69,40 @@ def evidence_class(edges: DataFrame) -> DataFrame:
     return by.withColumn("evidence", F.when(F.col("strong_edges") > 0, "strong").when(F.col("shared_edges") > 0, "shared_input").otherwise("sequence"))
 
 
-def is_acyclic(edges: DataFrame, graph: str, source: str, target: str, rounds: int = 1000) -> DataFrame:
-    """(graph, acyclic): nodes that nothing reaches are peeled off until no edge goes; graphs with edges left have a cycle."""
+def is_acyclic(edges: DataFrame, graph: str, source: str, target: str) -> DataFrame:
+    """(graph, acyclic): graphs whose edges all go up, or all down, have no cycle; the others shrink until only cycles are left.
+
+    A round peels nodes that nothing reaches or that reach nothing, then merges
+    nodes with a single predecessor into it (those with coin 1 into one with coin
+    0), so that a long chain shrinks by a share in each round. Merging keeps
+    cycles; the last of one is an edge from a node to itself. The rounds end when
+    nothing can be peeled or merged, without a cap.
+    """
     scratch = Scratch(edges.sparkSession, "acyclic")
-    now = scratch.keep(edges.select(F.col(graph).alias("g"), F.col(source).alias("u"), F.col(target).alias("v")).distinct())
-    graphs = edges.select(F.col(graph).alias("g")).distinct()
-    count = now.count()
-    for _ in range(rounds):
-        reached = now.select("g", F.col("v").alias("u")).distinct()
-        after = scratch.keep(now.join(reached, ["g", "u"], "left_semi"))
+    all_edges = edges.select(F.col(graph).alias("g"), F.col(source).alias("u"), F.col(target).alias("v"))
+    way = lambda c: F.bool_and(F.coalesce(c, F.lit(False)))
+    graphs = scratch.keep(all_edges.groupBy("g").agg((way(F.col("u") < F.col("v")) | way(F.col("u") > F.col("v"))).alias("one_way")))
+    unclear = graphs.where(~F.col("one_way")).select("g")
+    now = scratch.keep(all_edges.join(unclear, "g", "left_semi").where("u is not null and v is not null").distinct())
+    count, turn = now.count(), 0
+    while count:
+        peeled = now.join(now.select("g", F.col("v").alias("u")).distinct(), ["g", "u"], "left_semi")
+        peeled = peeled.join(now.select("g", F.col("u").alias("v")).distinct(), ["g", "v"], "left_semi").select("g", "u", "v")
+        peeled = scratch.keep(peeled)
+        single = scratch.keep(peeled.groupBy("g", "v").agg(F.count("*").alias("n"), F.min("u").alias("p")).where("n = 1 and p != v").select("g", "v", "p"))
+        coin = lambda c: F.xxhash64(F.lit(turn), F.col(c)).bitwiseAND(F.lit(1))  # noqa: E731, B023
+        merged = single.where((coin("v") == 1) & (coin("p") == 0))
+        kept = peeled.join(merged.select("g", "v"), ["g", "v"], "left_anti")
+        moved = kept.join(merged.select("g", F.col("v").alias("u"), "p"), ["g", "u"], "left").select("g", F.coalesce("p", "u").alias("u"), "v")
+        after = scratch.keep(moved.distinct())
         left = after.count()
-        now, done, count = after, left in (0, count), left
+        done = left == count and single.isEmpty()
+        scratch.drop(now, peeled, single)
+        now, count, turn = after, left, turn + 1
         if done:
             break
-    return graphs.join(now.select("g", F.lit(False).alias("x")).distinct(), "g", "left").select(F.col("g").alias(graph), F.coalesce("x", F.lit(True)).alias("acyclic"))
+    cyclic = now.select("g", F.lit(False).alias("x")).distinct()
+    return graphs.join(cyclic, "g", "left").select(F.col("g").alias(graph), F.coalesce("x", F.lit(True)).alias("acyclic"))
 
 
 def component_count(edges: DataFrame, nodes: DataFrame, graph: str, source: str, target: str, node: str) -> DataFrame:
