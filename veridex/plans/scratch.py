@@ -11,8 +11,11 @@ _FALLBACK_DIR = "/tmp/checkpoints/veridex"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that all executors share: spark.checkpoint.dir, or a fallback where it is unset (tests)."""
-    return spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir") or _FALLBACK_DIR
+    """The folder that all executors share: spark.checkpoint.dir; only a local master, which has one machine, may leave it unset."""
+    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not found and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return found or _FALLBACK_DIR
 
 
 class Scratch:
