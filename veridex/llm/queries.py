@@ -28,7 +28,7 @@ def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = pii.pii_spans(read(spark, sf_dir, "documents"))
     counts = [secret_scan.counted(k).alias(f"n_{k}") for k in pii.KINDS]
     base = F.sha2(secret_scan.joined(pii.BASE_KINDS, True), 256).alias("base_sha256")
-    return out.select("doc_id", *counts, base, secret_scan.joined(pii.KINDS, True).alias("spans"))
+    return out.select("doc_id", *counts, base, secret_scan.joined(pii.KINDS, True).alias("spans"), F.array_join(F.transform("spans", lambda x: x["score"].cast("string")), ",").alias("scores"))
 
 
 def op3_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
