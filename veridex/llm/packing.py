@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import json
 import zlib
 from collections.abc import Iterator
-from functools import partial
+from functools import cache, partial
 
 import numpy as np
 import pyarrow as pa
@@ -14,7 +15,7 @@ from pyspark.sql import functions as F
 
 from veridex.llm._arrays import mix, slices
 from veridex.llm._spark import Scratch
-from veridex.llm.quality import encoding
+from veridex.llm.quality import ranks
 
 WINDOW = 2048
 END_ID = 1
@@ -29,7 +30,18 @@ TAILS = "_d long, _n boolean, doc_tokens long, start long, ids binary, near long
 def byte_bpe() -> str:
     import public_tokenizers
 
-    return public_tokenizers.path("byte_bpe_50k.tiktoken")
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
+@cache
+def codec(vocabulary: str):
+    """The tokenizers file as its library loads it (added tokens in a text are single ids), in the faster form of its ranks, which lie beside it."""
+    import public_tokenizers
+    import tiktoken
+
+    with open(vocabulary, encoding="utf-8") as f:
+        added = {x["content"]: x["id"] for x in json.load(f)["added_tokens"]}
+    return tiktoken.Encoding("vocabulary", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks(vocabulary.removesuffix(".json") + ".tiktoken"), special_tokens=added)
 
 
 def _near(ids: np.ndarray) -> int:
@@ -38,7 +50,7 @@ def _near(ids: np.ndarray) -> int:
 
 
 def _tokenise(batches: Iterator[pa.RecordBatch], vocabulary: str, window: int) -> Iterator[pa.RecordBatch]:
-    codec, _ = encoding(vocabulary)
+    encode = codec(vocabulary).encode_to_numpy
     schema = pa.schema([("_d", pa.int64()), ("_n", pa.bool_()), ("doc_tokens", pa.int64()), ("start", pa.int64()), ("ids", pa.binary()), ("near", pa.int64()), ("full_crc", pa.list_(pa.int64()))])
     for batch in batches:
         doc = batch.column("doc_id")
@@ -46,7 +58,7 @@ def _tokenise(batches: Iterator[pa.RecordBatch], vocabulary: str, window: int) -
             rows = []
             for i in range(len(part.lo)):
                 text = part.text(i).decode("utf-8", "replace")
-                ids = np.append(codec.encode_to_numpy(text, disallowed_special=()), END_ID).astype("<u4")
+                ids = np.append(encode(text, allowed_special="all"), END_ID).astype("<u4")
                 whole = len(ids) // window
                 crcs = [zlib.crc32(ids[k * window : (k + 1) * window]) for k in range(whole)]
                 tail = ids[whole * window :]
@@ -164,7 +176,8 @@ def _pack(batches: Iterator[pa.RecordBatch], window: int, shard: int) -> Iterato
 def retrieval_packing(docs: DataFrame, vocabulary: str | None = None, window: int = WINDOW, shard: int = SHARD) -> DataFrame:
     """A row per piece of a document: where its ids lie in the document and in a sequence of at most `window` ids.
 
-    A document's ids are those of the byte-level vocabulary, then id 1. Whole
+    A document's ids are those of the byte-level vocabulary (its added token
+    <|endoftext|> in a text is one id), then id 1. Whole
     windows of a document are sequences of their own. The rest of each document
     is dealt to tasks by a range of its tokens' min-hash, so that lexically close
     texts meet; there, shards of `shard` pieces get an inverted BM25 index, every

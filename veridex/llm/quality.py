@@ -28,17 +28,22 @@ for _low, _high, _s in ((0x41, 0x5B, 1), (0x61, 0x7B, 1), (0xC3, 0xCE, 2), (0xCE
     _SCRIPT_OF[_low:_high] = _s
 
 
+def ranks(vocabulary: str) -> dict[bytes, int]:
+    """The tokens of a ranks file."""
+    with open(vocabulary, "rb") as f:
+        return {base64.b64decode(a): int(b) for a, b in (line.split() for line in f)}
+
+
 @cache
 def encoding(vocabulary: str):
     """A byte-level vocabulary (ranks file), and which of its ids are lone bytes of split characters."""
     import public_tokenizers
     import tiktoken
 
-    with open(vocabulary, "rb") as f:
-        ranks = {base64.b64decode(a): int(b) for a, b in (line.split() for line in f)}
-    lone = np.zeros(max(ranks.values()) + 1, bool)
-    lone[[i for b, i in ranks.items() if len(b) == 1 and b[0] >= 0x80]] = True
-    return tiktoken.Encoding("vocabulary", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={}), lone
+    known = ranks(vocabulary)
+    lone = np.zeros(max(known.values()) + 1, bool)
+    lone[[i for b, i in known.items() if len(b) == 1 and b[0] >= 0x80]] = True
+    return tiktoken.Encoding("vocabulary", pat_str=public_tokenizers.PATTERN, mergeable_ranks=known, special_tokens={}), lone
 
 
 def duplicate_lines(text: bytes) -> int:
