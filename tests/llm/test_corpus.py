@@ -4,12 +4,13 @@ import collections
 import hashlib
 import random
 import re
+import time
 import zlib
 
 import numpy as np
 import pytest
 
-from veridex.llm import decontaminate, html_extract, jaccard_join, language_id, packing, pii, quality, repeats, secret_scan
+from veridex.llm import _arrays, decontaminate, html_extract, jaccard_join, language_id, packing, pii, quality, repeats, secret_scan
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 SCHEMA = "doc_id long, text string, lang string, source string, n_words long, kept string, spans string, _d string, component_id string"
@@ -102,6 +103,57 @@ def test_substring_dedup_of_a_passage_twice_in_one_document(spark):
     assert got == want
 
 
+def test_leftmost_least_key_of_long_arrays():
+    keys = np.random.default_rng(1).integers(0, 40, 4000).astype(np.uint64)
+    for width in (1, 5, 64):
+        want = [i + int(np.argmin(keys[i : i + width])) for i in range(len(keys) - width + 1)]
+        assert all(_arrays.sliding_least(keys, width, n).tolist() == want for n in (7, 100, 1 << 25))
+
+
+def patchwork(rng, alphabet, symbols, passages):
+    """Documents cut from a few passages, some twice in one document, some ids given twice."""
+    pool = [[rng.choice(alphabet) for _ in range(rng.randint(symbols, 3 * symbols))] for _ in range(passages)]
+    docs = []
+    for k in range(40):
+        words = []
+        for _ in range(rng.randint(1, 4)):
+            p = rng.choice(pool)
+            a = rng.randrange(len(p) // 2)
+            words += p[a : a + rng.randint(symbols // 2, 2 * symbols)] + [rng.choice(alphabet) for _ in range(rng.randint(0, 9))]
+            if rng.random() < 0.3:
+                words[rng.randrange(len(words))] = "edited"
+        docs.append((rng.choice([k, k, k, k // 2]), words))
+    return docs
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_repeats_of_random_patchworks(spark, seed):
+    """Both operators against brute force where passages repeat in the larger document and ids repeat."""
+    rng = random.Random(seed)
+    docs = [(d, " ".join(w)) for d, w in patchwork(rng, VOCABULARY, 24, 5)]
+    if seed % 2:
+        first = {}
+        for d, t in docs:
+            w = t.split()
+            for i in range(len(w) - 19):
+                first[tuple(w[i : i + 20])] = min(first.get(tuple(w[i : i + 20]), d), d)
+        want = collections.Counter()
+        for d, t in docs:
+            w = t.split()
+            gone = {i + j for i in range(len(w) - 19) if first[tuple(w[i : i + 20])] < d for j in range(20)}
+            want[d, len(gone), " ".join(x for i, x in enumerate(w) if i not in gone)] += 1
+        rows = repeats.substring_dedup(frame(spark, docs), window=20).collect()
+    else:
+        starts = collections.Counter(t.encode()[i : i + 60] for _, t in docs for i in range(len(t.encode()) - 59))
+        want = collections.Counter()
+        for d, t in docs:
+            b = t.encode()
+            gone = {i + j for i in range(len(b) - 59) if starts[b[i : i + 60]] > 1 for j in range(60)}
+            want[d, len(gone), bytes(x for i, x in enumerate(b) if i not in gone).decode("latin-1")] += 1
+        rows = repeats.suffix_array_dedup(frame(spark, docs), threshold=60).collect()
+    assert collections.Counter((r.doc_id, r.n_removed, r.kept.decode("utf-8" if seed % 2 else "latin-1")) for r in rows) == want
+
+
 def test_repeat_texts_and_spans_are_returned(spark):
     rng = random.Random(1)
     shared = prose(rng, 60)
@@ -236,6 +288,29 @@ def test_pii_emails_on_random_texts():
         assert [("email", s, e) for s, e in pii.emails(t)] == [x for x in brute_pii(t) if x[0] == "email"]
 
 
+def test_pii_on_random_texts():
+    rng = random.Random(10)
+    for _ in range(3000):
+        t = "".join(rng.choice("125.0 7+-(@a") for _ in range(rng.randint(0, 60)))
+        assert [x for x in pii.propose(t) if x[0] != "iban"] == brute_pii(t)
+
+
+def test_pii_of_a_long_digit_run_takes_linear_time():
+    began = time.process_time()
+    assert pii.propose("9" * 1_000_000 + " 1.2.3.4 " + "1." * 300_000) == [("ip", 1_000_001, 1_000_008), *(("ip", 1_000_009 + 8 * k, 1_000_016 + 8 * k) for k in range(75_000))]
+    assert time.process_time() - began < 5
+
+
+def test_iban_needs_its_countrys_length():
+    assert pii.mod97("GB82WEST12345698765432") and pii.mod97("DE89370400440532013000")
+    assert not pii.mod97("XX82WEST12345698765432") and not pii.mod97("DE893704004405320130001")
+
+
+def test_low_scores_are_not_redacted():
+    texts = ["version 1.2.3.4", "host 1.2.3.4"]
+    assert [pii.redact(t, [s for s in pii.propose(t) if pii.score(t, *s) >= pii.LEAST_SCORE]) for t in texts] == ["version 1.2.3.4", "host [IP]"]
+
+
 def test_pii_redaction_keeps_rows(spark):
     df = frame(spark, PII)
     out = pii.pii_redact(df)
@@ -320,7 +395,6 @@ def test_packing(spark, corpus):
     from tokenizers import Tokenizer
 
     codec = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    codec.encode_special_tokens = True
     texts = [t or "" for _, t in corpus] + ["odd <|endoftext|>    \U0001f600 \r\n\t  x", "z" * 5000]
     docs = [(i, t) for i, t in enumerate(texts)]
     ids = {i: np.array([*e.ids, 1], "<u4") for (i, _), e in zip(docs, codec.encode_batch(texts, add_special_tokens=False))}
@@ -348,6 +422,19 @@ def test_packing(spark, corpus):
     assert short <= 4  # at most one a task
 
 
+def test_packing_ids_are_those_of_the_tokenizers_file():
+    """As its library loads it, added tokens included."""
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    file, own = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json")), packing.codec(packing.byte_bpe())
+    parts = ["<|endoftext|>", "<|endof", "|>", " ", "   ", "\n", "\r\n", "\t", "\x85", "\u3000", "é", "ß", "漢字", "\U0001f600", "don't", "THE", "the", "x" * 70, "7" * 40, "-" * 30, "1.5", "'s", "\x00", "e\u0301"]
+    rng = random.Random(31)
+    for _ in range(3000):
+        text = "".join(rng.choice(parts) for _ in range(rng.randint(0, 30)))
+        assert own.encode(text, allowed_special="all") == file.encode(text, add_special_tokens=False).ids
+
+
 def test_shard_scores_are_bm25():
     rng = np.random.default_rng(0)
     pieces = [rng.integers(0, 60, rng.integers(1, 40)).astype("<u2") for _ in range(30)]

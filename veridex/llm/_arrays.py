@@ -138,6 +138,17 @@ def sliding_min(x: np.ndarray, width: int) -> np.ndarray:
 _PLACE_BITS = _U(26)
 
 
+def sliding_least(keys: np.ndarray, width: int, at_once: int = 1 << 25) -> np.ndarray:
+    """The place of the least key (leftmost on a tie) of keys[i:i+width], for every i; keys are below 2**38, and so long as one likes."""
+    n, out = len(keys) - width + 1, []
+    at_once = min(at_once, (1 << 26) - width)
+    for start in range(0, n, at_once):
+        part = keys[start : start + min(at_once, n - start) + width - 1]
+        least = sliding_min((part << _PLACE_BITS) | np.arange(len(part), dtype=_U), width)
+        out.append((least & ((_U(1) << _PLACE_BITS) - _U(1))).astype(np.int64) + start)
+    return np.concatenate(out)
+
+
 @dataclass
 class Runs:
     """Maximal stretches of windows [first, last] (by start) that share one anchor."""
@@ -164,13 +175,12 @@ def window_runs(rolling: Rolling, lo: np.ndarray, hi: np.ndarray, length: int, g
         z = np.zeros(0, np.int64)
         return Runs(z, z, z, z.astype(_U), z.astype(_U))
     hashes = mix(rolling.windows(gram))
-    place = np.arange(len(hashes), dtype=_U)
-    least = sliding_min(((hashes >> _PLACE_BITS) << _PLACE_BITS) | place, length - gram + 1)
+    least = sliding_least(hashes >> _PLACE_BITS, length - gram + 1)
     edge = np.zeros(len(least) + 1, np.int32)
     np.add.at(edge, lo[fits], 1)
     np.add.at(edge, hi[fits] - length + 1, -1)
     at = np.flatnonzero(np.cumsum(edge[:-1]))
-    anchor = (least[at] & ((_U(1) << _PLACE_BITS) - _U(1))).astype(np.int64)
+    anchor = least[at]
     new = np.ones(len(at), bool)
     new[1:] = (anchor[1:] != anchor[:-1]) | (at[1:] != at[:-1] + 1)
     head = np.flatnonzero(new)
