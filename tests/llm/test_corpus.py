@@ -338,6 +338,62 @@ def test_html(spark):
     assert texts[5] == "Open\nnever closed <x"
 
 
+def site(rng, k, article):
+    """A page with known main text, and around and inside of it what doesn't belong to it."""
+    line = lambda n: " ".join(rng.choice(VOCABULARY) for _ in range(n)).capitalize() + "."
+    inside = [
+        lambda: ("<p>{}</p>", line(rng.randint(4, 60))), lambda: ("<p>{} <a href='/x'>more</a></p>", line(20)), lambda: ("<h2>{}</h2>", line(4)), lambda: ("<blockquote>{}</blockquote>", line(15)),
+        lambda: ("<ul><li>{}</li></ul>", line(6)), lambda: ("<div class='share-price'><p>{}</p></div>", line(12)), lambda: ("<section class='related-work'><p>{}</p></section>", line(25)), lambda: ("<div class='social'><p>{}</p></div>", line(14)),
+    ]
+    clutter = [
+        lambda: f"<aside>{line(30)}</aside>", lambda: f"<div class='ad'>{line(9)}</div>", lambda: f"<div class='advert-box'><p>{line(9)}</p></div>", lambda: f"<form><p>{line(5)}</p><input></form>", lambda: f"<script>var a='<p>{line(3)}</p>'</script>",
+        lambda: "<div class='share'><a href=1>Share</a> <a href=2>Tweet</a></div>", lambda: f"<div class='comments'><p>{line(12)}</p></div>", lambda: f"<div class='notice'>{line(8)}</div>", lambda: f"<!-- <p>{line(4)}</p> -->",
+    ]
+    want, body = [], ""
+    for _ in range(rng.randint(4, 14)):
+        form, text = rng.choice(inside)()
+        body += form.format(text)
+        want.append(re.sub("<[^>]*>", "", form.replace("{}", text)))
+        if rng.random() < 0.5:
+            body += rng.choice(clutter)()
+    menu = "".join(f"<li><a href='/{i}'>{rng.choice(VOCABULARY)}</a></li>" for i in range(8))
+    page = f"<html><head><title>{line(5)}</title></head><body><header>{line(4)}</header><nav><ul>{menu}</ul></nav><div class='ad'>{line(9)}</div>"
+    page += (f"<article>{body}</article>" if article else f"<div class='text'>{body}</div>") + f"<div class='sidebar'><ul>{menu}</ul></div><footer>{line(7)}</footer></body></html>"
+    return (k, f"http://x/{k}", page), "\n".join(want)
+
+
+@pytest.mark.parametrize("article", [True, False])
+def test_html_of_pages_held_out_from_the_fit(spark, article):
+    """Words of the main text that are found, and found words that belong to it."""
+    schema = "page_id long, url string, html string"
+    rng = random.Random(13)
+    weights = html_extract.fit_weights(spark.createDataFrame([site(rng, k, True)[0] for k in range(60)], schema))
+    made = [site(rng, k, article) for k in range(100, 220)]
+    got = {r.page_id: r.text for r in html_extract.main_text(spark.createDataFrame([p for p, _ in made], schema), weights).collect()}
+    both = found = wanted = 0
+    for (k, _, _), want in made:
+        a, b = collections.Counter(got[k].split()), collections.Counter(want.split())
+        both, found, wanted = both + sum((a & b).values()), found + sum(a.values()), wanted + sum(b.values())
+    assert both / wanted >= 0.99 and both / found >= (0.99 if article else 0.97)
+    if article:
+        assert sum(got[k] == want for (k, _, _), want in made) >= 0.95 * len(made)
+
+
+@pytest.mark.parametrize("part", ["<a ", "<![CDATA[", "<div>", '<a ">" ', "<a '", "<!--", "<p class='", "<b>", "<p>x", "<script>", "</a", "<div class=a>x", "</span>", "&#9", "&", "<"])
+def test_malformed_pages_take_linear_time(part):
+    page = part * (500_000 // len(part))
+    began = time.process_time()
+    html_extract.extract(page, html_extract.PLAIN)
+    html_extract.extract(page + "</span>" * 50_000 + ">", html_extract.PLAIN)
+    assert time.process_time() - began < 6
+
+
+def test_huge_references_and_empty_tables(spark):
+    assert html_extract.extract("<p>a &#" + "9" * 5000 + "; &#x41;&#0000000065; b</p>", html_extract.PLAIN) == "a � AA b"
+    empty = spark.createDataFrame([], "page_id long, url string, html string")
+    assert html_extract.main_text(empty).count() == 0
+
+
 def test_best_region_is_the_maximum():
     rng = random.Random(4)
     for _ in range(200):

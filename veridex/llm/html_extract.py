@@ -1,9 +1,12 @@
 """Main text of web pages: the best-scoring contiguous stretch of words and tags.
 
-A page is read as a sequence of words and tags. Words score by where they stand
-(block element, link, article, boilerplate container), tags score negative;
-the weights are log-odds learned from pages whose own markup tells which words
-are content. One linear scan finds the maximum-scoring subsequence.
+A page is read once, forward, as a sequence of words and tags. Words score by
+the element that they stand in, by links and by the classes around them, tags
+score negative; the weights are log-odds learned from labelled pages, those whose
+own markup names the article, over stated priors. One linear scan finds the
+maximum-scoring subsequence, inside articles as well as outside. Elements that
+are no text by HTML's own meaning (scripts, navigation, asides, forms, footers)
+are not part of the sequence. Classes never veto: they only weigh on the score.
 """
 
 from __future__ import annotations
@@ -14,35 +17,49 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import partial
+from functools import lru_cache, partial
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[(.*?)\]\]>|<[!?][^>]*>|<(/?)([A-Za-z][A-Za-z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
-ATTRIBUTE = re.compile(r"([A-Za-z-]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))")
+NAME = re.compile(r"(/?)([A-Za-z][A-Za-z0-9:-]*)")
+STOP = re.compile(r"[>\"']")
+ATTRIBUTE = re.compile(r"([A-Za-z-]++)\s*+(?:=\s*+(?:\"([^\"]*+)\"|'([^']*+)'|([^\s>\"']++)))?")
 SPACES = re.compile(r"\s+")
+#: References to numbers beyond all characters.
+HUGE_REFERENCE = re.compile(r"&#(?:0*+[1-9][0-9]{7,}|[xX]0*+[1-9a-fA-F][0-9a-fA-F]{6,});?")
 RAW = frozenset(("script", "style", "textarea", "title", "noscript", "template", "iframe"))
 VOID = frozenset(("area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"))
 BLOCK = frozenset(
     "address article aside blockquote body caption center dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 "
     "header hgroup hr html legend li main menu nav ol option p pre section summary table tbody td tfoot th thead tr ul".split()
 )
+#: Elements and roles that by their own meaning are not the article.
 HIDDEN = frozenset("head script style textarea title noscript template iframe svg math canvas audio video object select button form nav aside footer menu dialog input".split())
-#: Words of class, id and role that mark boilerplate containers.
-MARKS = frozenset(
-    "ad ads adv advert adverts advertisement advertising sponsor sponsored promo promotion banner nav navbar navigation menu breadcrumb breadcrumbs sidebar sidenav aside "
-    "footer header masthead topbar comment comments commentlist disqus reply replies respond share sharing social related recommended recommendations newsletter subscribe "
-    "subscription signup login cookie cookies consent gdpr notice notices notification alert popup modal overlay widget toolbar pagination pager tags tagcloud skip search "
-    "contentinfo complementary form disclaimer outbrain taboola".split()
+ROLES = frozenset("navigation banner search contentinfo complementary form dialog alertdialog alert menu menubar toolbar".split())
+INLINE = frozenset("a b i em strong span img br".split())
+PLACES = frozenset("p li td th h1 h2 h3 h4 h5 h6 div span blockquote pre dd dt figcaption section body none".split())
+#: Prior weights of a word by a class or id around it: names of one use, and names that content may have as well.
+STRONG, WEAK = -6.0, -1.8
+STRONG_MARKS = frozenset(
+    "ad ads adv advert adverts advertisement advertising sponsor sponsored banner-ad navbar navigation breadcrumb breadcrumbs sidebar sidenav footer masthead topbar comment comments "
+    "commentlist respond replies disqus newsletter subscribe cookie cookies consent gdpr notice notices popup modal pagination pager tagcloud outbrain taboola disclaimer".split()
 )
-MARK_WORD = re.compile(r"[a-z]+")
+WEAK_MARKS = frozenset("nav menu header banner promo promotion reply share sharing social related recommended recommendations subscription signup login notification alert overlay widget toolbar tags skip search form aside".split())
+#: Words that add nothing to a compound name: `ad-box` is `ad`, but `share-price` is not `share`.
+FILLERS = frozenset("area bar blog block bottom box button buttons container content inner item items left links list main outer page panel post right section site slot top unit widget wrap wrapper global primary reader readers secondary user users visitor".split())
 CONTENT_MARK = re.compile(r"\b(article-?body|post-?content|entry-?content|main-?content|story-?body)\b", re.I)
+NAME_PART = re.compile(r"[a-z]+")
 #: Pages that the weights are learned from, the first by hash of their id: the bound of the sample.
 FIT_PAGES = 2_000
-PLACES = frozenset("p li td th h1 h2 h3 h4 h5 h6 div span blockquote pre dd dt figcaption section body none".split())
-LEAST_TAG, WORD_BOUND = 0.05, 4.0
+#: A class needs so many labelled pages before it weighs.
+CLASS_PAGES = 5
+#: Class and id names that weigh on a word, the innermost.
+MOST_NAMES = 16
+BASE, PLACE_BOUND, CLASS_BOUND, LEAST_TAG, TAG_BOUND = 0.7, 1.5, 3.0, 0.05, 2.0
+#: What a word gains inside, and loses outside, of the article where the page names one.
+INSIDE, OUTSIDE = 2.0, -3.0
 
 
 @dataclass
@@ -54,126 +71,219 @@ class Item:
     words: int
     place: str
     link: bool
-    boiler: bool
-    article: int
+    hidden: bool
+    article: bool
     group: int
-
-
-def is_boilerplate(tag: str, attributes: str, inside_article: bool) -> bool:
-    if tag in HIDDEN:
-        return True
-    if tag == "header":
-        return not inside_article
-    if not attributes or tag in ("html", "body", "article", "main"):
-        return False
+    names: tuple[str, ...]
+
+
+def unescape(text: str) -> str:
+    return html.unescape(HUGE_REFERENCE.sub("�", text)) if "&" in text else text
+
+
+class Reader:
+    """Splits a page into text runs and tags, forward only: what is known to be missing ahead is never searched for again."""
+
+    def __init__(self, page: str):
+        self.page, self.missing, self.quotes = page, set(), True
+
+    def find(self, what: str, start: int) -> int:
+        at = -1 if what in self.missing else self.page.find(what, start)
+        if at < 0:
+            self.missing.add(what)
+        return at
+
+    def tag_end(self, start: int) -> int:
+        """The place of the > that ends the tag; quoted ones don't, unless quotes never close."""
+        at = start
+        while self.quotes and (m := STOP.search(self.page, at)):
+            if m[0] == ">":
+                return m.start()
+            closed = self.find(m[0], m.end())
+            at = m.end() if closed < 0 else closed + 1
+        self.quotes = False  # they swallow the rest of the page, so from here on they are plain characters
+        return self.find(">", start)
+
+    def pieces(self) -> Iterator[tuple[str, str, str]]:
+        """("", text, "") or (name, with / if it ends, attributes)."""
+        page, pos, at = self.page, 0, 0
+        while (at := self.find("<", at)) >= 0:
+            if page.startswith("<!--", at):
+                end, after = at, self.find("-->", at + 4)
+                after = len(page) if after < 0 else after + 3
+            elif page.startswith("<![CDATA[", at) and (close := self.find("]]>", at + 9)) >= 0:
+                yield "", page[pos:at], ""
+                yield "", page[at + 9 : close], ""
+                pos = at = close + 3
+                continue
+            elif page.startswith(("<!", "<?"), at) and (close := self.find(">", at)) >= 0:
+                end, after = at, close + 1
+            elif (m := NAME.match(page, at + 1)) and (close := self.tag_end(m.end())) >= 0:
+                yield "", page[pos:at], ""
+                yield m[1] + m[2].lower(), m[1], page[m.end() : close]
+                pos = at = close + 1
+                name = m[2].lower()
+                if name in RAW and not m[1]:
+                    found = re.compile(rf"</{name}\s*+>", re.I).search(page, pos)
+                    pos = at = found.end() if found else len(page)
+                continue
+            else:
+                at += 1
+                continue
+            yield "", page[pos:end], ""
+            pos = at = after
+        yield "", page[pos:], ""
+
+
+def marks(attributes: str) -> tuple[tuple[str, ...], bool]:
+    """The class and id names of a tag, and whether its attributes hide it."""
+    names: list[str] = []
     for m in ATTRIBUTE.finditer(attributes):
-        name = m[1].lower()
-        value = (m[2] or m[3] or m[4] or "").lower()
-        if name in ("class", "id", "role") and not MARKS.isdisjoint(MARK_WORD.findall(value)):
-            return not (CONTENT_MARK.search(value) or tag in ("h1", "h2", "p") and name != "role" and "header" in value)
-        if name in ("hidden",) or name == "aria-hidden" and value == "true" or name == "style" and "display:none" in value.replace(" ", ""):
-            return True
-    return False
+        name, value = m[1].lower(), (m[2] or m[3] or m[4] or "").lower()
+        if name in ("class", "id"):
+            names += value.split()
+        elif name == "hidden" or name == "role" and value in ROLES or name == "aria-hidden" and value == "true" or name == "style" and "display:none" in value.replace(" ", ""):
+            return tuple(names), True
+    return tuple(names), False
 
 
 def read_page(page: str) -> list[Item]:
     """The page's text runs and tags in order."""
     items: list[Item] = []
-    stack: list[tuple[str, bool, bool]] = []  # tag, opens boilerplate, opens an article
-    boiler = article = group = links = 0
-    articles, place = 0, "none"
-
-    def text(raw: str) -> None:
-        if raw:
-            items.append(Item("", html.unescape(raw), len(raw.split()), place, links > 0, boiler > 0, articles if article else 0, group))
-
-    def close(at: int) -> None:
-        nonlocal boiler, article, links, place
-        for tag, b, a in stack[at:]:
-            boiler, article, links = boiler - b, article - a, links - (tag == "a")
-        del stack[at:]
-        place = next((t for t, _, _ in reversed(stack) if t in BLOCK), "none")
-
-    pos = 0
-    while (m := TOKEN.search(page, pos)) is not None:
-        text(page[pos : m.start()])
-        pos = m.end()
-        if m[1] is not None:
-            text(m[1])
-        if m[3] is None:
+    stack: list[tuple[str, bool, bool, bool]] = []  # tag, hides, opens an article, has names
+    blocks: list[str] = []
+    around: list[tuple[str, ...]] = [()]
+    opened: Counter[str] = Counter()
+    hidden = article = group = links = 0
+
+    def close(tag: str) -> None:
+        nonlocal hidden, article, links
+        while True:
+            name, hides, opens, named = stack.pop()
+            opened[name] -= 1
+            hidden, article, links = hidden - hides, article - opens, links - (name == "a")
+            if name in BLOCK:
+                blocks.pop()
+            if named:
+                around.pop()
+            if name == tag:
+                return
+
+    def add(tag: str, text: str) -> None:
+        items.append(Item(tag, text, len(text.split()), blocks[-1] if blocks else "none", links > 0, hidden > 0, article > 0, group, around[-1]))
+
+    for name, ends, attributes in Reader(page).pieces():
+        if not name:
+            if ends:
+                add("", unescape(ends))
             continue
-        tag = m[3].lower()
-        if tag in BLOCK:
-            group += 1
-        if m[2]:
-            at = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == tag), None)
-            if at is not None:
-                close(at)
+        tag = name.lstrip("/")
+        group += tag in BLOCK
+        if ends:
+            if opened[tag]:
+                close(tag)
         else:
-            if tag == "p" and stack and stack[-1][0] == "p" or tag == "li" and stack and stack[-1][0] == "li":
-                close(len(stack) - 1)
-            if tag in RAW:
-                end = re.compile(rf"</{tag}\s*>", re.I).search(page, pos)
-                pos = end.end() if end else len(page)
-            elif tag == "br":
-                text("\n")
-            elif tag not in VOID and not m[4].endswith("/"):
-                opens = tag in ("article", "main") or bool(m[4] and CONTENT_MARK.search(m[4]))
-                b = is_boilerplate(tag, m[4], article > 0)
-                articles += opens and not article
-                stack.append((tag, b, opens))
-                boiler, article, links = boiler + b, article + opens, links + (tag == "a")
+            if tag in ("p", "li") and stack and stack[-1][0] == tag:
+                close(tag)
+            if tag == "br":
+                add("", "\n")
+            elif tag not in VOID and tag not in RAW and not attributes.endswith("/"):
+                names, hides = marks(attributes) if attributes else ((), False)
+                opens = tag in ("article", "main") or bool(attributes and CONTENT_MARK.search(attributes))
+                hides = tag in HIDDEN or tag == "header" and not article or hides and tag not in ("html", "body", "article", "main")
+                named = bool(names) and not opens and tag not in ("html", "body")
+                stack.append((tag, hides, opens, named))
+                opened[tag] += 1
+                hidden, article, links = hidden + hides, article + opens, links + (tag == "a")
                 if tag in BLOCK:
-                    place = tag
-        items.append(Item(("/" if m[2] else "") + tag, "", 0, place, links > 0, boiler > 0, articles if article else 0, group))
-    text(page[pos:])
+                    blocks.append(tag)
+                if named:
+                    around.append(tuple(dict.fromkeys(around[-1] + names))[-MOST_NAMES:])
+        add(name, "")
     return items
 
 
-def features(item: Item, has_article: bool) -> tuple[str, ...]:
-    if item.tag:
-        name = item.tag.lstrip("/")
-        return (f"tag:{name if name in BLOCK or name in ('a', 'b', 'i', 'em', 'strong', 'span', 'img', 'br') else 'other'}",)
-    place = item.place if item.place in PLACES else "other"
-    return (f"place:{place}", f"link:{int(item.link)}", f"boiler:{int(item.boiler)}", f"article:{('out', 'in')[item.article > 0] if has_article else 'unknown'}")
+@lru_cache(1 << 16)
+def prior(name: str) -> float:
+    """The prior weight of a class or id name: that of its words where no other word gives it another sense."""
+    if name in STRONG_MARKS:
+        return STRONG
+    if name in WEAK_MARKS:
+        return WEAK
+    parts = [p for p in NAME_PART.findall(name) if p not in FILLERS]
+    if parts and all(p in STRONG_MARKS or p in WEAK_MARKS for p in parts):
+        return STRONG if STRONG_MARKS.intersection(parts) else WEAK
+    return 0.0
+
+
+def place_of(item: Item) -> str:
+    return f"place:{item.place if item.place in PLACES else 'other'}|{int(item.link)}"
+
+
+def tag_of(item: Item) -> str:
+    name = item.tag.lstrip("/")
+    return f"tag:{name if name in BLOCK or name in INLINE else 'other'}"
 
 
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Labelled pages, those with an article element, count what stands inside and outside of it."""
     for batch in batches:
         seen: Counter[tuple[str, bool]] = Counter()
+        pages: Counter[tuple[str, bool]] = Counter()
         for page in batch.column("html").to_pylist():
             items = read_page(page)
-            if any(x.article for x in items):
-                for x in items:
-                    content = x.article > 0 and not x.boiler
-                    for name in features(x, True):
-                        seen[name, content] += 1 if x.tag else x.words
-        yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in seen], pa.string()), pa.array([c for _, c in seen], pa.bool_()), pa.array(list(seen.values()), pa.int64())], names=["name", "content", "n"])
+            if not any(x.article for x in items):
+                continue
+            here = set()
+            for x in items:
+                content = x.article and not x.hidden
+                if x.tag:
+                    seen[tag_of(x), content] += 1
+                elif x.words:
+                    marked = any(prior(k) for k in x.names)
+                    if not marked and not (x.hidden and (x.article or x.place not in PLACES)):  # what a name or an element tells already says nothing about its place
+                        seen[place_of(x), content] += x.words
+                    if not (marked and content):
+                        here.update((f"class:{k}", content) for k in x.names)
+            pages.update(here)
+        rows = [(k, c, n) for (k, c), n in (seen + pages).items()]
+        yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.bool_()), pa.array([r[2] for r in rows], pa.int64())], names=["name", "content", "n"])
 
 
 Weights = dict[str, float]
 
 
 def fit_weights(pages: DataFrame, limit: int = FIT_PAGES) -> Weights:
-    """Log-odds of each feature from at most `limit` labelled pages; tags stay negative."""
+    """Log-odds of elements, tags and classes from at most `limit` labelled pages; tags stay negative, a class adds to its prior."""
     labelled = pages.where(F.col("html").rlike(r"(?i)<(article|main)\b") & F.col("page_id").isNotNull()).select("page_id", "html")
     chosen = labelled.select("page_id").orderBy(F.xxhash64("page_id"), "page_id").limit(limit).distinct()
     some = labelled.join(chosen, "page_id")
-    counts = some.mapInArrow(_count, "name string, content boolean, n long").groupBy("name", "content").agg(F.sum("n").alias("n")).collect()
+    counts = some.mapInArrow(_count, "name string, content boolean, n long").groupBy("name", "content").agg(F.sum("n").alias("n")).where(f"n >= {CLASS_PAGES} or name not like 'class:%'").collect()
     table = {(r["name"], r["content"]): r["n"] for r in counts}
-    kinds = {name.split(":")[0] for name, _ in table}
-    total = {(k, c): sum(n for (name, content), n in table.items() if content == c and name.startswith(k + ":")) for k in kinds for c in (True, False)}
+    names = sorted({name for name, _ in table})
+    total = {(k, c): sum(n for (name, content), n in table.items() if content == c and name.startswith(k)) for k in ("place", "tag") for c in (True, False)}
     out: Weights = {}
-    for name in {name for name, _ in table}:
+    for name in names:
         kind = name.split(":")[0]
-        odds = math.log((table.get((name, True), 0) + 1) / (total[kind, True] + 2)) - math.log((table.get((name, False), 0) + 1) / (total[kind, False] + 2))
-        out[name] = min(-LEAST_TAG, odds - 0.5) if kind == "tag" else max(-WORD_BOUND, min(WORD_BOUND, odds))
+        inside, outside = table.get((name, True), 0) + 1, table.get((name, False), 0) + 1
+        if kind == "class":
+            out[name] = max(-CLASS_BOUND, min(0.0, math.log(inside / outside) + 1.0))
+        else:
+            odds = math.log(inside / (total[kind, True] + 2)) - math.log(outside / (total[kind, False] + 2))
+            out[name] = max(-TAG_BOUND, min(-LEAST_TAG, odds - 0.5)) if kind == "tag" else max(-PLACE_BOUND, min(PLACE_BOUND, odds))
     return out
 
 
-#: Where no page is labelled: plain words count for, links, boilerplate and tags against.
-PLAIN: Weights = {"link:1": -2.0, "boiler:1": -4.0, "place:p": 1.0, "place:li": -0.5, "tag:other": -0.5}
+#: Where no page is labelled: plain words count for, links against.
+PLAIN: Weights = {"place:p|0": 1.0, "tag:other": -0.5}
+UNSEEN_LINK, UNSEEN_TAG = -1.5, -0.5
+
+
+def word_score(x: Item, weights: Weights, names_article: bool) -> float:
+    """What each word of a text run scores: its element, its links, the class that speaks most against it, and the article."""
+    against = min((prior(k) + weights.get(f"class:{k}", 0.0) for k in x.names), default=0.0)
+    side = 0.0 if not names_article else INSIDE if x.article else OUTSIDE
+    return BASE + weights.get(place_of(x), UNSEEN_LINK if x.link else 0.0) + max(STRONG, against) + side
 
 
 def best_region(scores: list[float]) -> tuple[int, int]:
@@ -189,18 +299,19 @@ def best_region(scores: list[float]) -> tuple[int, int]:
 
 
 def extract(page: str, weights: Weights) -> str:
-    """The blocks of the best region, with articles that it touches taken whole, without boilerplate containers."""
-    items = read_page(page)
-    has_article = any(x.article for x in items)
-    scores = []
-    for x in items:
-        s = sum(weights.get(k, -0.5 if x.tag else 0.0) for k in features(x, has_article))
-        scores.append(s if x.tag else x.words * (0.5 + s))
-    start, end = best_region(scores)
-    whole = {x.article for x in items[start:end] if x.article and x.words and not x.boiler}
+    """The blocks of the best region, without those that a class speaks against so much that their words score negative."""
+    items = [x for x in read_page(page) if not x.hidden]
+    names_article = any(x.article for x in items)
+    own = [weights.get(tag_of(x), UNSEEN_TAG) if x.tag else x.words * word_score(x, weights, names_article) for x in items]
+    of_block: dict[int, float] = {}
+    for x, s in zip(items, own, strict=True):
+        if x.words and x.names:
+            of_block[x.group] = of_block.get(x.group, 0.0) + s
+    cut = {g for g, s in of_block.items() if s < 0}
+    start, end = best_region([0.0 if x.group in cut and not x.tag else s for x, s in zip(items, own, strict=True)])
     blocks: dict[int, list[str]] = {}
-    for i, x in enumerate(items):
-        if not x.tag and not x.boiler and (x.article in whole if x.article else start <= i < end and not whole):
+    for x in items[start:end]:
+        if not x.tag and x.group not in cut:
             blocks.setdefault(x.group, []).append(x.text)
     lines = (SPACES.sub(" ", "".join(b)).strip() for b in blocks.values())
     return "\n".join(line for line in lines if line)
@@ -216,10 +327,16 @@ def main_text(pages: DataFrame, weights: Weights | None = None) -> DataFrame:
     """page_id, url and the main text of every page.
 
     Blocks are joined by one \\\\n in page order, white space inside a block is
-    one space, character references are decoded. Defined results: null and empty
-    html give an empty text, as do pages without a positive region; unclosed
-    elements end with the page; null ids and repeated rows give one row each;
-    other columns are ignored. Without labelled pages plain weights are used.
+    one space, character references are decoded. Blocks inside the region stay
+    whatever they score, unless a class or id around them makes their words
+    negative: adverts, notices and reader comments inside an article go so, while
+    prose under an ambiguous name stays. Defined results: null and empty html
+    give an empty text, as do pages without a positive region; unclosed elements
+    end with the page, an unclosed comment hides the rest, quotes that never
+    close are plain characters, a < without a > ahead is text; null ids and
+    repeated rows give one row each; other columns are ignored; an empty table
+    gives an empty result. Time is linear in the page, however malformed. Without
+    labelled pages plain weights are used.
     """
     weights = weights if weights is not None else fit_weights(pages) or PLAIN
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.coalesce("html", F.lit("")).alias("_html"))
