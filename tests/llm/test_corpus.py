@@ -446,6 +446,28 @@ def test_quality_counts(spark, corpus):
     assert kept.columns == SCHEMA.replace(" long", "").replace(" string", "").split(", ") and kept.count() == sum(r.kept for r in rows)
 
 
+def test_quality_bands_against_brute_force(spark):
+    """The verdict recomputed from the measures, and how it meets the labels: clean documents stay."""
+    rows = quality.quality_rules(spark.read.parquet("/root/testdata/sf0.01/documents.parquet")).collect()
+    wide = lambda values, k: (lambda a, m, b: (m, max((b - a) / 1.349, quality.LEAST_SPREAD[k] * m)))(*np.percentile(values, [25, 50, 75]))
+    near, all_ = collections.defaultdict(list), collections.defaultdict(list)
+    for r in rows:
+        if not r.base_failed:
+            near[r.group, r.length].append(r)
+            all_[r.group].append(r)
+    for r in rows:
+        like = next((g for g in (near[r.group, r.length], all_[r.group]) if len(g) >= quality.LEAST_GROUP), None)
+        want = not r.base_failed
+        for k, (low, high) in quality.MEASURES.items() if like else ():
+            m, s = wide([x[k] for x in like], k)
+            want &= not (low and r[k] < m - quality.REACH * s - 1e-9) and not (high and r[k] > m + 2 * quality.REACH * s + 1e-9)
+        assert r.kept == want
+    label = {r.doc_id: r.quality for r in spark.read.parquet("/root/testdata/sf0.01/labels.parquet").collect()}
+    good = [r.kept for r in rows if label.get(r.doc_id) == 1 and not r.base_failed]
+    poor = [r.kept for r in rows if label.get(r.doc_id) == 0]
+    assert sum(good) >= 0.98 * len(good) and sum(poor) <= 0.4 * len(poor)
+
+
 def test_packing(spark, corpus):
     import public_tokenizers
     from tokenizers import Tokenizer
