@@ -422,6 +422,19 @@ def test_language_odd_rows(spark):
     assert {r.lang_pred for r in language_id.identify(docs, empty).collect()} == {"und"}
 
 
+def test_language_sample_is_bounded_and_the_first_by_hash(spark):
+    docs = frame(spark, [(i, f"word {i}") for i in range(3000)], {i: ("en", "de", "fr", "xx")[0 if i % 10 else i // 10 % 4] for i in range(3000)})
+    got = collections.Counter(r.lang for r in language_id.sample(docs, per_language=40, languages=3).collect())
+    assert set(got) <= {"en", "de", "fr", "xx"} and len(got) == 3 and all(v == 40 for v in got.values())
+
+
+def test_language_ties_go_to_the_first_name():
+    flat = np.zeros(language_id.DIMENSIONS + 1)
+    model = language_id.Model(["a", "b"], {"a": ["x", "y"], "b": ["z"]}, {("a", "b"): flat, ("x", "y"): flat})
+    names, score = model.predict(np.ones((3, language_id.DIMENSIONS)))
+    assert names == ["x"] * 3 and score.tolist() == [0.25] * 3
+
+
 def test_quality_counts(spark, corpus):
     docs = [*corpus, (50, "a b\na b\n \n\na b \na b"), (51, "x#*$%&|<>y " * 60), (52, "    \x1c \x85"), (53, prose(random.Random(1), 80) + "\n" + prose(random.Random(2), 60))]
     want = collections.Counter()

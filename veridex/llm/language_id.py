@@ -9,11 +9,13 @@ from functools import partial
 from itertools import combinations
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from veridex.llm._arrays import Slice, slices
+from veridex.llm._spark import Scratch
 
 #: Families of common languages; any other language is a family of its own.
 FAMILIES = {
@@ -29,6 +31,8 @@ FAMILIES = {
 }
 #: Labelled documents of a language that the model is fitted on, the first by hash of their id: the bound of the sample.
 PER_LANGUAGE = 400
+#: Languages that are learned, those with the most labelled documents: with PER_LANGUAGE the bound of the sample and of the model.
+MOST_LANGUAGES = 32
 #: Documents longer than this are left out of the fit (never of the prediction).
 LONGEST_FIT = 20_000
 DIMENSIONS = 1 << 12
@@ -43,7 +47,7 @@ _FOLD[128:] = np.arange(128, 256)
 
 
 def features(part: Slice) -> np.ndarray:
-    """A row per text: hashed counts of byte 1- to 4-grams over letters (others are one blank each), log-scaled, of length 1."""
+    """A row per text: hashed counts of byte 1- to 4-grams, letters folded and other signs a blank each, log-scaled, of length 1."""
     n, m = len(part.lo), len(part.data)
     out = np.zeros(n * DIMENSIONS)
     own = np.repeat(np.arange(n), part.hi - part.lo)
@@ -55,8 +59,7 @@ def features(part: Slice) -> np.ndarray:
         gram = gram[: m - size + 1] * np.uint32(257) + b[size - 1 :] + np.uint32(size)
         at = ((gram * np.uint32(2654435761)) >> np.uint32(32 - 12)).astype(np.int64)
         whole = own[: m - size + 1] == own[size - 1 :]
-        blank = gram == 0
-        out += np.bincount((own[: m - size + 1] * DIMENSIONS + at)[whole & ~blank], minlength=n * DIMENSIONS)
+        out += np.bincount((own[: m - size + 1] * DIMENSIONS + at)[whole], minlength=n * DIMENSIONS)
     rows = np.log1p(out.reshape(n, DIMENSIONS))
     return rows / np.maximum(np.linalg.norm(rows, axis=1, keepdims=True), 1e-12)
 
@@ -79,7 +82,8 @@ def fit_svm(x: np.ndarray, y: np.ndarray, penalty: float = 1e-4, rounds: int = 3
     """A linear SVM (squared hinge, balanced classes, last weight the bias) by accelerated gradient descent; y is -1 or 1."""
     x = np.hstack([x, np.ones((len(x), 1), x.dtype)])
     share = np.where(y > 0, 0.5 / max((y > 0).sum(), 1), 0.5 / max((y < 0).sum(), 1))
-    w = np.zeros(x.shape[1])
+    share = share.astype(x.dtype)
+    w = np.zeros(x.shape[1], x.dtype)
     ahead, step = w.copy(), 0.25
     for t in range(1, rounds + 1):
         slack = np.maximum(0, 1 - y * (x @ ahead))
@@ -135,26 +139,48 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string")) % MODULUS == HELD_OUT, F.lit(False))
 
 
-def fit(docs: DataFrame, per_language: int = PER_LANGUAGE) -> Model:
-    """Learn from text and non-null lang of documents that aren't held out, at most `per_language` of each language."""
+def _hash(doc_id: str) -> Column:
+    return F.pmod(F.xxhash64(doc_id), F.lit(_HASHES))
+
+
+_HASHES = 1 << 40
+
+
+def sample(docs: DataFrame, per_language: int = PER_LANGUAGE, languages: int = MOST_LANGUAGES) -> DataFrame:
+    """(doc_id, lang, text) that may be learned from: the first `per_language` by hash of doc_id of each of the `languages` most frequent languages.
+
+    Counts come first; they tell up to which hash about twice as many as wanted
+    lie, so that only those are ranked and no language gathers in a task.
+    """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), "text")
     known = rows.where(F.col("text").rlike(r"\p{L}") & F.col("lang").isNotNull() & ~held_out(F.col("doc_id")) & (F.length("text") <= LONGEST_FIT) & F.col("doc_id").isNotNull())
-    first = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    chosen = known.select("doc_id", "lang").withColumn("r", F.row_number().over(first)).where(F.col("r") <= per_language).select("doc_id", "lang").distinct()
-    sample = known.join(chosen, ["doc_id", "lang"]).mapInArrow(_fit_features, "doc_id long, lang string, row binary").toArrow().sort_by([("doc_id", "ascending"), ("row", "ascending")])
-    x = np.array([np.frombuffer(r.as_buffer(), np.float32) for r in sample.column("row")]).reshape(-1, DIMENSIONS)
-    lang = np.array(sample.column("lang").to_pylist(), object)
-    names = sorted(set(lang))
+    counts = known.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(languages)
+    few = known.select("doc_id", "lang").join(F.broadcast(counts), "lang").where(_hash("doc_id") <= F.lit(float(_HASHES)) * (2 * per_language + 50) / F.col("n"))
+    first = Window.partitionBy("lang").orderBy(_hash("doc_id"), "doc_id")
+    chosen = few.withColumn("r", F.row_number().over(first)).where(F.col("r") <= per_language).select("doc_id", "lang").distinct()
+    return known.join(F.broadcast(chosen), ["doc_id", "lang"])
+
+
+def _fit_pair(rows: pd.DataFrame) -> pd.DataFrame:
+    """One duel's weights."""
+    rows = rows.sort_values(["doc_id", "row"])
+    x = np.array([np.frombuffer(r, np.float32) for r in rows["row"]])
+    return pd.DataFrame({"a": rows["a"].iloc[:1], "b": rows["b"].iloc[:1], "weights": [fit_svm(x, rows["side"].to_numpy(np.float32)).astype(np.float64).tobytes()]})
+
+
+def fit(docs: DataFrame, per_language: int = PER_LANGUAGE, languages: int = MOST_LANGUAGES) -> Model:
+    """Learn from text and non-null lang of documents that aren't held out: a bounded sample (see `sample`), each duel in a task of its own."""
+    spark = docs.sparkSession
+    rows = Scratch(spark, "languages").keep(sample(docs, per_language, languages).mapInArrow(_fit_features, "doc_id long, lang string, row binary"))
+    names = [r["lang"] for r in rows.select("lang").distinct().orderBy("lang").collect()]  # at most `languages`
     of = {k: family(k) for k in names}
     families = sorted(set(of.values()))
-    languages = {f: [k for k in names if of[k] == f] for f in families}
-    between = {}
-    group = np.array([of[k] for k in lang], object)
-    for values, pairs in ((group, combinations(families, 2)), *((lang, combinations(languages[f], 2)) for f in families)):
-        for a, b in pairs:
-            rows_ab = (values == a) | (values == b)
-            between[a, b] = fit_svm(x[rows_ab].astype(np.float64), np.where(values[rows_ab] == a, 1.0, -1.0))
-    return Model(families, languages, between)
+    known = {f: [k for k in names if of[k] == f] for f in families}
+    duels = [(a, b, k, side) for a, b in combinations(families, 2) for f, side in ((a, 1.0), (b, -1.0)) for k in known[f]]
+    duels += [(a, b, k, side) for f in families for a, b in combinations(known[f], 2) for k, side in ((a, 1.0), (b, -1.0))]
+    sides = F.broadcast(spark.createDataFrame(duels, "a string, b string, lang string, side float"))
+    fitted = rows.join(sides, "lang").groupBy("a", "b").applyInPandas(_fit_pair, "a string, b string, weights binary").collect()
+    return Model(families, known, {(r["a"], r["b"]): np.frombuffer(r["weights"]) for r in fitted})
 
 
 def _predict(batches: Iterator[pa.RecordBatch], model: Model) -> Iterator[pa.RecordBatch]:
