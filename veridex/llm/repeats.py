@@ -5,18 +5,25 @@ start more than once in the corpus. Writing out every window (or suffix)
 would multiply the corpus by eight and more, so windows are first bucketed by
 an anchor that their own content chooses (the least-hashed short substring
 inside, see `_arrays.window_runs`). Equal windows always meet in one bucket.
-The passes then are those of a most-significant-digit radix sort that stops at
-the threshold depth:
+Then:
 
-1. digit one is the anchor's hash: buckets with a single member hold no repeat;
-2. digit two is all content that a run of neighbouring windows covers: members
-   that agree settle every window of the run at once;
+1. the anchor's hash is the first key: buckets with a single member hold no repeat;
+2. members that agree on all that a run of neighbouring windows covers settle
+   every window of the run at once;
 3. runs that differ somewhere (the ends of a passage, an edited word) although
    their anchor agrees are cut into blocks of neighbouring windows, placed
    relative to the anchor: a block is dropped if what all its windows share is
    unique, and settled if all that its windows cover agrees;
 4. what is left of such blocks is compared window by window.
 
+Substring dedup counts the hash of what a block shares, or of a window, at once.
+Suffix-array dedup sorts instead: the suffixes that start a block's windows, and
+then every single suffix, go through most-significant-digit passes. A digit is
+the next third of the depth, each pass splits the groups of the one before by it
+and drops suffixes that are alone, and the groups that are left at full depth
+are the repeated windows. No pass looks deeper than the threshold, and none
+orders groups among themselves, which no result needs.
+
 Hash keys are compared only inside a bucket, that is on 128 bits together.
 No bucket is ever gathered: each pass is a partially aggregated count and an
 equi-join, whose hot keys adaptive execution can split. Of members that agree
@@ -59,9 +66,9 @@ def _owner(lo: np.ndarray, first: np.ndarray, n: np.ndarray) -> np.ndarray:
     return some[np.searchsorted(lo[some], first, "right") - 1]
 
 
-def _rows(d: np.ndarray, h: np.ndarray, bucket: np.ndarray, content: np.ndarray, *places: np.ndarray) -> pa.RecordBatch:
-    columns = [d, h, signed(bucket), signed(content), *(x.astype(np.int32) for x in places)]
-    return pa.RecordBatch.from_arrays([pa.array(x) for x in columns], names=["_d", "_h", "bucket", "content", "anchor", "first", "last"])
+def _rows(d: np.ndarray, h: np.ndarray, bucket: np.ndarray, content: np.ndarray, *places: np.ndarray, digits: tuple[np.ndarray, ...] = ()) -> pa.RecordBatch:
+    columns = [d, h, signed(bucket), signed(content), *(x.astype(np.int32) for x in places), *map(signed, digits)]
+    return pa.RecordBatch.from_arrays([pa.array(x) for x in columns], names=["_d", "_h", "bucket", "content", "anchor", "first", "last", *(f"digit{k}" for k in range(len(digits)))])
 
 
 def _scan(batches: Iterator[pa.RecordBatch], symbols: Symbols, length: int, gram: int) -> Iterator[pa.RecordBatch]:
@@ -75,8 +82,11 @@ def _scan(batches: Iterator[pa.RecordBatch], symbols: Symbols, length: int, gram
                 yield _rows(d[part.first + own], h[part.first + own], runs.gram, runs.content, *(x - lo[own] for x in (runs.anchor, runs.first, runs.last)))
 
 
-def _expand(batches: Iterator[pa.RecordBatch], symbols: Symbols, length: int, block: int) -> Iterator[pa.RecordBatch]:
-    """The blocks of the runs that are asked about: windows whose distance to the anchor has the same quotient by `block`."""
+def _expand(batches: Iterator[pa.RecordBatch], symbols: Symbols, length: int, block: int, depths: tuple[int, ...]) -> Iterator[pa.RecordBatch]:
+    """The blocks of the runs that are asked about: windows whose distance to the anchor has the same quotient by `block`.
+
+    `digit0`, ... name the group of the block's last window, as a suffix, at each of the depths before the full one.
+    """
     for batch in batches:
         d, h = (batch.column(k).to_numpy(zero_copy_only=False) for k in ("_d", "_h"))
         asked = batch.column("runs")
@@ -99,12 +109,13 @@ def _expand(batches: Iterator[pa.RecordBatch], symbols: Symbols, length: int, bl
             whole = (start >= 0) & (end + length <= hi[text] - base)
             content = mix(rolling.hash(base + np.where(whole, start, end), base + end + np.where(whole, length, 1)) + np.uint64(1))
             alone = mix(mix(d[part.first + text].view(np.uint64)) ^ mix(h[part.first + text].astype(np.int64).view(np.uint64)) ^ (end + 7).astype(np.uint64))
-            own = mix(mix(core + number.astype(np.uint64)) ^ bucket[k][run].view(np.uint64))
-            yield _rows(d[part.first + text], h[part.first + text], own, np.where(whole, content, alone), where, np.maximum(start, first[k][run]), np.minimum(end, last[k][run]))
+            name = lambda x: mix(mix(x + number.astype(np.uint64)) ^ bucket[k][run].view(np.uint64))  # noqa: E731, B023
+            digits = tuple(name(rolling.hash(base + end, base + end + depth)) for depth in depths)
+            yield _rows(d[part.first + text], h[part.first + text], name(core), np.where(whole, content, alone), where, np.maximum(start, first[k][run]), np.minimum(end, last[k][run]), digits=digits)
 
 
 class _Passes:
-    """The radix passes; `later_only` as in repeated_spans."""
+    """The passes; `later_only` as in repeated_spans."""
 
     def __init__(self, scratch: Scratch, later_only: bool):
         self.scratch = scratch
@@ -131,6 +142,15 @@ class _Passes:
         first = members.join(several, ["bucket", "content"]).where("_d = least").select("_d", "_h", "anchor", "first", "last", "bucket").distinct()
         return spans, some.where("n = 1").select("one.*", "bucket").unionByName(first)
 
+    def refine(self, rows: DataFrame) -> DataFrame:
+        """The radix passes before the last digit: suffixes that are alone in their group at some depth go."""
+        for digit in [c for c in rows.columns if c.startswith("digit")]:
+            shared = rows.groupBy(digit).agg(F.count("*").alias("n")).where("n > 1").select(digit)
+            after = self.scratch.keep(rows.join(self.scratch.keep(shared), digit).drop(digit))
+            self.scratch.drop(rows)
+            rows = after
+        return rows
+
     def last(self, rows: DataFrame) -> DataFrame:
         """The same for single windows, where nothing stays open."""
         agg = (F.count("*").alias("n"), F.min("_d").alias("least"), F.min("_d").alias("low"), F.max("_d").alias("high"))
@@ -138,11 +158,12 @@ class _Passes:
         return rows.join(self.scratch.keep(equal), ["bucket", "content"]).where(self.goes).select("_d", "_h", "first", "last")
 
 
-def repeated_spans(docs: DataFrame, scratch: Scratch, symbols: Symbols, length: int, gram: int, later_only: bool) -> DataFrame:
+def repeated_spans(docs: DataFrame, scratch: Scratch, symbols: Symbols, length: int, gram: int, later_only: bool, digit: int) -> DataFrame:
     """(_d, _h, spans: array of (first, last) window starts to remove) of texts that have any.
 
     later_only: a window goes if it also starts in a text of smaller id;
-    otherwise if it starts anywhere else as well.
+    otherwise if it starts anywhere else as well. digit: symbols to a digit of
+    the radix passes.
     """
     passes = _Passes(scratch, later_only)
     texts = docs.select("_d", "_h", "_t")
@@ -153,16 +174,18 @@ def repeated_spans(docs: DataFrame, scratch: Scratch, symbols: Symbols, length:
         return texts.join(by_text, ["_d", "_h"]).select("_d", "_h", "_t", "runs")
 
     def expand(asked: DataFrame, block: int) -> DataFrame:
-        return asked.mapInArrow(partial(_expand, symbols=symbols, length=length, block=block), ROWS)
+        depths = tuple(range(digit, length - block + 1, digit))
+        schema = ", ".join([ROWS, *(f"digit{k} long" for k in range(len(depths)))])
+        return passes.refine(scratch.keep(asked.mapInArrow(partial(_expand, symbols=symbols, length=length, block=block, depths=depths), schema)))
 
     rows = scratch.keep(texts.mapInArrow(partial(_scan, symbols=symbols, length=length, gram=gram), ROWS))
     spans, some = passes.settle(rows)
     scratch.drop(rows)
     texts = scratch.keep(asked(texts, some))
-    rows = scratch.keep(expand(texts, block))
+    rows = expand(texts, block)
     more, some = passes.settle(rows)
     scratch.drop(rows)
-    rows = scratch.keep(expand(asked(texts.drop("runs"), some), 1))
+    rows = expand(asked(texts.drop("runs"), some), 1)
     spans = spans.unionByName(more).unionByName(passes.last(rows))
     return spans.groupBy("_d", "_h").agg(F.collect_list(F.struct("first", "last")).alias("spans"))
 
@@ -218,7 +241,7 @@ def _apply(batches: Iterator[pa.RecordBatch], cut: Cut, length: int, digest: boo
             yield pa.RecordBatch.from_arrays([ids.slice(part.first, len(rows)), *(pa.array(x, f.type) for x, f in zip(zip(*rows, strict=True), list(schema)[1:], strict=True))], schema=schema)
 
 
-def remove_repeats(docs: DataFrame, unit: str, length: int, gram: int, later_only: bool, digest: bool = False) -> DataFrame:
+def remove_repeats(docs: DataFrame, unit: str, length: int, gram: int, later_only: bool, digit: int, digest: bool = False) -> DataFrame:
     """Remove every symbol that a repeated window covers.
 
     Returns a row per input row: doc_id, n_all (symbols), n_removed, n_spans
@@ -230,7 +253,7 @@ def remove_repeats(docs: DataFrame, unit: str, length: int, gram: int, later_onl
     scratch = Scratch(docs.sparkSession, "repeats")
     rows = keyed(docs)
     symbols, cut = (byte_symbols, _cut_bytes) if unit == "byte" else (word_symbols, _cut_words)
-    spans = repeated_spans(rows, scratch, symbols, length, gram, later_only)
+    spans = repeated_spans(rows, scratch, symbols, length, gram, later_only, digit)
     return rows.join(spans, ["_d", "_h"], "left").select("doc_id", "_t", "spans").mapInArrow(partial(_apply, cut=cut, length=length, digest=digest), OUT)
 
 
@@ -238,13 +261,13 @@ def suffix_array_dedup(docs: DataFrame, threshold: int = 400, digest: bool = Fal
     """Remove each byte covered by a `threshold`-byte string that also starts anywhere else, same document included.
 
     Depth-limited: suffixes are told apart only through their first `threshold`
-    bytes. Defined results: null text is empty; texts shorter than the threshold
+    bytes, a third of them at a time (see the module's text). Defined results: null text is empty; texts shorter than the threshold
     keep everything; exact copies and repeated rows lose all their bytes (each is
     the other's repeat); rows that repeat a doc_id with other texts count apart;
     rows with a null doc_id are matched like others; other columns are ignored.
     An empty table gives an empty result.
     """
-    return remove_repeats(docs, "byte", threshold, min(128, max(1, threshold // 3)), False, digest)
+    return remove_repeats(docs, "byte", threshold, min(128, max(1, threshold // 3)), False, max(1, -(-threshold // 3)), digest)
 
 
 def substring_dedup(docs: DataFrame, window: int = 50, digest: bool = False) -> DataFrame:
@@ -255,4 +278,4 @@ def substring_dedup(docs: DataFrame, window: int = 50, digest: bool = False) ->
     doc_id never remove from each other; a null doc_id counts as larger than all
     others; other columns are ignored. An empty table gives an empty result.
     """
-    return remove_repeats(docs, "word", window, min(16, max(1, window // 3)), True, digest)
+    return remove_repeats(docs, "word", window, min(16, max(1, window // 3)), True, window, digest)
