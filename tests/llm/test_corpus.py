@@ -208,6 +208,39 @@ def test_jaccard_large_group_of_near_copies(spark):
     assert got == root
 
 
+@pytest.mark.parametrize("seed", range(3))
+def test_jaccard_groups_at_the_threshold(spark, seed):
+    """Sets of many sizes around several bases, most pairs a few shingles above or below the threshold, in lists longer than a block."""
+    rng = random.Random(seed)
+    bases = [[f"{b}w{rng.randrange(400)}" for _ in range(60)] for b in range(3)]
+    docs = []
+    for k in range(150):
+        w = list(rng.choice(bases))
+        for at in rng.sample(range(len(w)), rng.randint(0, 3)):
+            w[at] = "y%d" % rng.randrange(50)
+        cut = rng.randint(0, 14)
+        docs.append((k, " ".join(w[cut : len(w) - rng.randint(0, 14 - cut)])))
+    got = {r.doc_id: r.component_id for r in jaccard_join.jaccard_components(frame(spark, docs)).collect()}
+    assert got == linked(docs)
+
+
+def test_blocks_join_what_the_whole_lists_join(spark):
+    from pyspark.sql import functions as F
+
+    rows = [(t, i, 1 + (i * 7 + t) % 60, 1 + (i * 3) % 9, 40) for t in range(2) for i in range(40)]
+    entries = spark.createDataFrame(rows, "token long, s int, n long, at int, k long").where("at <= n - ceil(75 * n / 100) + 1")
+    left, right = (entries.select("token", *(F.col(c).alias(f"{x}_{c}") for c in ("s", "n", "at", "k"))) for x in "ab")
+    got = collections.Counter((r.token, r.a_s, r.b_s) for r in jaccard_join._met(left, right).where("100 * least(a_n, b_n) >= 75 * greatest(a_n, b_n)").collect())
+    plain = collections.Counter()
+    e = entries.collect()
+    for x in e:
+        for y in e:
+            need = -(-75 * (x.n + y.n) // 175)
+            if x.token == y.token and 100 * min(x.n, y.n) >= 75 * max(x.n, y.n) and x.at <= x.n - need + 1 and y.at <= y.n - need + 1:
+                plain[x.token, x.s, y.s] += 1
+    assert got == plain and plain
+
+
 def test_representatives_keep_columns(spark, corpus):
     df = frame(spark, corpus)
     kept = jaccard_join.keep_representatives(df)

@@ -5,16 +5,20 @@ otherwise by hash). Two sets that reach the threshold share a shingle in their
 prefixes, so only prefixes are indexed. Skipping works on two levels:
 
 * index level: an entry carries its shingle's position, its set's size and the
-  place where the prefix ends. Two entries of a list meet only if both positions
-  leave room for the overlap that their sizes ask for; the rest of the list is
-  skipped, and so are pairs whose parity bitmaps differ in more bits than the
-  sets may differ in shingles. What prefixes share and the shorter one's
-  remainder bound the overlap once more before a set is read. Lists whose
-  members are known to belong together are skipped whole.
+  place where the prefix ends. Position and size tell how large a partner may be
+  at most. Long lists are kept in blocks by size and by that reach, and an entry
+  is joined with the blocks that can hold a partner only: the rest of the list is
+  never read. Of the pairs that meet, those whose parity bitmaps differ in more
+  bits than the sets may differ in shingles go, and what prefixes share and the
+  shorter one's remainder bounds the overlap once more before a set is read.
+  Lists whose members are known to belong together are skipped whole.
 * answer level: equal sets are one set from the start; then each list's first
-  set answers for the sets that look alike, and those confirmed take over its
-  component as their answer. Only pairs across components are still asked, and
-  a list's largest component is never paired with itself.
+  set answers for the sets that look alike. A set that is confirmed so has that
+  leader, and their exact overlap is kept. Other pairs are answered through their
+  leaders: the overlap of two sets is at most that of their leaders and what each
+  set has that its leader lacks. So the leaders' overlap is computed once for all
+  their followers, links them all or rules most pairs out, and only pairs that
+  this difference leaves open are asked on their own sets.
 
 Every pair across components that the bound lets through is verified on the
 whole sets, so no link is lost.
@@ -130,15 +134,20 @@ def _sets(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBat
             yield pa.RecordBatch.from_arrays([*(batch.column(k).slice(part.first, len(sets)) for k in ("_d", "_h")), pa.array([x.tobytes() for x in sets], pa.binary())], names=["_d", "_h", "items"])
 
 
-def _alike(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _overlap(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The exact overlap of two sets, and whether it links them."""
     for batch in batches:
-        kept = []
-        for i, (a, b) in enumerate(zip(batch.column("x"), batch.column("y"), strict=True)):
+        both, linked = [], []
+        for a, b in zip(batch.column("x"), batch.column("y"), strict=True):
             x, y = np.frombuffer(a.as_buffer(), _U), np.frombuffer(b.as_buffer(), _U)
-            both = len(np.intersect1d(x, y, assume_unique=True))
-            if 100 * both >= PERCENT * (len(x) + len(y) - both):
-                kept.append(i)
-        yield batch.select(["u", "v"]).take(pa.array(kept, pa.int64()))
+            both.append(len(np.intersect1d(x, y, assume_unique=True)))
+            linked.append(100 * both[-1] >= PERCENT * (len(x) + len(y) - both[-1]))
+        yield pa.RecordBatch.from_arrays([*(batch.column(k) for k in PAIR), pa.array(both, pa.int64()), pa.array(linked, pa.bool_())], names=[*PAIR, "both", "linked"])
+
+
+PAIR = ("a_d", "a_h", "b_d", "b_h")
+#: Lists of more entries are read in blocks.
+BLOCK = 16
 
 
 def _prefix_length(n: Column) -> Column:
@@ -183,19 +192,51 @@ class _Join:
         self.scratch.drop(listed)
         return index
 
-    def links(self, pairs: DataFrame) -> DataFrame:
-        """(u, v) of the pairs (a, b) that reach the threshold, on their whole sets."""
+    def answers(self, pairs: DataFrame) -> DataFrame:
+        """(a, b, both, linked) of distinct pairs (a, b): the exact overlap of their whole sets."""
         pairs = self.scratch.keep(pairs)
         asked = pairs.select(F.explode(F.array("a", "b")).alias("k")).distinct().select("k._d", "k._h")
         sets = self.scratch.keep(self.texts.join(asked, ["_d", "_h"]).mapInArrow(partial(_sets, size=self.size), "_d long, _h int, items binary"))
         x = sets.select(F.struct("_d", "_h").alias("a"), F.col("items").alias("x"))
         y = sets.select(F.struct("_d", "_h").alias("b"), F.col("items").alias("y"))
-        rows = pairs.join(x, "a").join(y, "b").select(F.col("a._d").alias("u"), F.col("b._d").alias("v"), "x", "y")
-        found = self.scratch.keep(rows.mapInArrow(_alike, "u long, v long"))
+        rows = pairs.join(x, "a").join(y, "b").select(*(F.col(f"{k[0]}._{k[2]}").alias(k) for k in PAIR), "x", "y")
+        found = rows.mapInArrow(_overlap, "a_d long, a_h int, b_d long, b_h int, both long, linked boolean")
+        found = self.scratch.keep(found.select(F.struct(F.col("a_d").alias("_d"), F.col("a_h").alias("_h")).alias("a"), F.struct(F.col("b_d").alias("_d"), F.col("b_h").alias("_h")).alias("b"), "both", "linked"))
         self.scratch.drop(pairs, sets)
         return found
 
 
+def _edges(answers: DataFrame) -> DataFrame:
+    return answers.where("linked").select(F.col("a._d").alias("u"), F.col("b._d").alias("v"))
+
+
+def _band(n: Column) -> Column:
+    """Sizes in classes: the largest partner of a set is at most one class above it."""
+    return F.floor(F.log(n.cast("double")) / F.log(F.lit(100 / PERCENT)))
+
+
+def _reach(n: Column, at: Column) -> Column:
+    """The largest partner that a set can meet at this position: beyond, the shingles from here on are too few."""
+    return F.least(F.floor(100 * n / PERCENT), F.floor((100 + PERCENT) * (n - at + 1) / PERCENT) - n)
+
+
+def _met(left: DataFrame, right: DataFrame) -> DataFrame:
+    """Entries of one list whose size and position allow it; of long lists only blocks that can hold a partner are joined.
+
+    A block holds entries of one size class that reach one size class. An entry
+    asks for the classes between its least and its largest partner that reach its
+    own class.
+    """
+    a_reach, b_reach = _reach(F.col("a_n"), F.col("a_at")), _reach(F.col("b_n"), F.col("b_at"))
+    room = (F.col("b_n") <= a_reach) & (F.col("a_n") <= b_reach)
+    short = left.where(F.col("a_k") <= BLOCK).join(right.where(F.col("b_k") <= BLOCK), "token")
+    least = _band(F.ceil(F.lit(PERCENT) * F.col("a_n") / 100))
+    asks = left.where(F.col("a_k") > BLOCK).withColumn("size", F.explode(F.when(a_reach >= F.ceil(F.lit(PERCENT) * F.col("a_n") / 100), F.sequence(least - 1, _band(a_reach) + 1)).otherwise(F.array().cast("array<bigint>"))))
+    asks = asks.withColumn("reach", F.explode(F.when(F.col("size") + 2 >= _band(F.col("a_n")), F.sequence(_band(F.col("a_n")), F.col("size") + 2)).otherwise(F.array().cast("array<bigint>"))))
+    blocks = right.where((F.col("b_k") > BLOCK) & (b_reach >= 1)).withColumns({"size": _band(F.col("b_n")), "reach": _band(b_reach)})
+    return short.unionByName(asks.join(blocks, ["token", "size", "reach"]).drop("size", "reach")).where(room)
+
+
 def jaccard_components(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
     """A row per input row: doc_id, n_shingles and component_id.
 
@@ -217,7 +258,9 @@ def jaccard_components(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
     votes = votes.groupBy(F.col("s").alias("b"), F.col("head.s").alias("a")).agg(F.count("*").alias("shared"), F.first("n").alias("nb"), F.first("end").alias("eb"), F.first("head.n").alias("na"), F.first("head.end").alias("ea"))
     likely = votes.where(_can_reach(F.col("shared"), F.col("na"), F.col("ea"), F.col("nb"), F.col("eb")))
     best = Window.partitionBy("b").orderBy(F.desc("shared"), "a")
-    links = job.links(likely.withColumn("r", F.row_number().over(best)).where("r <= 2").select("a", "b"))
+    led = job.answers(likely.withColumn("r", F.row_number().over(best)).where("r <= 2").select("a", "b"))
+    links = _edges(led)
+    leader = job.scratch.keep(led.where("linked").groupBy(F.col("b").alias("s")).agg(F.max_by(F.struct(F.col("a").alias("leader"), "both"), F.struct("both", "a")).alias("top")).select("s", "top.leader", "top.both"))
 
     # then all pairs across components
     groups = connected_components(links)
@@ -225,24 +268,34 @@ def jaccard_components(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
     labelled = job.scratch.keep(labelled.select("token", "s", "n", "end", "at", F.coalesce("component", "_d").alias("label")))
     job.scratch.drop(entries)
     by_label = labelled.groupBy("token", "label").agg(F.count("*").alias("k"))
-    lists = by_label.groupBy("token").agg(F.count("*").alias("labels"), F.max(F.struct("k", "label")).alias("top")).where("labels > 1")
-    mixed = labelled.drop("end").join(lists.select("token", F.col("top.label").alias("top")), "token")
+    lists = by_label.groupBy("token").agg(F.count("*").alias("labels"), F.sum("k").alias("k"), F.max(F.struct("k", "label")).alias("top")).where("labels > 1")
+    mixed = labelled.drop("end").join(lists.select("token", "k", F.col("top.label").alias("top")), "token")
     mixed = job.scratch.keep(mixed.join(job.meta.select(F.struct("_d", "_h").alias("s"), *BITS).dropDuplicates(["s"]), "s"))
-    fields = ("s", "n", "at", "label", *BITS)
+    fields = ("s", "n", "at", "label", "k", *BITS)
     left = mixed.where("label != top").select("token", *(F.col(k).alias(f"a_{k}") for k in fields))
     right = mixed.select("token", (F.col("label") == F.col("top")).alias("in_top"), *(F.col(k).alias(f"b_{k}") for k in fields))
-    asked = F.ceil(F.lit(PERCENT) * (F.col("a_n") + F.col("b_n")) / (100 + PERCENT))
-    room = (F.col("a_at") <= F.col("a_n") - asked + 1) & (F.col("b_at") <= F.col("b_n") - asked + 1)
     apart = (F.col("a_label") != F.col("b_label")) & (F.col("in_top") | (F.col("a_s") < F.col("b_s")))
     differ = sum((F.bit_count(F.col(f"a_{b}").bitwiseXOR(F.col(f"b_{b}"))) for b in BITS), F.lit(0))
     close = F.lit(100 + PERCENT) * differ <= F.lit(100 - PERCENT) * (F.col("a_n") + F.col("b_n"))
-    met = left.join(right, "token").where(apart & room & close & (100 * F.least("a_n", "b_n") >= PERCENT * F.greatest("a_n", "b_n")))
+    met = _met(left, right).where(apart & close & (100 * F.least("a_n", "b_n") >= PERCENT * F.greatest("a_n", "b_n")))
     met = met.select(F.least("a_s", "b_s").alias("a"), F.greatest("a_s", "b_s").alias("b")).distinct()
     held = labelled.groupBy("s").agg(F.first("n").alias("n"), F.first("end").alias("end"), F.collect_list("token").alias("tokens"))  # at most a set's prefix
     held = job.scratch.keep(held)
     one, two = (held.select(F.col("s").alias(k), *(F.col(c).alias(f"{k}_{c}") for c in ("n", "end", "tokens"))) for k in ("a", "b"))
     counted = met.join(one, "a").join(two, "b").withColumn("shared", F.size(F.array_intersect("a_tokens", "b_tokens")))
-    more = job.links(counted.where(_can_reach(F.col("shared"), F.col("a_n"), F.col("a_end"), F.col("b_n"), F.col("b_end"))).select("a", "b"))
+    open_ = counted.where(_can_reach(F.col("shared"), F.col("a_n"), F.col("a_end"), F.col("b_n"), F.col("b_end"))).select("a", "b", "a_n", "b_n")
+
+    # answered through the leaders first, then on their own sets where the difference leaves a pair open
+    for k in ("a", "b"):
+        mine = leader.select(F.col("s").alias(k), F.col("leader").alias(f"{k}_leader"), F.col("both").alias(f"{k}_both"))
+        open_ = open_.join(mine, k, "left").withColumn(f"{k}_more", F.coalesce(F.col(f"{k}_n") - F.col(f"{k}_both"), F.lit(0))).withColumn(f"{k}_leader", F.coalesce(f"{k}_leader", k))
+    open_ = open_.withColumns({"la": F.least("a_leader", "b_leader"), "lb": F.greatest("a_leader", "b_leader")}).where("la != lb")
+    open_ = job.scratch.keep(open_.select("a", "b", "la", "lb", (F.col("a_n") + F.col("b_n")).alias("sizes"), (F.col("a_more") + F.col("b_more")).alias("more")))
+    first = job.answers(open_.select(F.col("la").alias("a"), F.col("lb").alias("b")).distinct())
+    derived = open_.where("struct(a, b) != struct(la, lb)").join(first.select(F.col("a").alias("la"), F.col("b").alias("lb"), "both", "linked"), ["la", "lb"])
+    unsure = derived.where(~F.col("linked") & ((100 + PERCENT) * (F.col("both") + F.col("more")) >= PERCENT * F.col("sizes")))
+    second = job.answers(unsure.select("a", "b"))
+    more = _edges(first).unionByName(_edges(second))
 
     job.scratch.drop(mixed, held, labelled)
 
@@ -250,7 +303,7 @@ def jaccard_components(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
     classes = job.scratch.keep(job.meta.where("n > 0").groupBy("n", "f1", "f2").agg(F.min("_d").alias("u"), F.count("*").alias("k")).where("k > 1").drop("k"))
     equal = job.meta.join(classes, ["n", "f1", "f2"]).where("_d != u").select("u", F.col("_d").alias("v"))
     final = connected_components(links.unionByName(more).unionByName(equal))
-    job.scratch.drop(classes, links, more)
+    job.scratch.drop(classes, led, leader, open_, first, second)
     out = job.meta.join(final.select(F.col("node").alias("_d"), "component"), "_d", "left")
     component = F.nullif(F.coalesce("component", "_d"), F.lit(NO_ID))
     return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"))
