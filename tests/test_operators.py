@@ -9,7 +9,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from veridex.functions import text as T
-from veridex.operators import candidates, catalog, dedup, depend, gates, graph, leakage, manifests, metrics, policy, sampling, splits, stats
+from veridex.operators import candidates, catalog, dedup, depend, gates, graph, joins, leakage, manifests, metrics, policy, recovery, rulesets, sampling, splits, stats, traces
 from veridex.sources import readers, writers
 from veridex.streaming import sse
 
@@ -213,8 +213,12 @@ def test_json_readers(spark, tmp_path):
     assert readers.read_json_array(spark, str(tmp_path / "a.json")).count() == 2
     inv = readers.inventory(spark, str(tmp_path), "*.json")
     assert inv.first().bytes == (tmp_path / "a.json").stat().st_size
-    meta = readers.read_metadata(spark, str(tmp_path / "m"), "id int") if (tmp_path / "m").exists() else None
-    assert meta is None
+    (tmp_path / "m" / "deep").mkdir(parents=True)
+    (tmp_path / "m" / "x.json").write_text('{"id": 7,\n "other": 1}')
+    (tmp_path / "m" / "deep" / "y.json").write_text("broken")
+    meta = readers.read_metadata(spark, str(tmp_path / "m"), "id int")
+    assert sorted((r.file.rsplit("/", 1)[1], r.id) for r in meta.collect()) == [("x.json", 7), ("y.json", None)]
+    assert readers.count_elements(spark, str(tmp_path / "a.json")) == 2
 
 
 def test_zip_members_are_checked(spark, tmp_path):
@@ -249,3 +253,87 @@ def test_normalize_text_equals_python(spark, values):
     ascii_space = str.maketrans({c: " " for c in "\x1c\x1d\x1e\x1f"})
     want = [" ".join(unicodedata.normalize("NFKC", v).split()).casefold() for v in values]
     assert [g.translate(ascii_space).split() for g in got] == [w.translate(ascii_space).split() for w in want]
+
+
+def test_every_occurrence_of_a_surface_has_its_offsets(spark):
+    df = spark.createDataFrame([(1, "openness open and Open", ["open", "open  and", "C++", ""]), (2, "C++ (c++) xC++", ["c++"])], "id int, t string, s array<string>")
+    got = rows(leakage.surface_hits(df, "id", "t", "s").select("id", "surface", "matched", "start_offset", "end_offset"), "id", "surface", "start_offset")
+    assert got == [(1, "open", "open", 9, 13), (1, "open", "Open", 18, 22), (1, "open  and", "open and", 9, 17), (2, "c++", "C++", 0, 3), (2, "c++", "c++", 5, 8)]
+
+
+def test_rewrites_are_verified(spark):
+    text, status = leakage.verified_rewrite(F.col("q"), F.col("s"), F.col("a"))
+    cases = [
+        ("Book flights using the Sky Scan service, please", ["Sky Scan"], [], "Book flights, please", "REWRITE_VALID"), ("Sky Scan finds flights", ["Sky Scan"], [], "Sky Scan finds flights", "REWRITE_NOT_APPLICABLE"),
+        ("use GetFare", [], ["GetFare"], "", "REWRITE_UNSAFE_MEANING_LOSS"), ("find cheap fares", ["X"], ["Y"], "find cheap fares", "REWRITE_NOT_APPLICABLE"),
+    ]
+    df = spark.createDataFrame([c[:3] for c in cases], "q string, s array<string>, a array<string>")
+    assert rows(df.select(text, status)) == [c[3:] for c in cases]
+
+
+def test_tightening_rules_known_answers(spark):
+    base = {"task_type": "single", "semantic": "ok", "wrong_gold_flags": "[]", "domain_flags": "", "representative": "true"}
+    cases = [
+        ("track my parcel", "container list", {}, "remove", "R6_object_scope_gate"), ("forecast please", "current weather", {}, "downgrade", "R6_object_scope_gate"), ("list users", "users", {}, "keep", ""),
+        ("then pay", "users", {"task_type": "Composable"}, "downgrade", "R10_composable_dependency_gate"), ("use it to pay", "users", {"task_type": "Composable"}, "keep", ""), ("list users", "users", {"wrong_gold_flags": "[1]"}, "remove", "R4_wrong_gold_set_gate"),
+    ]
+    df = spark.createDataFrame([{"query": q, "gold": g, **base, **more} for q, g, more, _, _ in cases])
+    assert rows(rulesets.tightening_policy(df).select("decision", "label")) == [c[3:] for c in cases]
+
+
+def test_scalars_of_embedded_structures(spark):
+    df = spark.createDataFrame([(1, '{"a": [1, {"b": "x"}], "s": "[True, None]", "t": "{bad}"}'), (2, None), (3, "plain"), (4, "['one', 2]")], "id int, d string")
+    got = sorted((r.id, r.path, r.value, r.kind) for r in traces.flatten(df, "id", "d").collect())
+    assert got == [
+        (1, "$.a[0]", "1", "number"), (1, "$.a[1].b", "x", "string"), (1, "$.s.decoded[0]", "True", "boolean"), (1, "$.s.decoded[1]", None, "null"), (1, "$.t", "{bad}", "string"),
+        (3, "$", "plain", "string"), (4, "$[0]", "one", "string"), (4, "$[1]", "2", "number"),
+    ]
+
+
+def test_joins_refuse_what_they_rely_on(spark):
+    a, b = spark.createDataFrame([(1, "x"), (2, "y")], "id int, v string"), spark.createDataFrame([(1, "p")], "id int, w string")
+    with pytest.raises(ValueError, match="missing"):
+        joins.required_join(a, b, ["id"])
+    with pytest.raises(ValueError, match="unique"):
+        joins.required_join(a.limit(0), b.unionByName(b), ["id"])
+    assert rows(joins.required_join(a.where("id = 1"), b, ["id"])) == [(1, "x", "p")]
+    assert rows(joins.id_difference(a, b, "id")) == [(2, "left")]
+
+
+def test_hard_constraints_name_what_is_broken(spark):
+    data = [(i, i // 2, "train" if i % 10 < 8 else "dev" if i % 10 == 8 else "test", "t", "s", "t|s") for i in range(100)]
+    df = spark.createDataFrame(data, "row_id int, group int, split string, task string, source string, cell string")
+    got = {r.constraint: r.passed for r in splits.hard_constraints(df, {"train": 80, "dev": 10, "test": 10}).collect()}
+    assert {k for k, v in got.items() if not v} == {"H04_relationship_conflicts", "H08_task_minimum", "H11_task_dominance", "H15_source_local_edges"} and len(got) == 15
+
+
+def test_rebuilt_candidates_order(spark):
+    tasks = spark.createDataFrame([("t", "cheap repair shop", "s1", "d1", ["g"])], "task_id string, query string, service string, domain string, gold array<string>")
+    pool = spark.createDataFrame([("a", "s9", "d9", "nothing"), ("b", "s9", "d9", "repair shop"), ("c", "s2", "d1", "x"), ("d", "s1", "d1", "x"), ("e", "s2", "d1", "cheap repair"), ("g", "s1", "d1", "gold")], "candidate string, service string, domain string, document string")
+    assert [r.candidate for r in recovery.rebuilt_candidates(tasks, pool, target=6).orderBy("r").collect()] == ["d", "e", "c", "b", "a"]
+
+
+def test_files_are_indexed_once_and_appends_repeat_safely(spark, tmp_path):
+    src, out, mark = tmp_path / "in", str(tmp_path / "out"), str(tmp_path / "mark")
+    src.mkdir()
+    (src / "a.txt").write_text("one")
+    assert readers.index_files(spark, str(src), out, mark).count() == 1
+    (src / "b.txt").write_text("two")
+    assert sorted(r.bytes for r in readers.index_files(spark, str(src), out, mark).collect()) == [3, 3]
+    assert readers.index_files(spark, str(src), out, mark).count() == 2
+    df = spark.createDataFrame([(1, "x"), (2, "y")], "id int, v string")
+    for batch, some in (("b1", df), ("b2", df.unionByName(spark.createDataFrame([(3, "z")], df.schema))), ("b2", df.unionByName(spark.createDataFrame([(3, "z")], df.schema)))):
+        writers.append_new(some, str(tmp_path / "t"), "id", batch)
+    assert sorted((r.id, r.batch) for r in spark.read.parquet(str(tmp_path / "t")).collect()) == [(1, "b1"), (2, "b1"), (3, "b2")]
+
+
+def test_scratch_needs_a_shared_folder_on_a_cluster():
+    from types import SimpleNamespace
+
+    from veridex.plans.scratch import shared_dir
+
+    conf = SimpleNamespace(get=lambda k, d=None: None)
+    fake = lambda master: SimpleNamespace(conf=conf, sparkContext=SimpleNamespace(master=master, getConf=lambda: conf))
+    assert shared_dir(fake("local[4]"))
+    with pytest.raises(ValueError, match="checkpoint"):
+        shared_dir(fake("spark://x:7077"))

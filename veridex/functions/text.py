@@ -11,8 +11,11 @@ from pyspark.sql.functions import pandas_udf
 
 SPACES = r"[ \t\n\x0B\f\r]+"
 TOKEN = r"[\p{L}\p{N}_]+|[^\p{L}\p{N}_ \t\n\x0B\f\r]"
-#: English words that carry no topic.
-STOPWORDS = ("and", "are", "for", "from", "has", "have", "into", "its", "not", "that", "the", "this", "was", "were", "will", "with", "you", "your")
+# Words that carry no topic.
+STOPWORDS = (
+    "a", "an", "and", "are", "as", "at", "be", "by", "can", "for", "from", "get", "give", "help", "i", "in", "is", "it", "list", "me",
+    "my", "need", "of", "on", "or", "please", "provide", "search", "some", "suggest", "the", "to", "tool", "use", "using", "want", "with",
+)
 
 
 def text_or_empty(c: Column) -> Column:
@@ -164,3 +167,57 @@ def char_ngrams(c: Column) -> Column:
 def gram_bucket(gram: Column, bits: int = 11) -> Column:
     """The low bits of the first 8 bytes of the gram's SHA-256."""
     return F.conv(F.substring(F.sha2(gram, 256), 14, 3), 16, 10).cast("int").bitwiseAND(F.lit((1 << bits) - 1))
+
+
+def task_id(c: Column) -> Column:
+    """A task id without its source prefix, folded."""
+    return F.regexp_replace(normalize_text(c), r"^(?:toolbench|stabletoolbench)[_:\-]+", "")
+
+
+def names_of(c: Column, keys: list[str]) -> Column:
+    """Names in a JSON list of objects (the first key that isn't empty) or of strings; one object or string counts as a list of one."""
+    items = F.coalesce(F.from_json(c, "array<string>"), F.when(present(c).isNotNull(), F.array(c)), F.array().cast("array<string>"))
+    first = lambda x: F.coalesce(*(F.nullif(F.get_json_object(x, f"$.{k}"), F.lit("")) for k in keys))
+    return F.filter(F.transform(items, lambda x: F.when(F.trim(x).startswith("{"), first(x)).otherwise(F.nullif(x, F.lit("")))), lambda x: x.isNotNull())
+
+
+def repacked(c: Column, fields: dict[str, list[str]]) -> Column:
+    """A JSON list of objects in unified fields: each the first of its source keys that isn't empty, else the empty string; plain strings fill the first field ending in _name."""
+    items = F.coalesce(F.from_json(c, "array<string>"), F.when(present(c).isNotNull(), F.array(c)), F.array().cast("array<string>"))
+    named = next(k for k in fields if k.endswith("_name"))
+    take = lambda x, ks: F.coalesce(*(F.nullif(F.get_json_object(x, f"$.{k}"), F.lit("")) for k in ks), F.lit(""))
+    whole = lambda x: F.struct(*(F.when(F.trim(x).startswith("{"), take(x, ks)).otherwise(x if k == named else F.lit("")).alias(k) for k, ks in fields.items()))
+    return F.transform(F.filter(items, lambda x: x.isNotNull() & (x != "")), whole)
+
+
+def unified_task_type(source: Column) -> Column:
+    """The task type that a source's name for it stands for; the first that fits counts."""
+    s = F.lower(F.coalesce(source, F.lit("")))
+    return (
+        F.when(s.contains("composable") | s.contains("g3"), "composable_service_discovery").when(s.contains("multi_api"), "multi_api_recommendation").when(s.contains("multi") | s.contains("g2"), "multi_service_discovery")
+        .when(s.contains("api"), "single_api_recommendation").when(s.contains("single") | s.contains("g1") | s.contains("external"), "single_service_discovery").otherwise("unknown")
+    )
+
+
+# The pool that each policy decision leads to, and the release status and pool of each.
+POOLS = {
+    "source_specific_keep_candidate": "keep_candidate", "source_specific_keep_candidate_as_is": "keep_candidate_as_is", "source_specific_uncertain": "uncertain", "source_specific_remove": "remove",
+    "rewrite_pool_only": "rewrite_pool", "leakage_rewrite_pool": "rewrite_pool", "candidate_space_reconstruction_pool": "reconstruction_pool", "composable_dependency_review_pool": "composable_review_pool",
+    "source_check_only": "source_check_only", "still_clean_candidate": "keep_candidate", "downgrade_to_uncertain": "uncertain", "dryrun_remove": "remove",
+}
+RELEASE = {
+    "keep_candidate": "main_candidate_pool", "keep_candidate_as_is": "main_candidate_pool", "rewrite_pool": "rewrite_candidate_pool", "reconstruction_pool": "reconstruction_candidate_pool",
+    "composable_review_pool": "composable_dependency_review_pool", "remove": "excluded_pool", "source_check_only": "future_source_check_pool",
+}
+
+
+def _looked_up(c: Column, table: dict[str, str], default: str) -> Column:
+    return F.coalesce(F.element_at(F.create_map(*(F.lit(x) for kv in table.items() for x in kv)), F.coalesce(c, F.lit(""))), F.lit(default))
+
+
+def policy_pool(decision: Column) -> Column:
+    return _looked_up(decision, POOLS, "unknown")
+
+
+def release_pool(pool: Column) -> Column:
+    return _looked_up(pool, RELEASE, "not_applicable")

@@ -52,10 +52,16 @@ def deterministic_negatives(values: Column, excluded: Column, seed: Column, limi
 def fill_candidates(tasks: DataFrame, pool: DataFrame, target: int = 12) -> DataFrame:
     """Candidates to add until max(target, gold + 1) are there: same service first, then same domain, then by name.
 
-    tasks: task_id, service, domain, gold_n, have array; pool: candidate, service, domain.
+    tasks: task_id, service, domain, gold_n, have array; pool: candidate, service,
+    domain. Of every domain, and of every service in it, only as many first
+    candidates as the neediest task can ask for are joined.
     """
     need = F.greatest(F.lit(target), F.col("gold_n") + 1) - F.size("have")
     asked = tasks.select("task_id", F.col("service").alias("ts"), "domain", "have", need.alias("need")).where("need > 0")
-    met = asked.join(pool.select("candidate", "service", "domain"), "domain").where(~F.array_contains("have", F.col("candidate")))
-    order = Window.partitionBy("task_id").orderBy(F.when(F.col("service") == F.col("ts"), 0).otherwise(1), "candidate")
+    most = asked.agg(F.max(F.size("have") + F.col("need")).alias("m")).first()["m"] or 0
+    first = lambda *by: pool.withColumn("k", F.row_number().over(Window.partitionBy(*by).orderBy("candidate"))).where(F.col("k") <= most).select("candidate", "service", "domain")
+    own = asked.join(first("domain", "service").withColumnRenamed("service", "ts"), ["domain", "ts"]).select("task_id", "candidate", F.lit(0).alias("o"), "have", "need")
+    any_ = asked.join(first("domain"), "domain").select("task_id", "candidate", F.when(F.col("service") == F.col("ts"), 0).otherwise(1).alias("o"), "have", "need")
+    met = own.unionByName(any_).where(~F.array_contains("have", F.col("candidate"))).dropDuplicates(["task_id", "candidate"])
+    order = Window.partitionBy("task_id").orderBy("o", "candidate")
     return met.withColumn("r", F.row_number().over(order)).where("r <= need").select("task_id", "candidate", "r")

@@ -28,11 +28,37 @@ def surface_pattern(surface: Column) -> Column:
 
 
 def surface_hits(rows: DataFrame, row_id: str, text: str, surfaces: str) -> DataFrame:
-    """(row_id, surface, start, end, generic) of every first occurrence of a row's own surfaces in its text."""
+    """(row_id, surface, matched, start_offset, end_offset, generic) of every occurrence of a row's own surfaces in its text.
+
+    The text between occurrences and the occurrences themselves add up to the
+    offsets, so an equal string that is no occurrence of its own is passed over.
+    """
     each = rows.select(row_id, F.col(text).alias("t"), F.explode(F.array_distinct(surfaces)).alias("surface")).where(F.length(F.trim("surface")) > 0)
-    found = each.withColumn("hit", F.regexp_substr("t", surface_pattern(F.col("surface")))).where("hit is not null")
-    start = F.position(F.col("hit"), F.col("t")) - 1
-    return found.select(row_id, "surface", start.alias("start_offset"), (start + F.length("hit")).alias("end_offset"), is_generic(F.col("surface")).alias("generic"))
+    pattern = surface_pattern(F.col("surface"))
+    found = each.select(row_id, "surface", F.regexp_extract_all("t", pattern, F.lit(0)).alias("hits"), F.transform(F.split("t", pattern, -1), F.length).alias("between")).where("size(hits) > 0")
+    at = found.select(row_id, "surface", "hits", "between", F.posexplode("hits").alias("k", "matched"))
+    total = lambda xs: F.aggregate(xs, F.lit(0), lambda a, x: a + x)
+    start = total(F.slice("between", F.lit(1), F.col("k") + 1)) + total(F.transform(F.slice("hits", F.lit(1), F.col("k")), F.length))
+    return at.select(row_id, "surface", "matched", start.alias("start_offset"), (start + F.length("matched")).alias("end_offset"), is_generic(F.col("surface")).alias("generic"))
+
+
+def target_hits(tasks: DataFrame, services: DataFrame, apis: DataFrame) -> DataFrame:
+    """Distinct hits of a task's gold names in its query, by what the task asks for.
+
+    tasks: task_id, query, target (service or api), gold_services, gold_apis,
+    paired_apis (gold APIs of the paired task); services: service_id, name; apis:
+    api_id, surfaces (array). A service task also reports surfaces of the paired
+    task's APIs, as clues. Returns task_id, target_id, level, matched offsets,
+    generic, and blocking (not generic).
+    """
+    side = lambda column, level, when: tasks.where(when).select("task_id", "query", F.explode(F.array_distinct(column)).alias("target_id"), F.lit(level).alias("level"))
+    is_service = F.col("target") == "service"
+    asked = side("gold_services", "service", is_service).join(services.select(F.col("service_id").alias("target_id"), F.array("name").alias("surfaces")), "target_id")
+    clues = side("paired_apis", "api_clue_in_service_task", is_service).unionByName(side("gold_apis", "api", ~is_service)).join(apis.select(F.col("api_id").alias("target_id"), "surfaces"), "target_id")
+    rows = asked.unionByName(clues).withColumn("key", F.struct("task_id", "target_id", "level"))
+    found = surface_hits(rows, "key", "query", "surfaces")
+    out = found.select("key.*", normalize_ascii(F.col("surface")).alias("surface"), "start_offset", "end_offset", "generic")
+    return out.distinct().withColumn("blocking", ~F.col("generic"))
 
 
 def leak_strength(query: Column, name: Column, dialect: str = "any_long_name") -> Column:
@@ -50,6 +76,50 @@ def remove_names(query: Column, names: Column) -> Column:
     return F.trim(F.regexp_replace(F.regexp_replace(bare, SPACES, " "), r" ([,.!?;:])", "$1"))
 
 
+# Words that carry no meaning of a query.
+MEANINGLESS = (
+    "a", "an", "and", "are", "as", "at", "be", "by", "can", "could", "for", "from", "give", "help", "i", "in", "is", "it", "me", "my", "of", "on",
+    "please", "provide", "the", "to", "use", "using", "via", "want", "with", "would", "you", "api", "service", "tool", "endpoint", "call",
+)
+
+
+def meaning_tokens(query: Column) -> Column:
+    return F.array_sort(F.array_distinct(F.filter(F.regexp_extract_all(F.lower(query), F.lit("[a-z0-9]+"), F.lit(0)), lambda w: ~w.isin(*MEANINGLESS) & (F.length(w) > 1))))
+
+
+def verified_rewrite(query: Column, service_names: Column, api_names: Column) -> tuple[Column, Column]:
+    """The query without its gold names where that is safe, and a status.
+
+    Names go longest first, a service's only after using, with, via or from, an
+    API's only after use, call or using the. Statuses in order:
+    REWRITE_NOT_APPLICABLE (no name there, or one that stands elsewhere),
+    REWRITE_UNSAFE_MEANING_LOSS (too little or other words lost),
+    REWRITE_UNSAFE_GRAMMAR (a connector or conjunction is left alone),
+    REWRITE_STILL_LEAKING, REWRITE_VALID.
+    """
+    quoted = lambda n: F.regexp_replace(F.regexp_replace(F.trim(n), r"([\\^$.|?*+()\[\]{}])", r"\\$1"), r"\s+", r"\\s+")
+    edge = lambda x: F.concat(F.lit("(?i)(?<![A-Za-z0-9])"), x, F.lit(r"(?:\s+(?:api|tool|service|endpoint))?(?![A-Za-z0-9])"))
+    service = lambda n: edge(F.concat(F.lit(r"(?:using|with|via|from)\s+(?:the\s+)?"), quoted(n)))
+    api = lambda n: edge(F.concat(F.lit(r"(?:(?:use|call)\s+(?:the\s+)?"), quoted(n), F.lit(r"|using\s+the\s+"), quoted(n), F.lit(")")))
+    there = lambda q, n: F.rlike(q, F.concat(F.lit("(?i)(?<![A-Za-z0-9])"), quoted(n), F.lit("(?![A-Za-z0-9])")))
+    item = lambda level, pattern: lambda n: F.struct((-F.length(n)).alias("size"), F.lit(level).alias("level"), F.lower(n).alias("key"), n.alias("name"), pattern(n).alias("pattern"))
+    leaking = lambda names: F.filter(names, lambda n: (F.length(F.trim(n)) > 0) & there(query, n))
+    names = F.array_sort(F.concat(F.transform(leaking(service_names), item("service", service)), F.transform(leaking(api_names), item("api", api))))
+    bare = F.aggregate(names, query, lambda q, x: F.regexp_replace(q, x["pattern"], F.lit("")))
+    flat = F.regexp_replace(F.regexp_replace(bare, r"\s+", " "), r"\s+([,.;:!?])", "$1")
+    flat = F.regexp_replace(F.regexp_replace(flat, r"([,;:])\1+", "$1"), r"(?i)\b(?:and|also)\s*([?.!,])", "$1")
+    clean = F.regexp_replace(F.regexp_replace(flat, r"([.!?])\s*([.!?])+", "$1"), r"^[ ,;:]+|[ ,;:]+$", "")
+    gone = F.flatten(F.transform(names, lambda x: F.regexp_extract_all(F.lower(x["name"]), F.lit("[a-z0-9]+"), F.lit(0))))
+    lost = F.array_except(F.array_except(meaning_tokens(query), gone), meaning_tokens(clean))
+    alone = clean.rlike(r"(?i)\b(?:using|with|via|from|use|call)\s+(?:the\s*)?(?:[,.!?]|$)|\b(?:and|also)\s+(?:and|also)\b")
+    stays = F.exists(names, lambda x: ~F.rlike(query, x["pattern"]))
+    status = (
+        F.when((F.size(names) == 0) | stays, "REWRITE_NOT_APPLICABLE").when((F.size(meaning_tokens(clean)) < 2) | (F.size(lost) > 0), "REWRITE_UNSAFE_MEANING_LOSS")
+        .when(alone, "REWRITE_UNSAFE_GRAMMAR").when(F.exists(names, lambda x: there(clean, x["name"])), "REWRITE_STILL_LEAKING").otherwise("REWRITE_VALID")
+    )
+    return F.when(F.size(names) == 0, query).otherwise(clean), status
+
+
 def containment(items: DataFrame, documents: DataFrame, words: int = 5) -> DataFrame:
     """(item_id, doc_id) where the document holds the item's whole normalised text.
 

@@ -101,3 +101,14 @@ def native_delta(native: DataFrame, challenge: DataFrame, key: str, metric: str)
     """Matched rows of two settings and the difference of their metric."""
     both = native.select(key, F.col(metric).alias("native")).join(challenge.select(key, F.col(metric).alias("challenge")), key)
     return both.withColumn("delta", F.round(F.col("challenge") - F.col("native"), 6))
+
+
+def retrieval_manifest(tasks: DataFrame, ranked: DataFrame, catalog: DataFrame, k: int, setting: str, model: str) -> DataFrame:
+    """The manifest of tasks over what was retrieved for them: the first k by rank (then id) instead of candidates of their own.
+
+    tasks: task_id, query; ranked: task_id, candidate_id, rank. Tasks without any
+    retrieved candidate are left out. The same serves a machine challenge, whose
+    ranks are its shuffled order.
+    """
+    top = ranked.where(F.col("rank") <= k).groupBy("task_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("rank", "candidate_id"))), lambda s: s["candidate_id"]).alias("candidates"))
+    return build_manifest(tasks.join(top, "task_id").select("task_id", "query", "candidates"), catalog, setting, model)

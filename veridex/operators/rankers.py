@@ -2,10 +2,17 @@
 
 from __future__ import annotations
 
+import hashlib
+from functools import lru_cache
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.functions import pandas_udf
+from pyspark.sql.types import DoubleType
 
-from veridex.functions.text import char_ngrams, content_tokens, gram_bucket, tokens
+from veridex.functions.text import content_tokens, normalize_ascii, tokens
 
 K1, B = 1.5, 0.75
 
@@ -61,20 +68,37 @@ def bm25_global(queries: DataFrame, documents: DataFrame, k: int, k1: float = K1
     return _ranked(scores, "query_id", "score", "candidate_id").where(F.col("rank") <= k)
 
 
+@lru_cache(1 << 20)
+def _bucket(gram: str) -> int:
+    """gram_bucket of a gram, remembered: few grams make up most texts."""
+    return int.from_bytes(hashlib.sha256(gram.encode()).digest()[:8], "big") & (BUCKETS - 1)
+
+
+BUCKETS = 2048
+
+
+def _vector(text: str) -> np.ndarray:
+    padded = f"  {text}  "
+    return np.bincount([_bucket(padded[i : i + n]) for n in (2, 3, 4) for i in range(len(padded) - n + 1)], minlength=BUCKETS).astype(float)
+
+
+@pandas_udf(DoubleType())
+def _gram_cosine(a: pd.Series, b: pd.Series) -> pd.Series:
+    """The cosine of two texts' hashed n-gram counts, row by row."""
+    seen: dict[str, np.ndarray] = {}
+    out = []
+    for x, y in zip(a, b, strict=True):
+        if x not in seen:
+            seen = {x: _vector(x)}  # a query's candidates come one after the other
+        p, q = seen[x], _vector(y)
+        out.append(float(p @ q / (np.linalg.norm(p) * np.linalg.norm(q))))
+    return pd.Series(out)
+
+
 def ngram_cosine(pairs: DataFrame) -> DataFrame:
-    """Rank candidates by the cosine of hashed character n-gram counts."""
-    def counts(rows: DataFrame, ids: list[str], text: str, name: str) -> DataFrame:
-        grams = rows.select(*ids, F.explode(char_ngrams(F.col(text))).alias("gram")).groupBy(*ids, "gram").agg(F.count("*").alias("k"))
-        return grams.groupBy(*ids, gram_bucket(F.col("gram")).alias("bucket")).agg(F.sum("k").alias(name))
-
-    q = counts(pairs.select("query_id", "query").distinct(), ["query_id"], "query", "qc")
-    d = counts(pairs, ["query_id", "candidate_id"], "document", "c")
-    qn = q.groupBy("query_id").agg(F.sqrt(F.sum(F.col("qc") * F.col("qc"))).alias("qn"))
-    dn = d.groupBy("query_id", "candidate_id").agg(F.sqrt(F.sum(F.col("c") * F.col("c"))).alias("dn"))
-    dot = d.join(q, ["query_id", "bucket"]).groupBy("query_id", "candidate_id").agg(F.sum(F.col("c") * F.col("qc")).alias("dot"))
-    out = dn.join(dot, ["query_id", "candidate_id"], "left").join(qn, "query_id")
-    out = out.withColumn("score", F.coalesce("dot", F.lit(0)) / (F.col("dn") * F.col("qn"))).select("query_id", "candidate_id", "score")
-    return _ranked(out, "query_id", "score", "candidate_id")
+    """Rank candidates by the cosine of hashed character n-gram counts; counts stay inside each row, only the final rank shuffles."""
+    score = _gram_cosine(normalize_ascii(F.col("query")), normalize_ascii(F.col("document")))
+    return _ranked(pairs.select("query_id", "candidate_id", score.alias("score")), "query_id", "score", "candidate_id")
 
 
 def token_overlap(pairs: DataFrame) -> DataFrame:

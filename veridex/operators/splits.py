@@ -73,3 +73,63 @@ def constraint_rows(rows: DataFrame, split: str, group: str, labels: list[str],
         lost = rows.groupBy(label).agg(F.count_distinct(split).alias("k")).agg(F.count_if(F.col("k") < 3).alias("bad"))
         out = out.unionByName(lost.select(F.lit(f"label_in_all_splits:{label}").alias("constraint"), (F.col("bad") == 0).alias("passed"), F.col("bad").cast("double").alias("observed")))
     return out
+
+
+def hard_constraints(rows: DataFrame, targets: dict[str, int], small: int = 20, least: int = 20, cell_least: int = 5, large: int = 1000, dominance: tuple[float, float] = (0.15, 0.7), ratio_tolerance: float = 0.05, relaxed: float = 0.0) -> DataFrame:
+    """(constraint, passed, observed) for H01 to H15 of a finished assignment; observed counts violations, or is the measured number.
+
+    rows: row_id, group, split, task, source, cell (task and source), legacy. A
+    constraint about tasks or cells looks at every one of them. `small` and `large`
+    are least numbers of groups and rows for a minimum and for a ratio to be asked;
+    `relaxed` is the share that sizes may be off.
+    """
+    n = rows.agg(F.count("*").alias("n"), F.count_distinct("row_id").alias("ids"), F.count_if(F.col("split").isNull()).alias("open"), F.count_if(~F.col("split").isin(*targets)).alias("odd"), *(F.count_if(F.col("split") == s).alias(s) for s in targets))
+    groups = rows.groupBy("group").agg(F.count_distinct("split").alias("k")).agg(F.count_if(F.col("k") > 1).alias("torn"))
+    of = lambda key: rows.groupBy(key).agg(F.count("*").alias("total"), F.count_distinct("group").alias("groups"), F.count_if(F.col("split") == "test").alias("test"), F.count_if(F.col("split") == "dev").alias("dev"))
+    sizes = n.select(F.col("n").alias("all"), F.col("test").alias("all_test"))
+    least_of = lambda most: F.when(F.col("groups") >= small, most).otherwise(1)
+    tasks = of("task").join(F.broadcast(sizes), F.lit(True)).agg(
+        F.count_if(F.col("test") == 0).alias("without"), F.count_if(F.col("test") < least_of(least)).alias("few"),
+        F.count_if(F.col("test") / F.greatest("all_test", F.lit(1)) > F.least(F.lit(dominance[1]), F.col("total") / F.col("all") + dominance[0]) + 1e-12).alias("dominant"),
+    )
+    off = lambda k: F.abs(F.col(k) / F.col("total") - F.lit(targets.get(k, 0)) / F.col("all")) > ratio_tolerance + 1e-12
+    cells = of("cell").join(F.broadcast(sizes), F.lit(True)).agg(
+        F.count_if((F.col("groups") >= small) & (F.col("test") < cell_least)).alias("few_cells"), F.count_if((F.col("total") >= large) & (F.col("groups") >= small) & (off("dev") | off("test"))).alias("off_cells"),
+        F.count_if((F.col("total") > 0) & (F.col("test") == 0) & (F.col("groups") >= 3)).alias("lost_cells"),
+    )
+    one = n.join(groups, F.lit(True)).join(tasks, F.lit(True)).join(cells, F.lit(True))  # each is a single row
+    miss = lambda k: F.abs(F.col(k) - targets[k]) > max(1, int(targets[k] * relaxed)) if relaxed else F.col(k) != targets[k]
+    bad = lambda c: (c == 0, c)
+    checks = {
+        "H01_group_unsplit": bad(F.col("odd")), "H02_tasks_in_test": bad(F.col("without")), "H03_identity_group_overlap": bad(F.col("open")), "H04_relationship_conflicts": bad(F.col("torn")),
+        "H05_content_duplicate_conflicts": bad(F.col("n") - F.col("ids")), "H06_test_size": (~miss("test"), F.col("test")), "H07_dev_size": (~miss("dev"), F.col("dev")), "H08_task_minimum": bad(F.col("few")),
+        "H09_source_task_minimum": bad(F.col("few_cells")), "H10_named_cell_in_test": bad(F.col("lost_cells")), "H11_task_dominance": bad(F.col("dominant")), "H12_content_immutable": bad(F.col("n") - F.col("ids")),
+        "H13_large_source_task_ratio": bad(F.col("off_cells")), "H14_no_row_mutation": bad(F.col("n") - F.col("ids")), "H15_source_local_edges": bad(F.col("torn")),
+    }
+    each = F.array(*(F.struct(F.lit(k).alias("constraint"), passed.alias("passed"), seen.cast("double").alias("observed")) for k, (passed, seen) in checks.items()))
+    return one.select(F.explode(each).alias("c")).select("c.*")
+
+
+def scope_audit(rows: DataFrame, source: str, fields: list[str]) -> DataFrame:
+    """For each identity field: distinct values, values that several sources use, rows under them, and star edges before and after values are scoped by source."""
+    each = rows.select(F.col(source).alias("_s"), F.explode(F.array(*(F.struct(F.lit(f).alias("field"), present(F.col(f)).alias("value")) for f in fields))).alias("x")).select("_s", "x.*").where("value is not null")
+    cells = each.groupBy("field", "value", "_s").agg(F.count("*").alias("n"))
+    values = cells.groupBy("field", "value").agg(F.count("*").alias("sources"), F.sum("n").alias("n"))
+    return values.groupBy("field").agg(
+        F.count("*").alias("distinct_values"), F.count_if(F.col("sources") > 1).alias("shared_values"), F.sum(F.when(F.col("sources") > 1, F.col("n")).otherwise(0)).alias("affected_rows"),
+        F.sum(F.col("n") - 1).alias("edges_before"), F.sum(F.col("n") - F.col("sources")).alias("edges_after"),
+    )
+
+
+def group_profiles(rows: DataFrame, group: str, labels: dict[str, list[str]]) -> DataFrame:
+    """Groups with equal count vectors together: a profile (counts of every listed label), how many groups and rows have it, and its first group."""
+    counts = [F.count_if(F.col(column) == value).alias(f"{column}={value}") for column, values in labels.items() for value in values]
+    vectors = rows.groupBy(group).agg(F.count("*").alias("n"), *counts)
+    names = [c for c in vectors.columns if c not in (group, "n")]
+    return vectors.groupBy(F.to_json(F.array(*names)).alias("profile"), "n").agg(F.count("*").alias("groups"), F.min(group).alias("first_group"))
+
+
+def recommended(candidates: DataFrame) -> DataFrame:
+    """The valid assignment that is best in this order: task dominance, cell, task and source distance, smallest task and cell (more is better), moved rows and groups, hash."""
+    order = ["maximum_task_test_share", "cell_test_l1", "task_test_l1", "source_test_l1", F.desc("minimum_task_test_rows"), F.desc("minimum_eligible_cell_test_rows"), "moved_rows", "moved_groups", "assignment_hash"]
+    return candidates.where("valid").orderBy(*order).limit(1)

@@ -90,9 +90,11 @@ def bootstrap_interval(df: DataFrame, value: str, group: list[str], repetitions:
     """A 95 % bootstrap interval of each group's mean.
 
     Row i of repetition r weighs as a Poisson(1) draw that a hash of (seed, r, row)
-    fixes, so resamples need no shuffle of rows and come out the same everywhere.
+    fixes, so resamples need no shuffle of rows and come out the same everywhere:
+    u is the first 52 bits of the SHA-256 of seed, r and row. Sums are partly
+    aggregated before they are shuffled, so what moves is repetitions times groups.
     """
-    u = (F.xxhash64(F.lit(seed), F.col("r"), F.col("_id")).bitwiseAND(F.lit((1 << 52) - 1)) + 0.5) / float(1 << 52)
+    u = (F.conv(F.substring(F.sha2(F.concat_ws(":", F.lit(str(seed)), F.col("r").cast("string"), F.col("_id").cast("string")), 256), 1, 13), 16, 10).cast("double") + 0.5) / float(1 << 52)
     cuts = [0.36787944117144233, 0.7357588823428847, 0.9196986029286058, 0.9810118431238462, 0.9963401531726563, 0.9994058151824183]  # Poisson(1) distribution function
     weight = sum((F.when(F.col("u") > c, 1).otherwise(0) for c in cuts), F.lit(0))
     rows = df.withColumn("r", F.explode(F.sequence(F.lit(1), F.lit(repetitions)))).withColumn("u", u).withColumn("w", weight)
@@ -102,12 +104,13 @@ def bootstrap_interval(df: DataFrame, value: str, group: list[str], repetitions:
     return bounds.join(df.groupBy(*group).agg(F.avg(value).alias("mean")), group) if group else bounds
 
 
-def fit_cardinality(df: DataFrame, max_k: int = 20, least_rows: int = 5) -> DataFrame:
+def fit_cardinality(df: DataFrame, max_k: int = 20, least_rows: int = 5, fixed: str | None = None) -> DataFrame:
     """The number of entries to select for each task type and candidate bucket.
 
     df: task_type, ranking, alternatives. Single-answer tasks take one; a stratum
     of at least `least_rows` takes the K of best mean F1 (smallest on a tie), any
-    other the usual gold size of its task.
+    other the usual gold size of its task. With `fixed` only that task type takes
+    one, and with least_rows=1 no stratum falls back: the other dialect.
     """
     rows = df.withColumn("alternatives", F.filter("alternatives", lambda a: F.size(a) > 0)).where("size(alternatives) > 0")
     rows = rows.withColumns({"bucket": candidate_bucket(F.size("ranking")), "gold_n": F.array_max(F.transform("alternatives", F.size))})
@@ -119,7 +122,7 @@ def fit_cardinality(df: DataFrame, max_k: int = 20, least_rows: int = 5) -> Data
     means = at_k.withColumn("f1", f1).groupBy("task_type", "bucket", "k").agg(F.round(F.avg("f1"), 12).alias("f1"))
     best = means.groupBy("task_type", "bucket").agg(F.max_by(F.struct("k", "f1"), F.struct("f1", -F.col("k"))).alias("b"))
     out = size.join(best, ["task_type", "bucket"]).join(fallback, "task_type")
-    single = F.col("task_type").startswith("single_")
+    single = F.col("task_type").startswith("single_") if fixed is None else F.col("task_type") == fixed
     enough = F.col("n") >= least_rows
     return out.select(
         "task_type", "bucket", "n",
@@ -138,3 +141,17 @@ def select_global_k(means: DataFrame, ks: tuple[int, ...] = (5, 10, 20, 50), sha
 
 def top_per_group(df: DataFrame, group: list[str], order: list[Column], k: int) -> DataFrame:
     return df.withColumn("rank", F.row_number().over(Window.partitionBy(*group).orderBy(*order))).where(F.col("rank") <= k)
+
+
+def mrr_gate(observed: DataFrame, expected: DataFrame, tolerance: float = 0.01) -> DataFrame:
+    """Whether the mean reciprocal rank of random rankings is as near to its analytical value as it must be. Both sides have one column `mrr`."""
+    a, b = observed.agg(F.avg("mrr").alias("observed")), expected.agg(F.avg("mrr").alias("expected"))
+    off = F.abs(F.col("observed") - F.col("expected"))
+    return a.join(b, F.lit(True)).select("observed", "expected", F.coalesce(off <= tolerance, F.lit(False)).alias("passed"))
+
+
+def mean_of_shared(rows: DataFrame, row_id: str, name: str, value: str) -> DataFrame:
+    """(name, mean) of the metrics that every row has; others are left out."""
+    n = rows.agg(F.count_distinct(row_id).alias("_n"))
+    by = rows.where(F.col(value).isNotNull() & ~F.isnan(F.col(value).cast("double"))).groupBy(name).agg(F.count_distinct(row_id).alias("_k"), F.avg(value).alias("mean"))
+    return by.join(F.broadcast(n), F.lit(True)).where("_k = _n").select(name, "mean")

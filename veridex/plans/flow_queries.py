@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from veridex.operators import depend as E
@@ -94,17 +94,17 @@ def sample_challenge(t: Tables) -> DataFrame:
 
 
 def turn_values(t: Tables) -> tuple[DataFrame, DataFrame]:
-    """Conversations as traces: an assistant's words are outputs, a user's are arguments; the system turn is the query."""
+    """Conversations as traces: an assistant's words (of four letters and more, as values are) are outputs, a user's are arguments; the system turn is the query."""
     c = t.conversations
     head = c.groupBy("conv_id").agg(F.max(F.when(F.col("role") == "system", F.col("text"))).alias("query"))
     steps = c.join(head, "conv_id").select(F.col("conv_id").alias("trace_id"), F.col("turn").alias("step"), F.when(F.col("text").contains("token"), "failed").otherwise("ok").alias("status"), F.coalesce("query", F.lit("")).alias("query"))
-    words = F.array_distinct(F.filter(F.split("text", r"[ \t\n\x0B\f\r]+"), lambda w: F.length(w) >= 12))
+    words = F.array_distinct(F.filter(F.split("text", r"[ \t\n\x0B\f\r]+"), lambda w: F.length(w) >= 4))
     values = c.where("role <> 'system'").select(F.col("conv_id").alias("trace_id"), F.col("turn").alias("step"), F.posexplode(words).alias("pos", "value"), F.when(F.col("role") == "assistant", "output").otherwise("argument").alias("role"))
     return steps, values.select("trace_id", "step", F.concat(F.lit("$["), "pos", F.lit("]")).alias("path"), "value", "role")
 
 
 _EDGES = f"""with c as (select conv_id as tr, turn as st, role, text from conversations), q as (select tr, coalesce(max(text) filter (role = 'system'), '') as query from c group by 1), s as (select c.tr, st, case when contains(text, 'token') then 'failed' else 'ok' end as status, {sql_norm('query')} as query from c join q on q.tr = c.tr),
-w as (select tr, st, role, list_distinct_ordered from (select tr, st, role, list_filter(string_split_regex(text, '[ \\t\\n\\x0B\\f\\r]+'), lambda x: length(x) >= 12) as list_distinct_ordered from c where role <> 'system')),
+w as (select tr, st, role, list_distinct_ordered from (select tr, st, role, list_filter(string_split_regex(text, '[ \\t\\n\\x0B\\f\\r]+'), lambda x: length(x) >= 4) as list_distinct_ordered from c where role <> 'system')),
 v0 as (select tr, st, role, unnest(list_distinct_ordered) as value, generate_subscripts(list_distinct_ordered, 1) as pos from w), v1 as (select tr, st, role, value, min(pos) as pos from v0 group by 1, 2, 3, 4),
 v as (select tr, st, case role when 'assistant' then 'output' else 'argument' end as role, {sql_norm('value')} as norm, '$[' || (row_number() over (partition by tr, st order by pos) - 1) || ']' as path from v1),
 fq as (select norm, count(distinct tr) as traces from v where role = 'argument' group by 1),
@@ -132,14 +132,22 @@ def depend_acyclic(t: Tables) -> DataFrame:
     return E.is_acyclic(edges, "trace_id", "from_step", "to_step").agg(F.count_if("acyclic").alias("acyclic_graphs"))
 
 
-@query("select r_regionkey, 1::bigint as components from region")
+@query("select r_regionkey, count(distinct n_nationkey % 2) as components from region join nation on n_regionkey = r_regionkey group by 1")
 def depend_components(t: Tables) -> DataFrame:
-    nodes = t.nation.select(F.col("n_regionkey").alias("r_regionkey"), F.col("n_nationkey").alias("node"))
-    first = nodes.groupBy("r_regionkey").agg(F.min("node").alias("first"))
-    edges = nodes.join(first, "r_regionkey").select("r_regionkey", F.col("first").alias("a"), F.col("node").alias("b"))
+    nodes = t.nation.select(F.col("n_regionkey").alias("r_regionkey"), F.col("n_nationkey").alias("node"), (F.col("n_nationkey") % 2).alias("side"))
+    first = nodes.groupBy("r_regionkey", "side").agg(F.min("node").alias("first"))
+    edges = nodes.join(first, ["r_regionkey", "side"]).select("r_regionkey", F.col("first").alias("a"), F.col("node").alias("b"))
     return E.component_count(edges, nodes, "r_regionkey", "a", "b", "node")
 
 
+@query("""with l as (select distinct l_orderkey, l_linenumber from lineitem), n as (select l_orderkey, count(*) as k from l group by 1) select l_orderkey, not (l_orderkey % 3 = 0) as acyclic from n where k > 1""")
+def depend_cycles(t: Tables) -> DataFrame:
+    lines = t.lineitem.select("l_orderkey", F.col("l_linenumber").alias("u")).distinct()
+    after = lines.withColumn("v", F.lead("u").over(Window.partitionBy("l_orderkey").orderBy("u"))).where("v is not null")
+    back = lines.where("l_orderkey % 3 = 0").groupBy("l_orderkey").agg(F.max("u").alias("u"), F.min("u").alias("v")).where("u > v")  # the last step leads to the first again
+    return E.is_acyclic(after.unionByName(back), "l_orderkey", "u", "v")
+
+
 @query("""with x as (select l_orderkey as trace_id, list(distinct l_suppkey % 5) as sv, count(*) as calls, count(distinct l_partkey) as dc, count(*) filter (l_returnflag = 'R') as strong from lineitem group by 1)
 select trace_id, concat_ws(';', case when strong = 0 then 'no_strong_edge' end, case when len(sv) < 2 then 'single_service' end, case when calls <> dc then 'redundant_call' end, case when list_contains(sv, 4) then 'service_outside_candidates' end, case when 4 <= len(sv) then 'no_negative_candidate' end) as reasons,
 strong > 0 and len(sv) >= 2 and calls = dc and not list_contains(sv, 4) and 4 > len(sv) as necessary from x""")
@@ -168,9 +176,12 @@ def manifest_native(t: Tables) -> DataFrame:
     return _manifest(t).select("task_id", "cache_key", F.size("visible_input.candidates").cast("long").alias("n_candidates"))
 
 
-@query("select 0::bigint as issues")
+@query("with k as (select distinct l_orderkey as k from lineitem) select 'repeated_key' as issue, 2 * count(*) as n from k where k % 5 = 0 union all select 'empty:model', count(*) from k where k % 7 = 0 union all select 'empty:setting', count(*) from k where k % 11 = 0")
 def manifest_issue_count(t: Tables) -> DataFrame:
-    return M.manifest_issues(_manifest(t)).agg(F.count("*").alias("issues"))
+    sound = _manifest(t)
+    odd = lambda field, n: sound.where(f"task_id % {n} = 0").withColumns({"cache_key_fields": F.col("cache_key_fields").withField(field, F.lit("")), "cache_key": F.concat("cache_key", F.lit(field))})
+    faulty = sound.unionByName(sound.where("task_id % 5 = 0")).unionByName(odd("model", 7)).unionByName(odd("setting", 11))
+    return M.manifest_issues(faulty).groupBy("issue").agg(F.count("*").alias("n"))
 
 
 @query("select role, count(*) as n, sum(ceil(length(text) / 4))::bigint as tokens, greatest(64, 8 * max(turn)) as answer from conversations group by 1")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from veridex.functions.text import STOPWORDS
 from veridex.operators import metrics as M
 from veridex.operators import rankers as R
 from veridex.operators import stats as S
@@ -140,10 +141,14 @@ def stats_random_mrr(t: Tables) -> DataFrame:
     return rows.withColumn("random_mrr", F.round(S.random_mrr(F.col("n"), F.col("m")), 6))
 
 
-@query()
+@query("""with x as (select toxic, quality, r, (('0x' || substr(sha256('20260806:' || r || ':' || doc_id), 1, 13))::bigint::double + 0.5) / 4503599627370496.0 as u from labels, (select unnest(generate_series(1, 500)) as r)),
+w as (select toxic, quality, r, (u > 0.36787944117144233)::int + (u > 0.7357588823428847)::int + (u > 0.9196986029286058)::int + (u > 0.9810118431238462)::int + (u > 0.9963401531726563)::int + (u > 0.9994058151824183)::int as w from x),
+m as (select toxic, r, sum(w * quality) / greatest(sum(w), 1)::double as m from w group by 1, 2), o as (select toxic, list(m order by m) as o, count(*) as n from m group by 1), a as (select toxic, avg(quality) as mean from labels group by 1)
+select toxic, round(o[13], 9) as low, round(o[487], 9) as high, n as repetitions, round(mean, 9) as mean from o join a using (toxic)""")
 def stats_bootstrap(t: Tables) -> DataFrame:
     rows = t.labels.withColumn("_id", F.col("doc_id"))
-    return S.bootstrap_interval(rows, "quality", ["toxic"])
+    out = S.bootstrap_interval(rows, "quality", ["toxic"])
+    return out.select("toxic", *(F.round(c, 9).alias(c) for c in ("low", "high", "mean")), "repetitions")
 
 
 @query("""with base as (select l_orderkey as q, cast(l_partkey as varchar) as c, row_number() over (partition by l_orderkey order by l_extendedprice desc, l_partkey, l_linenumber) as rn, l_returnflag as f from lineitem),
@@ -217,9 +222,14 @@ def rank_ngram_cosine(t: Tables) -> DataFrame:
     return R.ngram_cosine(conversation_pairs(t)).select("query_id", "candidate_id", F.round("score", 6).alias("score"))
 
 
-@query()
+def _content(x: str) -> str:
+    stop = ", ".join(f"'{w}'" for w in STOPWORDS)
+    return f"list_distinct(list_filter(regexp_extract_all(lower({x}), '[a-z][a-z0-9]{{2,}}'), lambda w: w not in ({stop})))"
+
+
+@query(_PAIRS + f", s as (select query_id, candidate_id, len(list_intersect({_content('query')}, {_content('document')}))::double as score from p) select *, row_number() over (partition by query_id order by score desc, candidate_id) as rank from s")
 def rank_token_overlap(t: Tables) -> DataFrame:
-    return R.token_overlap(conversation_pairs(t))
+    return R.token_overlap(conversation_pairs(t)).withColumn("rank", F.col("rank").cast("long"))
 
 
 @query(_PAIRS + " select query_id, candidate_id, row_number() over (partition by query_id order by sha256('7' || chr(1) || query_id || chr(1) || candidate_id), candidate_id) as rank from p")

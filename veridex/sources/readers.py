@@ -62,7 +62,7 @@ def inventory(spark: SparkSession, path: str, pattern: str = "*") -> DataFrame:
 
 def read_metadata(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """Every .json file below a folder as one row, with its path."""
-    files = spark.read.option("wholetext", True).option("recursiveFileLookup", True).option("pathGlobFilter", "*.json").text(path)
+    files = spark.read.text(path, wholetext=True, recursiveFileLookup=True, pathGlobFilter="*.json")
     return files.select(F.col("_metadata.file_path").alias("file"), F.from_json("value", schema).alias("v")).select("file", "v.*")
 
 
@@ -95,3 +95,47 @@ def field_inventory(rows: DataFrame, fields: list[str], first: int = 100, order:
     found = some.groupBy("field").agg(kind.alias("kind"))
     names = rows.sparkSession.createDataFrame([(f,) for f in fields], "field string")
     return names.join(found, "field", "left").select("field", F.coalesce("kind", F.lit("empty")).alias("kind"))
+
+
+def count_elements(spark: SparkSession, path: str) -> int:
+    """Elements of a file that is one JSON array, without keeping any."""
+    return spark.read.schema("_x string").option("multiLine", True).json(path).count()
+
+
+def mine_records(rows: DataFrame, row_id: str, text: str, schema: str) -> DataFrame:
+    """(row_id, fields of schema) of JSON records inside pages: contents of application/json scripts, an object or an array each."""
+    bodies = F.regexp_extract_all(F.col(text), F.lit(r"(?is)<script[^>]*application/(?:ld\+)?json[^>]*>(.*?)</script>"), F.lit(1))
+    found = rows.select(row_id, F.explode(bodies).alias("b"))
+    parsed = F.coalesce(F.when(F.ltrim("b").startswith("["), F.from_json("b", f"array<struct<{schema}>>")), F.array(F.from_json("b", f"struct<{schema}>")))
+    return found.select(row_id, F.explode(parsed).alias("r")).where("r is not null").select(row_id, "r.*")
+
+
+def checked_registry(entries: DataFrame, records: DataFrame, forbidden: tuple[str, ...] = ("union", "cross_source", "cross-source", "merged")) -> DataFrame:
+    """Entries of a catalog registry with the reasons that block them, and SAFE or BLOCKED.
+
+    entries: catalog_id, path, size, sha256, scope_status, primary (strings); records:
+    catalog_id, actual_sha256, candidate_id, name, description, one row a record that
+    was read, of all catalogs together.
+    """
+    by = records.groupBy("catalog_id").agg(F.count_distinct("candidate_id").alias("actual_size"), F.first("actual_sha256").alias("actual_sha256"), F.count_if(present(F.col("candidate_id")).isNull() | (present(F.col("name")).isNull() & present(F.col("description")).isNull())).alias("bad"))
+    clash = records.groupBy("catalog_id", "candidate_id").agg(F.count_distinct(F.struct("name", "description")).alias("k")).where("k > 1").select("catalog_id", F.lit(True).alias("clash")).distinct()
+    df = entries.join(by, "catalog_id", "left").join(clash, "catalog_id", "left")
+    marker = F.lower(F.concat_ws(" ", "catalog_id", "path"))
+    named = F.lit(False)
+    for word in forbidden:
+        named = named | marker.contains(word)
+    reasons = F.array_compact(F.array(
+        F.when(named, F.lit("FORBIDDEN_MARKER")), F.when(F.col("actual_size").isNull(), F.lit("CATALOG_MISSING")),
+        F.when(~F.coalesce(F.col("scope_status").startswith("PASS"), F.lit(False)) | (F.lower(F.coalesce("primary", F.lit(""))) != "true"), F.lit("NOT_PRIMARY_PASSING")),
+        F.when(present(F.col("sha256")).isNotNull() & (F.col("sha256") != F.col("actual_sha256")), F.lit("SHA256_MISMATCH")), F.when((F.col("bad") > 0) | F.coalesce("clash", F.lit(False)), F.lit("SCHEMA_INVALID")),
+        F.when(F.col("actual_size") != F.coalesce(F.expr("try_cast(size as bigint)"), F.lit(-1)), F.lit("SIZE_MISMATCH")),
+    ))
+    return df.select("catalog_id", reasons.alias("reasons"), F.when(F.size(reasons) == 0, "SAFE").otherwise("BLOCKED").alias("status"), F.coalesce("actual_size", F.lit(0)).alias("actual_size"))
+
+
+def index_files(spark: SparkSession, folder: str, out: str, checkpoint: str, pattern: str = "*") -> DataFrame:
+    """The index of a folder's files (path, bytes, SHA-256), brought up to date: a stream whose checkpoint remembers what was read, so a file is hashed once however often this runs."""
+    files = spark.readStream.format("binaryFile").schema("path string, modificationTime timestamp, length bigint, content binary").option("pathGlobFilter", pattern).option("recursiveFileLookup", True).load(folder)
+    rows = files.select("path", F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256"))
+    rows.writeStream.format("parquet").option("path", out).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()
+    return spark.read.parquet(out)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -25,3 +26,14 @@ def write_partitioned(df: DataFrame, path: str, by: list[str]) -> None:
 def file_manifest(inventory: DataFrame) -> DataFrame:
     """SHA256SUMS lines of an inventory, by name."""
     return inventory.select(F.concat_ws("  ", "sha256", "name").alias("line"), "name").orderBy("name").select("line")
+
+
+def append_new(rows: DataFrame, path: str, key: str, batch: str) -> None:
+    """Append the rows whose key isn't there yet as partition `batch`; running the same batch again replaces it, so a repeated run adds nothing."""
+    spark = rows.sparkSession
+    try:
+        known = spark.read.parquet(path).where(F.col("batch") != batch).select(key).distinct()
+        rows = rows.join(known, key, "left_anti")
+    except AnalysisException:  # nothing there yet
+        pass
+    rows.withColumn("batch", F.lit(batch)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch").parquet(path)
