@@ -646,12 +646,69 @@ def test_simhash_of_edited_windows_stays_near(spark):
     assert far == 0
 
 
-def test_pipeline_keeps_columns_and_clean_documents(spark):
+def held_items(docs, items):
+    """(doc_id, item_id) by brute force over all windows as long as the item."""
+    norm = lambda t: re.findall(r"[^\W_]+", (t or "").lower())
+    bag = lambda w: collections.Counter(tuple(w[i : i + 5]) for i in range(len(w) - 4)) if len(w) >= 5 else collections.Counter([tuple(w)])
+    found = set()
+    for d, t in docs:
+        w = norm(t)
+        for i, x in items:
+            v = norm(x)
+            if v and w and any(sum((bag(w[s : s + len(v)]) & bag(v)).values()) >= 0.75 * sum((bag(w[s : s + len(v)]) | bag(v)).values()) for s in range(max(1, len(w) - len(v) + 1))):
+                found.add((d, i))
+    return found
+
+
+def test_pipeline_against_brute_force(spark, tmp_path):
+    """What comes out of all five stages, document by document: which ones, and the exact ids of their redacted texts."""
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
     import corpus_pipeline
 
-    sf = "/root/testdata/sf0.001"
-    docs = spark.read.parquet(f"{sf}/documents.parquet")
-    for _, stage in corpus_pipeline.STAGES[:-1]:
-        docs = stage(spark, docs, sf)
-        assert docs.columns == ["doc_id", "text", "lang", "source", "n_chars"]
-    assert 120 < docs.count() < 200
+    rng = random.Random(17)
+    items = [(k, prose(rng, 30)) for k in range(4)]
+    docs = [(k, prose(rng, rng.randint(55, 120))) for k in range(1, 13)]
+    docs += [(20, docs[0][1]), (21, docs[1][1] + " one more"), (22, prose(rng, 40)), (23, "the same three words " * 30), (24, prose(rng, 40) + " " + items[1][1] + " " + prose(rng, 20)), (25, None), (26, "")]
+    docs += [(30, prose(rng, 60) + " mail a.b@c.de or call +49 30 1234567, card 4111 1111 1111 1111"), (31, prose(rng, 60) + " host 10.0.0.1 and <|endoftext|> here"), (32, prose(rng, 2600))]
+    spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in docs], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame(items, "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+
+    def good(t):
+        w = WORD.findall(t or "")
+        three = collections.Counter(tuple(w[i : i + 3]) for i in range(len(w) - 2))
+        again = {i + j for i in range(len(w) - 2) if three[tuple(w[i : i + 3])] > 1 for j in range(3)}
+        return len(w) >= 50 and 100 * len(again) <= 50 * len(w)
+
+    kept = [(d, t) for d, t in docs if good(t)]  # too few documents for a band
+    root = linked(kept)
+    kept = [(d, t) for d, t in kept if root[d] == d]
+    held = {d for d, _ in held_items(kept, items)}
+    kept = [(d, pii.redact(t, brute_pii(t))) for d, t in kept if d not in held]
+    assert {d for d, _ in kept} == {*range(1, 13), 30, 31, 32} and "[EMAIL]" in dict(kept)[30] and "[IP]" in dict(kept)[31]
+    codec = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    ids = {d: np.array([*codec.encode(t, add_special_tokens=False).ids, 1], "<u4") for d, t in kept}
+    got = collections.defaultdict(list)
+    for r in corpus_pipeline.run(spark, str(tmp_path)).collect():
+        assert r.ids_crc32 == zlib.crc32(ids[r.doc_id][r.start : r.start + r.length].tobytes()) and r.doc_tokens == len(ids[r.doc_id])
+        got[r.doc_id] += range(r.start, r.start + r.length)
+    assert {d: sorted(x) for d, x in got.items()} == {d: list(range(len(x))) for d, x in ids.items()}
+
+
+def test_secret_scan_precision_and_recall():
+    """Random keys of three shapes are found among words, paths, dates, hashes in prose, versions and filler."""
+    import base64
+    import string
+
+    rng = random.Random(23)
+    alnum = string.ascii_letters + string.digits
+    secrets = [*("".join(rng.choice(alnum) for _ in range(rng.randint(28, 48))) for _ in range(200)), *(base64.b64encode(rng.randbytes(30)).decode() for _ in range(200)), *(rng.randbytes(16).hex() for _ in range(200))]
+    words = ["internationalization", "documentation", "configuration", "alpha", "release", "module", "service", "gateway"]
+    benign = [
+        *("/".join(rng.choice(words) for _ in range(5)) for _ in range(200)), *("-".join(rng.choice(words) for _ in range(4)) + f"-{rng.randint(1, 99)}" for _ in range(200)), *(f"20{rng.randint(10, 29)}-0{rng.randint(1, 9)}-11-{rng.choice(words)}-build-{rng.randint(1, 999)}" for _ in range(200)),
+        *("_".join(rng.choice(words) for _ in range(4)) for _ in range(200)), *("".join(rng.choice(words).capitalize() for _ in range(4)) for _ in range(200)), "1234567890" * 4, "0123456789abcdefghijklmnop", "your-api-key-goes-here-12345678",
+    ]
+    found = lambda x: bool(secret_scan.scan_text(f"see {x} here"))
+    hit, wrong = sum(map(found, secrets)), sum(map(found, benign))
+    assert hit / len(secrets) >= 0.97 and hit / (hit + wrong) >= 0.97
