@@ -9,7 +9,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from veridex.functions import text as T
-from veridex.operators import candidates, catalog, dedup, depend, gates, graph, joins, leakage, manifests, metrics, policy, recovery, rulesets, sampling, splits, stats, traces
+from veridex.operators import candidates, catalog, dedup, depend, gates, graph, joins, leakage, manifests, metrics, policy, rankers, recovery, rulesets, sampling, splits, stats, traces
 from veridex.sources import readers, writers
 from veridex.streaming import sse
 
@@ -337,3 +337,15 @@ def test_scratch_needs_a_shared_folder_on_a_cluster():
     assert shared_dir(fake("local[4]"))
     with pytest.raises(ValueError, match="checkpoint"):
         shared_dir(fake("spark://x:7077"))
+
+
+def test_global_bm25_is_the_same_with_joined_terms(spark, monkeypatch):
+    rng = random.Random(4)
+    words = [f"w{i}" for i in range(40)]
+    text = lambda n: " ".join(words[min(39, int(rng.expovariate(0.12)))] for _ in range(n))
+    queries = spark.createDataFrame([(i, text(6)) for i in range(8)] + [(9, "nothing"), (10, None)], "query_id int, query string")
+    docs = spark.createDataFrame([(i, text(rng.randint(1, 30))) for i in range(120)] + [(200, None), (201, "")], "candidate_id long, document string").repartition(5)
+    run = lambda: {(r.query_id, r["rank"]): (r.candidate_id, round(r.score, 9)) for r in rankers.bm25_global(queries, docs, 7).collect()}
+    one = run()
+    monkeypatch.setattr(rankers, "WEIGHTS_IN_TASK", 0)
+    assert one == run() and len(one) == 56

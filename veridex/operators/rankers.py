@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 import hashlib
-from functools import lru_cache
+from collections.abc import Iterator
+from functools import lru_cache, partial
 
 import numpy as np
 import pandas as pd
@@ -51,21 +52,61 @@ def bm25_local(pairs: DataFrame, k1: float = K1, b: float = B) -> DataFrame:
     return _ranked(out, "query_id", "score", "candidate_id")
 
 
-def bm25_global(queries: DataFrame, documents: DataFrame, k: int, k1: float = K1, b: float = B) -> DataFrame:
-    """The top k documents for each query, over one inverted index of the whole corpus.
+#: Query terms times queries up to which every task holds all query weights (8 bytes each); beyond, terms are joined.
+WEIGHTS_IN_TASK = 20_000_000
+
 
-    queries: query_id, query; documents: candidate_id, document. The index joins
-    query terms on the term, so pairs that share nothing never meet.
+def bm25_global(queries: DataFrame, documents: DataFrame, k: int, k1: float = K1, b: float = B) -> DataFrame:
+    """The top k documents for each query, over the whole corpus; documents without any shared term are left out.
+
+    queries: query_id, query; documents: candidate_id, document. Frequencies come
+    from one partly aggregated pass. Where all query weights fit in a task (see
+    WEIGHTS_IN_TASK), a second pass scores documents in batches and lets only each
+    batch's top k of a query out, so what is shuffled doesn't grow with the pairs
+    that share a word. Otherwise terms are joined, and pairs that share nothing
+    never meet.
     """
-    words = documents.select("candidate_id", tokens(F.col("document")).alias("d")).select("candidate_id", F.size("d").alias("length"), F.explode("d").alias("term"))
-    totals = documents.select(F.size(tokens(F.col("document"))).alias("length")).agg(F.count("*").alias("n"), F.avg("length").alias("mean_length"))
     asked = queries.select("query_id", F.explode(tokens(F.col("query"))).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("times"))
-    tf = words.join(asked.select("term").distinct(), "term", "left_semi").groupBy("term", "candidate_id", "length").agg(F.count("*").alias("tf"))
-    df = tf.groupBy("term").agg(F.count("*").alias("df"))
-    weighted = tf.join(df, "term").join(totals, F.lit(True))  # totals is one row
-    weighted = weighted.select("term", "candidate_id", (idf(F.col("n"), F.col("df")) * _score(F.col("tf"), F.col("length"), F.col("mean_length"), k1, b)).alias("w"))
-    scores = weighted.join(asked, "term").groupBy("query_id", "candidate_id").agg(F.sum(F.col("w") * F.col("times")).alias("score"))
-    return _ranked(scores, "query_id", "score", "candidate_id").where(F.col("rank") <= k)
+    words = documents.select("candidate_id", tokens(F.col("document")).alias("d")).select("candidate_id", F.size("d").alias("length"), "d")
+    totals = words.agg(F.count("*").alias("n"), F.avg("length").alias("mean_length"))
+    terms = asked.select("term").distinct()
+    size = asked.agg(F.count_distinct("term").alias("t"), F.count_distinct("query_id").alias("q")).first()
+    fits = size["t"] * size["q"] <= WEIGHTS_IN_TASK
+    once = words.select(F.explode(F.array_distinct("d")).alias("term"))
+    df = once.join(F.broadcast(terms) if fits else terms, "term").groupBy("term").agg(F.count("*").alias("df"))
+    weighted = asked.join(df, "term").join(F.broadcast(totals), F.lit(True)).select("query_id", "term", (F.col("times") * idf(F.col("n"), F.col("df"))).alias("w"))
+    if fits:
+        kinds = {c: f.schema[c].dataType.simpleString() for f, c in ((queries, "query_id"), (documents, "candidate_id"))}
+        table = weighted.toPandas()
+        score = partial(_score_batches, table=table, mean=float(totals.first()["mean_length"] or 1.0), k=k, k1=k1, b=b)
+        best = words.mapInPandas(score, f"query_id {kinds['query_id']}, candidate_id {kinds['candidate_id']}, score double")
+        return _ranked(best, "query_id", "score", "candidate_id").where(F.col("rank") <= k)
+    tf = words.select("candidate_id", "length", F.explode("d").alias("term")).join(terms, "term", "left_semi").groupBy("term", "candidate_id", "length").agg(F.count("*").alias("tf"))
+    parts = tf.join(weighted, "term").join(F.broadcast(totals), F.lit(True)).select("query_id", "candidate_id", (F.col("w") * _score(F.col("tf"), F.col("length"), F.col("mean_length"), k1, b)).alias("s"))
+    return _ranked(parts.groupBy("query_id", "candidate_id").agg(F.sum("s").alias("score")), "query_id", "score", "candidate_id").where(F.col("rank") <= k)
+
+
+def _score_batches(frames: Iterator[pd.DataFrame], table: pd.DataFrame, mean: float, k: int, k1: float, b: float) -> Iterator[pd.DataFrame]:
+    """Each batch's top k documents of every query."""
+    names, query_of = np.unique(table["query_id"].to_numpy(), return_inverse=True)
+    term_at = {t: i for i, t in enumerate(table["term"].unique())}
+    weights = np.zeros((len(term_at), len(names)))
+    weights[[term_at[t] for t in table["term"]], query_of] = table["w"].to_numpy()
+    for frame in frames:
+        scores = np.zeros((len(frame), len(names)))
+        for row, (length, words) in enumerate(zip(frame["length"], frame["d"], strict=True)):
+            known = [term_at[w] for w in words if w in term_at] if words is not None else []
+            if known:
+                at, tf = np.unique(known, return_counts=True)
+                scores[row] = (tf * (k1 + 1) / (tf + k1 * (1 - b + b * length / max(mean, 1.0)))) @ weights[at]
+        ids = frame["candidate_id"].to_numpy()
+        by_id = np.argsort(ids, kind="stable")
+        out = []
+        for q in range(len(names)):
+            order = by_id[np.argsort(-np.round(scores[by_id, q], 9), kind="stable")[:k]]
+            order = order[scores[order, q] > 0]
+            out.append(pd.DataFrame({"query_id": names[q], "candidate_id": ids[order], "score": scores[order, q]}))
+        yield pd.concat(out) if out else pd.DataFrame({"query_id": [], "candidate_id": [], "score": []})
 
 
 @lru_cache(1 << 20)

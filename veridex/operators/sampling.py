@@ -80,10 +80,12 @@ def choose_diverse(rows: DataFrame, must: dict[str, Column], key: str, order: st
 
 def balanced_sample(rows: DataFrame, bucket: str, dedupe: str, order: str, quota: dict[str, int], total: int) -> DataFrame:
     """Bucket quotas over rows with distinct signatures, then backfill in order."""
-    distinct = rows.withColumn("r", F.row_number().over(Window.partitionBy(dedupe).orderBy(order))).where("r = 1").drop("r")
+    firsts = rows.groupBy(dedupe).agg(F.min(order).alias(order))  # the first row of each signature, partly aggregated; `order` tells rows apart
+    distinct = rows.join(firsts.select(order), order, "left_semi")
     share = F.coalesce(F.create_map(*(x for k, v in quota.items() for x in (F.lit(k), F.lit(v))))[F.col(bucket)], F.lit(0))
-    ranked = distinct.withColumn("r", F.row_number().over(Window.partitionBy(bucket).orderBy(order)))
-    return ranked.withColumn("tier", F.when(F.col("r") <= share, 0).otherwise(1)).orderBy("tier", order).limit(total).drop("r")
+    head = distinct.withColumn("r", F.row_number().over(Window.partitionBy(bucket).orderBy(order))).where(F.col("r") <= share)  # tasks keep their first rows only before they meet
+    ahead = head.select(order, F.lit(0).alias("tier"))
+    return distinct.join(F.broadcast(ahead), order, "left").withColumn("tier", F.coalesce("tier", F.lit(1))).orderBy("tier", order).limit(total)
 
 
 def category_sample(rows: DataFrame, categories: dict[str, Column], row_id: str, k: int, seed: str) -> DataFrame:

@@ -83,9 +83,16 @@ def latest_status(attempts: DataFrame, key: str, order: str) -> DataFrame:
 
 
 def starts_in_window(attempts: DataFrame, key: str, ts: str, seconds: int = 60) -> DataFrame:
-    """How many requests of a key began in the window up to each one."""
-    w = Window.partitionBy(key).orderBy(F.col(ts).cast("timestamp").cast("double")).rangeBetween(-seconds, 0)
-    return attempts.withColumn("starts", F.count("*").over(w))
+    """How many requests of a key began in the window up to each one.
+
+    Every request also stands in the next stretch of time as long as the window,
+    so that a busy key is counted stretch by stretch and never sorted as a whole.
+    """
+    at = F.col(ts).cast("timestamp").cast("double")
+    own = F.floor(at / seconds)
+    rows = attempts.withColumn("_s", F.explode(F.array(F.struct(own.alias("stretch"), F.lit(True).alias("own")), F.struct((own + 1).alias("stretch"), F.lit(False).alias("own")))))
+    w = Window.partitionBy(key, "_s.stretch").orderBy(at).rangeBetween(-seconds, 0)
+    return rows.withColumn("starts", F.count("*").over(w)).where("_s.own").drop("_s")
 
 
 def count_stream(events: DataFrame, ts: str, by: str, width: str = "1 hour", late: str = "2 hours") -> DataFrame:
