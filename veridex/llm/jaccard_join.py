@@ -230,10 +230,10 @@ def _met(left: DataFrame, right: DataFrame) -> DataFrame:
     a_reach, b_reach = _reach(F.col("a_n"), F.col("a_at")), _reach(F.col("b_n"), F.col("b_at"))
     room = (F.col("b_n") <= a_reach) & (F.col("a_n") <= b_reach)
     short = left.where(F.col("a_k") <= BLOCK).join(right.where(F.col("b_k") <= BLOCK), "token")
-    least = _band(F.ceil(F.lit(PERCENT) * F.col("a_n") / 100))
-    asks = left.where(F.col("a_k") > BLOCK).withColumn("size", F.explode(F.when(a_reach >= F.ceil(F.lit(PERCENT) * F.col("a_n") / 100), F.sequence(least - 1, _band(a_reach) + 1)).otherwise(F.array().cast("array<bigint>"))))
-    asks = asks.withColumn("reach", F.explode(F.when(F.col("size") + 2 >= _band(F.col("a_n")), F.sequence(_band(F.col("a_n")), F.col("size") + 2)).otherwise(F.array().cast("array<bigint>"))))
-    blocks = right.where((F.col("b_k") > BLOCK) & (b_reach >= 1)).withColumns({"size": _band(F.col("b_n")), "reach": _band(b_reach)})
+    fewest = F.ceil(F.lit(PERCENT) * F.col("a_n") / 100)
+    asks = left.where((F.col("a_k") > BLOCK) & (a_reach >= fewest)).withColumn("size", F.explode(F.sequence(_band(fewest), _band(a_reach))))
+    asks = asks.withColumn("reach", F.explode(F.sequence(F.least(_band(F.col("a_n")), F.col("size") + 1), F.col("size") + 1)))
+    blocks = right.where((F.col("b_k") > BLOCK) & (b_reach >= 1)).withColumn("size", _band(F.col("b_n"))).withColumn("reach", F.least(_band(b_reach), F.col("size") + 1))
     return short.unionByName(asks.join(blocks, ["token", "size", "reach"]).drop("size", "reach")).where(room)
 
 
