@@ -42,12 +42,18 @@ def assign_groups(profiles: DataFrame, ratios: dict[str, float] = RATIOS, seed:
     """Whole groups to splits, balanced inside every stratum. profiles: group, stratum (with the group's size class), n.
 
     In a stratum, groups are ranked by hash and dealt by golden-ratio steps,
-    which fill every split at its ratio after any number of groups. Groups are
-    never looked at together, so the largest stratum is one sort.
+    which fill every split at its ratio after any number of groups. Ranks are
+    counted inside 4,096 ranges of the hash, after the groups of earlier ranges, so
+    that a large stratum is sorted in parts.
     """
-    order = Window.partitionBy("stratum").orderBy(F.sha2(F.concat_ws(":", F.lit(str(seed)), F.col("group").cast("string")), 256), "group")
+    digest = F.sha2(F.concat_ws(":", F.lit(str(seed)), F.col("group").cast("string")), 256)
+    hashed = profiles.withColumn("_h", digest).withColumn("_part", F.substring("_h", 1, 3))
+    parts = hashed.groupBy("stratum", "_part").agg(F.count("*").alias("_k"))
+    before = F.sum("_k").over(Window.partitionBy("stratum").orderBy("_part").rowsBetween(Window.unboundedPreceding, -1))
+    parts = parts.select("stratum", "_part", F.coalesce(before, F.lit(0)).alias("_before"))
+    inside = F.row_number().over(Window.partitionBy("stratum", "_part").orderBy("_h", "group"))
     place = F.expr("(rank * 0.6180339887498949D) % 1")
-    dealt = profiles.withColumn("rank", F.row_number().over(order)).withColumn("u", place)
+    dealt = hashed.join(parts, ["stratum", "_part"]).withColumn("rank", inside + F.col("_before")).withColumn("u", place)
     split, high = F.lit(None).cast("string"), 0.0
     for name, ratio in ratios.items():
         high += ratio
