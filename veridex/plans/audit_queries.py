@@ -203,9 +203,10 @@ def join_guarded(t: Tables) -> DataFrame:
     return J.guarded_join(rows, side, ["c_custkey"], ["source", "query_hash"]).select("o_orderkey", "status", F.array_join("differs", ";").alias("differs"))
 
 
-@query("select c_custkey, 'left' as side from customer where c_custkey not in (select o_custkey from orders) union all select distinct o_custkey, 'right' from orders where o_custkey not in (select c_custkey from customer)")
+@query("""with o as (select distinct case when o_custkey % 10 = 0 then -1 - o_custkey else o_custkey end as c_custkey from orders) select c_custkey, 'left' as side from customer where c_custkey not in (select c_custkey from o) union all select c_custkey, 'right' from o where c_custkey not in (select c_custkey from customer)""")
 def join_id_difference(t: Tables) -> DataFrame:
-    return J.id_difference(t.customer, t.orders.select(F.col("o_custkey").alias("c_custkey")), "c_custkey")
+    renamed = F.when(F.col("o_custkey") % 10 == 0, -1 - F.col("o_custkey")).otherwise(F.col("o_custkey"))  # some ids are not the same on both sides
+    return J.id_difference(t.customer, t.orders.select(renamed.alias("c_custkey")), "c_custkey")
 
 
 @query("select 'customer' as branch, c_custkey as id, c_name as name, c_mktsegment as segment, null::double as balance from customer union all select 'supplier', s_suppkey, s_name, null, s_acctbal from supplier")
