@@ -623,7 +623,7 @@ def test_decontamination_at_the_threshold(spark):
     "run",
     [
         repeats.suffix_array_dedup, repeats.substring_dedup, jaccard_join.jaccard_components, secret_scan.secret_scan, pii.pii_spans, pii.pii_redact, quality.quality_rules, quality.keep_good,
-        packing.retrieval_packing, lambda d: language_id.identify(d, language_id.fit(d)), lambda d: decontaminate.contaminated(d, d.sparkSession.createDataFrame([], "item_id long, text string")),
+        jaccard_join.keep_representatives, lambda d: decontaminate.drop_contaminated(d, d.sparkSession.createDataFrame([], "item_id long, text string")), packing.retrieval_packing, lambda d: language_id.identify(d, language_id.fit(d)), lambda d: decontaminate.contaminated(d, d.sparkSession.createDataFrame([], "item_id long, text string")),
     ],
 )
 def test_empty_tables(spark, run):
@@ -696,6 +696,26 @@ def test_pipeline_against_brute_force(spark, tmp_path):
     assert {d: sorted(x) for d, x in got.items()} == {d: list(range(len(x))) for d, x in ids.items()}
 
 
+def test_very_long_texts(spark):
+    """One text of two million characters, with something to find at its end, beside short ones."""
+    rng = random.Random(41)
+    item = prose(rng, 40)
+    long = prose(rng, 300_000) + " password=hunter22hunter a@b.cd " + item + " last"
+    docs = frame(spark, [(1, long), (2, "short text of nothing")], {1: "en", 2: "en"})
+    assert [s.kind for r in secret_scan.secret_scan(docs).where("doc_id = 1").collect() for s in r.spans] == ["assign"]
+    assert [s.kind for r in pii.pii_spans(docs).where("doc_id = 1").collect() for s in r.spans] == ["email"]
+    assert {r.doc_id: r.lang_pred for r in language_id.identify(docs, language_id.fit(docs)).collect()}.keys() == {1, 2}
+    found = decontaminate.contaminated(docs, spark.createDataFrame([(7, item)], "item_id long, text string")).collect()
+    assert [(r.doc_id, r.item_id, r.similarity) for r in found] == [(1, 7, 1.0)]
+    assert len(html_extract.extract("<article><p>" + long + "</p></article>", html_extract.PLAIN)) == len(long)
+
+
+def test_packing_ties_go_by_order_in_the_shard():
+    piece = lambda d: (d, False, 30, 0, np.arange(30, dtype="<u2"))
+    full, left = packing.pack_shard([piece(d) for d in range(8)], 64, True)
+    assert [[(p[0], p[3], len(p[4])) for p in row] for row in full] == [[(0, 0, 30), (1, 0, 30), (2, 0, 4)], [(2, 4, 26), (3, 0, 30), (4, 0, 8)], [(4, 8, 22), (5, 0, 30), (6, 0, 12)], [(6, 12, 18), (7, 0, 30)]] and not left
+
+
 def test_secret_scan_precision_and_recall():
     """Random keys of three shapes are found among words, paths, dates, hashes in prose, versions and filler."""
     import base64
