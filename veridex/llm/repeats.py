@@ -174,7 +174,7 @@ def repeated_spans(docs: DataFrame, scratch: Scratch, symbols: Symbols, length:
         return texts.join(by_text, ["_d", "_h"]).select("_d", "_h", "_t", "runs")
 
     def expand(asked: DataFrame, block: int) -> DataFrame:
-        depths = tuple(range(digit, length - block + 1, digit))
+        depths = tuple(range(digit, length - block, digit))
         schema = ", ".join([ROWS, *(f"digit{k} long" for k in range(len(depths)))])
         return passes.refine(scratch.keep(asked.mapInArrow(partial(_expand, symbols=symbols, length=length, block=block, depths=depths), schema)))
 
