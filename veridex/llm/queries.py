@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veridex.llm import language_id, oracles, pii, secret_scan
+from veridex.llm import language_id, oracles, pii, quality_trees, secret_scan
 from veridex.llm._spark import read
 from veridex.llm.decontaminate import contaminated
 from veridex.llm.html_extract import main_text
@@ -15,6 +15,8 @@ from veridex.llm.jaccard_join import jaccard_components
 from veridex.llm.packing import retrieval_packing
 from veridex.llm.quality import quality_rules
 from veridex.llm.repeats import substring_dedup, suffix_array_dedup
+from veridex.llm.spelling import spelling_variants
+from veridex.llm.token_alignment import token_alignment
 
 
 def op1_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -68,5 +70,19 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return contaminated(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark")).drop("distance")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_secret_scan, op2_pii, op3_suffix_array_dedup, op4_jaccard_join, op5_substring_dedup, op6_html_extract, op7_language_id, op8_quality_rules, op9_retrieval_packing, op10_decontamination)}
-ORACLES: dict[str, str] = {"op3_suffix_array_dedup": oracles.OP3, "op4_jaccard_join": oracles.OP4, "op5_substring_dedup": oracles.OP5, "op10_decontamination": oracles.OP10}
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling_variants(read(spark, sf_dir, "documents"))
+
+
+def op12_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    out = quality_trees.quality_scores(docs, quality_trees.fit(docs, read(spark, sf_dir, "labels")))
+    return out.select("doc_id", quality_trees.held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
+
+
+def op13_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_alignment(read(spark, sf_dir, "documents"))
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_secret_scan, op2_pii, op3_suffix_array_dedup, op4_jaccard_join, op5_substring_dedup, op6_html_extract, op7_language_id, op8_quality_rules, op9_retrieval_packing, op10_decontamination, op11_spelling_variants, op12_quality_classifier, op13_token_alignment)}
+ORACLES: dict[str, str] = {"op3_suffix_array_dedup": oracles.OP3, "op4_jaccard_join": oracles.OP4, "op5_substring_dedup": oracles.OP5, "op10_decontamination": oracles.OP10, "op11_spelling_variants": oracles.OP11}
