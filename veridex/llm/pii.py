@@ -12,11 +12,12 @@ from pyspark.sql import functions as F
 
 # Fixed values of the base patterns.
 LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
+ACCOUNT = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789")
 DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 IP = re.compile(r"(?<![0-9])[0-9]++\.[0-9]++\.[0-9]++\.[0-9]++")  # whole digit runs only, so that a long one is read once
 CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
-IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){2,7}(?:\x20?[A-Z0-9]{1,3})?(?![A-Za-z0-9])")
+IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?=\x20?[A-Z0-9])")  # its start; the country tells how much follows
 DIGIT = re.compile(r"[0-9]")
 # Characters of an account number (ISO 13616) by length, then country.
 IBAN_LENGTHS = {
@@ -56,6 +57,12 @@ def luhn(digits: str) -> bool:
     return total % 10 == 0
 
 
+def octet(digits: str) -> bool:
+    """At most 255, with any number of zeros before."""
+    digits = digits.lstrip("0")
+    return len(digits) < 3 or len(digits) == 3 and digits <= "255"
+
+
 def mod97(iban: str) -> bool:
     if IBAN_LENGTHS.get(iban[:2]) != len(iban):
         return False
@@ -78,6 +85,22 @@ def emails(text: str) -> list[tuple[int, int]]:
     return found
 
 
+def ibans(text: str) -> list[tuple[int, int]]:
+    """Account numbers: as many characters as the country's have, in groups of four or in one, that pass mod-97 and end there."""
+    found, free = [], 0
+    for m in IBAN.finditer(text):
+        at, got, length = m.end(), m.group(), IBAN_LENGTHS.get(m.group()[:2], 0)
+        while len(got) < length and at < len(text):
+            at += text[at] == " " and len(got) % 4 == 0
+            if text[at : at + 1] not in ACCOUNT or at >= len(text):
+                break
+            got, at = got + text[at], at + 1
+        if m.start() >= free and not text[at : at + 1].isalnum() and mod97(got):
+            found.append((m.start(), at))
+            free = at
+    return found
+
+
 def propose(text: str) -> list[tuple[str, int, int]]:
     """Confirmed spans by kind as listed, then start; matches that fail their check are dropped without a retry."""
     out: list[tuple[str, int, int]] = []
@@ -85,14 +108,14 @@ def propose(text: str) -> list[tuple[str, int, int]]:
         out += [("email", s, e) for s, e in emails(text)]
     if DIGIT.search(text):
         if text.count(".") >= 3:
-            out += [("ip", *m.span()) for m in IP.finditer(text) if all(len(p.lstrip("0")) <= 3 and int(p) <= 255 for p in m.group().split("."))]
+            out += [("ip", *m.span()) for m in IP.finditer(text) if all(octet(p) for p in m.group().split("."))]
         for m in CARD.finditer(text):
             digits = "".join(DIGIT.findall(m.group())) if 16 <= m.end() - m.start() <= 37 else ""  # 19 digits have at most 18 separators
             if 16 <= len(digits) <= 19 and luhn(digits):
                 out.append(("card", *m.span()))
         if "+" in text:
             out += [("phone", *m.span()) for m in PHONE.finditer(text) if 8 <= len(DIGIT.findall(m.group())) <= 15]
-        out += [("iban", *m.span()) for m in IBAN.finditer(text) if mod97(m.group().replace(" ", ""))]
+        out += [("iban", s, e) for s, e in ibans(text)]
     return out
 
 
