@@ -28,14 +28,16 @@ CLASSES = (
     ("alnum", re.compile(r"[A-Za-z0-9]+\Z"), 20, 3.6),
     ("base64", re.compile(r"[A-Za-z0-9+/_=-]+\Z"), 24, 3.8),
 )
-#: Candidates that look random but are public by nature, or filler.
+LEAST_WINDOW = min(c[2] for c in CLASSES)
+#: Candidates, or parts of them between filler, that look random but are public by nature, or filler.
 ALLOW = (
     re.compile(r"[0-9+/_=-]+\Z"),  # numbers and rules
     re.compile(r"[A-Za-z+/_=-]+\Z"),  # words, paths and identifiers without a digit
     re.compile(r"[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}\Z"),  # UUIDs
-    re.compile(r"(?i).*(example|placeholder|changeme|your[_-]|dummy|sample|xxxx|0123456789|abcdefgh)"),
     re.compile(r"(?i)(?:[a-z]+|[0-9]{1,4})(?:[/_=-]+(?:[a-z]+|[0-9]{1,4}))*\Z"),  # slugs and dated names
 )
+#: Filler: no window over it counts, but what stands beside it does.
+FILLER = re.compile(r"(?i)example|placeholder|changeme|your[_-]|dummy|sample|xxxx+|0123456789|abcdefgh")
 _PLOG = [0.0] + [c * math.log2(c) for c in range(1, 257)]
 
 
@@ -75,18 +77,33 @@ def scan_text(text: str) -> list[tuple[str, int, int]]:
     runs = list(CANDIDATE.finditer(text))
     for run in runs:
         spans += [("hex", *m.span()) for m in HEX.finditer(text, *run.span())]
-    base = [(s, e) for _, s, e in spans]
-    for run in runs:
-        word, at = run.group(), run.start()
-        if any(a.match(word) for a in ALLOW):
-            continue
-        _, _, window, bits = next(c for c in CLASSES if c[1].match(word))
-        for s, e in high_entropy(word, window, bits):
-            if not any(bs <= at + s and at + e <= be for bs, be in base):
-                spans.append(("entropy", at + s, at + e))
+    spans += [("entropy", s, e) for s, e in outside(spans, [x for run in runs for x in random_parts(run.group(), run.start())])]
     return sorted(spans, key=lambda x: (x[1], KINDS.index(x[0])))
 
 
+def random_parts(word: str, at: int) -> Iterator[tuple[int, int]]:
+    """The merged high-entropy windows of a candidate that starts at `at`: of all that no allow-list entry explains, between filler."""
+    cuts = [0, *(x for m in FILLER.finditer(word) for x in m.span()), len(word)]
+    for start, end in zip(cuts[::2], cuts[1::2], strict=True):
+        part = word[start:end]
+        if end - start < LEAST_WINDOW or any(a.match(part) for a in ALLOW):
+            continue
+        _, _, window, bits = next(c for c in CLASSES if c[1].match(part))
+        for s, e in high_entropy(part, window, bits):
+            yield at + start + s, at + start + e
+
+
+def outside(base: list[tuple[str, int, int]], found: list[tuple[int, int]]) -> Iterator[tuple[int, int]]:
+    """The spans of `found` that no base span holds; both are walked once, by start."""
+    ordered, k, reach = sorted((s, e) for _, s, e in base), 0, 0
+    for s, e in found:
+        while k < len(ordered) and ordered[k][0] <= s:
+            reach = max(reach, ordered[k][1])
+            k += 1
+        if e > reach:
+            yield s, e
+
+
 SPANS = "array<struct<kind:string,start:int,end:int>>"
 _TYPE = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32())]))
 
@@ -102,10 +119,11 @@ def secret_scan(docs: DataFrame) -> DataFrame:
 
     Kinds: assign, access and hex by pattern; entropy by windows over candidate
     strings that are random enough for their character class, unless an
-    allow-list entry explains them or a pattern span holds them already.
+    allow-list entry explains the string, the window touches filler words, or a
+    pattern span holds them already.
     Defined results: null and empty texts have no spans; null ids and repeated
     rows pass through, one result row each; other columns are ignored. Only one
-    text at a time is in work, whatever its length.
+    text at a time is in work, in time linear in its length.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("_t"))
     return rows.mapInArrow(_scan, f"doc_id long, spans {SPANS}")
