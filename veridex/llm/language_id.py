@@ -11,11 +11,11 @@ from itertools import combinations
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from veridex.llm._arrays import Slice, slices
-from veridex.llm._spark import Scratch
 
 #: Families of common languages; any other language is a family of its own.
 FAMILIES = {
@@ -29,15 +29,16 @@ FAMILIES = {
     "indic": ("hi", "bn", "mr", "gu", "pa", "ur", "ne", "ta", "te"),
     "celtic": ("ga", "gd", "cy", "br"),
 }
-#: Labelled documents of a language that the model is fitted on, the first by hash of their id: the bound of the sample.
-PER_LANGUAGE = 400
-#: Languages that are learned, those with the most labelled documents: with PER_LANGUAGE the bound of the sample and of the model.
-MOST_LANGUAGES = 32
+#: Labelled documents of a language that the model is fitted on, the first by hash of their id. Every language is learned; where PER_LANGUAGE
+#: of each would be more than SAMPLE documents in all, each has its share of those, but not fewer than LEAST_EACH: the bound of the sample.
+PER_LANGUAGE, SAMPLE, LEAST_EACH = 400, 12_800, 50
 #: Documents longer than this are left out of the fit (never of the prediction).
 LONGEST_FIT = 20_000
 DIMENSIONS = 1 << 12
 HELD_OUT, MODULUS = 2, 4
 _DOCS_AT_ONCE = 256
+#: Tasks that the duels are dealt over.
+MOST_TASKS = 256
 _LETTER = re.compile(r"[^\W\d_]")
 
 _FOLD = np.full(256, 32, np.uint32)
@@ -72,10 +73,13 @@ def small(column: pa.Array) -> Iterator[tuple[int, Slice]]:
 
 
 def _fit_features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The features that a document has, by place and value."""
     for batch in batches:
         for first, part in small(batch.column("text")):
-            rows = [x.astype(np.float32).tobytes() for x in features(part)]
-            yield pa.RecordBatch.from_arrays([*(batch.column(k).slice(first, len(rows)) for k in ("doc_id", "lang")), pa.array(rows, pa.binary())], names=["doc_id", "lang", "row"])
+            rows = features(part).astype(np.float32)
+            has = [np.flatnonzero(x) for x in rows]
+            made = [pa.array([h.astype(np.uint16).tobytes() for h in has], pa.binary()), pa.array([x[h].tobytes() for x, h in zip(rows, has, strict=True)], pa.binary())]
+            yield pa.RecordBatch.from_arrays([*(batch.column(k).slice(first, len(rows)) for k in ("doc_id", "lang")), *made], names=["doc_id", "lang", "place", "value"])
 
 
 def fit_svm(x: np.ndarray, y: np.ndarray, penalty: float = 1e-4, rounds: int = 300) -> np.ndarray:
@@ -146,41 +150,72 @@ def _hash(doc_id: str) -> Column:
 _HASHES = 1 << 40
 
 
-def sample(docs: DataFrame, per_language: int = PER_LANGUAGE, languages: int = MOST_LANGUAGES) -> DataFrame:
-    """(doc_id, lang, text) that may be learned from: the first `per_language` by hash of doc_id of each of the `languages` most frequent languages.
+def sample(docs: DataFrame, per_language: int = PER_LANGUAGE, total: int = SAMPLE) -> DataFrame:
+    """(doc_id, lang, text) that may be learned from: the first by hash of doc_id of every language, as many of each as the bounds give it.
 
     Counts come first; they tell up to which hash about twice as many as wanted
     lie, so that only those are ranked and no language gathers in a task.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("lang"), "text")
     known = rows.where(F.col("text").rlike(r"\p{L}") & F.col("lang").isNotNull() & ~held_out(F.col("doc_id")) & (F.length("text") <= LONGEST_FIT) & F.col("doc_id").isNotNull())
-    counts = known.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(languages)
-    few = known.select("doc_id", "lang").join(F.broadcast(counts), "lang").where(_hash("doc_id") <= F.lit(float(_HASHES)) * (2 * per_language + 50) / F.col("n"))
+    counts = known.groupBy("lang").agg(F.count("*").alias("n")).collect()  # a row per language
+    each = min(per_language, max(LEAST_EACH, total // max(len(counts), 1)))
+    wanted = docs.sparkSession.createDataFrame([(r["lang"], min(1.0, (2 * each + 50) / r["n"]) * _HASHES) for r in counts], "lang string, upto double")
+    few = known.select("doc_id", "lang").join(F.broadcast(wanted), "lang").where(_hash("doc_id") <= F.col("upto"))
     first = Window.partitionBy("lang").orderBy(_hash("doc_id"), "doc_id")
-    chosen = few.withColumn("r", F.row_number().over(first)).where(F.col("r") <= per_language).select("doc_id", "lang").distinct()
+    chosen = few.withColumn("r", F.row_number().over(first)).where(F.col("r") <= each).select("doc_id", "lang").distinct()
     return known.join(F.broadcast(chosen), ["doc_id", "lang"])
 
 
-def _fit_pair(rows: pd.DataFrame) -> pd.DataFrame:
-    """One duel's weights."""
-    rows = rows.sort_values(["doc_id", "row"])
-    x = np.array([np.frombuffer(r, np.float32) for r in rows["row"]])
-    return pd.DataFrame({"a": rows["a"].iloc[:1], "b": rows["b"].iloc[:1], "weights": [fit_svm(x, rows["side"].to_numpy(np.float32)).astype(np.float64).tobytes()]})
+@dataclass
+class Sample:
+    """The features of the sample: document i has value[ptr[i]:ptr[i + 1]] at place[...], and those of a language stand at rows[language]."""
+
+    ptr: np.ndarray
+    place: np.ndarray
+    value: np.ndarray
+    rows: dict[str, np.ndarray]
+
+    def dense(self, rows: np.ndarray) -> np.ndarray:
+        out = np.zeros((len(rows), DIMENSIONS), np.float32)
+        for k, i in enumerate(rows):
+            out[k, self.place[self.ptr[i] : self.ptr[i + 1]]] = self.value[self.ptr[i] : self.ptr[i + 1]]
+        return out
+
 
+def _fit_duels(frames: Iterator[pd.DataFrame], shared: Broadcast, sides: dict[str, list[str]]) -> Iterator[pd.DataFrame]:
+    """The weights of each duel between two families or languages."""
+    have: Sample = shared.value
+    for frame in frames:
+        for a, b in zip(frame["a"], frame["b"], strict=True):
+            left, right = (np.concatenate([have.rows[k] for k in sides[side]]) for side in (a, b))
+            y = np.concatenate([np.ones(len(left), np.float32), -np.ones(len(right), np.float32)])
+            yield pd.DataFrame({"a": [a], "b": [b], "weights": [fit_svm(have.dense(np.concatenate([left, right])), y).tobytes()]})
 
-def fit(docs: DataFrame, per_language: int = PER_LANGUAGE, languages: int = MOST_LANGUAGES) -> Model:
-    """Learn from text and non-null lang of documents that aren't held out: a bounded sample (see `sample`), each duel in a task of its own."""
+
+def fit(docs: DataFrame, per_language: int = PER_LANGUAGE, total: int = SAMPLE) -> Model:
+    """Learn from text and non-null lang of documents that aren't held out: a bounded sample (see `sample`), sent once to the tasks that fit the duels.
+
+    All languages are learned, however many; the model has a row of weights for
+    each pair of families and for each pair of languages of one family.
+    """
     spark = docs.sparkSession
-    rows = Scratch(spark, "languages").keep(sample(docs, per_language, languages).mapInArrow(_fit_features, "doc_id long, lang string, row binary"))
-    names = [r["lang"] for r in rows.select("lang").distinct().orderBy("lang").collect()]  # at most `languages`
+    table = sample(docs, per_language, total).mapInArrow(_fit_features, "doc_id long, lang string, place binary, value binary").toArrow()
+    table = table.sort_by([(k, "ascending") for k in ("lang", "doc_id", "place", "value")])
+    place, value = ([np.frombuffer(x, t) for x in table.column(k).to_pylist()] for k, t in (("place", np.uint16), ("value", np.float32)))
+    langs = np.array(table.column("lang").to_pylist(), object)
+    names = sorted(set(langs))
     of = {k: family(k) for k in names}
     families = sorted(set(of.values()))
     known = {f: [k for k in names if of[k] == f] for f in families}
-    duels = [(a, b, k, side) for a, b in combinations(families, 2) for f, side in ((a, 1.0), (b, -1.0)) for k in known[f]]
-    duels += [(a, b, k, side) for f in families for a, b in combinations(known[f], 2) for k, side in ((a, 1.0), (b, -1.0))]
-    sides = F.broadcast(spark.createDataFrame(duels, "a string, b string, lang string, side float"))
-    fitted = rows.join(sides, "lang").groupBy("a", "b").applyInPandas(_fit_pair, "a string, b string, weights binary").collect()
-    return Model(families, known, {(r["a"], r["b"]): np.frombuffer(r["weights"]) for r in fitted})
+    duels = [*combinations(families, 2), *(pair for f in families for pair in combinations(known[f], 2))]
+    if not duels:
+        return Model(families, known, {})
+    have = Sample(np.concatenate([[0], np.cumsum([len(x) for x in place])]), np.concatenate(place), np.concatenate(value), {k: np.flatnonzero(langs == k) for k in names})
+    sides = {k: [k] for k in names} | known
+    pairs = spark.createDataFrame(duels, "a string, b string").repartition(min(len(duels), MOST_TASKS))
+    fitted = pairs.mapInPandas(partial(_fit_duels, shared=spark.sparkContext.broadcast(have), sides=sides), "a string, b string, weights binary").collect()
+    return Model(families, known, {(r["a"], r["b"]): np.frombuffer(r["weights"], np.float32).astype(np.float64) for r in fitted})
 
 
 def _predict(batches: Iterator[pa.RecordBatch], model: Model) -> Iterator[pa.RecordBatch]:
