@@ -84,6 +84,7 @@ class Tokens:
         sizes = np.array([len(r) for r in self.raw], np.int64)
         self.starts = np.cumsum(sizes) - sizes
         self.whole = np.ones(len(found), bool)
+        self.calls = list(self._calls(found))
         a_bytes, b_bytes = byte_tables(a_file, b_file)
         sides = [
             self._side(found, a_bytes, lambda part: encode(f" {part}")),
@@ -120,7 +121,7 @@ class Tokens:
                 made.append((ids, hi - sizes[ids], hi))
             return same
 
-        for first, end in self._calls(found):
+        for first, end in self.calls:
             if not add(first, end):
                 for c in range(first, end):
                     self.whole[c] &= add(c, c + 1)
@@ -195,6 +196,12 @@ _LONGS = pa.list_(pa.int64())
 _BATCH = pa.schema([("batch", pa.int64()), *((k, _LONGS) for k in ("doc_id", "n_a", "n_b", "n_groups", "n_links")), ("groups_sha256", pa.list_(pa.string())), ("links", pa.binary()), ("pair_a", pa.list_(pa.int32())), ("pair_b", pa.list_(pa.int32())), ("pair_n", _LONGS)])
 
 
+def _ranges(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The numbers start, start + 1, ... of every range, one range after the other."""
+    ends = np.cumsum(sizes)
+    return np.repeat(starts - ends + sizes, sizes) + np.arange(ends[-1])
+
+
 def _aligned_batch(number: int, ids: list[int | None], texts: list[str], a_file: str, b_file: str) -> pa.RecordBatch:
     codes: dict[str, int] = {}
     of_text: dict[str, np.ndarray] = {}
@@ -210,7 +217,7 @@ def _aligned_batch(number: int, ids: list[int | None], texts: list[str], a_file:
         if t not in done:
             c = of_text[t]
             if made.whole[c].all():
-                links = np.bincount(np.concatenate([made.pair[made.ptr[x] : made.ptr[x + 1]] for x in c]), minlength=0)
+                links = np.bincount(made.pair[_ranges(made.ptr[c], n_links[c])])
                 has = np.flatnonzero(links)
                 sha = hashlib.sha256(";".join([made.groups[x] for x in c]).encode()).hexdigest()
                 done[t] = (int(made.n_a[c].sum()), int(made.n_b[c].sum()), int(made.n_groups[c].sum()), int(n_links[c].sum()), sha, has, links[has])
