@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -9,6 +11,7 @@ from veridex.functions.text import STOPWORDS
 from veridex.operators import leakage as L
 from veridex.operators import recovery as R
 from veridex.operators import rulesets as P
+from veridex.operators import semcap as S
 from veridex.operators import traces as X
 from veridex.plans.registry import Tables, query
 
@@ -246,3 +249,65 @@ def trace_necessity(t: Tables) -> DataFrame:
 select doc_id, s as strong, m as medium, w as weak, 5 * s + 3 * m + w as score from c""")
 def trace_signals(t: Tables) -> DataFrame:
     return t.documents.select("doc_id", X.signals(F.col("text"), ["then", "first"], ["with"], ["and", "und"]).alias("s")).select("doc_id", "s.*")
+
+# -- phrase tables over one automaton
+
+_ASKS = "traffic|weather in snow|hotel and zoo|gas station|linkedin profile|companies|company photo|mail|bill of lading|zip code|gondrand|headline|find images|search the web|random user|trustpilot|checkhealth|ascii art|latitude|capital of country|ticker|recipes|registered on whatsapp|whatsapp for business|authors|top-rated pizza|transit agency in istanbul|same-day courier|track my parcel|news|nothing known"
+_GOLD = "route|forecast|venue|place|profile|shipping|additional logo|tracking|vessel|postcode|transitaire|currents|imagesearch|websearch|fake gender|star|squake project|hashtag|geocode|language|population language|finance|cooking|is registered|is whatsapp for business|book|product reviews rating|container track|article|nothing"
+
+
+def _picked(listed: str, n: int, step: str) -> str:
+    return f"split_part('{listed}', '|', cast(1 + ({step}) % {n} as int))"
+
+
+_CAPABLE = [
+    "p_partkey as id", f"concat({_picked(_ASKS, 31, 'p_partkey')}, ' and ', {_picked(_ASKS, 31, 'p_partkey % 7 * p_size')}) as query",
+    f"concat({_picked(_GOLD, 30, 'p_partkey % 30 + p_partkey % 31 * (p_size % 3) + case when p_partkey % 2 = 0 then p_partkey % 31 else 0 end')}, ' by ', {_picked(_GOLD, 30, 'p_partkey % 31')}) as gold", f"case when p_size % 4 = 0 then {_picked(_GOLD, 30, 'p_partkey % 13 * 5')} else '' end as flagged",
+]
+
+#: Written by hand from the requirements and reasons, not from the library's tables.
+_SEMCAP = """with t as (select id, lower(query) as q, lower(gold) as g, lower(gold || ' ' || flagged) as c from p),
+req(label, trig, pos) as (values ('traffic_route','traffic|route|directions|driving time','traffic|route'),('weather','weather|forecast|temperature|rain|snow','weather|forecast'),('hotel_venue_event','hotel|venue|concert|event planner|event planning|attraction|zoo','hotel|venue|event|popular times|busy and popular'),
+('restaurant_place_reviews','restaurant|review|gas station|place|popular times|walmart','restaurant|place|review|popular times|busy and popular'),('social_profile','linkedin|profile|company data','linkedin|company data|profile'),('company_list','company|companies|courier|shipping company|carrier list','company|companies|courier|shipping'),
+('company_images_or_extra_data','image|images|photo|logo|additional data|extra data','image|images|logo|additional'),('package_tracking','package|parcel|mail|postal|tracking number|track my|shipment','package|parcel|mail|postal|tracking|track'),('container_tracking','container|bill of lading|vessel','container|bill of lading|vessel'),
+('postal_code','postal code|zip code|postcode','postal|zip|postcode'),('customs_transitaire','customs|transitaire|freight forwarder|gondrand|new caledonia','transitaire|customs|freight'),('news_search','news|article|headline','news|currents|article|headline'),('image_search','image search|find images|search images|retrieve images','image|images|imagesearch'),
+('web_search','web search|search the web|find websites|web page','web|search|websearch'),('fake_user','fake user|random user|gender','fake|user|gender'),('trustpilot_review','trustpilot|review|star|business unit','trustpilot|review|star'),('squake_project_health','squake|checkhealth|projects|api health','squake|project|checkhealth|health'),
+('translation_generation','translate|translation|ascii art|hashtag|generate','translate|translation|ascii|hashtag|generate'),('geocode','latitude|longitude|geocode|coordinates','latitude|longitude|geocode|coordinates'),('country_facts','population|country name|facts|capital|languages','population|country|fact|capital|language'),
+('finance_market','ipo|stock|market|ticker|exchange','ipo|stock|market|ticker|finance'),('recipe_instruction','recipe|recipes|ingredients|cooking instruction|cooking instructions','recipe|ingredient|cooking'),('whatsapp_registration_status','registered on whatsapp|whatsapp for business|business status','registered|whatsapp for business|business status'),
+('bookstore_author_profile','bookstore|bookstores|author profiles|authors|new books','bookstore|author|book'),('place_reviews_ratings','top-rated|ratings|pizza restaurants|reviews and ratings','rating|ratings|restaurant|place review'),('transit_agency_local_scope','transit agencies|transit agency','transit agency|transit agencies')),
+a as (select id, label, any_of(c, pos) as held from t, req where any_of(q, trig)), b as (select t.id, coalesce(list_sort(list(label) filter (label is not null)), ['general_information']) as requirements, coalesce(list_sort(list(label) filter (held)), case when count(label) = 0 then ['general_information'] else [] end) as covered, coalesce(list_sort(list(label) filter (not held)), []) as missing from t left join a using (id) group by 1),
+k(n, kind, name, need1, w1, need2, w2, need3, w3, lack, l) as (values
+(1,'mismatch','package_or_mail_tracking_mapped_to_container_tracking','q','package|parcel|mail|postal','g','container|bill of lading|vessel','','','',''),(2,'mismatch','container_tracking_requirement_not_covered','q','container|bill of lading','','','','','g','container|bill of lading|vessel'),
+(3,'mismatch','hotel_venue_place_requirement_not_covered','q','hotel|venue|concert|zoo|gas station|restaurant','','','','','c','hotel|venue|event|concert|zoo|gas station|restaurant|popular times|busy and popular|place'),(4,'mismatch','geocode_requirement_not_covered','q','latitude|longitude|coordinates|geocode','','','','','c','latitude|longitude|geocode|coordinates'),
+(5,'mismatch','traffic_requirement_not_covered','q','traffic','','','','','c','traffic|route'),(6,'mismatch','weather_requirement_not_covered','q','weather|forecast','','','','','c','weather|forecast'),(7,'mismatch','generation_or_translation_requirement_not_covered','q','ascii art|hashtag|translate|translation','','','','','c','ascii|hashtag|translate|translation|generate'),
+(8,'mismatch','company_images_or_additional_data_missing','q','image|images|photo|logo|additional data','q','company|companies','','','c','image|photo|logo|additional'),(9,'mismatch','country_facts_not_covered_by_language_only_api','q','country|population|facts|capital','g','language','','','g','population|capital|country facts'),
+(10,'mismatch','recipe_ingredients_and_instructions_not_covered','q','recipe|recipes|ingredients|cooking instruction|cooking instructions','','','','','c','recipe|ingredient|cooking'),(11,'mismatch','whatsapp_registered_check_not_in_gold_apis','q','registered on whatsapp','','','','','g','is registered|registered on whatsapp'),
+(12,'mismatch','whatsapp_business_account_check_not_in_gold_apis','q','whatsapp for business','','','','','g','is whatsapp for business|whatsapp for business?'),(13,'mismatch','whatsapp_registration_or_business_status_not_covered','q','registered on whatsapp|whatsapp for business|business status','','','','','c','registered|whatsapp for business|business status'),
+(14,'mismatch','bookstore_or_author_profile_requirement_not_covered','q','bookstore|bookstores|author profiles|authors','','','','','c','bookstore|bookstores|author|book'),(15,'mismatch','turkey_transit_agency_not_covered_by_new_caledonia_transitaires','q','turkey|istanbul','q','transit agency|transit agencies','g','transitaire','',''),
+(16,'uncertain','restaurant_reviews_may_be_confused_with_product_reviews','q','pizza|restaurant|restaurants','q','review|reviews|rating|ratings|top-rated','g','product review|product reviews','',''),(17,'uncertain','logistics_company_specialization_or_extra_data_unclear','q','company|companies|courier|shipping','c','company|companies|courier|shipping','q','same-day|same day|custom packaging|remote area|remote-area|international shipping|images|additional data','',''),
+(20,'ok','transitaire_customs_lookup_covered','q','customs|transitaire|new caledonia|gondrand','g','transitaire','','','',''),(21,'ok','squake_project_health_covered','q','squake|checkhealth|projects|api health','g','squake|checkhealth|project','','','',''),(22,'ok','fake_user_gender_covered','q','fake user|random user|gender','c','fake|user|gender','','','',''),
+(23,'ok','trustpilot_endpoint_covered','q','trustpilot','c','trustpilot|review|star','','','',''),(24,'ok','news_search_covered','q','news|article|headline','c','news|currents|article|headline|search','','','',''),(25,'ok','image_search_covered','q','image search|find images|search images|retrieve images','c','image|imagesearch|search','','','',''),
+(26,'ok','web_search_covered','q','web search|search the web|find websites','c','web|search','','','',''),(27,'ok','company_or_logistics_list_covered','q','company|companies|courier|shipping','c','company|companies|courier|shipping','','','q','same-day|same day|custom packaging|remote area|remote-area|international shipping|images|additional data'),
+(28,'ok','package_or_postal_tracking_covered','q','package|parcel|mail|postal','c','package|parcel|postal|tracking|track','','','g','container')),
+h as (select id, n, kind, name from t, k where any_of(of(q, g, c, need1), w1) and (need2 = '' or any_of(of(q, g, c, need2), w2)) and (need3 = '' or any_of(of(q, g, c, need3), w3)) and (lack = '' or not any_of(of(q, g, c, lack), l))),
+e as (select id, n, kind, name from h union all select id, 30, 'ok', 'all_detected_requirements_covered' from b where len(missing) = 0 and requirements <> ['general_information'] union all select id, 18, 'uncertain', 'partial_requirement_coverage' from b where len(covered) > 0 and not (len(missing) = 0 and requirements <> ['general_information'])),
+r as (select b.*, coalesce(list(name order by n) filter (kind = 'mismatch'), []) as mismatch, coalesce(list(name order by n) filter (kind = 'uncertain'), []) as uncertain, coalesce(list(name order by n) filter (kind = 'ok'), []) as ok from b left join e using (id) group by all),
+s as (select *, case when len(mismatch) > 0 then 1 when len(missing) > 0 and len(ok) = 0 then 2 when len(uncertain) > 0 and len(ok) = 0 then 3 when len(uncertain) > 0 then 4 when len(ok) > 0 then 5 else 6 end as z from r)
+"""
+
+
+def _spelled(sql: str) -> str:
+    """The SQL with its two abbreviations written out: a text by its letter, and whether a text holds a phrase of a list."""
+    sql = re.sub(r"of\(q, g, c, (\w+)\)", r"case \1 when 'q' then q when 'g' then g else c end", sql)
+    return re.sub(r"any_of\((case .*? end|\w+), (\w+)\)", r"(len(list_filter(string_split(\2, '|'), lambda z: contains(\1, z))) > 0)", sql)
+
+
+@query(f"with p as (select {', '.join(_CAPABLE)} from part), " + _spelled(_SEMCAP).removeprefix("with ") + """
+select id, array_to_string(requirements, ';') as requirements, array_to_string(covered, ';') as covered, array_to_string(missing, ';') as missing, array_to_string(mismatch, ';') as mismatch, array_to_string(uncertain, ';') as uncertain, array_to_string(ok, ';') as ok,
+case z when 1 then 'mismatch' when 2 then 'uncertain' when 3 then 'uncertain' else 'ok' end as semantic, case z when 1 then 'coverage_mismatch' when 2 then 'coverage_uncertain' when 3 then 'coverage_uncertain' when 4 then 'coverage_uncertain' else 'coverage_ok' end as coverage_pred,
+case z when 1 then 'high' when 5 then 'high' else 'medium' end as coverage_confidence, case z when 1 then mismatch[1] when 2 then 'partial_or_unclear_domain_match' when 3 then 'unclear_scope' else '' end as semantic_type,
+case z when 1 then mismatch[1] when 2 then 'partial_or_unclear_coverage' when 3 then uncertain[1] when 4 then uncertain[1] else '' end as coverage_type, z <> 5 as needs_review from s""")
+def policy_semcap(t: Tables) -> DataFrame:
+    out = S.semcap(t.part.selectExpr(*_CAPABLE).withColumn("coverage_text", F.concat_ws(" ", "gold", "flagged")))
+    lists = [F.array_join(k, ";").alias(k) for k in ("requirements", "covered", "missing", "mismatch", "uncertain", "ok")]
+    return out.select("id", *lists, "semantic", "coverage_pred", "coverage_confidence", "semantic_type", "coverage_type", "needs_review")
