@@ -53,6 +53,17 @@ def normalize_text(c: Column, casefold: bool = True) -> Column:
     return F.when(ascii_only, normalize_ascii(c, casefold)).otherwise(udf(F.when(ascii_only, F.lit("")).otherwise(c)))
 
 
+def nfkc(c: Column) -> Column:
+    """NFKC and nothing else; ASCII rows skip Python."""
+
+    @pandas_udf("string")
+    def exact(values: pd.Series) -> pd.Series:
+        return values.map(lambda v: None if v is None else unicodedata.normalize("NFKC", v))
+
+    ascii_only = F.octet_length(c) == F.length(c)
+    return F.when(ascii_only, c).otherwise(exact(F.when(~ascii_only, c)))
+
+
 def tokens(c: Column) -> Column:
     """Words and single punctuation marks of the lower-cased text, repeats kept."""
     return F.regexp_extract_all(normalize_ascii(c), F.lit(TOKEN), F.lit(0))

@@ -27,7 +27,6 @@ STATUS_KEYS = ("status", "status_code", "http_status", "httpstatus", "code")
 FAILED, SUCCESS = ("failed", "error_only"), ("success", "partial_success")
 #: Embedded structures longer than this stay text.
 LONGEST_EMBEDDED = 2_000_000
-DEPTH = 100
 
 
 def _decoded(value: object) -> object:
@@ -45,36 +44,35 @@ def _decoded(value: object) -> object:
     return value
 
 
-def _scalars(value: object, path: str, key: str, depth: int = 0) -> Iterator[tuple[str, str, str | None, str]]:
-    """(path, nearest key, text, kind) of every scalar, embedded structures included."""
-    inner = _decoded(value)
-    if inner is not value:
-        yield from _scalars(inner, path + ".decoded", key, depth + 1)
-    elif depth > DEPTH:
-        return
-    elif isinstance(value, dict):
-        for k, v in value.items():
-            yield from _scalars(v, f"{path}.{k}", str(k).casefold(), depth + 1)
-    elif isinstance(value, (list, tuple)):
-        for k, v in enumerate(value):
-            yield from _scalars(v, f"{path}[{k}]", key, depth + 1)
-    else:
-        kind = "null" if value is None else "boolean" if isinstance(value, bool) else "number" if isinstance(value, (int, float)) else "string"
-        yield path, key, None if value is None else str(value), kind
+def _scalars(document: object, root: str) -> Iterator[tuple[str, str, str | None, str]]:
+    """(path, nearest key, text, kind) of every scalar in order, embedded structures included, however deep."""
+    stack = [(document, root, "")]
+    while stack:
+        value, path, key = stack.pop()
+        inner = _decoded(value)
+        if inner is not value:
+            stack.append((inner, path + ".decoded", key))
+        elif isinstance(value, dict):
+            stack += [(v, f"{path}.{k}", str(k).casefold()) for k, v in reversed(value.items())]
+        elif isinstance(value, (list, tuple)):
+            stack += [(v, f"{path}[{k}]", key) for k, v in reversed(list(enumerate(value)))]
+        else:
+            kind = "null" if value is None else "boolean" if isinstance(value, bool) else "number" if isinstance(value, (int, float)) else "string"
+            yield path, key, None if value is None else str(value), kind
 
 
 def flatten(rows: DataFrame, row_id: str, document: str, root: str = "$") -> DataFrame:
     """(row_id, path, key, value, kind) of all scalars of a JSON (or Python-literal) column at every depth.
 
     Strings that hold a structure are opened as well, under .decoded. Null and
-    unreadable documents give their text as one scalar; nesting beyond 100 levels
-    is left out.
+    unreadable documents give their text as one scalar, those included that nest
+    deeper than the JSON reader goes.
     """
     kind = rows.schema[row_id].dataType.simpleString()
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
-            found = [(i, *s) for i, d in zip(frame[row_id], frame[document], strict=True) if d is not None for s in _scalars(_decoded(d), root, "")]
+            found = [(i, *s) for i, d in zip(frame[row_id], frame[document], strict=True) if d is not None for s in _scalars(_decoded(d), root)]
             yield pd.DataFrame(found, columns=[row_id, "path", "key", "value", "kind"])
 
     return rows.select(row_id, document).mapInPandas(run, f"`{row_id}` {kind}, path string, key string, value string, kind string")

@@ -70,7 +70,7 @@ def challenge_states(t: Tables) -> DataFrame:
     evidence = t.lineitem.groupBy(F.col("l_orderkey").alias("query_id"), F.col("l_partkey").alias("candidate_id"), F.col("l_returnflag").alias("method")).agg(F.min("l_linenumber").alias("rank"), F.max("l_quantity").alias("score"))
     tasks = t.lineitem.groupBy(F.col("l_orderkey").alias("task_id")).agg(F.array(F.array_sort(F.collect_set(F.when(F.col("l_returnflag") == "R", F.col("l_partkey"))))).alias("alternatives"))
     known = t.orders.select(F.col("o_orderkey").alias("task_id"), F.col("o_orderkey").alias("position"))
-    out = S.challenge_set(tasks.join(known, "task_id"), evidence, t.part.where("p_partkey % 17 <> 0").select(F.col("p_partkey").alias("candidate_id")), ["R", "N", "A"], 100, 147949090)
+    out = S.challenge_set(tasks.join(known, "task_id"), evidence, t.part.select(F.expr("if(p_partkey % 17 = 0, -1 - p_partkey, p_partkey)").alias("candidate_id")), ["R", "N", "A"], 100, 147949090)
     return out.select("task_id", "status", F.when(F.col("status") == "READY", F.size("candidates")).cast("long").alias("candidates"))
 
 
@@ -196,10 +196,10 @@ def sample_secondary(t: Tables) -> DataFrame:
 # -- joins and unified fields
 
 
-@query("""select o_orderkey, case when c_custkey is null then 'unmatched' when o_orderkey % 4 = 0 or o_orderkey % 6 = 0 then 'mismatch' else 'matched' end as status, case when c_custkey is null then '' else concat_ws(';', case when o_orderkey % 4 = 0 then 'source' end, case when o_orderkey % 6 = 0 then 'query_hash' end) end as differs from orders left join (select c_custkey from customer where c_custkey % 10 <> 0) on c_custkey = o_custkey""")
+@query("""select o_orderkey, case when c_custkey is null then 'unmatched' when o_orderkey % 4 = 0 or o_orderkey % 6 = 0 then 'mismatch' else 'matched' end as status, case when c_custkey is null then '' else concat_ws(';', case when o_orderkey % 4 = 0 then 'source' end, case when o_orderkey % 6 = 0 then 'query_hash' end) end as differs from orders left join (select case when c_custkey % 10 = 0 then -c_custkey else c_custkey end as c_custkey from customer) on c_custkey = o_custkey""")
 def join_guarded(t: Tables) -> DataFrame:
     rows = t.orders.selectExpr("o_orderkey", "o_custkey as c_custkey", "if(o_orderkey % 4 = 0, 'other', 'own') as source", "if(o_orderkey % 6 = 0, null, 'h') as query_hash")
-    side = t.customer.where("c_custkey % 10 <> 0").selectExpr("c_custkey", "'own' as source", "'h' as query_hash")  # customers that the other side lacks
+    side = t.customer.selectExpr("if(c_custkey % 10 = 0, -c_custkey, c_custkey) as c_custkey", "'own' as source", "'h' as query_hash")  # keys that the other side lacks
     return J.guarded_join(rows, side, ["c_custkey"], ["source", "query_hash"]).select("o_orderkey", "status", F.array_join("differs", ";").alias("differs"))
 
 

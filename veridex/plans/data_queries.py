@@ -126,6 +126,18 @@ def leak_surfaces(t: Tables) -> DataFrame:
     return L.surface_hits(rows, "doc_id", "text", "surfaces")
 
 
+@query(r"""with q as (select doc_id, ' ' || array_to_string(list_filter(string_split_regex(replace(lower(coalesce(text, '')), 'ß', 'ss'), '[^a-z0-9]+'), lambda w: w <> ''), ' ') || ' ' as q from documents),
+w as (select item_id, list_filter(string_split_regex(replace(lower(coalesce(text, '')), 'ß', 'ss'), '[^a-z0-9]+'), lambda w: w <> '') as w from benchmark), n as (select item_id * 10 + k as name_id, k, array_to_string(w[:k], ' ') as p from w, range(1, 5) r(k) where len(w) >= k),
+f as (select p, count(*) as df from (select distinct p from n where k = 1), q where contains(q, ' ' || p || ' ') group by 1), m as (select name_id, n.p, coalesce(k = 1 and df >= 0.2 * (select count(*) from q), false) or n.p in ('weather', 'search') as common from n left join f on f.p = n.p),
+h as (select doc_id, count(*) filter (not common and length(p) >= 3) as telling, count(*) filter (common) as common from q, m where contains(q, ' ' || p || ' ') group by 1)
+select doc_id as query_id, case when coalesce(telling, 0) > 0 then 'exact_unique_name_leak' when coalesce(common, 0) > 0 then 'common_word_overlap' else 'no_obvious_leak' end as status, coalesce(telling, 0) as telling, coalesce(common, 0) as common from documents left join h using (doc_id)""")
+def leak_phrases(t: Tables) -> DataFrame:
+    """Names are the first one to four words of every benchmark item."""
+    words = t.benchmark.select("item_id", L.phrase_tokens(F.col("text")).alias("w"), F.explode(F.sequence(F.lit(1), F.lit(4))).alias("k")).where("size(w) >= k")
+    names = words.select((F.col("item_id") * 10 + F.col("k")).alias("name_id"), F.array_join(F.slice("w", F.lit(1), F.col("k")), " ").alias("name"))
+    return L.phrase_leaks(t.documents.select(F.col("doc_id").alias("query_id"), "text"), names, common=("weather", "search"), common_share=0.2)
+
+
 @query("""select source, count(*) filter (contains(lower(text), lang)) as weak, count(*) filter (contains(lower(text), 'token')) as strong, count(*) filter (not contains(lower(text), 'token')) as none from documents group by 1""")
 def leak_strengths(t: Tables) -> DataFrame:
     weak, strong = L.leak_strength(F.col("text"), F.col("lang")), L.leak_strength(F.col("text"), F.lit("token"))
@@ -177,11 +189,11 @@ def split_linked_override(t: Tables) -> DataFrame:
     return D.linked_override(t.orders, F.concat("o_orderstatus", F.col("o_custkey").cast("string")), "o_orderkey").select("o_orderkey", "split_group")
 
 
-@query("""with n as (select s_suppkey, s_name, case when s_suppkey % 7 = 0 then s_nationkey + 1 else s_nationkey end as s_nationkey, s_acctbal + 1 as s_acctbal from supplier where s_suppkey % 10 <> 3)
+@query("""with n as (select case when s_suppkey % 10 = 3 then -s_suppkey else s_suppkey end as s_suppkey, s_name, case when s_suppkey % 7 = 0 then s_nationkey + 1 else s_nationkey end as s_nationkey, s_acctbal + 1 as s_acctbal from supplier)
 select o.s_suppkey, 's_nationkey' as field, cast(o.s_nationkey as varchar) as old, cast(n.s_nationkey as varchar) as new from supplier o join n using (s_suppkey) where o.s_nationkey <> n.s_nationkey
-union all select s_suppkey, '<row>', 'true', null from supplier where s_suppkey % 10 = 3""")
+union all select s_suppkey, '<row>', 'true', null from supplier where s_suppkey % 10 = 3 union all select -s_suppkey, '<row>', null, 'true' from supplier where s_suppkey % 10 = 3""")
 def diff_changed_fields(t: Tables) -> DataFrame:
-    new = t.supplier.where("s_suppkey % 10 <> 3").withColumns({"s_nationkey": F.when(F.col("s_suppkey") % 7 == 0, F.col("s_nationkey") + 1).otherwise(F.col("s_nationkey")), "s_acctbal": F.col("s_acctbal") + 1})  # an edited copy without some rows
+    new = t.supplier.withColumns({"s_suppkey": F.expr("if(s_suppkey % 10 = 3, -s_suppkey, s_suppkey)"), "s_nationkey": F.when(F.col("s_suppkey") % 7 == 0, F.col("s_nationkey") + 1).otherwise(F.col("s_nationkey")), "s_acctbal": F.col("s_acctbal") + 1})  # an edited copy, some rows under other keys
     return D.changed_fields(t.supplier, new, "s_suppkey", ["s_acctbal"])
 
 
