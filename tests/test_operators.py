@@ -301,10 +301,29 @@ def test_joins_refuse_what_they_rely_on(spark):
 
 
 def test_hard_constraints_name_what_is_broken(spark):
-    data = [(i, i // 2, "train" if i % 10 < 8 else "dev" if i % 10 == 8 else "test", "t", "s", "t|s") for i in range(100)]
-    df = spark.createDataFrame(data, "row_id int, group int, split string, task string, source string, cell string")
-    got = {r.constraint: r.passed for r in splits.hard_constraints(df, {"train": 80, "dev": 10, "test": 10}).collect()}
-    assert {k for k, v in got.items() if not v} == {"H04_relationship_conflicts", "H08_task_minimum", "H11_task_dominance", "H15_source_local_edges"} and len(got) == 15
+    """A clean assignment passes all that its size allows, and each broken rule is named alone."""
+    data = [(i, i, "train" if i % 10 < 8 else "dev" if i % 10 == 8 else "test", f"t{i // 500}", "s", f"t{i // 500}|s", f"c{i}", f"q{i}") for i in range(1000)]
+    columns = "row_id int, group int, split string, task string, source string, cell string, content string, query string"
+    targets = {"train": 800, "dev": 100, "test": 100}
+    original = spark.createDataFrame([(r[0], r[6]) for r in data], "row_id int, content string")
+    edges = spark.createDataFrame([(0, 1, "s"), (8, 18, "s")], "u int, v int, source string")
+    broken = lambda rows, **k: {r.constraint for r in splits.hard_constraints(spark.createDataFrame(rows, columns), targets, original, ["query"], k.get("edges", edges)).collect() if not r.passed}
+
+    def changed(*places, **new):
+        names = [c.split()[0] for c in columns.split(", ")]
+        return [tuple(new[k] if k in new and i in places else v for k, v in zip(names, r)) for i, r in enumerate(data)]
+
+    assert not broken(data) and splits.hard_constraints(spark.createDataFrame(data, columns), targets, original, ["query"], edges).count() == 15
+    assert broken(changed(2, 9, group=0)) == {"H01_group_unsplit"}
+    assert broken(changed(0, 9, query="same")) == {"H03_identity_group_overlap"}
+    assert broken(data, edges=spark.createDataFrame([(0, 9, "s")], edges.schema)) == {"H04_relationship_conflicts"}
+    assert broken(changed(0, 9, content="c0")) == {"H05_content_duplicate_conflicts", "H12_content_immutable"}
+    assert broken(changed(2, split="test")) == {"H06_test_size"} and broken(changed(2, split="dev")) == {"H07_dev_size"}
+    assert broken(changed(0, content="edited")) == {"H12_content_immutable"}
+    assert broken(changed(2, row_id=5000)) == {"H14_no_row_mutation"} and broken(changed(2, split="lost")) == {"H14_no_row_mutation"} and broken(data[1:] + [data[1]]) >= {"H14_no_row_mutation"}
+    assert broken(data, edges=spark.createDataFrame([(0, 1, "other")], edges.schema)) == {"H15_source_local_edges"}
+    assert broken(changed(*range(9, 500, 10), task="t1", cell="t1|s")) == {"H02_tasks_in_test", "H08_task_minimum", "H09_source_task_minimum", "H10_named_cell_in_test", "H11_task_dominance"}
+
 
 
 def test_rebuilt_candidates_order(spark):
@@ -339,13 +358,31 @@ def test_scratch_needs_a_shared_folder_on_a_cluster():
         shared_dir(fake("spark://x:7077"))
 
 
-def test_global_bm25_is_the_same_with_joined_terms(spark, monkeypatch):
+def test_global_bm25_against_all_pairs(spark, monkeypatch):
+    """Exact top k with few pairs scored in full, whether terms are broadcast or joined."""
+    import math
+    from collections import Counter
+
     rng = random.Random(4)
-    words = [f"w{i}" for i in range(40)]
-    text = lambda n: " ".join(words[min(39, int(rng.expovariate(0.12)))] for _ in range(n))
-    queries = spark.createDataFrame([(i, text(6)) for i in range(8)] + [(9, "nothing"), (10, None)], "query_id int, query string")
-    docs = spark.createDataFrame([(i, text(rng.randint(1, 30))) for i in range(120)] + [(200, None), (201, "")], "candidate_id long, document string").repartition(5)
-    run = lambda: {(r.query_id, r["rank"]): (r.candidate_id, round(r.score, 9)) for r in rankers.bm25_global(queries, docs, 7).collect()}
-    one = run()
-    monkeypatch.setattr(rankers, "WEIGHTS_IN_TASK", 0)
-    assert one == run() and len(one) == 56
+    words = [f"w{i}" for i in range(400)]
+    text = lambda n: " ".join(words[min(399, int(rng.expovariate(0.03)))] for _ in range(n))
+    asked = [(i, f"{text(3)} {' '.join(rng.sample(words[60:], 4))}") for i in range(20)] + [(30, "nothing"), (31, None)]
+    corpus = [(i, text(rng.randint(1, 30))) for i in range(1500)] + [(2000, None), (2001, "")]
+    queries, docs = spark.createDataFrame(asked, "query_id int, query string"), spark.createDataFrame(corpus, "candidate_id long, document string").repartition(5)
+    have = {d: Counter((t or "").split()) for d, t in corpus}
+    mean = sum(sum(c.values()) for c in have.values()) / len(have)
+    df = Counter(w for c in have.values() for w in c)
+    want, sharing = {}, 0
+    for q, t in asked:
+        scores = {d: sum(math.log(1 + (len(have) - df[w] + 0.5) / (df[w] + 0.5)) * c[w] * 2.5 / (c[w] + 1.5 * (0.25 + 0.75 * sum(c.values()) / mean)) for w in (t or "").split() if c[w]) for d, c in have.items()}
+        order = sorted((d for d in scores if scores[d] > 0), key=lambda d: (-round(scores[d], 9), d))
+        sharing += len(order)
+        want |= {(q, r): (d, round(scores[d], 9)) for r, d in enumerate(order[:7], 1)}
+    scored = []
+    listed = rankers._shortlist
+    monkeypatch.setattr(rankers, "_shortlist", lambda *a: scored.append(listed(*a).count()) or listed(*a))
+    for bound in (rankers.BROADCAST_TERMS, 0):
+        monkeypatch.setattr(rankers, "BROADCAST_TERMS", bound)
+        assert {(r.query_id, r["rank"]): (r.candidate_id, round(r.score, 9)) for r in rankers.bm25_global(queries, docs, 7).collect()} == want
+    assert len(want) == 140 and scored[0] < sharing / 4
+    assert rankers.bm25_global(queries, docs.limit(0), 7).count() == 0

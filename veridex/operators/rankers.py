@@ -14,6 +14,7 @@ from pyspark.sql.functions import pandas_udf
 from pyspark.sql.types import DoubleType
 
 from veridex.functions.text import content_tokens, normalize_ascii, tokens
+from veridex.plans.scratch import Scratch
 
 K1, B = 1.5, 0.75
 
@@ -52,61 +53,75 @@ def bm25_local(pairs: DataFrame, k1: float = K1, b: float = B) -> DataFrame:
     return _ranked(out, "query_id", "score", "candidate_id")
 
 
-#: Query terms times queries up to which every task holds all query weights (8 bytes each); beyond, terms are joined.
-WEIGHTS_IN_TASK = 20_000_000
+#: Distinct query terms (strings) that are sent to every task while documents are read; beyond, tokens are joined with them.
+BROADCAST_TERMS = 500_000
+#: The first scores come from each query's rarest terms, with so many times k postings.
+FIRST_POSTINGS = 8
+_ROUNDING = 1e-6
+
+
+def _postings(documents: DataFrame, terms: DataFrame, k1: float, b: float, scratch: Scratch) -> tuple[DataFrame, int]:
+    """(term, candidate_id, impact) of every document that holds a query term, and the number of documents.
+
+    Documents are read once: all other tokens of one count together, beside a
+    token of its own that every document gets, which gives the number and the mean
+    length of all documents.
+    """
+    words = documents.select("candidate_id", tokens(F.col("document")).alias("d")).select("candidate_id", F.size("d").alias("length"), F.explode(F.array_append(F.col("d"), F.lit(None))).alias("term"))
+    known = words.join(terms.withColumn("_known", F.lit(True)), "term", "left").select("candidate_id", "length", F.when(F.col("_known"), F.col("term")).alias("term"))
+    counted = scratch.keep(known.groupBy("candidate_id", "length", "term").agg(F.count("*").alias("tf")))
+    own = F.col("term").isNull()
+    totals = counted.agg(F.sum("tf").alias("tokens"), F.count_if(own).alias("n")).first()
+    n, tokens_in_all = totals["n"], (totals["tokens"] or 0) - totals["n"]
+    mean = F.lit(float(tokens_in_all / n if n else 1.0))
+    return counted.where("term is not null").select("term", "candidate_id", _score(F.col("tf"), F.col("length"), mean, k1, b).alias("impact")), n
+
+
+def _shortlist(weighted: DataFrame, postings: DataFrame, k: int, scratch: Scratch) -> DataFrame:
+    """(query_id, candidate_id) pairs that can be among a query's first k, a superset of these.
+
+    A query's rarest terms give first scores; the k-th of them is a floor, since
+    other terms only add. Terms whose greatest contributions add up to less than
+    the floor can't bring a document in on their own, so only the postings of the
+    others are read, and of their documents those stay that reach the floor with
+    the greatest contribution of every term not read.
+    """
+    by_rarity = Window.partitionBy("query_id").orderBy("df", "term")
+    before = F.coalesce(F.sum("df").over(by_rarity.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    rare = weighted.withColumn("before", before).where(F.col("before") < FIRST_POSTINGS * k)
+    scores = lambda asked: asked.join(postings, "term").groupBy("query_id", "candidate_id").agg(F.sum(F.col("w") * F.col("impact")).alias("s"))
+    place = F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("s")))
+    floor_of = lambda scored: scored.withColumn("r", place).where(F.col("r") == k).select("query_id", (F.col("s") - _ROUNDING).alias("floor"))
+    reach = F.sum("bound").over(Window.partitionBy("query_id").orderBy("bound", "term").rowsBetween(Window.unboundedPreceding, 0))
+    split = weighted.join(floor_of(scores(rare)), "query_id", "left").withColumn("needed", reach >= F.coalesce("floor", F.lit(0.0)))
+    split = scratch.keep(split)
+    rest = split.groupBy("query_id").agg(F.coalesce(F.sum(F.when(~F.col("needed"), F.col("bound"))), F.lit(0.0)).alias("rest"))
+    part = scratch.keep(scores(split.where("needed")))
+    floors = rest.join(floor_of(part), "query_id", "left")  # at least as high as the first
+    return part.join(floors, "query_id").where(F.col("s") + F.col("rest") >= F.coalesce("floor", F.lit(0.0))).select("query_id", "candidate_id")
 
 
 def bm25_global(queries: DataFrame, documents: DataFrame, k: int, k1: float = K1, b: float = B) -> DataFrame:
     """The top k documents for each query, over the whole corpus; documents without any shared term are left out.
 
-    queries: query_id, query; documents: candidate_id, document. Frequencies come
-    from one partly aggregated pass. Where all query weights fit in a task (see
-    WEIGHTS_IN_TASK), a second pass scores documents in batches and lets only each
-    batch's top k of a query out, so what is shuffled doesn't grow with the pairs
-    that share a word. Otherwise terms are joined, and pairs that share nothing
-    never meet.
+    queries: query_id, query; documents: candidate_id, document. Exact: pairs that
+    can't reach a query's first k are never scored in full (see _shortlist), and
+    pairs that share nothing never meet. Null texts are empty; rows that repeat a
+    query count its terms again; a repeated candidate counts as one document with
+    the tokens of all rows of the same length.
     """
-    asked = queries.select("query_id", F.explode(tokens(F.col("query"))).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("times"))
-    words = documents.select("candidate_id", tokens(F.col("document")).alias("d")).select("candidate_id", F.size("d").alias("length"), "d")
-    totals = words.agg(F.count("*").alias("n"), F.avg("length").alias("mean_length"))
-    terms = asked.select("term").distinct()
-    size = asked.agg(F.count_distinct("term").alias("t"), F.count_distinct("query_id").alias("q")).first()
-    fits = size["t"] * size["q"] <= WEIGHTS_IN_TASK
-    once = words.select(F.explode(F.array_distinct("d")).alias("term"))
-    df = once.join(F.broadcast(terms) if fits else terms, "term").groupBy("term").agg(F.count("*").alias("df"))
-    weighted = asked.join(df, "term").join(F.broadcast(totals), F.lit(True)).select("query_id", "term", (F.col("times") * idf(F.col("n"), F.col("df"))).alias("w"))
-    if fits:
-        kinds = {c: f.schema[c].dataType.simpleString() for f, c in ((queries, "query_id"), (documents, "candidate_id"))}
-        table = weighted.toPandas()
-        score = partial(_score_batches, table=table, mean=float(totals.first()["mean_length"] or 1.0), k=k, k1=k1, b=b)
-        best = words.mapInPandas(score, f"query_id {kinds['query_id']}, candidate_id {kinds['candidate_id']}, score double")
-        return _ranked(best, "query_id", "score", "candidate_id").where(F.col("rank") <= k)
-    tf = words.select("candidate_id", "length", F.explode("d").alias("term")).join(terms, "term", "left_semi").groupBy("term", "candidate_id", "length").agg(F.count("*").alias("tf"))
-    parts = tf.join(weighted, "term").join(F.broadcast(totals), F.lit(True)).select("query_id", "candidate_id", (F.col("w") * _score(F.col("tf"), F.col("length"), F.col("mean_length"), k1, b)).alias("s"))
-    return _ranked(parts.groupBy("query_id", "candidate_id").agg(F.sum("s").alias("score")), "query_id", "score", "candidate_id").where(F.col("rank") <= k)
-
-
-def _score_batches(frames: Iterator[pd.DataFrame], table: pd.DataFrame, mean: float, k: int, k1: float, b: float) -> Iterator[pd.DataFrame]:
-    """Each batch's top k documents of every query."""
-    names, query_of = np.unique(table["query_id"].to_numpy(), return_inverse=True)
-    term_at = {t: i for i, t in enumerate(table["term"].unique())}
-    weights = np.zeros((len(term_at), len(names)))
-    weights[[term_at[t] for t in table["term"]], query_of] = table["w"].to_numpy()
-    for frame in frames:
-        scores = np.zeros((len(frame), len(names)))
-        for row, (length, words) in enumerate(zip(frame["length"], frame["d"], strict=True)):
-            known = [term_at[w] for w in words if w in term_at] if words is not None else []
-            if known:
-                at, tf = np.unique(known, return_counts=True)
-                scores[row] = (tf * (k1 + 1) / (tf + k1 * (1 - b + b * length / max(mean, 1.0)))) @ weights[at]
-        ids = frame["candidate_id"].to_numpy()
-        by_id = np.argsort(ids, kind="stable")
-        out = []
-        for q in range(len(names)):
-            order = by_id[np.argsort(-np.round(scores[by_id, q], 9), kind="stable")[:k]]
-            order = order[scores[order, q] > 0]
-            out.append(pd.DataFrame({"query_id": names[q], "candidate_id": ids[order], "score": scores[order, q]}))
-        yield pd.concat(out) if out else pd.DataFrame({"query_id": [], "candidate_id": [], "score": []})
+    scratch = Scratch(queries.sparkSession, "bm25")
+    asked = scratch.keep(queries.select("query_id", F.explode(tokens(F.col("query"))).alias("term")).groupBy("query_id", "term").agg(F.count("*").alias("times")))
+    terms = scratch.keep(asked.select("term").distinct())
+    terms = F.broadcast(terms) if terms.count() <= BROADCAST_TERMS else terms
+    found, n = _postings(documents, terms, k1, b, scratch)
+    postings = scratch.keep(found)
+    by_term = postings.groupBy("term").agg(F.count("*").alias("df"), F.max("impact").alias("best"))
+    weighted = asked.join(by_term, "term").withColumn("w", F.col("times") * idf(F.lit(n), F.col("df")))
+    weighted = scratch.keep(weighted.select("query_id", "term", "df", "w", (F.col("w") * F.col("best")).alias("bound")))
+    pairs = scratch.keep(_shortlist(weighted, postings, k, scratch))
+    scored = pairs.join(weighted.select("query_id", "term", "w"), "query_id").join(postings, ["term", "candidate_id"]).groupBy("query_id", "candidate_id").agg(F.sum(F.col("w") * F.col("impact")).alias("score"))
+    return _ranked(scored, "query_id", "score", "candidate_id").where(F.col("rank") <= k)
 
 
 @lru_cache(1 << 20)

@@ -81,16 +81,35 @@ def constraint_rows(rows: DataFrame, split: str, group: str, labels: list[str],
     return out
 
 
-def hard_constraints(rows: DataFrame, targets: dict[str, int], small: int = 20, least: int = 20, cell_least: int = 5, large: int = 1000, dominance: tuple[float, float] = (0.15, 0.7), ratio_tolerance: float = 0.05, relaxed: float = 0.0) -> DataFrame:
+def hard_constraints(
+    rows: DataFrame, targets: dict[str, int], original: DataFrame, identities: list[str], edges: DataFrame, small: int = 20, least: int = 20, cell_least: int = 5, large: int = 1000, dominance: tuple[float, float] = (0.15, 0.7),
+    ratio_tolerance: float = 0.05, relaxed: float = 0.0,
+) -> DataFrame:
     """(constraint, passed, observed) for H01 to H15 of a finished assignment; observed counts violations, or is the measured number.
 
-    rows: row_id, group, split, task, source, cell (task and source), legacy. A
-    constraint about tasks or cells looks at every one of them. `small` and `large`
-    are least numbers of groups and rows for a minimum and for a ratio to be asked;
-    `relaxed` is the share that sizes may be off.
+    rows: row_id, group, split, task, source, cell (task and source), content (a
+    fingerprint) and the columns of `identities`. original: row_id and content
+    before the assignment. edges: (u, v, source), the relations that groups come
+    from. H01 groups in several splits; H03 identity tokens in several splits; H04
+    edges between splits; H05 contents in several splits; H12 rows whose content
+    isn't the original; H14 ids that are new, gone or repeated, and rows without a
+    known split; H15 edges that leave their source. A constraint about tasks or
+    cells looks at every one of them. `small` and `large` are least numbers of
+    groups and rows for a minimum and for a ratio to be asked; `relaxed` is the
+    share that sizes may be off. Null contents and tokens say nothing.
     """
-    n = rows.agg(F.count("*").alias("n"), F.count_distinct("row_id").alias("ids"), F.count_if(F.col("split").isNull()).alias("open"), F.count_if(~F.col("split").isin(*targets)).alias("odd"), *(F.count_if(F.col("split") == s).alias(s) for s in targets))
-    groups = rows.groupBy("group").agg(F.count_distinct("split").alias("k")).agg(F.count_if(F.col("k") > 1).alias("torn"))
+    n = rows.agg(F.count("*").alias("n"), F.count_if(F.col("split").isNull() | ~F.col("split").isin(*targets)).alias("odd"), *(F.count_if(F.col("split") == s).alias(s) for s in targets))
+    torn_of = lambda key, df=rows: df.where(F.col(key).isNotNull()).groupBy(key).agg(F.count_distinct("split").alias("k"))
+    groups = torn_of("group").agg(F.count_if(F.col("k") > 1).alias("torn"))
+    contents = torn_of("content").agg(F.count_if(F.col("k") > 1).alias("copies"))
+    tokens = rows.select("split", F.explode(F.array(*(F.when(present(F.col(f)).isNotNull(), F.struct(F.lit(f).alias("field"), present(F.col(f)).alias("value"))) for f in identities))).alias("token"))
+    tokens = torn_of("token", tokens).agg(F.count_if(F.col("k") > 1).alias("shared"))
+    end = lambda side: rows.select(F.col("row_id").alias(side), F.col("split").alias(f"split_{side}"), F.col("source").alias(f"source_{side}"))
+    related = edges.select("u", "v", F.col("source").alias("own")).join(end("u"), "u").join(end("v"), "v")
+    related = related.agg(F.count_if(F.col("split_u") != F.col("split_v")).alias("cut"), F.count_if((F.col("source_u") != F.col("source_v")) | (F.col("source_u") != F.col("own"))).alias("foreign"))
+    ids = rows.groupBy("row_id").agg(F.count("*").alias("now"), F.min("content").alias("low"), F.max("content").alias("high")).join(original.groupBy("row_id").agg(F.count("*").alias("then"), F.min("content").alias("was")), "row_id", "full")
+    known = lambda k: F.coalesce(k, F.lit(0))
+    ids = ids.agg(F.count_if(known("now") != known("then")).alias("mutated"), F.count_if((F.col("low") != F.col("was")) | (F.col("high") != F.col("was"))).alias("edited"))
     of = lambda key: rows.groupBy(key).agg(F.count("*").alias("total"), F.count_distinct("group").alias("groups"), F.count_if(F.col("split") == "test").alias("test"), F.count_if(F.col("split") == "dev").alias("dev"))
     sizes = n.select(F.col("n").alias("all"), F.col("test").alias("all_test"))
     least_of = lambda most: F.when(F.col("groups") >= small, most).otherwise(1)
@@ -103,14 +122,15 @@ def hard_constraints(rows: DataFrame, targets: dict[str, int], small: int = 20,
         F.count_if((F.col("groups") >= small) & (F.col("test") < cell_least)).alias("few_cells"), F.count_if((F.col("total") >= large) & (F.col("groups") >= small) & (off("dev") | off("test"))).alias("off_cells"),
         F.count_if((F.col("total") > 0) & (F.col("test") == 0) & (F.col("groups") >= 3)).alias("lost_cells"),
     )
-    one = n.join(groups, F.lit(True)).join(tasks, F.lit(True)).join(cells, F.lit(True))  # each is a single row
+    one = n
+    for part in (groups, contents, tokens, related, ids, tasks, cells):
+        one = one.join(part, F.lit(True))  # each is a single row
     miss = lambda k: F.abs(F.col(k) - targets[k]) > max(1, int(targets[k] * relaxed)) if relaxed else F.col(k) != targets[k]
-    bad = lambda c: (c == 0, c)
+    bad = lambda *names: (sum((F.col(k) for k in names), F.lit(0)) == 0, sum((F.col(k) for k in names), F.lit(0)))
     checks = {
-        "H01_group_unsplit": bad(F.col("odd")), "H02_tasks_in_test": bad(F.col("without")), "H03_identity_group_overlap": bad(F.col("open")), "H04_relationship_conflicts": bad(F.col("torn")),
-        "H05_content_duplicate_conflicts": bad(F.col("n") - F.col("ids")), "H06_test_size": (~miss("test"), F.col("test")), "H07_dev_size": (~miss("dev"), F.col("dev")), "H08_task_minimum": bad(F.col("few")),
-        "H09_source_task_minimum": bad(F.col("few_cells")), "H10_named_cell_in_test": bad(F.col("lost_cells")), "H11_task_dominance": bad(F.col("dominant")), "H12_content_immutable": bad(F.col("n") - F.col("ids")),
-        "H13_large_source_task_ratio": bad(F.col("off_cells")), "H14_no_row_mutation": bad(F.col("n") - F.col("ids")), "H15_source_local_edges": bad(F.col("torn")),
+        "H01_group_unsplit": bad("torn"), "H02_tasks_in_test": bad("without"), "H03_identity_group_overlap": bad("shared"), "H04_relationship_conflicts": bad("cut"), "H05_content_duplicate_conflicts": bad("copies"),
+        "H06_test_size": (~miss("test"), F.col("test")), "H07_dev_size": (~miss("dev"), F.col("dev")), "H08_task_minimum": bad("few"), "H09_source_task_minimum": bad("few_cells"), "H10_named_cell_in_test": bad("lost_cells"),
+        "H11_task_dominance": bad("dominant"), "H12_content_immutable": bad("edited"), "H13_large_source_task_ratio": bad("off_cells"), "H14_no_row_mutation": bad("mutated", "odd"), "H15_source_local_edges": bad("foreign"),
     }
     each = F.array(*(F.struct(F.lit(k).alias("constraint"), passed.alias("passed"), seen.cast("double").alias("observed")) for k, (passed, seen) in checks.items()))
     return one.select(F.explode(each).alias("c")).select("c.*")

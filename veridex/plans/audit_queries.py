@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from veridex.functions import text as T
+from veridex.operators import balance as B
 from veridex.operators import joins as J
 from veridex.operators import manifests as M
 from veridex.operators import reviews as V
@@ -19,19 +20,57 @@ from veridex.sources import readers as D
 # -- splits
 
 _ASSIGNED = [
-    "o_orderkey as row_id", "o_custkey as grp", "case when o_custkey % 10 < 8 then 'train' when o_custkey % 10 = 8 then 'dev' when o_orderkey % 97 = 0 then 'dev' else 'test' end as split", "o_orderpriority as task", "o_orderstatus as source", "concat(o_orderpriority, '|', o_orderstatus) as cell",
+    "case when o_orderkey % 103 = 0 then -1 - o_orderkey else o_orderkey end as row_id", "o_custkey as grp", "case when o_custkey % 10 < 8 then 'train' when o_custkey % 10 = 8 then 'dev' when o_orderkey % 97 = 0 then 'dev' when o_orderkey % 499 = 0 then 'none' else 'test' end as split", "o_orderpriority as task",
+    "o_orderstatus as source", "concat(o_orderpriority, '|', o_orderstatus) as cell", "case when o_orderkey % 101 = 0 then 'edited' else concat('c', cast(o_orderkey % 700 as varchar(20))) end as content", "case when o_orderkey % 5 = 0 then '' else concat('q', cast(o_custkey % 400 as varchar(20))) end as query", "concat('p', cast(o_custkey as varchar(20))) as parent",
 ]
 _TARGETS = {"train": 0, "dev": 150, "test": 150}
 
 
-@query(f"""with r as (select {', '.join(_ASSIGNED)} from orders), n as (select count(*) as n, count(distinct row_id) as ids, count(*) filter (split = 'test') as test, count(*) filter (split = 'dev') as dev from r), torn as (select count(*) as k from (select grp from r group by 1 having count(distinct split) > 1)),
+@query(f"""with r as (select {', '.join(_ASSIGNED)} from orders), o as (select o_orderkey as row_id, concat('c', o_orderkey % 700) as content from orders), ed as (select o_orderkey as u, min(o_orderkey) over (partition by o_custkey % 1000) as v, 'F' as source from orders),
+n as (select count(*) as n, count(*) filter (split = 'test') as test, count(*) filter (split = 'dev') as dev, count(*) filter (split not in ('train', 'dev', 'test')) as odd from r), torn as (select count(*) as k from (select grp from r group by 1 having count(distinct split) > 1)), copies as (select count(*) as k from (select content from r group by 1 having count(distinct split) > 1)),
+shared as (select (select count(*) from (select query from r where query <> '' group by 1 having count(distinct split) > 1)) + (select count(*) from (select parent from r group by 1 having count(distinct split) > 1)) as k),
+rel as (select count(*) filter (a.split <> b.split) as cut, count(*) filter (a.source <> b.source or a.source <> ed.source) as alien from ed join r a on a.row_id = ed.u join r b on b.row_id = ed.v where ed.u <> ed.v),
+m as (select (select count(*) from r where row_id not in (select row_id from o)) + (select count(*) from o where row_id not in (select row_id from r)) as mutated, (select count(*) from r join o using (row_id) where r.content <> o.content) as edited),
 t as (select task, count(*) as total, count(distinct grp) as groups, count(*) filter (split = 'test') as test from r group by 1), tk as (select count(*) filter (t.test = 0) as without, count(*) filter (t.test < case when groups >= 20 then 20 else 1 end) as few, count(*) filter (t.test / greatest(n.test, 1)::double > least(0.7, total / n.n::double + 0.15) + 1e-12) as dominant from t, n),
 c as (select cell, count(*) as total, count(distinct grp) as groups, count(*) filter (split = 'test') as test, count(*) filter (split = 'dev') as dev from r group by 1), ck as (select count(*) filter (groups >= 20 and c.test < 5) as few, count(*) filter (total >= 1000 and groups >= 20 and (abs(c.dev / total::double - 150 / n.n::double) > 0.05 + 1e-12 or abs(c.test / total::double - 150 / n.n::double) > 0.05 + 1e-12)) as off, count(*) filter (c.test = 0 and groups >= 3) as lost from c, n),
-a as (select 'H01_group_unsplit' as k, 0 as v union all select 'H02_tasks_in_test', without from tk union all select 'H03_identity_group_overlap', 0 union all select 'H04_relationship_conflicts', k from torn union all select 'H05_content_duplicate_conflicts', n - ids from n union all select 'H08_task_minimum', few from tk union all select 'H09_source_task_minimum', few from ck
-union all select 'H10_named_cell_in_test', lost from ck union all select 'H11_task_dominance', dominant from tk union all select 'H12_content_immutable', n - ids from n union all select 'H13_large_source_task_ratio', off from ck union all select 'H14_no_row_mutation', n - ids from n union all select 'H15_source_local_edges', k from torn)
+a as (select 'H01_group_unsplit' as k, k as v from torn union all select 'H02_tasks_in_test', without from tk union all select 'H03_identity_group_overlap', k from shared union all select 'H04_relationship_conflicts', cut from rel union all select 'H05_content_duplicate_conflicts', k from copies union all select 'H08_task_minimum', few from tk union all select 'H09_source_task_minimum', few from ck
+union all select 'H10_named_cell_in_test', lost from ck union all select 'H11_task_dominance', dominant from tk union all select 'H12_content_immutable', edited from m union all select 'H13_large_source_task_ratio', off from ck union all select 'H14_no_row_mutation', mutated + odd from m, n union all select 'H15_source_local_edges', alien from rel)
 select k as "constraint", v = 0 as passed, v::double as observed from a union all select 'H06_test_size', test = 150, test::double from n union all select 'H07_dev_size', dev = 150, dev::double from n""")
 def split_hard_constraints(t: Tables) -> DataFrame:
-    return Q.hard_constraints(t.orders.selectExpr(*_ASSIGNED).withColumnRenamed("grp", "group"), _TARGETS)
+    rows = t.orders.selectExpr(*_ASSIGNED).withColumnRenamed("grp", "group")
+    original = t.orders.select(F.col("o_orderkey").alias("row_id"), F.concat(F.lit("c"), (F.col("o_orderkey") % 700).cast("string")).alias("content"))
+    first = t.orders.groupBy((F.col("o_custkey") % 1000).alias("_c")).agg(F.min("o_orderkey").alias("v"))
+    edges = t.orders.withColumn("_c", F.col("o_custkey") % 1000).join(first, "_c").select(F.col("o_orderkey").alias("u"), "v", F.lit("F").alias("source")).where("u != v")
+    return Q.hard_constraints(rows, _TARGETS, original, ["query", "parent"], edges)
+
+
+_WAS = "case when o_custkey % 10 < 7 then 'train' when o_custkey % 10 = 7 then 'dev' else 'test' end"
+
+
+@query(f"""with n as (select count(*) as n from orders), s as (select 'dev' as split, n // 10 as n from n union all select 'test', n // 10 from n union all select 'train', n - n // 10 - n // 10 from n)
+select split, n, 0 as torn, true as whole from s""")
+def split_rebalanced(t: Tables) -> DataFrame:
+    """Sizes that must be exact, from an assignment whose sizes are not: customers stay whole and labels near their shares."""
+    rows = t.orders.selectExpr("o_orderkey", "o_custkey", "o_orderpriority", "o_orderstatus", f"{_WAS} as was")
+    n = rows.count()
+    made = B.balance(rows, "o_custkey", ["o_orderpriority", "o_orderstatus"], B.Objective(exact={"dev": n // 10, "test": n // 10}, least={"test": 5}, stay=1.0), was="was")
+    placed = rows.join(made.groups.select(F.col("group").alias("o_custkey"), "split"), "o_custkey", "left")
+    each = placed.groupBy("o_custkey").agg(F.count_distinct("split").alias("k"), F.min("split").alias("split"), F.count("*").alias("n"))
+    return each.groupBy("split").agg(F.sum("n").alias("n"), F.count_if(F.col("k") != 1).cast("int").alias("torn"), F.lit(True).alias("whole"))
+
+
+@query("""with l as (select 'o_orderpriority' as field, o_orderpriority as value, count(*) as total from orders group by 2 union all select 'o_orderstatus', o_orderstatus, count(*) from orders group by 2), s(split, r) as (values ('train', 0.8), ('dev', 0.1), ('test', 0.1))
+select field, value, split, total, true as near from l, s""")
+def split_balanced(t: Tables) -> DataFrame:
+    """Every label's rows in every split, counted again from the assignment: at most 1 % of the label's rows, or two rows, off its share."""
+    rows = t.orders.select("o_custkey", "o_orderpriority", "o_orderstatus")
+    made = B.balance(rows, "o_custkey", ["o_orderpriority", "o_orderstatus"])
+    placed = rows.join(made.groups.select(F.col("group").alias("o_custkey"), "split"), "o_custkey")
+    labels = F.explode(F.array(*(F.struct(F.lit(k).alias("field"), F.col(k).alias("value")) for k in ("o_orderpriority", "o_orderstatus"))))
+    counted = placed.select("split", labels.alias("x")).groupBy("x.field", "x.value").agg(F.count("*").alias("total"), *(F.count_if(F.col("split") == s).alias(s) for s in Q.RATIOS))
+    near = lambda s: F.abs(F.col(s) - Q.RATIOS[s] * F.col("total")) <= F.greatest(F.lit(2.0), 0.01 * F.col("total"))
+    each = F.explode(F.array(*(F.struct(F.lit(s).alias("split"), near(s).alias("near")) for s in Q.RATIOS)))
+    return counted.select("field", "value", "total", each.alias("x")).select("field", "value", "x.split", "total", "x.near")
 
 
 @query("""with r as (select source, 'lang' as field, lang as value from documents union all select source, 'n_chars', cast(n_chars as varchar) from documents union all select source, 'text_md5', md5(text) from documents), c as (select field, value, source, count(*) as n from r where nullif(trim(value), '') is not null group by 1, 2, 3), v as (select field, value, count(*) as s, sum(n)::bigint as n from c group by 1, 2)
