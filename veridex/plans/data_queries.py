@@ -14,6 +14,8 @@ from veridex.operators import policy as P
 from veridex.operators import splits as S
 from veridex.operators.gates import gate, gates, schema_violations
 from veridex.plans.registry import Tables, query, sql_norm
+from veridex.plans.scratch import Scratch
+from veridex.streaming.candidates import candidate_stream, current_candidates
 
 # -- catalogs
 
@@ -87,6 +89,19 @@ def candidate_rows(t: Tables) -> DataFrame:
     return C.explode_candidates(order_tasks(t)).withColumn("candidate_rank", F.col("candidate_rank").cast("long"))
 
 
+@query(_TASKS + " select task_id, i as candidate_rank, candidates[i] as candidate, list_contains(gold, candidates[i]) as is_gold, contains(lower(query), candidates[i]) as is_mentioned from tk, lateral (select unnest(generate_series(1, len(candidates))) as i)")
+def candidate_streamed(t: Tables) -> DataFrame:
+    """The same rows from a stream over files of tasks, two files a batch; every task arrives twice, first without its last candidate."""
+    scratch = Scratch(t.spark, "candidate-stream")
+    tasks = order_tasks(t).select(F.col("task_id"), "query", "candidates", "gold")
+    early = tasks.withColumns({"candidates": F.slice("candidates", F.lit(1), F.size("candidates") - 1), "seq": F.lit(1)})
+    files = scratch.keep(early.unionByName(tasks.withColumn("seq", F.lit(2))).orderBy("seq", F.xxhash64("task_id")))
+    arriving = t.spark.readStream.schema(files.schema).option("maxFilesPerTrigger", 2).parquet(f"{scratch.root}/{scratch.n}")
+    stream = candidate_stream(arriving, f"{scratch.root}/out", f"{scratch.root}/checkpoint", available_now=True)
+    stream.awaitTermination()
+    return current_candidates(t.spark, f"{scratch.root}/out").withColumn("candidate_rank", F.col("candidate_rank").cast("long"))
+
+
 @query(_TASKS + " select task_id, array_to_string(candidates, ',') as candidates, array_to_string(gold, ',') as gold from tk")
 def candidate_regrouped(t: Tables) -> DataFrame:
     out = C.regroup_candidates(C.explode_candidates(order_tasks(t)))

@@ -151,6 +151,11 @@ def stats_bootstrap(t: Tables) -> DataFrame:
     return out.select("toxic", *(F.round(c, 9).alias(c) for c in ("low", "high", "mean")), "repetitions")
 
 
+@query()
+def stats_bootstrap_values(t: Tables) -> DataFrame:
+    return S.bootstrap_by_values(t.lineitem, "l_quantity", ["l_returnflag", "l_linestatus"])
+
+
 @query("""with base as (select l_orderkey as q, cast(l_partkey as varchar) as c, row_number() over (partition by l_orderkey order by l_extendedprice desc, l_partkey, l_linenumber) as rn, l_returnflag as f from lineitem),
 u as (select q, c, min(rn) as rn from base group by 1, 2), r as (select q, c, row_number() over (partition by q order by rn) as rk from u), n as (select q, count(*) as n from r group by 1),
 alt as (select distinct q, f, c from base where f in ('R', 'N')), g as (select q, f, count(*) as g from alt group by 1, 2), gq as (select q, max(g) as gold_n from g group by 1),
