@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -15,7 +17,10 @@ from veridex.operators import splits as Q
 from veridex.operators import stats as A
 from veridex.plans.flow_queries import _h
 from veridex.plans.registry import Tables, query
+from veridex.plans.scratch import shared_dir
+from veridex.sources import adapters as E
 from veridex.sources import readers as D
+from veridex.sources.json_arrays import read_json_elements
 
 # -- splits
 
@@ -295,3 +300,48 @@ def source_mined(t: Tables) -> DataFrame:
     one = '{"name": "%s", "size": %d}'
     script = F.when(F.col("page_id") % 3 == 0, F.format_string(f'<script type="application/ld+json">[{one}, {one}]</script>', "url", F.lit(1), "url", F.lit(2))).when(F.col("page_id") % 3 == 1, F.format_string(f'<SCRIPT id="x" type="application/json"> {one} </SCRIPT>', "url", F.lit(7))).otherwise("")
     return D.mine_records(t.pages.select("page_id", F.concat("html", script).alias("html")), "page_id", "html", "name:string,size:int")
+
+
+# -- source adapters and arrays
+
+_FLAT = [
+    "p_brand as candidate_service_name", "p_name as candidate_service_description", "case when p_size % 4 = 0 then concat('/', p_type) else p_type end as candidate_api_name", "p_name as candidate_api_description",
+    "case p_size % 3 when 0 then '{}' when 1 then concat('{\"candidate_service_host\": \"h', cast(p_size % 5 as varchar(9)), '.io\", \"candidate_api_method\": \"get\", \"candidate_required_parameters_json\": \"[1]\"}') else 'no json' end as metadata_json",
+]
+_FLAT_SQL = f"with r as (select {', '.join(_FLAT)}, case when p_size % 3 = 1 then 'h' || (p_size % 5) || '.io' else '' end as host from part), k as (select *, case when host <> '' then '[\"' || host || '\",\"' || lower(candidate_service_name) || '\"]' else lower(candidate_service_name) end as identity from r)"
+
+
+@query(_FLAT_SQL + """ select identity, min(candidate_service_name) as name, first(candidate_service_description order by length(candidate_service_description) desc, candidate_service_description desc) as description, case when max(host) <> '' then 'RapidAPI' else '' end as provider, max(host) as host,
+min(case when host <> '' then 'host_plus_source_name' else 'normalized_source_name' end) as basis from k group by 1""")
+def adapted_services(t: Tables) -> DataFrame:
+    return E.service_records(t.part.selectExpr(*_FLAT), E.ADAPTERS["flat"]).select("identity", "name", "description", "provider", "host", "basis")
+
+
+@query(_FLAT_SQL + """ select identity, candidate_api_name as name, first(candidate_api_description order by length(candidate_api_description) desc, candidate_api_description desc) as description, case when candidate_api_name like '/%' then candidate_api_name else '' end as endpoint, case when max(host) <> '' then 'GET' else '' end as method,
+case when candidate_api_name like '/%' then '' else candidate_api_name end as operation, case when max(host) <> '' then '{"optional":[],"required":[1]}' else '{"optional":[],"required":[]}' end as parameters from k group by identity, candidate_api_name""")
+def adapted_apis(t: Tables) -> DataFrame:
+    raw = t.part.selectExpr(*_FLAT)
+    known = E.service_records(raw, E.ADAPTERS["flat"]).select("service_id", "identity")
+    return E.api_records(raw, E.ADAPTERS["flat"]).join(known, "service_id").select("identity", "name", "description", "endpoint", "method", "operation", "parameters")
+
+
+@query("""with s as (select lower(p_brand) as identity, p_brand as name from part union all select lower(p_type), p_type from part union all select lower(p_brand) || ' x', p_brand || ' X' from part where p_size % 2 = 0), a as (select lower(p_brand) || case when p_size % 2 = 0 then ' x' else '' end as identity, '/' || p_size as api from part)
+select identity, min(name) as name, (select count(distinct api) from a where a.identity = s.identity) as apis from s group by 1""")
+def adapted_lists(t: Tables) -> DataFrame:
+    raw = t.part.selectExpr(
+        """concat('["', p_brand, '", {"tool_name": "', p_type, '"}, null, {"other": 1}]') as candidate_services_json""",
+        """concat('[{"service_name": "', p_brand, if(p_size % 2 = 0, ' X', ''), '", "api_name": "/', p_size, '", "method": "post"}]') as candidate_apis_json""",
+    )
+    apis = E.api_records(raw, E.ADAPTERS["listed"]).groupBy("service_id").agg(F.count("*").alias("apis"))
+    return E.service_records(raw, E.ADAPTERS["listed"]).join(apis, "service_id", "left").select("identity", "name", F.coalesce("apis", F.lit(0)).alias("apis"))
+
+
+@query("select o_orderkey as id, o_orderpriority || ', [\"' || o_orderstatus as name, round(o_totalprice, 2) as price, 2 as n from orders")
+def source_elements(t: Tables) -> DataFrame:
+    """Orders written as files of one array each, of five thousand keys, and read back from stretches of these."""
+    root = f"{shared_dir(t.spark).rstrip('/')}/arrays-{uuid.uuid4().hex}"
+    element = F.to_json(F.struct(F.col("o_orderkey").alias("id"), F.concat("o_orderpriority", F.lit(', ["'), "o_orderstatus").alias("name"), F.round("o_totalprice", 2).alias("price"), F.array(F.lit(1), F.lit(2)).alias("tags")))
+    whole = t.orders.groupBy(F.floor(F.col("o_orderkey") / 5000).alias("part")).agg(F.concat(F.lit("["), F.array_join(F.collect_list(element), ",\n"), F.lit("]")).alias("value"))
+    whole.write.partitionBy("part").text(root)
+    got = read_json_elements(t.spark, root, "id long, name string, price double, tags array<int>")
+    return got.select("id", "name", "price", F.size("tags").alias("n"))
