@@ -57,8 +57,9 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, percent: int = PERCENT)
     the first of several; distance is that of the fingerprints. Items of fewer
     than five words count as one shingle. Documents shorter than an item give one
     window. Defined results: null and empty texts and items match nothing; null
-    ids pass through; rows that repeat a doc_id are judged one by one and give
-    rows of their own; repeated items count apart; other columns are ignored.
+    ids pass through; rows that repeat a doc_id with another text are judged one by
+    one and give rows of their own, equal rows give one; repeated items count
+    apart; other columns are ignored.
     Empty tables give an empty result.
     """
     distance = F.bit_count(simhash("window").bitwiseXOR(simhash("item")))
