@@ -9,6 +9,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from veridex.functions import text as T
+from veridex.functions.text import STOPWORDS
 from veridex.operators import candidates, catalog, dedup, depend, gates, graph, joins, leakage, manifests, metrics, policy, rankers, recovery, rulesets, sampling, splits, stats, traces
 from veridex.sources import readers, writers
 from veridex.streaming import sse
@@ -332,6 +333,22 @@ def test_rebuilt_candidates_order(spark):
     assert [r.candidate for r in recovery.rebuilt_candidates(tasks, pool, target=6).orderBy("r").collect()] == ["d", "e", "c", "b", "a"]
 
 
+def test_rebuilt_candidates_equal_a_sort_of_the_pool(spark):
+    rng = random.Random(8)
+    words = ["cheap", "repair", "shop", "tools", "food", "common"]
+    pick = lambda n: " ".join(rng.sample(words, rng.randint(0, n)) + ["common"] * rng.randint(0, 1))
+    pool = [(f"c{i:03d}", f"s{rng.randrange(12)}", f"d{rng.randrange(4)}", rng.choice([pick(3), None])) for i in range(400)]
+    tasks = [(f"t{i}", pick(4), rng.choice([f"s{rng.randrange(13)}", None]), f"d{rng.randrange(5)}", [f"c{rng.randrange(400):03d}" for _ in range(rng.randint(0, 9))]) for i in range(40)]
+    got = recovery.rebuilt_candidates(spark.createDataFrame(tasks, "task_id string, query string, service string, domain string, gold array<string>"), spark.createDataFrame(pool, "candidate string, service string, domain string, document string"), target=6)
+    rows = {}
+    for r in got.orderBy("task_id", "r").collect():
+        rows.setdefault(r.task_id, []).append(r.candidate)
+    for t, q, s, d, gold in tasks:
+        order = sorted((x for x in pool if x[0] not in gold), key=lambda x: (x[1] != s, x[2] != d, -len(set((x[3] or "").split()) & set(q.split())), x[0]))
+        assert rows[t] == [x[0] for x in order[: max(6, len(gold) + 1) - len(gold)]]
+    assert not set(words) & set(STOPWORDS)
+
+
 def test_files_are_indexed_once_and_appends_repeat_safely(spark, tmp_path):
     src, out, mark = tmp_path / "in", str(tmp_path / "out"), str(tmp_path / "mark")
     src.mkdir()

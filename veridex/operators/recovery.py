@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from veridex.functions.text import content_tokens, normalize_ascii, present
+from veridex.plans.scratch import Scratch
 
 # Reasons by other names, and the classes of reasons.
 SYNONYMS = {
@@ -46,32 +47,57 @@ def has_alias_conflict(names: Column) -> Column:
     return F.size(flat) != F.size(F.array_distinct(flat))
 
 
+def _sharing(asked: DataFrame, items: DataFrame, keys: list[str], most: int) -> DataFrame:
+    """(task_id, candidate) of the `most` items that share most words with a task, among those with its `keys`.
+
+    Tasks that ask for the same words ask once; items that have the same words of
+    those that any task asks for, and the same keys, differ by their own key only,
+    so the first `most` of them stand for all.
+    """
+    first = F.row_number().over(Window.partitionBy(*keys, "have").orderBy("candidate"))
+    few = items.where("have != ''").withColumn("k", first).where(F.col("k") <= most)
+    words = few.select("candidate", *keys, F.explode(F.split("have", " ")).alias("w"))
+    asking = asked.select("ask", *keys).distinct().select("ask", *keys, F.explode(F.split("ask", " ")).alias("w"))
+    met = asking.join(words, [*keys, "w"]).groupBy("ask", *keys, "candidate").agg(F.count("*").alias("overlap"))
+    best = F.row_number().over(Window.partitionBy("ask", *keys).orderBy(F.desc("overlap"), "candidate"))
+    met = met.withColumn("r", best).where(F.col("r") <= most)
+    return asked.join(met, ["ask", *keys]).select("task_id", "candidate")
+
+
 def rebuilt_candidates(tasks: DataFrame, pool: DataFrame, target: int = 12) -> DataFrame:
     """(task_id, candidate, r): the best of the pool until max(target, gold + 1) candidates are there.
 
     Same service first, then same domain, then the number of distinct topic words
     that item and query share, then by key. tasks: task_id, query, service, domain,
-    gold (array); pool: candidate, service, domain, document. Items that share a
-    word, a service or the domain meet a task on that key; of every (domain,
-    service) only the first by key that can still be needed go on, so a domain is
-    never paired whole. What is still missing comes from the pool's first keys.
+    gold (array); pool: candidate, service, domain, document. For each of the four
+    cases (service and domain, either, neither) a task meets as many of the items
+    that share most words with it, and of the first by key, as the largest target
+    can ask for: what a task brings to the exchange doesn't grow with the pool, and
+    a word that all items have pairs each set of asked words once with each set
+    of such words that items have.
     """
     need = F.greatest(F.lit(target), F.size("gold") + 1) - F.size("gold")
-    asked = tasks.select("task_id", F.col("service").alias("ts"), F.col("domain").alias("td"), "gold", need.alias("need"), content_tokens(F.col("query")).alias("words"))
-    items = pool.select("candidate", "service", "domain", content_tokens(F.col("document")).alias("tokens"))
-    most = tasks.agg(F.max(F.size("gold") + F.greatest(F.lit(target), F.size("gold") + 1)).alias("m")).first()["m"] or 0
-    short = lambda *by: items.withColumn("k", F.row_number().over(Window.partitionBy(*by).orderBy("candidate"))).where(F.col("k") <= most).drop("k", "tokens")
-    shared = asked.select("task_id", "gold", F.explode("words").alias("w")).join(items.select("candidate", F.explode("tokens").alias("w")), "w").where(~F.array_contains("gold", F.col("candidate")))
-    shared = shared.groupBy("task_id", "candidate").agg(F.count("*").alias("overlap"))
-    key = ["task_id", "candidate"]
-    near = asked.join(short("domain", "service"), F.col("td") == F.col("domain")).select(*key).unionByName(asked.join(short("service"), F.col("ts") == F.col("service")).select(*key))
-    first = [r["candidate"] for r in items.orderBy("candidate").limit(most).collect()]  # the largest target
-    rest = asked.select("task_id", F.explode(F.array(*map(F.lit, first)) if first else F.array().cast("array<string>")).alias("candidate"))
-    met = near.unionByName(rest).unionByName(shared.select(*key)).distinct().join(shared, key, "left")
-    met = met.join(asked.drop("words"), "task_id").join(items.drop("tokens"), "candidate").where(~F.array_contains("gold", F.col("candidate")))
+    spelled = lambda words: F.array_join(F.array_sort(F.array_distinct(words)), " ")
+    scratch = Scratch(tasks.sparkSession, "rebuilt")
+    asked = scratch.keep(tasks.select("task_id", "service", "domain", "gold", need.alias("need"), F.array_distinct(content_tokens(F.col("query"))).alias("words")).withColumn("ask", spelled(F.col("words"))))
+    items = pool.select("candidate", "service", "domain", F.array_distinct(content_tokens(F.col("document"))).alias("tokens"))
+    some = asked.select(F.explode("words").alias("w")).distinct()
+    known = items.select("candidate", F.explode("tokens").alias("w")).join(some, "w", "left_semi").groupBy("candidate").agg(spelled(F.collect_set("w")).alias("have"))
+    items = scratch.keep(items.join(known, "candidate", "left").withColumn("have", F.coalesce("have", F.lit(""))))
+    most = asked.agg(F.max(F.size("gold") + F.col("need")).alias("m")).first()["m"] or 0
+    met = None
+    for keys in (["service", "domain"], ["service"], ["domain"], []):
+        sharing = _sharing(asked.where("ask != ''"), items, keys, most)
+        met = sharing if met is None else met.unionByName(sharing)
+        if keys:
+            first = items.withColumn("k", F.row_number().over(Window.partitionBy(*keys).orderBy("candidate"))).where(F.col("k") <= most).select("candidate", *keys)
+            met = met.unionByName(asked.select("task_id", *keys).join(first, keys).select("task_id", "candidate"))
+    first = [r["candidate"] for r in items.select("candidate").orderBy("candidate").limit(most).collect()]  # the largest target
+    met = met.unionByName(asked.select("task_id", F.explode(F.array(*map(F.lit, first)) if first else F.array().cast("array<string>")).alias("candidate")))
+    rows = met.distinct().join(asked.select("task_id", F.col("service").alias("ts"), F.col("domain").alias("td"), "gold", "need", "words"), "task_id").join(items.drop("have"), "candidate").where(~F.array_contains("gold", F.col("candidate")))
     yes = lambda c: F.when(c, 0).otherwise(1)
-    order = Window.partitionBy("task_id").orderBy(yes(F.col("service") == F.col("ts")), yes(F.col("domain") == F.col("td")), F.desc(F.coalesce("overlap", F.lit(0))), "candidate")
-    return met.withColumn("r", F.row_number().over(order)).where("r <= need").select("task_id", "candidate", "r")
+    order = Window.partitionBy("task_id").orderBy(yes(F.col("service") == F.col("ts")), yes(F.col("domain") == F.col("td")), F.desc(F.size(F.array_intersect("words", "tokens"))), "candidate")
+    return rows.withColumn("r", F.row_number().over(order)).where("r <= need").select("task_id", "candidate", "r")
 
 
 def rebuilt_status(gold: Column, known: Column, candidates: Column, gold_names: Column, names: Column, parents_missing: Column) -> Column:
