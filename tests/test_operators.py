@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from veridex.functions import text as T
 from veridex.functions.text import STOPWORDS
-from veridex.operators import candidates, catalog, dedup, depend, gates, graph, joins, leakage, manifests, metrics, policy, rankers, recovery, rulesets, sampling, splits, stats, traces
+from veridex.operators import candidates, catalog, dedup, depend, gates, graph, joins, leakage, manifests, metrics, policy, rankers, recovery, reviews, rulesets, sampling, splits, stats, traces
 from veridex.sources import readers, writers
 from veridex.streaming import sse
 
@@ -349,6 +349,22 @@ def test_rebuilt_candidates_equal_a_sort_of_the_pool(spark):
     assert not set(words) & set(STOPWORDS)
 
 
+def test_selection_status(spark):
+    r, c = '"ranked_candidate_ids": ["b", "a"]', '"selected_candidate_ids": '
+    cases = {
+        f"{{{r}, {c}[]}}": "ok", f'{{{c}["a"], {r}}}': "ok", f'{{{r}, {c}["a", "a"]}}': "duplicate_selection", f'{{{r}, {c}["z"]}}': "unknown_selection", f"{{{r}, {c}[1]}}": "selection_not_strings", f"{{{r}, {c}null}}": "selection_not_strings",
+        f"{{{r}}}": "unexpected_keys", f'{{{r}, {c}[], "x": 1}}': "unexpected_keys", "[1]": "not_an_object", "{": "invalid_json", '{"ranked_candidate_ids": ["a"], "selected_candidate_ids": []}': "ranking_length",
+        '{"ranked_candidate_ids": ["a", "a"], "selected_candidate_ids": []}': "duplicate_candidate", '{"ranked_candidate_ids": ["a", "z"], "selected_candidate_ids": []}': "unknown_candidate", '{"ranked_candidate_ids": "ab", "selected_candidate_ids": []}': "ranking_not_strings",
+    }
+    df = spark.createDataFrame([(k,) for k in cases], "a string")
+    assert {x.a: x.s for x in df.select("a", manifests.selection_status(F.col("a"), F.array(F.lit("a"), F.lit("b"))).alias("s")).collect()} == cases
+
+
+def test_scalars_in_normal_form(spark):
+    df = spark.createDataFrame([("ﬁle",), ("１２.50",), ("Cafe\u0301",), (None,)], "v string")
+    assert [x[0] for x in df.select(reviews.normalize_scalar(F.col("v"))).collect()] == ["file", "12.5", "caf\u00e9", ""]
+
+
 def test_files_are_indexed_once_and_appends_repeat_safely(spark, tmp_path):
     src, out, mark = tmp_path / "in", str(tmp_path / "out"), str(tmp_path / "mark")
     src.mkdir()

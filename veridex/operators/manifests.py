@@ -73,6 +73,29 @@ def ranking_status(answer: Column, candidates: Column) -> Column:
     )
 
 
+def selection_status(answer: Column, candidates: Column) -> Column:
+    """ok, or the first reason why an answer isn't {"ranked_candidate_ids": a permutation of the candidates, "selected_candidate_ids": a subset of them}.
+
+    Both keys and no others, lists of strings, nothing twice; a subset may be empty.
+    """
+    both = F.try_parse_json(answer)
+    is_object = F.coalesce(F.startswith(F.schema_of_variant(both), F.lit("OBJECT")), F.lit(False))
+    keys = F.json_object_keys(answer)
+    strings = lambda k: F.schema_of_variant(F.try_variant_get(both, f"$.{k}", "variant")).isin("ARRAY<STRING>", "ARRAY<VOID>")
+    listed = lambda k: F.coalesce(F.try_variant_get(both, f"$.{k}", "array<string>"), F.array().cast("array<string>"))
+    ranked, chosen = listed("ranked_candidate_ids"), listed("selected_candidate_ids")
+    wrong = lambda k: ~F.coalesce(strings(k), F.lit(False))
+    twice = lambda xs: F.size(xs) != F.size(F.array_distinct(xs))
+    return (
+        F.when(both.isNull(), "invalid_json").when(~is_object, "not_an_object")
+        .when(F.array_sort(keys) != F.array(F.lit("ranked_candidate_ids"), F.lit("selected_candidate_ids")), "unexpected_keys")
+        .when(wrong("ranked_candidate_ids"), "ranking_not_strings").when(F.size(ranked) != F.size(candidates), "ranking_length")
+        .when(twice(ranked), "duplicate_candidate").when(F.size(F.array_except(ranked, candidates)) > 0, "unknown_candidate")
+        .when(wrong("selected_candidate_ids"), "selection_not_strings").when(twice(chosen), "duplicate_selection").when(F.size(F.array_except(chosen, candidates)) > 0, "unknown_selection")
+        .otherwise("ok")
+    )
+
+
 def unfenced(answer: Column) -> Column:
     """The body of a code fence that wraps the whole answer, else the answer."""
     inner = F.regexp_extract(answer, r"(?s)^\s*```(?:json)?\s*(.*?)\s*```\s*$", 1)

@@ -7,7 +7,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from veridex.functions.text import is_iso_timestamp, text_or_empty
+from veridex.functions.text import is_iso_timestamp, nfkc, text_or_empty
 
 # What each review field may hold.
 ALLOWED = {
@@ -63,8 +63,8 @@ def source_status(text: Column, statuses: tuple[str, ...] = ("allowed", "restric
 
 
 def normalize_scalar(value: Column) -> Column:
-    """A comparable form of a value: booleans and missing ones are empty, numbers lose trailing zeros, text is folded."""
-    v = F.lower(F.trim(F.coalesce(value, F.lit(""))))
+    """A comparable form of a value: NFKC, booleans and missing ones are empty, numbers lose trailing zeros, text is folded."""
+    v = F.lower(F.trim(F.coalesce(nfkc(value), F.lit(""))))
     number = F.regexp_replace(F.regexp_replace(v, r"^\+", ""), r"(\.\d*?)0+$", "$1")
     return F.when(v.isin("true", "false", "none", "null"), "").when(v.rlike(r"^[+-]?\d+(\.\d+)?$"), F.regexp_replace(number, r"\.$", "")).otherwise(F.regexp_replace(v, r"\s+", " "))
 

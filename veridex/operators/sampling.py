@@ -83,7 +83,7 @@ def balanced_sample(rows: DataFrame, bucket: str, dedupe: str, order: str, quota
     firsts = rows.groupBy(dedupe).agg(F.min(order).alias(order))  # the first row of each signature, partly aggregated; `order` tells rows apart
     distinct = rows.join(firsts.select(order), order, "left_semi")
     share = F.coalesce(F.create_map(*(x for k, v in quota.items() for x in (F.lit(k), F.lit(v))))[F.col(bucket)], F.lit(0))
-    head = distinct.withColumn("r", F.row_number().over(Window.partitionBy(bucket).orderBy(order))).where(F.col("r") <= share)  # tasks keep their first rows only before they meet
+    head = distinct.withColumn("r", F.row_number().over(Window.partitionBy(bucket).orderBy(order))).where(F.col("r") <= max(quota.values(), default=0)).where(F.col("r") <= share)  # the first bound is a number, so that tasks keep their first rows only before they meet
     ahead = head.select(order, F.lit(0).alias("tier"))
     return distinct.join(F.broadcast(ahead), order, "left").withColumn("tier", F.coalesce("tier", F.lit(1))).orderBy("tier", order).limit(total)
 
