@@ -2,16 +2,12 @@
 
 from __future__ import annotations
 
-import io
-import zipfile
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
 
 from veridex.functions.text import json_kind, present
+from veridex.sources.archives import zip_members, zip_pieces
 
 
 def read_csv(spark: SparkSession, path: str, fields: list[str] | None = None) -> DataFrame:
@@ -66,22 +62,18 @@ def read_metadata(spark: SparkSession, path: str, schema: str) -> DataFrame:
     return files.select(F.col("_metadata.file_path").alias("file"), F.from_json("value", schema).alias("v")).select("file", "v.*")
 
 
-def _members(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for batch in batches:
-        for path, content in zip(batch["path"], batch["content"], strict=True):
-            rows = []
-            with zipfile.ZipFile(io.BytesIO(content)) as z:
-                for info in z.infolist():
-                    safe = not (info.filename.startswith("/") or ".." in info.filename.split("/") or "\\" in info.filename)
-                    body = z.read(info) if safe and not info.is_dir() else None
-                    rows.append((path, info.filename, info.file_size, safe, info.CRC, body))
-            yield pd.DataFrame(rows, columns=["archive", "name", "bytes", "safe", "crc", "content"])
-
-
 def read_zip(spark: SparkSession, path: str) -> DataFrame:
-    """A row per member of every archive, with its checksum (verified on reading); unsafe names are listed without content."""
-    files = spark.read.format("binaryFile").load(path).select("path", "content")
-    return files.mapInPandas(_members, "archive string, name string, bytes long, safe boolean, crc long, content binary")
+    """archive, name, bytes, safe, crc, content: a row per member of every archive with its whole content; unsafe names are listed without.
+
+    A damaged archive or member raises. Members beyond what one value can hold
+    are for `archives.zip_pieces`, which also tells what failed.
+    """
+    members = zip_members(spark, path)
+    whole = zip_pieces(members).groupBy("archive", "at").agg(F.array_sort(F.collect_list(F.struct("piece", "content"))).alias("p"), F.max("error").alias("failure"))
+    content = F.aggregate("p", F.lit(b""), lambda acc, x: F.concat(acc, x["content"]))
+    failed = F.coalesce("error", "failure")
+    checked = F.when(failed.isNotNull(), F.raise_error(F.concat_ws(" ", "archive", "name", failed)).cast("binary")).when(F.col("p").isNotNull(), content)
+    return members.join(whole, ["archive", "at"], "left").select("archive", "name", "bytes", "safe", "crc", checked.alias("content"))
 
 
 def field_inventory(rows: DataFrame, fields: list[str], first: int = 100, order: str | None = None) -> DataFrame:
