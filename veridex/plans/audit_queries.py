@@ -21,6 +21,7 @@ from veridex.plans.scratch import shared_dir
 from veridex.sources import adapters as E
 from veridex.sources import readers as D
 from veridex.sources.json_arrays import read_json_elements
+from veridex.streaming import trace_index as I
 
 # -- splits
 
@@ -345,3 +346,42 @@ def source_elements(t: Tables) -> DataFrame:
     whole.write.partitionBy("part").text(root)
     got = read_json_elements(t.spark, root, "id long, name string, price double, tags array<int>")
     return got.select("id", "name", "price", F.size("tags").alias("n"))
+
+
+# -- trace files: orders as records, their lines as calls
+
+_LINES = """with l as (select o_orderkey, o_orderstatus <> 'P' as read, o_orderpriority, case when o_orderpriority like '1%' then 'G1' when o_orderpriority like '2%' then 'G2' when o_orderpriority like '3%' then 'G3' else 'unknown' end as g, l_suppkey, l_partkey, l_linestatus = 'O' as args, l_returnflag <> 'R' as outs from orders join lineitem on l_orderkey = o_orderkey),
+r as (select o_orderkey as id, any_value(g) as g, any_value(read) as ok, case when any_value(read) then count(*) else 0 end as calls, case when any_value(read) then count(distinct l_suppkey) else 0 end as services, case when any_value(read) then count(distinct l_partkey) else 0 end as apis, any_value(read) and bool_or(args) as arguments, any_value(read) and bool_or(outs) as outputs from l group by 1),
+i as (select *, case when ok then 'ok' else 'unsupported_record_schema' end as status, calls >= 2 and services >= 2 and arguments and outputs as eligible from r)"""
+
+
+def _indexed_orders(t: Tables) -> str:
+    """Writes orders as files of one keyed object each, of a thousand keys and one priority, and indexes them by a stream; the folder of the index."""
+    root = f"{shared_dir(t.spark).rstrip('/')}/traces-{uuid.uuid4().hex}"
+    node = F.struct(F.lit("Tool").alias("role"), F.struct(
+        F.concat(F.lit("p"), "l_partkey", F.lit("_for_s"), "l_suppkey").alias("name"),
+        F.when(F.col("l_linestatus") == "O", F.to_json(F.struct("l_quantity"))).otherwise("").alias("arguments"),
+        F.when(F.col("l_returnflag") != "R", F.array("l_quantity")).otherwise(F.array().cast("array<double>")).alias("response"),
+    ).alias("message"))
+    lines = t.lineitem.withColumn("l_quantity", F.col("l_quantity").cast("double"))
+    by = t.orders.join(lines, F.col("l_orderkey") == F.col("o_orderkey")).groupBy("o_orderkey", "o_orderstatus", "o_orderpriority").agg(F.collect_list(node).alias("answer_details"))
+    asked = F.concat(F.lit('Query "'), "o_orderkey", F.lit("\\é")).alias("query")
+    record = F.when(F.col("o_orderstatus") == "P", F.to_json(F.struct(asked))).otherwise(F.to_json(F.struct(asked, F.struct("answer_details").alias("answer"))))
+    group = F.when(F.col("o_orderpriority").rlike("^[123]"), F.concat(F.lit("in_G"), F.substring("o_orderpriority", 1, 1))).otherwise("other")
+    pairs = by.select(F.floor(F.col("o_orderkey") / 1000).alias("part"), group.alias("grp"), F.concat(F.lit('"'), "o_orderkey", F.lit('": '), record).alias("pair"))
+    whole = pairs.groupBy("grp", "part").agg(F.concat(F.lit("{"), F.array_join(F.collect_list("pair"), ",\n"), F.lit("}")).alias("value"))
+    whole.repartition("grp", "part").write.partitionBy("grp", "part").text(f"{root}/files")
+    I.update_index(t.spark, f"{root}/files", f"{root}/out", f"{root}/mark", "keyed", pattern="*.txt")
+    return f"{root}/out"
+
+
+@query(f"{_LINES} select cast(id as varchar) as id, g as \"group\", calls, services, apis, arguments, outputs, status, eligible from i")
+def trace_index(t: Tables) -> DataFrame:
+    group = F.when(F.col("group") == "", "unknown").otherwise(F.col("group"))
+    return I.current_index(t.spark, _indexed_orders(t)).select(F.col("record_id").alias("id"), group.alias("group"), "calls", "services", "apis", "arguments", "outputs", "status", "eligible")
+
+
+@query(f"""{_LINES} select * from (select 'total' as counter, 'records' as value, count(*) as n from i union all select 'total', 'multicall', count(*) filter (calls >= 2) from i union all select 'total', 'multiservice', count(*) filter (services >= 2) from i union all select 'total', 'eligible', count(*) filter (eligible) from i
+union all select 'status', status, count(*) from i group by status union all select 'layout', 'keyed', count(*) from i union all select 'group', g, count(*) from i group by g)""")
+def trace_counters(t: Tables) -> DataFrame:
+    return I.counters(t.spark, _indexed_orders(t)).select("counter", "value", F.col("n").cast("long").alias("n"))

@@ -41,13 +41,18 @@ class _File:
         return self.raw.seek(place)
 
 
-@contextmanager
-def _opened(path: str) -> Iterator[zipfile.ZipFile]:
+def open_file(path: str) -> pa.NativeFile:
+    """A file to be read at any place, by a path as Spark gives it."""
     from pyarrow import fs
 
     local = re.sub(r"^file:/+", "/", path)
     system, inner = (fs.LocalFileSystem(), local) if local.startswith("/") else fs.FileSystem.from_uri(path)
-    with system.open_input_file(inner) as raw, zipfile.ZipFile(_File(raw)) as archive:
+    return system.open_input_file(inner)
+
+
+@contextmanager
+def _opened(path: str) -> Iterator[zipfile.ZipFile]:
+    with open_file(path) as raw, zipfile.ZipFile(_File(raw)) as archive:
         yield archive
 
 
