@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from veridex.functions.text import STOPWORDS
 from veridex.operators import leakage as L
 from veridex.operators import recovery as R
+from veridex.operators import releases as N
 from veridex.operators import rulesets as P
 from veridex.operators import semcap as S
 from veridex.operators import traces as X
@@ -311,3 +312,85 @@ def policy_semcap(t: Tables) -> DataFrame:
     out = S.semcap(t.part.selectExpr(*_CAPABLE).withColumn("coverage_text", F.concat_ws(" ", "gold", "flagged")))
     lists = [F.array_join(k, ";").alias(k) for k in ("requirements", "covered", "missing", "mismatch", "uncertain", "ok")]
     return out.select("id", *lists, "semantic", "coverage_pred", "coverage_confidence", "semantic_type", "coverage_type", "needs_review")
+
+
+# -- later releases of the cleaning policy
+
+_LATER = [
+    "l_orderkey * 10 + l_linenumber as id", "case when l_linenumber % 2 = 0 then 'Service' else 'api' end as level", "case l_suppkey % 11 when 0 then 'api_leak_blocking' when 1 then 'api_leak_weak_or_generic' else '' end as api_leak", "case when l_orderkey % 37 = 0 then ' Strong' else 'none' end as api_leak_strength",
+    "case l_partkey % 8 when 0 then 'service_leak_only' when 1 then 'ambiguous_service_leak' else 'no_service_leak' end as service_leak", "case when cast(l_quantity as int) = 17 then 'no' else 'yes' end as gold_services", "case cast(l_quantity as int) % 23 when 0 then 'unknown' when 1 then 'yes_api_name_only' else 'yes' end as gold_apis",
+    "case when l_orderkey % 23 = 0 then 'Invalid_no_choice' else 'valid' end as space", "case when l_orderkey % 29 = 0 then 'invalid_level' else 'valid' end as task_type", "case l_partkey % 13 when 0 then 'mismatch' when 1 then 'uncertain' when 2 then '' else 'ok' end as semantic", "case l_suppkey % 7 when 0 then 'coverage_mismatch' when 1 then 'coverage_uncertain' when 2 then ' Coverage_OK' else 'coverage_ok' end as coverage",
+    "case l_returnflag when 'R' then 'high' when 'A' then 'HIGH ' else 'medium' end as coverage_confidence", "case l_partkey % 9 when 0 then 'extra_gold_service_detected' when 1 then '' when 2 then 'unsure' when 3 then 'not_applicable' else 'ok' end as gold_set", "case l_orderkey % 7 when 0 then 'True' when 1 then 'yes' else 'no' end as overtrust",
+    "case l_suppkey % 17 when 0 then '[{\"rule\": \"x\"}]' when 1 then '[ ]' when 2 then 'no json' else '' end as domain_flags", "case l_partkey % 5 when 0 then '[\"a\"]' else '[]' end as missing_flags", "case l_linestatus when 'O' then '' else 'dryrun_uncertain' end as before", "'uncertain_semcap' as before_bucket",
+]
+_LATER_SQL = f"""with r as (select {', '.join(_LATER)} from lineitem),
+f as (select *, api_leak = 'api_leak_blocking' or api_leak_strength = ' Strong' as b1, gold_services = 'no' or gold_apis = 'unknown' as b2, space <> 'valid' as b3, task_type <> 'valid' as b4, semantic = 'mismatch' as b5, gold_set like 'extra%' as b6, domain_flags like '[{{%' as b7, missing_flags <> '[]' as m, coverage = 'coverage_mismatch' as b9,
+overtrust <> 'no' as w1, gold_set not in ('ok', 'not_applicable') as w2, coverage = 'coverage_uncertain' as w3, semantic = 'uncertain' as w4, api_leak like '%generic' as w5, service_leak like 'ambiguous%' as w6, level = 'Service' and service_leak = 'service_leak_only' as leak from r),
+g as (select *, m and b9 as b8, case when b1 or b2 or b3 or b4 or b5 or b6 or b7 or b9 then 'blocked' when leak then 'leak' when w1 or w2 or w3 or w4 or w5 or w6 then 'doubt' when semantic = 'ok' and coverage in ('coverage_ok', ' Coverage_OK') and coverage_confidence <> 'medium' and not m then 'clean' else 'unsure' end as z from f),
+d as (select *, case z when 'blocked' then 'dryrun_removed' when 'leak' then 'dryrun_service_leak_only' when 'clean' then 'dryrun_clean_candidate' else 'dryrun_uncertain' end as decision,
+case z when 'leak' then 'dryrun_service_leak_only' when 'clean' then 'dryrun_clean_candidate' when 'unsure' then 'uncertain_semcap' when 'doubt' then case when w1 then 'uncertain_generic_search_overtrusted' when w2 then 'uncertain_wrong_gold_set' when w3 or w4 then 'uncertain_semcap' when w5 then 'uncertain_weak_api_leak' else 'uncertain_ambiguous_service_leak' end
+else case when b1 then 'removed_api_leak' when b2 then 'removed_gold_missing' when b3 then 'removed_choice_space_invalid' when b4 then 'removed_task_type_invalid' when b5 then 'removed_semantic_mismatch' when b6 then 'removed_wrong_gold_set' else 'removed_capability_mismatch' end end as bucket,
+z = 'doubt' as dz from g)"""
+
+
+@query(f"""{_LATER_SQL} select id, decision, bucket, concat_ws(';', case when b1 then 'api_leak' end, case when b9 then 'capability_mismatch' end, case when b3 then 'choice_space_invalid' end, case when b7 then 'domain_guard_violation' end, case when b2 then 'gold_missing' end, case when b8 then 'missing_core_requirement' end, case when b5 then 'semantic_mismatch' end, case when b4 then 'task_type_invalid' end, case when b6 then 'wrong_gold_set' end) as blocking,
+concat_ws(';', case when dz and w6 then 'ambiguous_service_leak' end, case when dz and w3 then 'coverage_uncertain' end, case when dz and w1 then 'generic_search_overtrusted' end, case when dz and w4 then 'semantic_uncertain' end, case when z = 'unsure' then 'v12_not_high_confidence_clean' end, case when dz and w5 then 'weak_or_generic_api_leak' end, case when dz and w2 then 'wrong_gold_set_uncertain' end) as warnings,
+concat_ws(';', case when z = 'clean' then 'keep_v14b_clean_candidate' end, case when b1 then 'remove_blocking_api_leak' end, case when b3 then 'remove_choice_space_invalid' end, case when b7 then 'remove_domain_specific_guard_violation' end, case when b2 then 'remove_gold_missing' end, case when b8 then 'remove_missing_core_requirement' end, case when b4 then 'remove_task_type_invalid' end, case when b9 then 'remove_v12_capability_mismatch' end, case when b5 then 'remove_v12_semantic_mismatch' end, case when b6 then 'remove_wrong_gold_set' end,
+case when z = 'leak' then 'separate_service_level_service_leak' end, case when dz and w6 then 'uncertain_ambiguous_service_leak' end, case when dz and w1 then 'uncertain_generic_search_overtrusted' end, case when dz and w4 then 'uncertain_v12_semantic' end, case when dz and w3 then 'uncertain_v12_semcap' end, case when dz and w5 then 'uncertain_weak_api_leak' end, case when dz and w2 then 'uncertain_wrong_gold_set' end) as rules,
+case when z = 'clean' then 'clean_candidate_high_conf' else '' end as confidence, case when before = '' then 'no_v1_4_decision_available' when decision = 'dryrun_uncertain' and bucket = 'uncertain_semcap' then 'unchanged' else 'dryrun_uncertain:uncertain_semcap->' || decision || ':' || bucket end as change from d""")
+def policy_integrity(t: Tables) -> DataFrame:
+    return N.integrity_policy(t.lineitem.selectExpr(*_LATER)).select("id", "decision", "bucket", "blocking", "warnings", "rules", "confidence", "change")
+
+
+@query(f"""{_LATER_SQL}, e as (select *, concat_ws(';', case when b1 then 'blocking_api_leak_into_clean' end, case when b9 then 'coverage_mismatch_into_clean' end, case when w3 then 'coverage_uncertain_into_clean' end, case when b7 then 'domain_specific_guard_violation_into_clean' end, case when w1 then 'generic_search_overtrust_into_clean' end, case when b2 then 'gold_missing_into_clean' end, case when m then 'missing_core_requirement_into_clean' end,
+case when b3 then 'no_choice_space_into_clean' end, case when b5 then 'semantic_mismatch_into_clean' end, case when w4 then 'semantic_uncertain_into_clean' end, case when leak then 'service_level_service_leak_into_clean' end, case when b6 then 'wrong_gold_set_into_clean' end) as flags from d)
+select id, flags from e where flags <> ''""")
+def policy_dangers(t: Tables) -> DataFrame:
+    """The audit of a decision that takes every row for clean."""
+    return N.dangers(t.lineitem.selectExpr(*_LATER, f"'{N.CLEAN}' as decision")).select("id", F.array_join("flags", ";").alias("flags"))
+
+
+# Some of the released requirements.
+_EXPLICIT = [
+    ("energy_price_news_articles_by_source", ["energy prices", "energy price", "different sources in europe", "sources in europe"], ["article", "articles", "search", "specific article"], ["sources by region", "list of sources"]),
+    ("vegan_restaurant_recommendation", ["vegan-friendly restaurant", "vegan restaurant"], ["vegan restaurant", "vegan-friendly", "cuisine", "dietary", "restaurant recommendation"], ["get restaurants by address", "get restaurant by link"]),
+    ("playlist_or_theme_song", ["playlist", "theme songs", "popular songs to play"], ["playlist", "theme song", "song recommendation", "popular songs", "music"], ["song details"]),
+    ("book_cover_by_title_author", ["book cover image", "book cover", "by paulo coelho"], ["title", "author", "isbn", "search"], []),
+]
+_EXPLICIT_Q = ["energy prices from Reuters", "a vegan restaurant, also  songs", "playlist? and now?", "book cover", "find, check and list it", "plain words", "Bitcoin and cricket", "news of the times"]
+_EXPLICIT_G = ["Reuters  articles", "list of sources search", "cuisine of coin", "song details music", "isbn and climate news", "instagram Latest IPL", "random image", "the times"]
+_STEP = [
+    "p_partkey as id", f"{_pick(_EXPLICIT_Q, 'p_partkey % 8')} as query", f"{_pick(_EXPLICIT_G, 'p_size % 8')} as gold", "case when p_partkey % 3 = 0 then 'General_Information' else 'weather' end as asked", "case p_partkey % 7 when 0 then 'dryrun_removed' else 'dryrun_clean_candidate' end as before",
+    "case p_partkey % 7 when 0 then 'removed_api_leak' else 'dryrun_clean_candidate' end as before_bucket",
+]
+
+
+@query(f"""with r as (select *, p % 8 as q, s % 8 as g, p % 7 > 0 as c from (select {', '.join(_STEP)}, p_partkey as p, p_size as s from part)),
+f as (select *, c and q = 0 and g <> 0 as g1, c and q = 1 and g <> 2 as g2, c and q = 2 as g3, c and q = 3 and g not in (1, 4) as g4, c and q = 0 and g <> 0 as n1, c and q = 7 and g <> 7 as n2,
+c and g = 2 and q <> 6 as x1, c and g = 5 and q <> 6 as x2, c and g = 4 as x3, c and g = 5 as x4, c and g = 6 as x5, c and asked like 'G%' and q in (1, 2, 4) as fb from r),
+h as (select *, x1 or x2 or x3 or x4 or x5 as wrong, g1 or g2 or g3 or g4 or n1 or n2 as gap from f), d as (select *, case when not c then before when wrong or gap then 'dryrun_removed' when fb then 'dryrun_uncertain' else before end as decision, case when not c then before_bucket when wrong then 'removed_wrong_gold_set' when gap then 'removed_capability_mismatch' when fb then 'uncertain_semcap_general_information_fallback' else before_bucket end as bucket from h)
+select id, decision, bucket, concat_ws(';', case when gap then 'domain_specific_gap' end, case when wrong then 'wrong_gold_set' end) as blocking, case when fb then 'general_information_fallback' else '' end as warnings,
+concat_ws(';', case when c and not wrong and not gap and not fb then 'keep_v14c_clean_candidate' end, case when not c then 'preserve_v14b_non_clean_decision' end, case when gap then 'v14c_domain_specific_requirement_explicit_match' end, case when fb then 'v14c_general_information_fallback_blocking' end, case when wrong then 'v14c_gold_set_integrity_hard_gate' end) as rules,
+concat_ws(';', case when fb then 'general_information_fallback_cannot_clean_multi_requirement_query' end, case when g1 then 'energy_price_news_articles_by_source' end, case when g2 then 'vegan_restaurant_recommendation' end, case when g3 then 'playlist_or_theme_song' end, case when g4 then 'book_cover_by_title_author' end, case when n1 then 'source_specific_news_missing_named_source:reuters' end, case when n2 then 'source_specific_news_missing_named_source:the times' end) as gaps,
+concat_ws(';', case when x1 then 'crypto_or_bybit_extra_without_crypto_need' end, case when x2 then 'ipl_extra_without_cricket_need' end, case when x3 then 'climate_news_extra_without_climate_need' end, case when x4 then 'instagram_extra_for_tiktok_need' end, case when x5 then 'miku_or_random_image_extra_for_specific_image_need' end) as extra_gold,
+case when decision = before and bucket = before_bucket then 'unchanged' else before || ':' || before_bucket || '->' || decision || ':' || bucket end as change from d""")
+def policy_explicit(t: Tables) -> DataFrame:
+    rows = t.part.selectExpr(*_STEP).withColumn("requirements", F.array("asked"))
+    out = N.explicit_policy(rows, S.requirement_table(_EXPLICIT))
+    return out.select("id", "decision", "bucket", "blocking", "warnings", "rules", F.array_join("gaps", ";").alias("gaps"), F.array_join("extra_gold", ";").alias("extra_gold"), "change")
+
+
+_JUDGED = [
+    "o_orderkey as id", "case when o_orderkey % 9 = 0 then 'dryrun_removed' else 'dryrun_clean_candidate' end as before", "'b' as before_bucket", f"{_pick(['api_leak;x', 'gold_missing', 'choice_space_invalid', 'Service_Leak', 'task_type', ''], 'least(o_custkey % 41, 5)')} as blocking",
+    "case o_custkey % 23 when 0 then null when 1 then 'bad' else 'ok' end as parse_status", "case o_custkey % 13 when 0 then 'mismatch' when 1 then 'uncertain' when 2 then null else 'ok' end as semantic", "case o_orderkey % 11 when 0 then 'coverage_mismatch' when 1 then 'coverage_uncertain' else 'coverage_ok' end as coverage",
+    "case o_orderkey % 19 when 0 then '[\"a\"]' when 1 then 'text' when 2 then '{\"a\": 1}' when 3 then null else '[]' end as missing_json", "case o_orderkey % 17 when 0 then '[ 1 ]' else '' end as extra_json", "case o_orderkey % 7 when 0 then 'True' else '' end as overtrust", "case o_custkey % 7 when 0 then 'true' else 'no' end as gap",
+    "case o_custkey % 5 when 0 then 'TRUE' else null end as wrong_gold", "case o_orderkey % 4 when 0 then 'low' when 1 then 'medium' when 2 then 'high' end as risk",
+]
+
+
+@query(f"""with r as (select {', '.join(_JUDGED)}, o_orderkey as k, o_custkey as u from orders), z as (select *, case when k % 9 = 0 then 0 when u % 41 < 5 then 1 when u % 23 = 0 then 2 when u % 23 = 1 then 3 when u % 13 = 0 then 4 when u % 13 = 1 then 5 when k % 11 = 0 then 6 when k % 11 = 1 then 7 when k % 19 < 2 then 8 when k % 17 = 0 then 9 when k % 7 = 0 then 10 when u % 7 = 0 then 11 when u % 5 = 0 then 12 when u % 13 <> 2 and k % 4 < 2 then 13 else 14 end as z from r)
+select id, case z when 0 then before when 1 then 'judge_removed_hard_policy_block' when 2 then 'judge_uncertain_missing_prediction' when 3 then 'judge_uncertain_parse_failed' when 4 then 'judge_removed_semantic_mismatch' when 6 then 'judge_removed_capability_mismatch' when 8 then 'judge_removed_or_uncertain_missing_requirement' when 9 then 'judge_removed_wrong_gold_set' when 10 then 'judge_uncertain_or_removed_generic_search_overtrust' when 11 then 'judge_removed_capability_mismatch' when 12 then 'judge_removed_wrong_gold_set' when 13 then 'judge_assisted_clean_candidate' else 'judge_uncertain_semcap' end as decision,
+case z when 0 then 'b' when 1 then 'judge_hard_policy_block' when 2 then 'judge_missing_prediction' when 3 then 'judge_parse_failed' when 4 then 'judge_removed_semantic_mismatch' when 5 then 'judge_uncertain_semantic_alignment' when 6 then 'judge_removed_capability_mismatch' when 7 then 'judge_uncertain_capability_coverage' when 8 then 'judge_missing_requirement' when 9 then 'judge_extra_unrelated_gold' when 10 then 'judge_generic_search_overtrust' when 11 then 'judge_domain_specific_gap' when 12 then 'judge_wrong_gold_set' when 13 then 'judge_assisted_clean_candidate' else 'judge_uncertain_residual' end as bucket,
+case z when 0 then 'not_a_clean_candidate' when 1 then 'hard_policy:' || ['api_leak', 'gold_missing', 'choice_space', 'service_leak', 'task_type'][cast(u % 41 + 1 as int)] when 2 then 'missing_prediction' when 3 then 'parse_status:bad' when 4 then 'semantic_mismatch' when 5 then 'semantic_uncertain' when 6 then 'coverage_mismatch' when 7 then 'coverage_uncertain' when 8 then 'missing_requirements_nonempty' when 9 then 'extra_unrelated_gold_services' when 10 then 'generic_search_overtrust' when 11 then 'domain_specific_gap' when 12 then 'wrong_gold_set' when 13 then 'all_conditions_passed' else 'residual_uncertain' end as reason from z""")
+def policy_judge(t: Tables) -> DataFrame:
+    return N.judge_policy(t.orders.selectExpr(*_JUDGED)).select("id", "decision", "bucket", "reason")
