@@ -5,15 +5,33 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from veridex.functions.text import normalize_ascii, present
+from veridex.functions.text import normalize_ascii
 from veridex.operators.policy import Rule, first_match, hits
 from veridex.operators.semcap import GENERAL, Requirement, phrases_in
 
 CLEAN, REMOVED, UNCERTAIN, LEAK_ONLY = "dryrun_clean_candidate", "dryrun_removed", "dryrun_uncertain", "dryrun_service_leak_only"
 
 
+_COMPARED = ("level", "api_leak", "api_leak_strength", "service_leak", "space", "task_type", "semantic", "coverage", "coverage_confidence", "gold_set", "overtrust")
+_FLAGS = ("domain_flags", "missing_flags")
+
+
+def _prepared(rows: DataFrame) -> DataFrame:
+    """Rows with what the conditions read, each worked out once: `_low_` texts and `_held_` flags."""
+    kept = [c for c in (*_COMPARED, *_FLAGS) if c in rows.columns]
+    return rows.withColumns({f"_held_{c}" if c in _FLAGS else f"_low_{c}": flagged(c) if c in _FLAGS else normalize_ascii(F.col(c)) for c in kept})
+
+
+def _without(rows: DataFrame) -> DataFrame:
+    return rows.drop(*(f"_low_{c}" for c in _COMPARED), *(f"_held_{c}" for c in _FLAGS))
+
+
 def _low(c: str) -> Column:
-    return F.coalesce(normalize_ascii(F.col(c)), F.lit(""))
+    return F.col(f"_low_{c}")
+
+
+def _held(c: str) -> Column:
+    return F.col(f"_held_{c}")
 
 
 def _true(c: str) -> Column:
@@ -51,8 +69,8 @@ def _blocking() -> list[tuple[str, str, str, Column]]:
         ("task_type_invalid", "remove_task_type_invalid", "removed_task_type_invalid", _low("task_type").startswith("invalid")),
         ("semantic_mismatch", "remove_v12_semantic_mismatch", "removed_semantic_mismatch", _low("semantic") == "mismatch"),
         ("wrong_gold_set", "remove_wrong_gold_set", "removed_wrong_gold_set", _low("gold_set") == "extra_gold_service_detected"),
-        ("domain_guard_violation", "remove_domain_specific_guard_violation", "removed_capability_mismatch", flagged("domain_flags")),
-        ("missing_core_requirement", "remove_missing_core_requirement", "removed_capability_mismatch", flagged("missing_flags") & mismatch),
+        ("domain_guard_violation", "remove_domain_specific_guard_violation", "removed_capability_mismatch", _held("domain_flags")),
+        ("missing_core_requirement", "remove_missing_core_requirement", "removed_capability_mismatch", _held("missing_flags") & mismatch),
         ("capability_mismatch", "remove_v12_capability_mismatch", "removed_capability_mismatch", mismatch),
     ]
 
@@ -69,8 +87,14 @@ def _warnings() -> list[tuple[str, str, str, Column]]:
     ]
 
 
-def _found(rules: list[tuple[str, str, str, Column]], part: int) -> Column:
-    return hits([Rule(r[part], "", r[3]) for r in rules])
+def _places(rules: list[tuple[str, str, str, Column]]) -> Column:
+    """The places of the rules that hold, in order."""
+    return F.array_compact(F.array(*(F.when(F.coalesce(r[3], F.lit(False)), F.lit(k)) for k, r in enumerate(rules))))
+
+
+def _named(places: str, rules: list[tuple[str, str, str, Column]], part: int) -> Column:
+    names = F.array(*(F.lit(r[part]) for r in rules))
+    return F.transform(places, lambda k: F.get(names, k))
 
 
 def integrity_policy(rows: DataFrame) -> DataFrame:
@@ -86,24 +110,23 @@ def integrity_policy(rows: DataFrame) -> DataFrame:
     gold and is removed. Row-local.
     """
     blocking, doubts = _blocking(), _warnings()
-    blocked, warned = _found(blocking, 0), _found(doubts, 0)
     leak = (_low("level") == "service") & (_low("service_leak") == "service_leak_only")
-    sure = (_low("semantic") == "ok") & (_low("coverage") == "coverage_ok") & (_low("coverage_confidence") == "high") & ~flagged("missing_flags")
+    sure = (_low("semantic") == "ok") & (_low("coverage") == "coverage_ok") & (_low("coverage_confidence") == "high") & ~_held("missing_flags")
     none = F.array().cast("array<string>")
-    out = rows.withColumns({"_blocked": blocked, "_warned": warned, "_leak": leak, "_sure": sure})
+    out = _without(_prepared(rows).withColumns({"_blocked": _places(blocking), "_warned": _places(doubts), "_leak": leak, "_sure": sure}))
     state = F.when(F.size("_blocked") > 0, "blocked").when(F.col("_leak"), "leak").when(F.size("_warned") > 0, "doubt").when(F.col("_sure"), "clean").otherwise("unsure")
     out = out.withColumn("_state", state)
     by = lambda **of: F.coalesce(*(F.when(F.col("_state") == k, v) for k, v in of.items()))
     decision = by(blocked=F.lit(REMOVED), leak=F.lit(LEAK_ONLY), doubt=F.lit(UNCERTAIN), clean=F.lit(CLEAN), unsure=F.lit(UNCERTAIN))
-    slot = lambda rules: first_match([Rule(b, b, c) for _, _, b, c in rules], "")
-    bucket = by(blocked=slot(blocking), leak=F.lit(LEAK_ONLY), doubt=slot(doubts), clean=F.lit(CLEAN), unsure=F.lit("uncertain_semcap"))
+    slot = lambda places, rules: F.get(_named(places, rules, 2), F.lit(0))
+    bucket = by(blocked=slot("_blocked", blocking), leak=F.lit(LEAK_ONLY), doubt=slot("_warned", doubts), clean=F.lit(CLEAN), unsure=F.lit("uncertain_semcap"))
     fired = by(
-        blocked=_found(blocking, 1), leak=F.array(F.lit("separate_service_level_service_leak")), doubt=_found(doubts, 1),
+        blocked=_named("_blocked", blocking, 1), leak=F.array(F.lit("separate_service_level_service_leak")), doubt=_named("_warned", doubts, 1),
         clean=F.array(F.lit("keep_v14b_clean_candidate")), unsure=none,
     )
     out = out.withColumns({"decision": decision, "bucket": bucket, "rules": _listed(fired)})
     return out.withColumns({
-        "blocking": _listed(F.col("_blocked")), "warnings": _listed(by(blocked=none, leak=none, doubt=F.col("_warned"), clean=none, unsure=F.array(F.lit("v12_not_high_confidence_clean")))),
+        "blocking": _listed(_named("_blocked", blocking, 0)), "warnings": _listed(by(blocked=none, leak=none, doubt=_named("_warned", doubts, 0), clean=none, unsure=F.array(F.lit("v12_not_high_confidence_clean")))),
         "confidence": F.when(F.col("decision") == CLEAN, "clean_candidate_high_conf").otherwise(""),
         "change": _changed(("before", "before_bucket"), F.col("decision"), F.col("bucket"), "no_v1_4_decision_available"),
     }).drop("_blocked", "_warned", "_leak", "_sure", "_state")
@@ -117,10 +140,10 @@ def dangers(rows: DataFrame) -> DataFrame:
         "semantic_mismatch_into_clean": blocking["semantic_mismatch"], "semantic_uncertain_into_clean": _low("semantic") == "uncertain",
         "coverage_mismatch_into_clean": blocking["capability_mismatch"], "coverage_uncertain_into_clean": _low("coverage") == "coverage_uncertain",
         "service_level_service_leak_into_clean": (_low("service_leak") == "service_leak_only") & (_low("level") == "service"), "wrong_gold_set_into_clean": blocking["wrong_gold_set"],
-        "generic_search_overtrust_into_clean": _true("overtrust"), "domain_specific_guard_violation_into_clean": blocking["domain_guard_violation"], "missing_core_requirement_into_clean": flagged("missing_flags"),
+        "generic_search_overtrust_into_clean": _true("overtrust"), "domain_specific_guard_violation_into_clean": blocking["domain_guard_violation"], "missing_core_requirement_into_clean": _held("missing_flags"),
     }
     found = F.array_sort(hits([Rule(k, "", c) for k, c in named.items()]))
-    return rows.where(F.col("decision") == CLEAN).withColumn("flags", found).where("size(flags) > 0")
+    return _without(_prepared(rows.where(F.col("decision") == CLEAN)).withColumn("flags", found)).where("size(flags) > 0")
 
 
 # -- explicit requirements: clean rows must name what their queries ask for
