@@ -60,6 +60,19 @@ def test_suffix_array_dedup(spark, corpus):
     assert sorted(got, key=key) == sorted(want, key=key)
 
 
+def test_suffix_array_dedup_goes_by_bytes_not_words(spark):
+    """Of passages of over 50 words in two documents, one of 400 bytes goes from both; one of 399 bytes stays, and so does one whose white space differs, though substring_dedup takes them."""
+    rng = random.Random(8)
+    letters = lambda n: " ".join("".join(rng.choices("abcdefgh", k=4)) for _ in range(n))
+    short, whole, spaced = letters(80), letters(80) + "i", letters(120)
+    assert (len(short), len(whole)) == (399, 400)
+    docs = [(1, f"A {short} B"), (2, f"C\t{short}\nD"), (3, f"E.{whole}.F"), (4, f"G,{whole},H"), (5, spaced), (6, spaced.replace(" ", "\n", 70))]
+    removed = {r.doc_id: (r.n_removed, r.n_spans) for r in repeats.suffix_array_dedup(frame(spark, docs)).collect()}
+    assert removed == {1: (0, 0), 2: (0, 0), 3: (400, 1), 4: (400, 1), 5: (0, 0), 6: (0, 0)}
+    removed = {r.doc_id: r.n_removed for r in repeats.substring_dedup(frame(spark, docs)).collect()}
+    assert removed == {1: 0, 2: 80, 3: 0, 4: 78, 5: 0, 6: 120}
+
+
 def test_substring_dedup(spark, corpus):
     big = 1 << 62
     first = {}
