@@ -47,21 +47,30 @@ def has_alias_conflict(names: Column) -> Column:
     return F.size(flat) != F.size(F.array_distinct(flat))
 
 
-def _sharing(asked: DataFrame, items: DataFrame, keys: list[str], most: int) -> DataFrame:
-    """(task_id, candidate) of the `most` items that share most words with a task, among those with its `keys`.
+def _by_case(df: DataFrame, *columns: str) -> DataFrame:
+    """Rows for each of the four cases of keys: service and domain, either, neither; a null key is in no case."""
+    service, domain, none = F.col("service").cast("string"), F.col("domain").cast("string"), F.lit("")
+    cases = F.array(*(F.struct(F.lit(k).alias("case"), a.alias("a"), b.alias("b")) for k, (a, b) in enumerate(((service, domain), (service, none), (none, domain), (none, none)))))
+    return df.select(*columns, F.inline(cases)).where("a is not null and b is not null")
 
-    Tasks that ask for the same words ask once; items that have the same words of
-    those that any task asks for, and the same keys, differ by their own key only,
-    so the first `most` of them stand for all.
+
+def _met(asks: DataFrame, items: DataFrame, most: int) -> DataFrame:
+    """(ask_id, candidate): in each case the `most` items that share most words with an ask, and the `most` first by key.
+
+    Items that have the same words of those that any ask has, and the same keys,
+    differ by their own key only, so the first `most` of them stand for all.
     """
-    first = F.row_number().over(Window.partitionBy(*keys, "have").orderBy("candidate"))
-    few = items.where("have != ''").withColumn("k", first).where(F.col("k") <= most)
+    keys = ["case", "a", "b"]
+    items = _by_case(items, "candidate", "have")
+    rank = lambda by, *order: F.row_number().over(Window.partitionBy(*by).orderBy(*order))
+    first = items.withColumn("k", rank(keys, "candidate")).where(F.col("k") <= most).select("candidate", *keys)
+    few = items.where("have != ''").withColumn("k", rank([*keys, "have"], "candidate")).where(F.col("k") <= most)
     words = few.select("candidate", *keys, F.explode(F.split("have", " ")).alias("w"))
-    asking = asked.select("ask", *keys).distinct().select("ask", *keys, F.explode(F.split("ask", " ")).alias("w"))
-    met = asking.join(words, [*keys, "w"]).groupBy("ask", *keys, "candidate").agg(F.count("*").alias("overlap"))
-    best = F.row_number().over(Window.partitionBy("ask", *keys).orderBy(F.desc("overlap"), "candidate"))
-    met = met.withColumn("r", best).where(F.col("r") <= most)
-    return asked.join(met, ["ask", *keys]).select("task_id", "candidate")
+    asking = _by_case(asks.where("ask != ''"), "ask").distinct()
+    shared = asking.select("ask", *keys, F.explode(F.split("ask", " ")).alias("w")).join(words.hint("merge"), [*keys, "w"]).groupBy("ask", *keys, "candidate").agg(F.count("*").alias("overlap"))
+    shared = shared.withColumn("k", rank(["ask", *keys], F.desc("overlap"), "candidate")).where(F.col("k") <= most).select("ask", *keys, "candidate")
+    placed = _by_case(asks, "ask_id", "ask")
+    return placed.join(shared.hint("merge"), ["ask", *keys]).select("ask_id", "candidate").unionByName(placed.join(first.hint("merge"), keys).select("ask_id", "candidate")).distinct()
 
 
 def rebuilt_candidates(tasks: DataFrame, pool: DataFrame, target: int = 12) -> DataFrame:
@@ -69,35 +78,37 @@ def rebuilt_candidates(tasks: DataFrame, pool: DataFrame, target: int = 12) -> D
 
     Same service first, then same domain, then the number of distinct topic words
     that item and query share, then by key. tasks: task_id, query, service, domain,
-    gold (array); pool: candidate, service, domain, document. For each of the four
-    cases (service and domain, either, neither) a task meets as many of the items
-    that share most words with it, and of the first by key, as the largest target
-    can ask for: what a task brings to the exchange doesn't grow with the pool, and
-    a word that all items have pairs each set of asked words once with each set
-    of such words that items have.
+    gold (array); pool: candidate, service, domain, document. Tasks of the same
+    service, domain and words ask for the same, so the order is worked out once
+    for each such ask, as far as its largest task can need, and a task takes the
+    first of it that aren't its gold. For each of the four cases (service and
+    domain, either, neither) an ask meets as many of the items that share most
+    words with it, and of the first by key, as the largest target can ask for:
+    what it brings to the exchange doesn't grow with the pool, and a word that all
+    items have pairs each set of asked words once with each set of such words that
+    items have. Tables that grow with the input are joined by shuffles only: as
+    compressed files they look small enough to be broadcast, and are not.
     """
     need = F.greatest(F.lit(target), F.size("gold") + 1) - F.size("gold")
     spelled = lambda words: F.array_join(F.array_sort(F.array_distinct(words)), " ")
     scratch = Scratch(tasks.sparkSession, "rebuilt")
-    asked = scratch.keep(tasks.select("task_id", "service", "domain", "gold", need.alias("need"), F.array_distinct(content_tokens(F.col("query"))).alias("words")).withColumn("ask", spelled(F.col("words"))))
+    asked = scratch.keep(tasks.select("task_id", "service", "domain", "gold", need.alias("need"), spelled(content_tokens(F.col("query"))).alias("ask")))
+    asks = asked.groupBy("service", "domain", "ask").agg(F.max(F.size("gold") + F.col("need")).alias("upto"))
+    asks = scratch.keep(asks.withColumn("ask_id", F.monotonically_increasing_id()))
     items = pool.select("candidate", "service", "domain", F.array_distinct(content_tokens(F.col("document"))).alias("tokens"))
-    some = asked.select(F.explode("words").alias("w")).distinct()
-    known = items.select("candidate", F.explode("tokens").alias("w")).join(some, "w", "left_semi").groupBy("candidate").agg(spelled(F.collect_set("w")).alias("have"))
-    items = scratch.keep(items.join(known, "candidate", "left").withColumn("have", F.coalesce("have", F.lit(""))))
-    most = asked.agg(F.max(F.size("gold") + F.col("need")).alias("m")).first()["m"] or 0
-    met = None
-    for keys in (["service", "domain"], ["service"], ["domain"], []):
-        sharing = _sharing(asked.where("ask != ''"), items, keys, most)
-        met = sharing if met is None else met.unionByName(sharing)
-        if keys:
-            first = items.withColumn("k", F.row_number().over(Window.partitionBy(*keys).orderBy("candidate"))).where(F.col("k") <= most).select("candidate", *keys)
-            met = met.unionByName(asked.select("task_id", *keys).join(first, keys).select("task_id", "candidate"))
-    first = [r["candidate"] for r in items.select("candidate").orderBy("candidate").limit(most).collect()]  # the largest target
-    met = met.unionByName(asked.select("task_id", F.explode(F.array(*map(F.lit, first)) if first else F.array().cast("array<string>")).alias("candidate")))
-    rows = met.distinct().join(asked.select("task_id", F.col("service").alias("ts"), F.col("domain").alias("td"), "gold", "need", "words"), "task_id").join(items.drop("have"), "candidate").where(~F.array_contains("gold", F.col("candidate")))
+    some = asks.select(F.explode(F.split("ask", " ")).alias("w")).distinct()
+    known = items.select("candidate", F.explode("tokens").alias("w")).join(some.hint("merge"), "w", "left_semi").groupBy("candidate").agg(spelled(F.collect_set("w")).alias("have"))
+    items = scratch.keep(items.join(known.hint("merge"), "candidate", "left").withColumn("have", F.coalesce("have", F.lit(""))))
+    most = asks.agg(F.max("upto").alias("m")).first()["m"] or 0
+    rows = _met(asks, items, most).join(asks.select("ask_id", F.col("service").alias("ts"), F.col("domain").alias("td"), F.split("ask", " ").alias("words"), "upto").hint("merge"), "ask_id").join(items.drop("have").hint("merge"), "candidate")
     yes = lambda c: F.when(c, 0).otherwise(1)
-    order = Window.partitionBy("task_id").orderBy(yes(F.col("service") == F.col("ts")), yes(F.col("domain") == F.col("td")), F.desc(F.size(F.array_intersect("words", "tokens"))), "candidate")
-    return rows.withColumn("r", F.row_number().over(order)).where("r <= need").select("task_id", "candidate", "r")
+    order = Window.partitionBy("ask_id").orderBy(yes(F.col("service") == F.col("ts")), yes(F.col("domain") == F.col("td")), F.desc(F.size(F.array_intersect("words", "tokens"))), "candidate")
+    best = rows.withColumn("k", F.row_number().over(order)).where("k <= upto").groupBy("ask_id").agg(F.sort_array(F.collect_list(F.struct("k", "candidate"))).alias("best"))
+    best = asks.drop("upto").join(best.hint("merge"), "ask_id").select(F.col("service").alias("ts"), F.col("domain").alias("td"), F.col("ask").alias("words"), F.col("best.candidate").alias("best"))
+    same = (F.col("ask") == F.col("words")) & F.col("service").eqNullSafe(F.col("ts")) & F.col("domain").eqNullSafe(F.col("td"))
+    left = F.slice(F.filter("best", lambda c: ~F.array_contains("gold", c)), 1, F.col("need"))
+    placed = asked.join(best.hint("merge"), same).select("task_id", F.posexplode(left).alias("r", "candidate"))
+    return placed.select("task_id", "candidate", (F.col("r") + 1).alias("r"))
 
 
 def rebuilt_status(gold: Column, known: Column, candidates: Column, gold_names: Column, names: Column, parents_missing: Column) -> Column:
