@@ -2,15 +2,20 @@
 
 Groups with the same counts of every label are interchangeable, so the search
 never looks at groups, only at profiles: how many groups of a profile stand in
-which split. A profile's groups are first dealt at the splits' shares. Rounds
-follow: Spark scores moving one group of every profile between every two splits
-against the state of all splits (splits x labels numbers), the best of these
-come to the driver, and moves and swaps that lower the cost are applied there.
-Groups are dealt to splits once, at the end, by their hash.
+which split. A profile's groups are first dealt at the splits' shares. What is
+far from its target then moves by shares: Spark adds up what every two splits
+would exchange, the driver finds the shares that lower the cost most, and every
+profile gives these shares of its groups, so that such a round moves any number
+of groups. Rounds of single moves follow: Spark scores moving one group of every
+profile between every two splits against the state of all splits (splits x
+labels numbers), the best of these come to the driver, and moves and swaps that
+lower the cost are applied there. Groups are dealt to splits once, at the end,
+by their hash.
 """
 
 from __future__ import annotations
 
+import itertools
 from dataclasses import dataclass, field, replace
 
 import numpy as np
@@ -23,6 +28,8 @@ from veridex.plans.scratch import Scratch
 MOST_LABELS = 2_000
 #: Moves that a round brings to the driver, for each pair of splits.
 MOVES = 64
+#: Groups that a round by shares moves at least; fewer are left to single moves.
+BULK = 2 * MOVES
 #: Up to so many groups are dealt one after the other, the largest first, instead of at the splits' shares.
 FEW_GROUPS = 4_096
 
@@ -132,31 +139,35 @@ def _moved(c: np.ndarray, first: np.ndarray, s: int, t: int) -> np.ndarray:
     return (c[:, s] <= first[:, s]).astype(int) - (c[:, t] < first[:, t])
 
 
-def _change(s_at: int, t_at: int) -> Column:
-    """What the labels' cost changes by when one group with `vector` leaves the split whose labels start at s_at for that at t_at."""
+def _change(state: State, s: int, t: int) -> Column:
+    """What the labels' cost changes by when one group with `vector` leaves split s for t: for v rows of a label v * along + v * v * across, and rows that are missing then."""
+    labels = state.now.shape[1]
 
-    def term(x: Column, start: int, step: int) -> Column:
-        at = x["d"] + start + 1
-        value = lambda now: F.element_at("weight", at) * F.pow(now - F.element_at("target", at), F.lit(2)) + MISSING * F.greatest(F.lit(0.0), F.element_at("least", at) - now)
-        return value(F.element_at("now", at) + step * x["v"]) - value(F.element_at("now", at))
+    def term(x: Column) -> Column:
+        at = x["d"] + 1
+        out = x["v"] * (F.element_at("along", at) + x["v"] * F.element_at("across", at))
+        for k, step in ((s, -1), (t, 1)):
+            if state.least[k].any():
+                spare = F.element_at("spare", at + k * labels)
+                out = out + MISSING * (F.greatest(F.lit(0.0), -spare - step * x["v"]) - F.greatest(F.lit(0.0), -spare))
+        return out
 
-    return F.aggregate("vector", F.lit(0.0), lambda so_far, x: so_far + term(x, s_at, -1) + term(x, t_at, 1))
+    return F.aggregate("vector", F.lit(0.0), lambda so_far, x: so_far + term(x))
 
 
 def _candidates(table: DataFrame, state: State, stay: float) -> DataFrame:
     """The MOVES best moves of one group for each pair of splits."""
-    spark, width = table.sparkSession, len(state.splits)
-    known = spark.createDataFrame([tuple(x.ravel().tolist() for x in (state.now, state.target, state.weight, state.least))], "now array<double>, target array<double>, weight array<double>, least array<double>")
-    both, out = table.join(F.broadcast(known), F.lit(True)), None  # one row
-    labels = state.now.shape[1]
+    spark, width, out = table.sparkSession, len(state.splits), None
+    slope = 2 * state.weight * (state.now - state.target)
     for s in range(width):
         for t in range(width):
             if s == t:
                 continue
-            change = _change(s * labels, t * labels)
+            known = spark.createDataFrame([tuple(x.ravel().tolist() for x in (slope[t] - slope[s], state.weight[s] + state.weight[t], state.now - state.least))], "along array<double>, across array<double>, spare array<double>")
             a, b = state.splits[s], state.splits[t]
             again = F.when(F.col(f"now_{a}") <= F.col(f"first_{a}"), 1).otherwise(0) - F.when(F.col(f"now_{b}") < F.col(f"first_{b}"), 1).otherwise(0)
-            scored = both.where(F.col(f"now_{a}") > 0).select(F.lit(s).alias("s"), F.lit(t).alias("t"), "profile", "vector", "n", *_counts(state.splits), *(f"first_{x}" for x in state.splits), (change + stay * again * F.col("n")).alias("change"))
+            change = (_change(state, s, t) + stay * again * F.col("n")).alias("change")
+            scored = table.where(F.col(f"now_{a}") > 0).join(F.broadcast(known), F.lit(True)).select(F.lit(s).alias("s"), F.lit(t).alias("t"), "profile", "vector", "n", *_counts(state.splits), *(f"first_{x}" for x in state.splits), change)  # one row
             best = scored.orderBy("change", "profile").limit(MOVES)
             out = best if out is None else out.unionByName(best)
     return out
@@ -224,6 +235,80 @@ def _greedy(state: State, rows: list) -> dict[str, np.ndarray]:
     return out
 
 
+def _lowest(curve: np.ndarray, slope: np.ndarray, most: float, sweeps: int = 2_000) -> np.ndarray:
+    """The shares between 0 and `most` where shares @ curve @ shares + slope @ shares is least, one after the other until they stand still."""
+    shares, diagonal = np.zeros(len(slope)), np.diag(curve)
+    for _ in range(sweeps):
+        before = shares.copy()
+        for j in np.flatnonzero(diagonal > 0):
+            shares[j] = min(max(shares[j] - (curve[j] @ shares + slope[j] / 2) / diagonal[j], 0.0), most)
+        if np.abs(shares - before).max(initial=0) < 1e-12:
+            break
+    return shares
+
+
+def _by_shares(table: DataFrame, state: State, stay: float, turn: int) -> DataFrame | None:
+    """The table after groups moved by shares, if these are BULK groups at least; the rows needed of labels are left to single moves.
+
+    Between every two splits there are two shares: one of all groups, and one of
+    those whose labels are better off in the other split. Which groups of a
+    profile with few of them move is decided by its hash, so a round leaves
+    about the square root of what it moves to the next.
+    """
+    spark, (width, labels) = table.sparkSession, state.now.shape
+    pairs = [(s, t) for s in range(width) for t in range(width) if s != t]
+    weight = state.weight.copy()
+    weight[:, -1] = np.minimum(weight[:, -1], EXACT_WEIGHT / np.maximum(state.target[:, -1], 1) ** 2)  # relative, as labels are
+    slopes = 2 * weight * (state.now - state.target)
+    slopes[:, -1] = 0
+    known = spark.createDataFrame([tuple(x.tolist() for x in slopes)], ", ".join(f"slope_{k} array<double>" for k in range(width)))
+    score = lambda k: F.aggregate("vector", F.lit(0.0), lambda so_far, x: so_far + x["v"] * F.element_at(f"slope_{k}", x["d"] + 1))
+    scored = table.join(F.broadcast(known), F.lit(True)).select(*table.columns, *(score(k).alias(f"score_{k}") for k in range(width)))  # one row
+    now, first = ([F.col(f"{x}_{s}") for s in state.splits] for x in ("now", "first"))
+    better = {(s, t): F.col(f"score_{t}") < F.col(f"score_{s}") for s, t in pairs}
+    leaves = {(s, t): now[s] * (F.when(now[s] <= first[s], 1).otherwise(0) - F.when(now[t] < first[t], 1).otherwise(0)) for s, t in pairs}
+    sums = []
+    for k, pair in enumerate(pairs):
+        kept, gone = now[pair[0]], leaves[pair]
+        some = lambda c: F.sum(F.when(better[pair], c).otherwise(0))  # noqa: B023, E731
+        sums += [F.sum(kept).alias(f"groups_{k}"), some(kept).alias(f"groups_{k + len(pairs)}"), F.sum(gone * F.col("x.v")).alias(f"stay_{k}"), some(gone * F.col("x.v")).alias(f"stay_{k + len(pairs)}"), some(kept * F.col("x.v")).alias(f"rows_{k}")]
+    found = {r["d"]: r for r in scored.select("*", F.explode("vector").alias("x")).groupBy("x.d").agg(*sums).collect()}  # a row per label
+    size = found.get(labels - 1)
+    if size is None:
+        return None
+    ways = np.zeros((2 * len(pairs), width, labels))
+    for k, (s, t) in enumerate(pairs):
+        chosen = np.zeros(labels)
+        for d, r in found.items():
+            chosen[d] = r[f"rows_{k}"]
+        for j, x in ((k, state.now[s]), (k + len(pairs), chosen)):
+            ways[j, s], ways[j, t] = -x, x
+    flat = (ways * np.sqrt(weight)).reshape(len(ways), -1)
+    off = (np.sqrt(weight) * (state.now - state.target)).ravel()
+    staying, groups = (np.array([float(size[f"{x}_{j}"]) for j in range(len(ways))]) for x in ("stay", "groups"))
+    shares = _lowest(flat @ flat.T, 2 * flat @ off + stay * staying, 1 / (2 * (width - 1))) if width > 1 else np.zeros(len(ways))
+    if shares @ groups < BULK:
+        return None
+    moved = {}
+    for s in range(width):
+        offset = F.pmod(F.xxhash64("profile", F.lit(turn), F.lit(s)), F.lit(1 << 20)) / (1 << 20)
+        share, last = F.lit(0.0), F.lit(0)
+        for k, (a, b) in enumerate(pairs):
+            if a == s:
+                share = share + F.lit(float(shares[k])) + F.when(better[a, b], float(shares[k + len(pairs)])).otherwise(0.0)
+                edge = F.least(F.floor(now[s] * share + offset), now[s])
+                moved[a, b], last = edge - last, edge
+    after = [now[s] + sum((moved[a, b] for a, b in pairs if b == s), F.lit(0)) - sum((moved[a, b] for a, b in pairs if a == s), F.lit(0)) for s in range(width)]
+    return scored.select("profile", "vector", "n", "k", *(c.alias(f"now_{x}") for c, x in zip(after, state.splits, strict=True)), *first)
+
+
+def _off(state: State) -> float:
+    """What rounds by shares bring down: the cost without needed rows, an exact size weighing no more than other sizes can."""
+    weight = state.weight.copy()
+    weight[:, -1] = np.minimum(weight[:, -1], EXACT_WEIGHT / np.maximum(state.target[:, -1], 1) ** 2)
+    return float((weight * (state.now - state.target) ** 2).sum())
+
+
 def _with_changes(table: DataFrame, changes: dict[str, np.ndarray], splits: list[str]) -> DataFrame:
     small = table.sparkSession.createDataFrame([(p, *map(int, x)) for p, x in changes.items()], ", ".join(["profile string", *(f"add_{s} long" for s in splits)]))
     joined = table.join(F.broadcast(small), "profile", "left")  # at most 6 * MOVES rows, or FEW_GROUPS
@@ -307,6 +392,21 @@ def balance(rows: DataFrame, group: str, labels: list[str], objective: Objective
         table = scratch.keep(_with_changes(table, {p: x - [old[p][c] for c in _counts(splits)] for p, x in chosen.items()}, splits))
     before = state.cost
     stay = objective.stay / max(state.now[:, -1].sum(), 1)
+    for turn in itertools.count() if total else ():
+        off, at_first = _off(state), state.now
+        after = _by_shares(table, state, stay, turn)
+        if after is None:
+            break
+        after = scratch.keep(after)
+        state.now = _sums(after, splits, labels_n)
+        if _off(state) >= off:  # no nearer: single moves do the rest
+            state.now = at_first
+            scratch.drop(after)
+            break
+        scratch.drop(table)
+        table = after
+        if _off(state) > 0.9 * off:
+            break
     while total:
         changes = _improve(state, _candidates(table, state, stay).collect(), stay)
         if not changes:
